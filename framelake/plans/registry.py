@@ -1,6 +1,867 @@
-"""Queries and their SQL by name."""
+"""Registered queries by inventory number, each with SQL for an independent engine where there is an exact answer."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import augment, color, nn, resample, stats, tiling
+from ..sources import frames as src
+from ..sources.shared import shared_folder
+from ..streaming import frames as streams
+from . import sql as q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def digest(df: DataFrame, cols: str, keys: str = "frame_id", place: str = "y * 37 + x * 101") -> DataFrame:
+    sums = [x for c in cols.split() for x in (F.sum(F.col(c).cast("long")).alias(f"{c}_sum"), F.sum(F.expr(f"cast({c} as bigint) * (({place}) % 97)")).alias(f"{c}_mix"))]
+    return df.groupBy(*[k.strip() for k in keys.split(",")]).agg(F.count("*").alias("n"), *sums)
+
+
+def rgb(s: SparkSession, d: str, method: str = "fixed") -> DataFrame:
+    return color.yuv_to_rgb(src.pixels_yuv(s, d), method)
+
+
+def fmap(s: SparkSession, d: str) -> DataFrame:
+    return src.patch_pixels(s, d).select("patch_id", F.lit(0).alias("c"), "y", "x", F.col("v").cast("long"))
+
+
+def planes(df: DataFrame, col: str, width: int, key: str = "patch_id") -> DataFrame:
+    """(key, y, x, v) of an array column in raster order."""
+    return df.select(key, F.posexplode(col).alias("i", "v")).select(key, F.expr(f"i div {width}").alias("y"), F.expr(f"i % {width}").alias("x"), "v")
+
+
+def fresh(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+# --- sources and sinks -------------------------------------------------------------------------
+
+
+@query("s1_frame_sizes", f"WITH {q.TILES} SELECT stream, count(*) FILTER (k > 0) AS good, count(*) FILTER (k = 0) AS rejected, CAST(sum(k) AS BIGINT) AS n_tiles FROM frames GROUP BY stream")
+def s1(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    return src.raw_frames(s, d).groupBy("stream").agg(F.count_if(k > 0).alias("good"), F.count_if(k == 0).alias("rejected"), F.sum(k).alias("n_tiles"))
+
+
+_NAMES = "SELECT p_partkey, concat(CASE WHEN p_partkey % 7 = 0 THEN '.' ELSE '' END, 'img', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.txt' WHEN 3 THEN '.jpeg' ELSE '.bmp' END) AS name, p_size FROM part"
+
+
+def names(s: SparkSession, d: str) -> DataFrame:
+    src.table(s, d, "part").createOrReplaceTempView("_part_names")
+    return s.sql(_NAMES.replace("FROM part", "FROM _part_names"))
+
+
+@query("s2_scan_images", f"SELECT name FROM ({_NAMES}) WHERE regexp_matches(lower(name), '\\.(png|jpg|jpeg|bmp|webp)$') AND name NOT LIKE '.%'")
+def s2(s: SparkSession, d: str) -> DataFrame:
+    return src.scan_images(names(s, d)).select("name")
+
+
+def pair_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    parts = src.table(s, d, "part")
+    high = parts.select(F.concat(F.lit("img"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"))
+    low = parts.where("p_size % 3 <> 0").select(F.concat(F.lit("img"), F.col("p_partkey").cast("string"), F.lit("_downscaled.png")).alias("name"))
+    return high, low
+
+
+@query("s3_pair_manifest", "SELECT concat('img', p_partkey, '.png') AS hi, concat('img', p_partkey, '_downscaled.png') AS lo FROM part WHERE p_size % 3 <> 0")
+def s3(s: SparkSession, d: str) -> DataFrame:
+    return src.pair_manifest(*pair_sides(s, d))
+
+
+@query("s3_missing_pairs", "SELECT concat('img', p_partkey, '.png') AS hi FROM part WHERE p_size % 3 = 0")
+def s3_missing(s: SparkSession, d: str) -> DataFrame:
+    return src.missing_pairs(*pair_sides(s, d))
+
+
+@query("s4_zip_by_position", """
+WITH a AS (SELECT p_partkey AS a, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part WHERE p_size <= 25),
+b AS (SELECT p_partkey AS b, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part WHERE p_size > 25)
+SELECT pos, a, b FROM a FULL JOIN b USING (pos)""")
+def s4(s: SparkSession, d: str) -> DataFrame:
+    p = src.table(s, d, "part")
+    return src.zip_by_position(p.where("p_size <= 25").select(F.col("p_partkey").alias("a")), p.where("p_size > 25").select(F.col("p_partkey").alias("b")), ["a"], ["b"])
+
+
+@query("s5_training_set")
+def s5(s: SparkSession, d: str) -> DataFrame:
+    path = fresh(s, "training")
+    src.write_training_set(stats.split(augment.make_training_pairs(src.patches(s, d), "patch_id", "pix", 8), "patch_id"), path)
+    return s.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("s6_frame_dump", f"WITH {q.TILES} SELECT frame_id, md5(array_to_string(list_transform(data[1:k * 2048], lambda b: printf('%02x', b)), '')) AS dump_md5 FROM frames WHERE k > 0")
+def s6(s: SparkSession, d: str) -> DataFrame:
+    hexed = F.expr("array_join(transform(slice(data, 1, k * 2048), b -> lpad(lower(hex(b)), 2, '0')), '')")
+    return src.raw_frames(s, d).where("k > 0").select("frame_id", F.md5(hexed).alias("dump_md5"))
+
+
+@query("s7_fmap_log", f"WITH {q.PATCHES} SELECT patch_id AS file, CAST(patch_id % 3 AS INTEGER) AS map, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total, CAST(sum(v * (y * 8 + x)) AS DOUBLE) AS mixed FROM pp GROUP BY patch_id")
+def s7(s: SparkSession, d: str) -> DataFrame:
+    text = F.expr("concat(array('log', concat('Feature map ', patch_id % 3, ':')), transform(pix, v -> cast(v as string)), array(''))")
+    lines = src.patches(s, d).select(F.col("patch_id").alias("file"), F.posexplode(text).alias("line", "text"))
+    parsed = src.parse_fmap_log(lines)
+    return parsed.groupBy("file", "map").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("pos")).alias("mixed"))
+
+
+def patch_weights(s: SparkSession, d: str) -> DataFrame:
+    return src.patch_pixels(s, d).select(F.col("patch_id").alias("layer"), F.expr("cast(y div 4 as int)").alias("out_ch"), F.expr("cast(x div 4 as int)").alias("in_ch"), F.expr("y % 4").alias("ky"), F.expr("x % 4").alias("kx"), (F.col("v") - 128).cast("long").alias("w"))
+
+
+@query("s8_flip_weights", f"WITH {q.PATCH_WEIGHTS} SELECT layer, in_ch AS out_ch, out_ch AS in_ch, 3 - ky AS ky, 3 - kx AS kx, w FROM w")
+def s8(s: SparkSession, d: str) -> DataFrame:
+    return src.flip_transposed(patch_weights(s, d), 4)
+
+
+@query("s9_append_metrics")
+def s9(s: SparkSession, d: str) -> DataFrame:
+    path = fresh(s, "metrics")
+    ev = src.frame_events(s, d)
+    for tag in ("loss", "rate"):
+        src.append_metrics(ev.groupBy(F.col("status").alias("run"), F.col("stream").alias("step")).agg(F.avg("value").alias("value")).withColumn("tag", F.lit(tag)), path)
+    return s.read.parquet(path).groupBy("run", "tag").agg(F.count("*").alias("n"))
+
+
+# --- colour and values -------------------------------------------------------------------------
+
+
+@query("p1_explode_yuyv", f"WITH {q.YUV} {q.digest('yuv', 'luma u v')}")
+def p1(s: SparkSession, d: str) -> DataFrame:
+    return digest(src.pixels_yuv(s, d), "luma u v")
+
+
+@query("p2_yuv_float", f"WITH {q.RGB_FLOAT} {q.digest('rgb', 'r g b')}")
+def p2(s: SparkSession, d: str) -> DataFrame:
+    return digest(rgb(s, d, "float"), "r g b")
+
+
+@query("p3_yuv_fixed", f"WITH {q.RGB} {q.digest('rgb', 'r g b')}")
+def p3(s: SparkSession, d: str) -> DataFrame:
+    return digest(rgb(s, d), "r g b")
+
+
+_P565 = "((r & 248) << 8) | ((g & 252) << 3) | (b >> 3)"
+
+
+@query("p4_yuv_rgb565", f"WITH {q.RGB_FLOAT}, p AS (SELECT frame_id, y, x, {_P565} AS rgb565 FROM rgb) {q.digest('p', 'rgb565')}")
+def p4(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.yuv_to_rgb565(src.pixels_yuv(s, d)), "rgb565")
+
+
+@query("p5_pack_rgb565", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, {_P565} AS rgb565 FROM rgb) {q.digest('p', 'rgb565')}")
+def p5(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.pack_rgb565(rgb(s, d)), "rgb565")
+
+
+for _m, _e in (("scaled", "r >> 3) * 255 // 31 AS r, (g >> 2) * 255 // 63 AS g, (b >> 3) * 255 // 31 AS b"), ("shifted", "r >> 3) * 8 AS r, (g >> 2) * 4 AS g, (b >> 3) * 8 AS b")):
+
+    @query(f"p6_unpack_rgb565_{_m}", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, ({_e} FROM rgb) {q.digest('p', 'r g b')}")
+    def p6(s: SparkSession, d: str, m: str = _m) -> DataFrame:
+        return digest(color.unpack_rgb565(color.pack_rgb565(rgb(s, d)).drop("r", "g", "b"), m), "r g b")
+
+
+@query("p7_quantisation_loss", f"WITH {q.RGB} SELECT frame_id, round(sum((r & 7) * (r & 7) + (g & 3) * (g & 3) + (b & 7) * (b & 7)) / (count(*) * 3), 6) AS mse FROM rgb GROUP BY frame_id")
+def p7(s: SparkSession, d: str) -> DataFrame:
+    return color.quantisation_loss(rgb(s, d))
+
+
+_OFFSET = ", ".join(
+    f"{q.byte(f'CAST(floor({e}) AS INTEGER)')} AS {n}"
+    for n, e in zip(("luma", "u", "v"), [" + ".join(f"{w}::DOUBLE * {c}" for w, c in zip(row, "rgb", strict=True)) + (" + 128::DOUBLE" if i else "") for i, row in enumerate(color.MATRICES["offset"])], strict=True)
+)
+
+
+@query("p8_rgb_to_yuv", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, {_OFFSET} FROM rgb) {q.digest('p', 'luma u v')}")
+def p8(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.rgb_to_yuv(rgb(s, d), "offset"), "luma u v")
+
+
+for _m in ("bt601", "rounded"):
+    _rows = [" + ".join(f"{w}::DOUBLE * {c}" for w, c in zip(row, "rgb", strict=True)) for row in color.MATRICES[_m]]
+
+    @query(f"p8_rgb_to_yuv_{_m}", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, {', '.join(f'CAST(floor(({e}) * 1000) AS BIGINT) AS {n}' for n, e in zip(('luma', 'u', 'v'), _rows, strict=True))} FROM rgb) {q.digest('p', 'luma u v')}")
+    def p8m(s: SparkSession, d: str, m: str = _m) -> DataFrame:
+        yuv = color.rgb_to_yuv(rgb(s, d), m)
+        return digest(yuv.withColumns({c: F.floor(F.col(c) * 1000) for c in ("luma", "u", "v")}), "luma u v")
+
+
+@query("p9_roundtrip_error")
+def p9(s: SparkSession, d: str) -> DataFrame:
+    return color.roundtrip_error(rgb(s, d))
+
+
+@query("p10_subsample_422", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, {_OFFSET} FROM rgb), z AS (SELECT frame_id, y, x // 2 AS x, max(luma) FILTER (x % 2 = 0) AS y0, sum(u) // 2 AS u, max(luma) FILTER (x % 2 = 1) AS y1, sum(v) // 2 AS v FROM p GROUP BY frame_id, y, x // 2) {q.digest('z', 'y0 u y1 v')}")
+def p10(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.subsample_422(color.rgb_to_yuv(rgb(s, d), "offset")).withColumnRenamed("pair", "x"), "y0 u y1 v")
+
+
+@query("p11_invert", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, 255 - r AS r, 255 - g AS g, 255 - b AS b FROM rgb) {q.digest('p', 'r g b')}")
+def p11(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.invert(rgb(s, d)), "r g b")
+
+
+@query("p12_gray", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, (4899 * r + 9617 * g + 1868 * b + 8192) >> 14 AS gray FROM rgb) {q.digest('p', 'gray')}")
+def p12(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.to_gray(rgb(s, d)), "gray")
+
+
+@query("p13_pack_words", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, r + g * 256 + b * 65536 AS word, r, g, b FROM rgb) {q.digest('p', 'word r g b')}")
+def p13(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.unpack_words(color.pack_words(rgb(s, d)).drop("r", "g", "b")), "word r g b")
+
+
+_BEATS = q.TILES + ", beats AS (SELECT stream, frame_id, CAST(tile_y * 128 + i AS INTEGER) AS seq, array_to_string(list_transform(data[i * 16 + 1:i * 16 + 16], lambda b: printf('%02x', b)), '') AS data_hex, i = 127 AS last FROM (SELECT *, unnest(range(0, 128)) AS i FROM tiles))"
+
+
+@query("p13_pack_beats", f"WITH {_BEATS} SELECT frame_id, count(*) AS n, md5(string_agg(data_hex, ',' ORDER BY seq)) AS beats_md5, count(*) FILTER (last) AS n_last FROM beats GROUP BY frame_id")
+def p13b(s: SparkSession, d: str) -> DataFrame:
+    beats = color.pack_beats(src.raw_tiles(s, d))
+    joined = F.expr("array_join(transform(array_sort(collect_list(struct(seq, data_hex))), b -> b.data_hex), ',')")
+    return beats.groupBy("frame_id").agg(F.count("*").alias("n"), F.md5(joined).alias("beats_md5"), F.count_if("last").alias("n_last"))
+
+
+@query("p13_unpack_beats", f"WITH {q.TILES} SELECT frame_id, count(*) * 2048 AS n, CAST(sum(list_sum(data)) AS BIGINT) AS total FROM tiles GROUP BY frame_id")
+def p13c(s: SparkSession, d: str) -> DataFrame:
+    unpacked = color.unpack_beats(color.pack_beats(src.raw_tiles(s, d)))
+    return unpacked.groupBy("frame_id").agg(F.sum(F.size("bytes")).alias("n"), F.sum(F.expr("aggregate(bytes, 0L, (a, b) -> a + b)")).alias("total"))
+
+
+@query("p14_layout", f"WITH {q.RGB}, p AS (SELECT frame_id, 0 AS c, y, x, r AS value FROM rgb UNION ALL SELECT frame_id, 1, y, x, g FROM rgb UNION ALL SELECT frame_id, 2, y, x, b FROM rgb) {q.digest('p', 'value', 'frame_id, c')}")
+def p14(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.to_planar(rgb(s, d)), "value", "frame_id, c")
+
+
+@query("p14_interleave", f"WITH {q.RGB} {q.digest('rgb', 'r g b')}")
+def p14b(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.to_interleaved(color.to_planar(rgb(s, d))), "r g b")
+
+
+for _n in (255, 256):
+
+    @query(f"p15_normalise_{_n}", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, {', '.join(f'CAST(greatest(0, least(255, floor(({c} / {_n}::DOUBLE * 1.25) * {_n}))) AS INTEGER) AS {c}' for c in 'rgb')} FROM rgb) {q.digest('p', 'r g b')}")
+    def p15(s: SparkSession, d: str, n: int = _n) -> DataFrame:
+        return digest(rgb(s, d).withColumns({c: color.denormalise(color.normalise(F.col(c), n) * 1.25, n) for c in "rgb"}), "r g b")
+
+
+@query("p16_minmax", f"WITH {q.PATCHES} SELECT patch_id, round(sum((v - lo) / CAST(hi - lo AS DOUBLE)), 6) AS total FROM (SELECT *, min(v) OVER (PARTITION BY patch_id) AS lo, max(v) OVER (PARTITION BY patch_id) AS hi FROM pp) WHERE hi > lo GROUP BY patch_id")
+def p16(s: SparkSession, d: str) -> DataFrame:
+    out = color.minmax_normalise(src.patch_pixels(s, d), ["patch_id"], "v").where("stretched is not null")
+    return out.groupBy("patch_id").agg(F.round(F.sum("stretched"), 6).alias("total"))
+
+
+_FORMATS = {"trunc_wrap": (18, 3, "trunc", "wrap"), "round_sat": (12, 1, "round", "saturate")}
+for _name, (_w, _i, _r, _o) in _FORMATS.items():
+    _x = f"floor(8 * e * {1 << (_w - _i)}" + (" + 0.5)" if _r == "round" else ")")
+    _h = 1 << (_w - 1)
+    _v = f"(((({_x}) + {_h}) % {1 << _w}) + {1 << _w}) % {1 << _w} - {_h}" if _o == "wrap" else f"greatest(-{_h}, least({_h - 1}, {_x}))"
+
+    @query(f"p17_quantise_{_name}", f"SELECT patch_id, CAST(sum(f) AS BIGINT) AS total, CAST(min(f) AS BIGINT) AS least, CAST(max(f) AS BIGINT) AS most, round(max(abs(f / {1 << (_w - _i)}::DOUBLE - 8 * e)), 6) AS worst FROM (SELECT patch_id, e, CAST({_v} AS BIGINT) AS f FROM (SELECT vec_id AS patch_id, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)) GROUP BY patch_id")
+    def p17(s: SparkSession, d: str, f: tuple = (_w, _i, _r, _o)) -> DataFrame:
+        e = src.table(s, d, "embeddings").select(F.col("vec_id").alias("patch_id"), F.explode("embedding").cast("double").alias("e"))
+        fixed = e.withColumn("f", color.quantise_fixed(F.col("e") * 8, *f))
+        error = F.abs(F.col("f") / float(1 << (f[0] - f[1])) - F.col("e") * 8)
+        return fixed.groupBy("patch_id").agg(F.sum("f").alias("total"), F.min("f").alias("least"), F.max("f").alias("most"), F.round(F.max(error), 6).alias("worst"))
+
+
+_SLOPES = [(0, 1024), (1, 512), (2, 256), (3, 2048)]
+
+
+@query("p18_prelu", f"WITH {q.PATCHES}, f AS (SELECT patch_id, y, x, CAST(v - 128 AS BIGINT) AS v, a FROM pp JOIN (VALUES {', '.join(map(str, _SLOPES))}) t(c, a) ON c = y % 4), p AS (SELECT patch_id, y, x, CASE WHEN v >= 0 THEN v * 4096 ELSE v * a END AS v FROM f) {q.digest('p', 'v', 'patch_id')}")
+def p18(s: SparkSession, d: str) -> DataFrame:
+    maps = src.patch_pixels(s, d).select("patch_id", F.expr("y % 4").alias("c"), "y", "x", (F.col("v") - 128).cast("long").alias("v"))
+    slopes = s.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(a).alias("a")) for c, a in _SLOPES])))
+    return digest(color.prelu(maps, slopes), "v", "patch_id")
+
+
+@query("p19_pad", f"WITH {q.PATCHES}, g AS (SELECT patch_id, CAST(i // 12 AS INTEGER) AS y, CAST(i % 12 AS INTEGER) AS x FROM patch, range(0, 144) t(i)), p AS (SELECT g.patch_id, g.y, g.x, coalesce(v, 0) AS v FROM g LEFT JOIN pp ON g.patch_id = pp.patch_id AND g.y = pp.y + 2 AND g.x = pp.x + 2) {q.digest('p', 'v', 'patch_id')}")
+def p19(s: SparkSession, d: str) -> DataFrame:
+    return digest(nn.pad(fmap(s, d), 2, 8), "v", "patch_id")
+
+
+@query("p19_zero_insert", f"WITH {q.PATCHES}, g AS (SELECT patch_id, CAST(i // 16 AS INTEGER) AS y, CAST(i % 16 AS INTEGER) AS x FROM patch, range(0, 256) t(i)), p AS (SELECT g.patch_id, g.y, g.x, coalesce(v, 0) AS v FROM g LEFT JOIN pp ON g.patch_id = pp.patch_id AND g.y = pp.y * 2 AND g.x = pp.x * 2) {q.digest('p', 'v', 'patch_id')}")
+def p19b(s: SparkSession, d: str) -> DataFrame:
+    return digest(nn.zero_insert(fmap(s, d), 2, 8), "v", "patch_id")
+
+
+@query("p20_durations", f"""WITH {q.EVENTS}, t AS (SELECT event_id, value * 60 AS t, CAST(floor(value * 60) AS BIGINT) AS s, CAST(floor(value * 60 * 1000 + 0.5) AS BIGINT) AS ms FROM ev WHERE value >= 0)
+SELECT event_id, concat(s // 3600, ':', lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(s % 60 AS VARCHAR), 2, '0')) AS clock,
+  concat(CASE WHEN ms >= 3600000 THEN concat(ms // 3600000, 'h ') ELSE '' END, CASE WHEN ms >= 60000 THEN concat(ms // 60000 % 60, 'm ') ELSE '' END, ms // 1000 % 60, '.', lpad(CAST(ms % 1000 AS VARCHAR), 3, '0'), 's') AS units FROM t""")
+def p20(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("value") * 60
+    return src.frame_events(s, d).where("value >= 0").select("event_id", color.format_duration(F.floor(t)).alias("clock"), color.format_duration_units(t).alias("units"))
+
+
+# --- tiles and geometry ------------------------------------------------------------------------
+
+
+def synth_grid(s: SparkSession, d: str, edge: str) -> DataFrame:
+    return tiling.tile_grid(src.table(s, d, "orders").select(F.col("o_orderkey").alias("frame_id"), F.lit(20).alias("w"), F.lit(20).alias("h")), 8, edge)
+
+
+_GRID = "WITH g AS (SELECT o_orderkey AS frame_id, CAST(i // 3 AS INTEGER) AS tile_y, CAST(i % 3 AS INTEGER) AS tile_x FROM orders, range(0, 9) t(i)), z AS (SELECT *, least(tile_y * 8, {0}) AS src_y, least(tile_x * 8, {0}) AS src_x, {1} AS tw, {2} AS th FROM g)"
+_SHIFT, _PARTIAL = _GRID.format(12, 8, 8), _GRID.format(16, "least(8, 20 - tile_x * 8)", "least(8, 20 - tile_y * 8)")
+
+
+@query("g1_grid_shift", f"{_SHIFT} SELECT frame_id, tile_y, tile_x, src_y, src_x, tw, th FROM z")
+def g1(s: SparkSession, d: str) -> DataFrame:
+    return synth_grid(s, d, "shift").drop("w", "h")
+
+
+@query("g2_grid_partial", f"{_PARTIAL} SELECT frame_id, tile_y, tile_x, src_y, src_x, tw, th FROM z")
+def g2(s: SparkSession, d: str) -> DataFrame:
+    return synth_grid(s, d, "partial").drop("w", "h")
+
+
+def synth_tiles(s: SparkSession, d: str) -> DataFrame:
+    return tiling.crop_tiles(src.synth_frames(s, d).withColumn("v", F.col("luma")), 20, 20, 8)
+
+
+_CROP = f"WITH {q.SYNTH}, g AS (SELECT CAST(i // 3 AS INTEGER) AS tile_y, CAST(i % 3 AS INTEGER) AS tile_x, least(i // 3 * 8, 12) AS sy, least(i % 3 * 8, 12) AS sx FROM range(0, 9) t(i)), c AS (SELECT frame_id, stream, texture, tile_y, tile_x, y - sy AS y, x - sx AS x, luma AS v FROM px JOIN g ON y >= sy AND y < sy + 8 AND x >= sx AND x < sx + 8)"
+
+
+@query("g3_crop_tiles", f"{_CROP} {q.digest('c', 'v', 'texture, tile_y, tile_x')}")
+def g3(s: SparkSession, d: str) -> DataFrame:
+    return digest(synth_tiles(s, d).drop("y", "x").withColumnsRenamed({"ty": "y", "tx": "x"}), "v", "texture, tile_y, tile_x")
+
+
+@query("g4_letterbox", f"WITH {q.TILES} SELECT stream, count(*) AS n FROM tiles JOIN (SELECT frame_id, k FROM frames) USING (frame_id) WHERE tile_y >= 2 AND tile_y < k - 2 GROUP BY stream")
+def g4(s: SparkSession, d: str) -> DataFrame:
+    grid = tiling.tile_grid(src.raw_frames(s, d).where("k > 0").select("frame_id", "stream", "k", F.lit(32).alias("w"), (F.col("k") * 32).alias("h")), 32)
+    return tiling.drop_letterbox(grid, "k").groupBy("stream").agg(F.count("*").alias("n"))
+
+
+@query("g5_row_extents", f"{_SHIFT}, r AS (SELECT tile_y, tile_x, (src_y + i) * 20 * 2 + src_x * 2 AS src_offset, 16 AS src_bytes, (CAST((src_y + i) * 2 - 4 AS BIGINT)) * 4096 + (src_x * 2 + 10) * 2 AS dst_offset, (src_y * 2 - 4) * 4096 + (src_x * 2 + 10) * 2 AS begin FROM z, range(0, 8) t(i)) SELECT tile_y, tile_x, count(*) AS n, CAST(sum(src_offset) AS BIGINT) AS src, CAST(sum(src_bytes) AS BIGINT) AS bytes, CAST(sum(dst_offset) AS BIGINT) AS dst FROM r WHERE begin >= 0 GROUP BY tile_y, tile_x")
+def g5(s: SparkSession, d: str) -> DataFrame:
+    rows = tiling.row_extents(synth_grid(s, d, "shift"), 2, 2, 2, 4096, 10, -4)
+    return rows.groupBy("tile_y", "tile_x").agg(F.count("*").alias("n"), F.sum("src_offset").alias("src"), F.sum("src_bytes").alias("bytes"), F.sum("dst_offset").alias("dst"))
+
+
+@query("g6_halo", f"WITH {q.PATCHES}, g AS (SELECT patch_id, CAST(i // 48 AS INTEGER) AS section, CAST(i % 48 // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x FROM patch, range(0, 96) t(i)), p AS (SELECT g.patch_id, section, g.y, g.x, coalesce(v, 7) AS v FROM g LEFT JOIN pp ON g.patch_id = pp.patch_id AND pp.y = section * 4 + g.y - 1 AND g.x = pp.x) {q.digest('p', 'v', 'patch_id, section')}")
+def g6(s: SparkSession, d: str) -> DataFrame:
+    return digest(tiling.halo_sections(src.patch_pixels(s, d), ["patch_id"], 8, 8, 4, 1, 7).withColumnRenamed("sy", "y"), "v", "patch_id, section")
+
+
+@query("g7_stitch", f"WITH {q.SYNTH}, p AS (SELECT frame_id % 50 AS part, frame_id, y, x, luma AS v FROM px) {q.digest('p', 'v', 'part', 'y * 37 + x * 101 + frame_id')}")
+def g7(s: SparkSession, d: str) -> DataFrame:
+    back = tiling.stitch(synth_tiles(s, d), 8, 20, 20).withColumn("part", F.expr("frame_id % 50"))
+    return digest(back, "v", "part", "y * 37 + x * 101 + frame_id")
+
+
+@query("g8_flat_index", f"WITH {q.TILES}, i AS (SELECT frame_id, i, data[i + 1] AS v FROM (SELECT frame_id, data, unnest(range(0, k * 2048)) AS i FROM frames)) SELECT frame_id, i % 2 AS c, count(*) AS n, CAST(sum(v * (i // 64 * 37 + i // 2 % 32 * 101)) AS BIGINT) AS total, CAST(sum(i) AS BIGINT) AS back FROM i GROUP BY frame_id, i % 2")
+def g8(s: SparkSession, d: str) -> DataFrame:
+    flat = src.raw_frames(s, d).where("k > 0").select("frame_id", F.posexplode(F.expr("slice(data, 1, k * 2048)")).alias("i", "v"))
+    placed = tiling.flatten(tiling.unflatten(flat, 32, 2).drop("i"), 32, 2)
+    return placed.groupBy("frame_id", "c").agg(F.count("*").alias("n"), F.sum(F.expr("cast(v as bigint) * (y * 37 + x * 101)")).alias("total"), F.sum("i").alias("back"))
+
+
+_MASK = {"dot": "y % 8 = 0 AND x % 8 = 0", "outline": "y % 8 IN (0, 7) OR x % 8 IN (0, 7)", "disc": "(y % 8 - 4) * (y % 8 - 4) + (x % 8 - 4) * (x % 8 - 4) <= 4"}
+for _k, _e in _MASK.items():
+
+    @query(f"g9_overlay_{_k}", f"WITH {q.SYNTH}, p AS (SELECT texture, y, x, CASE WHEN {_e} THEN 255 ELSE luma END AS luma FROM px) {q.digest('p', 'luma', 'texture')}")
+    def g9(s: SparkSession, d: str, k: str = _k) -> DataFrame:
+        return digest(tiling.overlay(src.synth_frames(s, d), 8, k), "luma", "texture")
+
+
+@query("g10_pixel_shuffle", f"WITH {q.PATCHES}, p AS (SELECT patch_id, y % 4 * 2 + y // 4 AS y, x % 4 * 2 + x // 4 AS x, v FROM pp) {q.digest('p', 'v', 'patch_id')}")
+def g10(s: SparkSession, d: str) -> DataFrame:
+    maps = src.patch_pixels(s, d).select("patch_id", F.expr("y div 4 * 2 + x div 4").alias("c"), F.expr("y % 4").alias("y"), F.expr("x % 4").alias("x"), "v")
+    return digest(tiling.pixel_shuffle(maps, 2), "v", "patch_id")
+
+
+_CUT = f"{q.hashed('patch_id', 21)} % 3", f"{q.hashed('patch_id', 22)} % 3"
+
+
+@query("g11_crop", f"WITH {q.PATCHES}, p AS (SELECT patch_id, y - {_CUT[0]} AS y, x - {_CUT[1]} AS x, v FROM pp), z AS (SELECT * FROM p WHERE y BETWEEN 0 AND 5 AND x BETWEEN 0 AND 5) {q.digest('z', 'v', 'patch_id')}")
+def g11(s: SparkSession, d: str) -> DataFrame:
+    return digest(tiling.crop(src.patch_pixels(s, d), 8, 6, *_CUT), "v", "patch_id")
+
+
+@query("g11_rotate", f"WITH {q.PATCHES}, p AS (SELECT patch_id, CASE patch_id % 4 WHEN 0 THEN y WHEN 1 THEN 7 - x WHEN 2 THEN 7 - y ELSE x END AS y, CASE patch_id % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 7 - x ELSE 7 - y END AS x, v FROM pp) {q.digest('p', 'v', 'patch_id')}")
+def g11b(s: SparkSession, d: str) -> DataFrame:
+    return digest(tiling.rotate90(src.patch_pixels(s, d), "patch_id", 8), "v", "patch_id")
+
+
+# --- upscaling and convolutions ----------------------------------------------------------------
+
+_AXES = {"align": "({o}) * ((8 - 1) / (16 - 1)::DOUBLE)", "origin": "({o}) * (8 / 16::DOUBLE)", "half_pixel": "greatest(0, (({o}) + 0.5) * (8 / 16::DOUBLE) - 0.5)"}
+_ROUNDS = {"half_away": "floor({0} + 0.5)", "half_even": "round_even({0}, 0)", "trunc": "floor({0})"}
+
+
+def bilinear_sql(mode: str, rounding: str) -> str:
+    fx, fy = (f"CAST({_AXES[mode].format(o=o)} AS DOUBLE)" for o in ("i % 16", "i // 16"))
+    mixed = "((1 - dx) * (1 - dy) * pix[y0 * 8 + x0 + 1] + dx * (1 - dy) * pix[y0 * 8 + x1 + 1] + (1 - dx) * dy * pix[y1 * 8 + x0 + 1] + dx * dy * pix[y1 * 8 + x1 + 1])"
+    return f"""WITH {q.PATCHES}, g AS (SELECT patch_id, pix, i, {fx} AS fx, {fy} AS fy FROM (SELECT *, unnest(range(0, 256)) AS i FROM patch)),
+    n AS (SELECT *, CAST(least(7, floor(fx)) AS INTEGER) AS x0, CAST(least(7, floor(fx) + 1) AS INTEGER) AS x1, fx - floor(fx) AS dx, CAST(least(7, floor(fy)) AS INTEGER) AS y0, CAST(least(7, floor(fy) + 1) AS INTEGER) AS y1, fy - floor(fy) AS dy FROM g),
+    p AS (SELECT patch_id, i // 16 AS y, i % 16 AS x, CAST({_ROUNDS[rounding].format(mixed)} AS INTEGER) AS v FROM n) {q.digest('p', 'v', 'patch_id')}"""
+
+
+for _name, _mode, _rnd in (("u1_bilinear_align", "align", "half_away"), ("u1_bilinear_half_even", "align", "half_even"), ("u3_bilinear_origin", "origin", "half_away"), ("u4_bilinear_half_pixel", "half_pixel", "half_away")):
+
+    @query(_name, bilinear_sql(_mode, _rnd))
+    def u134(s: SparkSession, d: str, m: str = _mode, r: str = _rnd) -> DataFrame:
+        up = src.patches(s, d).withColumn("up", resample.upscale_bilinear("pix", 8, 8, 2, m, r))
+        return digest(planes(up, "up", 16), "v", "patch_id")
+
+
+_FIXED12 = f"""{q.PATCHES}, g AS (SELECT patch_id, pix, i, (i % 16) * (7 * 4096 // 15) AS fx, (i // 16) * (7 * 4096 // 15) AS fy FROM (SELECT *, unnest(range(0, 256)) AS i FROM patch)),
+n AS (SELECT *, least(7, fx // 4096) AS x0, least(7, fx // 4096 + 1) AS x1, fx % 4096 AS dx, least(7, fy // 4096) AS y0, least(7, fy // 4096 + 1) AS y1, fy % 4096 AS dy FROM g),
+fixed AS (SELECT patch_id, i // 16 AS y, i % 16 AS x, CAST(((4096 - dx) * (4096 - dy) // 4096 * pix[y0 * 8 + x0 + 1] + dx * (4096 - dy) // 4096 * pix[y0 * 8 + x1 + 1] + (4096 - dx) * dy // 4096 * pix[y1 * 8 + x0 + 1] + dx * dy // 4096 * pix[y1 * 8 + x1 + 1]) // 4096 AS INTEGER) AS v FROM n)"""
+
+
+@query("u2_bilinear_fixed12", f"WITH {_FIXED12} {q.digest('fixed', 'v', 'patch_id')}")
+def u2(s: SparkSession, d: str) -> DataFrame:
+    up = src.patches(s, d).withColumn("up", resample.upscale_bilinear("pix", 8, 8, 2, "fixed12"))
+    return digest(planes(up, "up", 16), "v", "patch_id")
+
+
+@query("u5_nearest", f"WITH {q.PATCHES}, p AS (SELECT patch_id, i // 12 AS y, i % 12 AS x, pix[CAST(floor((i // 12) * (8 / 12::DOUBLE)) * 8 + floor((i % 12) * (8 / 12::DOUBLE)) AS INTEGER) + 1] AS v FROM (SELECT *, unnest(range(0, 144)) AS i FROM patch)) {q.digest('p', 'v', 'patch_id')}")
+def u5(s: SparkSession, d: str) -> DataFrame:
+    return digest(planes(src.patches(s, d).withColumn("up", resample.resize_nearest("pix", 8, 8, 12, 12)), "up", 12), "v", "patch_id")
+
+
+_TAPS = ", ".join(f"({o}, {i}, {w!r}::DOUBLE)" for o, row in enumerate(resample.axis_taps(8, 16, "cubic")) for i, w in row)
+
+
+@query("u6_bicubic", f"WITH {q.PATCHES}, t(o, i, w) AS (VALUES {_TAPS}), p AS (SELECT patch_id, ty.o AS y, tx.o AS x, CAST(greatest(0, least(255, floor(sum(ty.w * tx.w * v) + 0.5))) AS INTEGER) AS v FROM pp JOIN t tx ON tx.i = x JOIN t ty ON ty.i = y GROUP BY patch_id, ty.o, tx.o) {q.digest('p', 'v', 'patch_id')}")
+def u6(s: SparkSession, d: str) -> DataFrame:
+    return digest(planes(resample.upscale_bicubic(src.patches(s, d), "pix", "up", 8, 8), "up", 16), "v", "patch_id")
+
+
+@query("u7_lanczos_down")
+def u7(s: SparkSession, d: str) -> DataFrame:
+    return digest(planes(resample.downscale(src.patches(s, d), "pix", "low", 8, 8, 2), "low", 4), "v", "patch_id")
+
+
+def conv_sql(weights: str, k: int, rel: str = "pp", up: bool = False) -> str:
+    pad, size = k // 2, 16 if up else 8
+    y, x = (f"{c} * 2 + k{c} - {pad}" if up else f"{c} - k{c} + {pad}" for c in "yx")
+    return f"SELECT patch_id, c, y, x, CAST(sum(p) AS BIGINT) AS v FROM (SELECT patch_id, out_ch AS c, {y} AS y, {x} AS x, CAST(v AS BIGINT) * w AS p FROM {rel} JOIN {weights} ON in_ch = 0) WHERE y BETWEEN 0 AND {size - 1} AND x BETWEEN 0 AND {size - 1} GROUP BY patch_id, c, y, x"
+
+
+@query("u8_conv2d", f"WITH {q.PATCHES}, p AS ({conv_sql(q.weights(1, 4, 1, 3), 3)}) {q.digest('p', 'v', 'patch_id, c')}")
+def u8(s: SparkSession, d: str) -> DataFrame:
+    return digest(nn.conv2d(fmap(s, d), src.weights_table(s, 1, 4, 1, 3), 3, 8), "v", "patch_id, c")
+
+
+_DECONV = f"WITH {q.PATCHES}, p AS ({conv_sql(q.weights(2, 2, 1, 5), 5, up=True)}) {q.digest('p', 'v', 'patch_id, c')}"
+
+
+@query("u9_conv_transpose", _DECONV)
+def u9(s: SparkSession, d: str) -> DataFrame:
+    return digest(nn.conv_transpose2d(fmap(s, d), src.weights_table(s, 2, 2, 1, 5), 5, 8), "v", "patch_id, c")
+
+
+@query("u9_zero_insert_conv", _DECONV)
+def u9b(s: SparkSession, d: str) -> DataFrame:
+    turned = src.weights_table(s, 2, 2, 1, 5).withColumns({"ky": 4 - F.col("ky"), "kx": 4 - F.col("kx")})
+    return digest(nn.conv2d(nn.zero_insert(fmap(s, d), 2, 8), turned, 5, 16), "v", "patch_id, c")
+
+
+@query("u10_small_network")
+def u10(s: SparkSession, d: str) -> DataFrame:
+    three = src.patches(s, d).select("patch_id", F.expr("concat(pix, transform(pix, v -> 255 - v), pix)").alias("rgb"))
+    return nn.score_tiles(three, "rgb", 8, "small").select("patch_id", F.size("out").alias("n"), F.expr("aggregate(out, 0L, (a, v) -> a + v)").alias("total"))
+
+
+for _spec in ("luma", "residual"):
+
+    @query(f"u{'11' if _spec == 'luma' else '12'}_{_spec}_network")
+    def u11(s: SparkSession, d: str, spec: str = _spec) -> DataFrame:
+        return nn.score_tiles(src.patches(s, d).select("patch_id", "pix"), "pix", 8, spec).select("patch_id", F.size("out").alias("n"), F.expr("aggregate(out, 0L, (a, v) -> a + v)").alias("total"))
+
+
+@query("u13_collapse_weights", f"WITH {q.PATCH_WEIGHTS} SELECT a.layer, b.out_ch, a.in_ch, a.ky, a.kx, CAST(sum(a.w * b.w) AS BIGINT) AS w FROM w a JOIN (SELECT * FROM w WHERE ky = 0 AND kx = 0) b ON a.layer = b.layer AND a.out_ch = b.in_ch GROUP BY ALL")
+def u13(s: SparkSession, d: str) -> DataFrame:
+    w = patch_weights(s, d)
+    return nn.collapse_weights(w, w.where("ky = 0 and kx = 0").drop("ky", "kx"))
+
+
+# --- aggregates --------------------------------------------------------------------------------
+
+
+@query("a1_tile_variance", f"WITH {q.VARIANCE} SELECT frame_id, tile_y, sum_y, mean_y, var_num, variance FROM scored")
+def a1(s: SparkSession, d: str) -> DataFrame:
+    return stats.tile_variance(src.raw_tiles(s, d)).select("frame_id", "tile_y", "sum_y", "mean_y", "var_num", "variance")
+
+
+@query("a1_tile_variance_wrap", f"WITH {q.VARIANCE} SELECT frame_id, tile_y, ((var_num + 8388608) % 16777216 - 8388608) / 1024::DOUBLE AS variance FROM scored")
+def a1b(s: SparkSession, d: str) -> DataFrame:
+    return stats.tile_variance(src.raw_tiles(s, d), wrap=True).select("frame_id", "tile_y", "variance")
+
+
+for _kind, _e in (("rgb_pop", "n"), ("rgb_samp", "(n - 1)")):
+
+    @query(f"a2_variance_{_kind}", f"WITH {q.RGB}, t AS (SELECT frame_id, y // 32 AS tile_y, count(*) * 3 AS n, sum(r + g + b) AS s, sum(r * r + g * g + b * b) AS q FROM rgb GROUP BY ALL) SELECT frame_id, tile_y, round((n * q - s * s) / CAST(n * {_e} AS DOUBLE), 6) AS variance FROM t")
+    def a2(s: SparkSession, d: str, kind: str = _kind) -> DataFrame:
+        return stats.pixel_variance(rgb(s, d).withColumn("tile_y", F.expr("y div 32")), ["frame_id", "tile_y"], kind)
+
+
+@query("a2_variance_gray", f"WITH {q.RGB}, t AS (SELECT frame_id, y // 32 AS tile_y, (4899 * r + 9617 * g + 1868 * b + 8192) >> 14 AS gray FROM rgb) SELECT frame_id, tile_y, round(var_pop(gray), 6) AS variance FROM t GROUP BY ALL")
+def a2g(s: SparkSession, d: str) -> DataFrame:
+    return stats.pixel_variance(color.to_gray(rgb(s, d)).withColumn("tile_y", F.expr("y div 32")), ["frame_id", "tile_y"], "gray")
+
+
+def scored(s: SparkSession, d: str) -> DataFrame:
+    return stats.route_tiles(src.raw_tiles(s, d))
+
+
+@query("a3_histogram", f"WITH {q.VARIANCE}, e AS (SELECT min(variance) AS a, max(variance) AS b FROM scored), c AS (SELECT CAST(least(59, floor((variance - a) / ((b - a) / 60))) AS INTEGER) AS bin, count(*) AS n FROM scored, e GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, round(a + i * (b - a) / 60, 6) AS lo, coalesce(n, 0) AS n FROM e, range(0, 60) t(i) LEFT JOIN c ON c.bin = i")
+def a3(s: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(scored(s, d), "variance", 60)
+
+
+@query("a4_route_summary", f"WITH {q.VARIANCE} SELECT stream, count(*) AS n_tiles, count(*) FILTER (route = 'cnn') AS n_cnn, count(*) FILTER (route <> 'cnn') AS n_interp FROM routed GROUP BY stream")
+def a4(s: SparkSession, d: str) -> DataFrame:
+    return stats.route_summary(scored(s, d), ["stream"])
+
+
+def colour_pairs(s: SparkSession, d: str) -> DataFrame:
+    """(frame_id, y, x, c, expected, actual): fixed against float colour conversion of the same pixels, side by side."""
+    yuv = src.pixels_yuv(s, d)
+    fixed = color.yuv_to_rgb(yuv.select(F.struct("frame_id", "luma", "u", "v").alias("frame_id"), "y", "x", "luma", "u", "v"), "fixed")
+    kept = fixed.select(F.col("frame_id.frame_id").alias("_f"), "y", "x", F.array("r", "g", "b").alias("e"), F.col("frame_id.luma").alias("luma"), F.col("frame_id.u").alias("u"), F.col("frame_id.v").alias("v"))
+    both = color.yuv_to_rgb(kept.select(F.struct("_f", "e").alias("frame_id"), "y", "x", "luma", "u", "v"), "float")
+    return both.select(F.col("frame_id._f").alias("frame_id"), "y", "x", F.inline(F.expr("transform(sequence(0, 2), c -> struct(c, frame_id.e[c] as expected, array(r, g, b)[c] as actual))")))
+
+
+_PAIRS = q.BOTH + ", pairs AS (" + " UNION ALL ".join(f"SELECT frame_id, y, x, {i} AS c, a.{c} AS expected, b.{c} AS actual FROM rgb a JOIN rgbf b USING (frame_id, y, x)" for i, c in enumerate("rgb")) + ")"
+
+
+@query("a5_error_stats", f"WITH {_PAIRS}, z AS (SELECT *, abs(expected - actual) AS d, CASE WHEN expected <> 0 THEN abs(expected - actual) * 100 / abs(expected)::DOUBLE END AS p FROM pairs) SELECT frame_id, CAST(sum(d) AS BIGINT) AS total, round(avg(d), 6) AS mean, max(d) AS worst, round(avg(CASE WHEN p <= 20 THEN p END), 6) AS percent FROM z GROUP BY frame_id")
+def a5(s: SparkSession, d: str) -> DataFrame:
+    return stats.error_stats(colour_pairs(s, d), ["frame_id"])
+
+
+@query("a6_psnr", f"WITH {_PAIRS}, m AS (SELECT frame_id, sum((expected - actual) * (expected - actual)) / count(*)::DOUBLE / 65025::DOUBLE AS m FROM pairs GROUP BY frame_id) SELECT frame_id, round(m, 9) AS mse, round(CASE WHEN m > 0 THEN 10 * log10(1 / m) END, 6) AS psnr FROM m")
+def a6(s: SparkSession, d: str) -> DataFrame:
+    return stats.psnr(colour_pairs(s, d), "frame_id")
+
+
+@query("a7_loss_rollup", f"WITH {q.EVENTS} SELECT status, round(sum(value) / sum(1 + event_id % 8), 6) AS per_sample, round(avg(value), 6) AS per_batch FROM ev GROUP BY status")
+def a7(s: SparkSession, d: str) -> DataFrame:
+    m = src.frame_events(s, d).select("status", F.col("value").alias("batch_mean"), F.expr("1 + event_id % 8").alias("n"))
+    return stats.loss_rollup(m, ["status"]).withColumn("per_sample", F.round("per_sample", 6))
+
+
+@query("a8_weight_extremes", f"WITH {q.PATCH_WEIGHTS} SELECT min(w) AS w_min, (SELECT min(layer) FROM w WHERE w = (SELECT min(w) FROM w)) AS layer_min, max(w) AS w_max, (SELECT min(layer) FROM w WHERE w = (SELECT max(w) FROM w)) AS layer_max FROM w")
+def a8(s: SparkSession, d: str) -> DataFrame:
+    return stats.weight_extremes(patch_weights(s, d))
+
+
+@query("a9_latency_profile", f"WITH {q.EVENTS} SELECT CAST(event_id % 6 AS INTEGER) AS batch_size, count(*) AS repeats, round(avg(value), 6) AS mean FROM ev GROUP BY 1")
+def a9(s: SparkSession, d: str) -> DataFrame:
+    return src.frame_events(s, d).groupBy(F.expr("cast(event_id % 6 as int)").alias("batch_size")).agg(F.count("*").alias("repeats"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("a10_curate_pairs", f"WITH {q.VARIANCE} SELECT a.frame_id, a.tile_y, a.variance AS hi_variance, b.variance AS lo_variance FROM scored a JOIN scored b ON a.frame_id = b.frame_id AND b.tile_y = a.tile_y + 1 WHERE a.variance >= 900 AND b.variance >= 900")
+def a10(s: SparkSession, d: str) -> DataFrame:
+    t = stats.tile_variance(src.raw_tiles(s, d)).select("frame_id", "tile_y", "variance")
+    low = t.select("frame_id", (F.col("tile_y") - 1).alias("tile_y"), F.col("variance").alias("lo_variance"))
+    return stats.curate_pairs(t.withColumnRenamed("variance", "hi_variance").join(low, ["frame_id", "tile_y"]), 900)
+
+
+@query("a11_threshold_sweep", f"WITH {q.VARIANCE} SELECT t AS threshold, count(*) AS n_tiles, count(*) FILTER (variance > t) AS n_cnn, round(count(*) FILTER (variance > t) / count(*)::DOUBLE, 9) AS share FROM scored, (VALUES (100), (500), (1000), (2000)) x(t) GROUP BY t")
+def a11(s: SparkSession, d: str) -> DataFrame:
+    return stats.threshold_sweep(scored(s, d), [100, 500, 1000, 2000])
+
+
+@query("a12_tile_pca")
+def a12(s: SparkSession, d: str) -> DataFrame:
+    return stats.tile_pca(src.patches(s, d), "pix").select("patch_id", F.round(F.abs(F.col("pc")[0]), 3).alias("pc1"), F.round(F.abs(F.col("pc")[1]), 3).alias("pc2"))
+
+
+# --- windows -----------------------------------------------------------------------------------
+
+
+@query("w1_progress", f"WITH {q.EVENTS}, z AS (SELECT event_id, stream, row_number() OVER w AS done, count(*) OVER (PARTITION BY stream) AS total, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY stream))) / 1e6 AS elapsed FROM ev WINDOW w AS (PARTITION BY stream ORDER BY event_id)) SELECT event_id, stream, done, total, round(100.0::DOUBLE * done / total, 6) AS percent, round(elapsed / done * (total - done), 6) AS remaining, round(elapsed, 6) AS elapsed FROM z")
+def w1(s: SparkSession, d: str) -> DataFrame:
+    return stats.progress(src.frame_events(s, d), "stream", ["event_id"], "ts").select("event_id", "stream", "done", "total", "percent", "remaining", "elapsed")
+
+
+_W2 = f"WITH {q.EVENTS}, z AS (SELECT stream, ts, (row_number() OVER (PARTITION BY stream ORDER BY event_id) - 1) // 20 AS win FROM ev)"
+
+
+@query("w2_fps_by_count", f"{_W2} SELECT stream, win, count(*) AS frames, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS seconds FROM z GROUP BY stream, win")
+def w2(s: SparkSession, d: str) -> DataFrame:
+    return stats.fps_by_count(src.frame_events(s, d), "stream", ["event_id"], "ts", 20)
+
+
+@query("w3_first_tile", f"WITH {q.VARIANCE} SELECT frame_id, tile_y, variance FROM scored QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY tile_y) = 1")
+def w3(s: SparkSession, d: str) -> DataFrame:
+    return stats.first_per(stats.tile_variance(src.raw_tiles(s, d)).select("frame_id", "tile_y", "variance"), "frame_id", ["tile_y"])
+
+
+_PACKETS = f"WITH {q.TILES} SELECT stream, frame_id, CAST(tile_y AS BIGINT) AS packet, 128 AS beats, true AS ok FROM tiles"
+
+
+@query("w4_packets", _PACKETS)
+def w4(s: SparkSession, d: str) -> DataFrame:
+    return stats.assemble_packets(color.pack_beats(src.raw_tiles(s, d)), 128)
+
+
+@query("w5_section_header", f"WITH {q.PATCHES} SELECT patch_id % 3 AS map, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM pp GROUP BY 1")
+def w5(s: SparkSession, d: str) -> DataFrame:
+    text = F.expr("concat(array(concat('Feature map ', patch_id % 3, ':')), transform(pix, v -> cast(v as string)), array(''))")
+    lines = src.patches(s, d).select(F.expr("patch_id div 10").alias("file"), "patch_id", F.posexplode(text).alias("p", "text"))
+    lines = lines.select("file", (F.col("patch_id") * 100 + F.col("p")).alias("line"), "text")  # ten sections a file
+    return src.parse_fmap_log(lines).groupBy("map").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+for _o, _e in (("column", "tile_x * 65536 + tile_y"), ("row", "tile_y * 65536 + tile_x")):
+
+    @query(f"w6_overlap_{_o}", f"{_CROP}, z AS (SELECT texture, frame_id, least(tile_y * 8, 12) + y AS y, least(tile_x * 8, 12) + x AS x, arg_max(v + tile_x * 3 + tile_y, {_e}) AS v FROM c GROUP BY ALL) {q.digest('z', 'v', 'texture')}")
+    def w6(s: SparkSession, d: str, o: str = _o) -> DataFrame:
+        tiles = synth_tiles(s, d).withColumn("v", F.col("v") + F.col("tile_x") * 3 + F.col("tile_y"))
+        back = tiling.stitch(tiles, 8, 20, 20, o)
+        textures = src.table(s, d, "orders").select(F.col("o_orderkey").alias("frame_id"), F.expr("cast(substr(o_orderpriority, 1, 1) as int)").alias("texture"))
+        return digest(back.join(textures, "frame_id"), "v", "texture")
+
+
+@query("w7_tile_range", f"WITH {q.RGB} SELECT frame_id, y // 32 AS tile_y, min(r) AS lo, max(r) AS hi, count(*) FILTER (r > lo_) AS above FROM (SELECT *, min(r) OVER (PARTITION BY frame_id, y // 32) AS lo_ FROM rgb) GROUP BY ALL")
+def w7(s: SparkSession, d: str) -> DataFrame:
+    px = color.minmax_normalise(rgb(s, d).withColumn("tile_y", F.expr("y div 32")), ["frame_id", "tile_y"], "r")
+    return px.groupBy("frame_id", "tile_y").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count_if(F.col("stretched") > 0).alias("above"))
+
+
+# --- sorts, samples, sets ----------------------------------------------------------------------
+
+
+@query("o1_natural_rank", f"SELECT name, row_number() OVER (ORDER BY regexp_extract(name, '^([^0-9]*)', 1), CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT), name) - 1 AS rank FROM ({_NAMES})")
+def o1(s: SparkSession, d: str) -> DataFrame:
+    return stats.natural_rank(names(s, d).select("name"), "name")
+
+
+@query("o2_sample_n", f"WITH {q.TILES} SELECT frame_id, tile_y FROM tiles ORDER BY {q.hashed('frame_id * 64 + tile_y', 11)}, frame_id * 64 + tile_y LIMIT 100")
+def o2(s: SparkSession, d: str) -> DataFrame:
+    keyed = src.raw_tiles(s, d).select("frame_id", "tile_y", F.expr("frame_id * 64 + tile_y").alias("key"))
+    return stats.sample_n(keyed, "key", 100, 11).select("frame_id", "tile_y")
+
+
+@query("o3_split", f"SELECT p_partkey, CASE WHEN h < 85 THEN 'train' WHEN h < 95 THEN 'valid' ELSE 'test' END AS split FROM (SELECT p_partkey, {q.hashed('p_partkey', 1)} // 7 % 100 AS h FROM part)")
+def o3(s: SparkSession, d: str) -> DataFrame:
+    return stats.split(src.table(s, d, "part").select("p_partkey"), "p_partkey")
+
+
+@query("o4_batches", "SELECT p_partkey, (row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1) // 32 AS batch FROM part")
+def o4(s: SparkSession, d: str) -> DataFrame:
+    return stats.batches(src.table(s, d, "part").select("p_partkey", "p_retailprice"), 32, ["p_retailprice", "p_partkey"]).select("p_partkey", "batch")
+
+
+@query("o5_stimulus", f"SELECT p_partkey, CAST(i AS INTEGER) AS i, CAST({q.hashed('p_partkey * 16 + i', 3)} // 11 % 256 AS INTEGER) AS v FROM part, range(0, 16) t(i)")
+def o5(s: SparkSession, d: str) -> DataFrame:
+    return stats.stimulus(src.table(s, d, "part"), "p_partkey", 16)
+
+
+@query("t1_append_copies", f"WITH {q.PATCHES}, z AS (SELECT patch_id, -1 AS copy, y, x, v FROM pp UNION ALL SELECT patch_id, i, y, x, v FROM pp, range(0, 3) t(i)) {q.digest('z', 'v', 'patch_id, copy')}")
+def t1(s: SparkSession, d: str) -> DataFrame:
+    p = src.patch_pixels(s, d)
+    copies = p.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return digest(p.withColumn("copy", F.lit(-1)).unionByName(copies), "v", "patch_id, copy")
+
+
+@query("t2_merge_routes", f"WITH {q.VARIANCE} SELECT frame_id, tile_y, route FROM routed")
+def t2(s: SparkSession, d: str) -> DataFrame:
+    routed = scored(s, d).select("frame_id", "tile_y", "route")
+    return routed.where("route = 'cnn'").unionByName(routed.where("route = 'interp'"))
+
+
+@query("t3_merge_channels", f"WITH {q.YUV}, z AS (SELECT frame_id, 0 AS c, y, x, luma AS value FROM yuv UNION ALL SELECT frame_id, 1, y, x, u FROM yuv UNION ALL SELECT frame_id, 2, y, x, v FROM yuv) {q.digest('z', 'value', 'frame_id, c')}")
+def t3(s: SparkSession, d: str) -> DataFrame:
+    yuv = src.pixels_yuv(s, d)
+    luma = yuv.select("frame_id", F.lit(0).alias("c"), "y", "x", F.col("luma").alias("value"))
+    chroma = yuv.select("frame_id", F.inline(F.array(*[F.struct(F.lit(i).alias("c"), "y", "x", F.col(n).alias("value")) for i, n in ((1, "u"), (2, "v"))])))
+    return digest(luma.unionByName(chroma), "value", "frame_id, c")
+
+
+# --- degradation -------------------------------------------------------------------------------
+
+
+@query("d1_chroma_bleed")
+def d1(s: SparkSession, d: str) -> DataFrame:
+    p = src.patches(s, d).select("patch_id", F.col("pix").alias("u"), F.expr("transform(pix, v -> 255 - v)").alias("v"))
+    return augment.chroma_bleed(p, "u", "v", 8, 8).select("patch_id", F.round(F.expr("aggregate(u, 0D, (a, x) -> a + x)"), 3).alias("u"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 3).alias("v"))
+
+
+@query("d2_scanlines", f"WITH {q.PATCHES} SELECT patch_id, round(sum(CASE WHEN y % 2 = 0 THEN v * (1 - 0.003::DOUBLE) ELSE v END), 4) AS total FROM pp GROUP BY patch_id")
+def d2(s: SparkSession, d: str) -> DataFrame:
+    lined = src.patches(s, d).select("patch_id", augment.scanlines("pix", 8).alias("p"))
+    return lined.select("patch_id", F.round(F.expr("aggregate(p, 0D, (a, x) -> a + x)"), 4).alias("total"))
+
+
+@query("d3_noise")
+def d3(s: SparkSession, d: str) -> DataFrame:
+    return src.patches(s, d).select("patch_id", augment.add_noise("pix", "patch_id", 4.0).alias("noisy"))
+
+
+@query("d4_gaussian_blur")
+def d4(s: SparkSession, d: str) -> DataFrame:
+    blurred = augment.gaussian_blur(src.patches(s, d), "pix", "soft", 8, 8, 1.0)
+    return blurred.select("patch_id", F.transform("soft", lambda x: F.round(x, 3)).alias("soft"))
+
+
+@query("d5_augment")
+def d5(s: SparkSession, d: str) -> DataFrame:
+    return augment.augment(src.patches(s, d), "patch_id", "pix", 8, 8).select("patch_id", "copy", "bright", "contrast", "augmented")
+
+
+@query("d6_training_pairs")
+def d6(s: SparkSession, d: str) -> DataFrame:
+    return augment.make_training_pairs(src.patches(s, d), "patch_id", "pix", 8)
+
+
+# --- routing and the whole pipeline ------------------------------------------------------------
+
+for _name, _over, _op in (("auto", 0, ">"), ("auto_ge", 0, ">="), ("all_cnn", 1, ">"), ("all_interp", 2, ">")):
+    _e = {0: f"CASE WHEN variance {_op} 1000 THEN 'cnn' ELSE 'interp' END", 1: "'cnn'", 2: "'interp'"}[_over]
+
+    @query(f"r1_route_{_name}", f"WITH {q.VARIANCE} SELECT frame_id, tile_y, {_e} AS route FROM scored")
+    def r1(s: SparkSession, d: str, over: int = _over, op: str = _op) -> DataFrame:
+        return stats.route_tiles(src.raw_tiles(s, d), 1000, over, op).select("frame_id", "tile_y", "route")
+
+
+def luma_tiles(s: SparkSession, d: str, override: int = 0) -> DataFrame:
+    routed = stats.route_tiles(src.raw_tiles(s, d), 1000, override)
+    return routed.select("frame_id", "stream", "tile_y", "route", F.expr("transform(sequence(0, 1023), i -> data[2 * i])").alias("pix"))
+
+
+_INTERP = (
+    q.TILES
+    + """, y AS (SELECT frame_id, stream, tile_y, list_transform(range(0, 1024), lambda i: data[2 * i + 1]) AS pix FROM tiles),
+g AS (SELECT frame_id, stream, tile_y, pix, i, (i % 64) * (31 * 4096 // 63) AS fx, (i // 64) * (31 * 4096 // 63) AS fy FROM (SELECT *, unnest(range(0, 4096)) AS i FROM y)),
+n AS (SELECT *, least(31, fx // 4096) AS x0, least(31, fx // 4096 + 1) AS x1, fx % 4096 AS dx, least(31, fy // 4096) AS y0, least(31, fy // 4096 + 1) AS y1, fy % 4096 AS dy FROM g),
+up AS (SELECT frame_id, stream, tile_y * 64 + i // 64 AS y, i % 64 AS x, CAST(((4096 - dx) * (4096 - dy) // 4096 * pix[y0 * 32 + x0 + 1] + dx * (4096 - dy) // 4096 * pix[y0 * 32 + x1 + 1] + (4096 - dx) * dy // 4096 * pix[y1 * 32 + x0 + 1] + dx * dy // 4096 * pix[y1 * 32 + x1 + 1]) // 4096 AS INTEGER) AS v FROM n)"""
+)
+
+
+def upscaled_digest(tiles: DataFrame) -> DataFrame:
+    """Digest by frame of upscaled tiles (out), summed within each tile before tiles are summed up."""
+    place = "((tile_y * 64 + i div 64) * 37 + (i % 64) * 101) % 97"
+    sums = f"aggregate(sequence(0, size(out) - 1), struct(0L as s, 0L as m), (a, i) -> struct(a.s + out[i] as s, a.m + out[i] * ({place}) as m))"
+    return tiles.select("frame_id", F.size("out").alias("k"), F.expr(sums).alias("z")).groupBy("frame_id").agg(F.sum("k").alias("n"), F.sum("z.s").alias("v_sum"), F.sum("z.m").alias("v_mix"))
+
+
+@query("r2_interp_upscale", f"WITH {_INTERP} {q.digest('up', 'v')}")
+def r2_interp(s: SparkSession, d: str) -> DataFrame:
+    return upscaled_digest(luma_tiles(s, d, 2).withColumn("out", resample.upscale_bilinear("pix", 32, 32, 2, "fixed12")))
+
+
+@query("r2_adaptive_upscale")
+def r2(s: SparkSession, d: str) -> DataFrame:
+    """Flagship: decode, tile, score, route, upscale each branch its way, unite, sum up by frame."""
+    routed = luma_tiles(s, d)
+    cols = ["frame_id", "stream", "tile_y", "route", "out"]
+    flat = routed.where("route = 'interp'").withColumn("out", resample.upscale_bilinear("pix", 32, 32, 2, "fixed12")).select(*cols)
+    detailed = nn.score_tiles(routed.where("route = 'cnn'"), "pix", 32, "luma").select(*cols)
+    return upscaled_digest(flat.unionByName(detailed))
+
+
+@query("r3_tile_report", f"WITH {q.VARIANCE} SELECT frame_id, tile_y, route, variance, 1000::DOUBLE AS threshold, printf('crop_%d_%d_%s_var%.2f', tile_y, 0, route, variance) AS name FROM routed")
+def r3(s: SparkSession, d: str) -> DataFrame:
+    return stats.tile_report(scored(s, d))
+
+
+# --- verification ------------------------------------------------------------------------------
+
+
+@query("v1_scoreboard", f"WITH {_PAIRS} SELECT frame_id, count(*) AS n, count(*) FILTER (expected <> actual) AS n_wrong, bool_and(expected = actual) AS passed FROM pairs GROUP BY frame_id")
+def v1(s: SparkSession, d: str) -> DataFrame:
+    fixed, approx = (color.to_planar(rgb(s, d, m)).withColumnRenamed("value", "v") for m in ("fixed", "float"))
+    return stats.scoreboard(fixed, approx, "frame_id", ["c", "y", "x"], 0)
+
+
+_SWEEP = "SELECT t AS tol, count(*) AS n_trials, count(*) FILTER (worst <= t) AS n_passed FROM z, (VALUES (0), (1), (2), (3), (4), (5)) x(t) GROUP BY t"
+
+
+@query("v2_tolerance_sweep", f"WITH {_PAIRS}, z AS (SELECT frame_id, max(abs(expected - actual)) AS worst FROM pairs GROUP BY frame_id) {_SWEEP}")
+def v2(s: SparkSession, d: str) -> DataFrame:
+    errors = colour_pairs(s, d).select("frame_id", F.abs(F.col("expected") - F.col("actual")).alias("error"))
+    return stats.tolerance_sweep(errors, "frame_id", "error", [0, 1, 2, 3, 4, 5])
+
+
+_U1 = bilinear_sql("align", "half_away")
+_U1_PIX = _U1[_U1.index(", g AS") : _U1.rindex("SELECT patch_id, count")].replace("g AS", "g1 AS").replace("FROM g)", "FROM g1)").replace("n AS (SELECT *, CAST", "n1 AS (SELECT *, CAST").replace("FROM n)", "FROM n1)").rstrip()
+
+
+@query("v3_bilinear_float_fixed", f"WITH {_FIXED12}{_U1_PIX}, z AS (SELECT patch_id, max(abs(p.v - fixed.v)) AS worst FROM p JOIN fixed USING (patch_id, y, x) GROUP BY patch_id) {_SWEEP}")
+def v3(s: SparkSession, d: str) -> DataFrame:
+    both = src.patches(s, d).select("patch_id", resample.upscale_bilinear("pix", 8, 8, 2, "align").alias("a"), resample.upscale_bilinear("pix", 8, 8, 2, "fixed12").alias("b"))
+    worst = both.select("patch_id", F.expr("array_max(transform(sequence(0, 255), i -> abs(a[i] - b[i])))").alias("error"))
+    return stats.tolerance_sweep(worst, "patch_id", "error", [0, 1, 2, 3, 4, 5])
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+def documents_stream(s: SparkSession, d: str) -> DataFrame:
+    """Tiles of a stream of the documents' files."""
+    schema = src.table(s, d, "documents").schema
+    docs = streams.read_frame_stream(s, d, schema, 2, pattern="documents.parquet")
+    frames = docs.select(F.col("doc_id").alias("frame_id"), F.col("lang").alias("stream"), F.expr("cast(n_chars div 2048 as int)").alias("k"), F.expr("transform(split(text, ''), c -> ascii(c) % 256)").alias("data")).where("k > 0")
+    return frames.select("frame_id", "stream", F.inline(F.expr("transform(sequence(0, k - 1), t -> struct(t as tile_y, slice(data, t * 2048 + 1, 2048) as data))")))
+
+
+@query("x1_stream_route", f"WITH {q.VARIANCE} SELECT stream, count(*) AS n_tiles, count(*) FILTER (route = 'cnn') AS n_cnn, count(*) FILTER (route <> 'cnn') AS n_interp FROM routed GROUP BY stream")
+def x1(s: SparkSession, d: str) -> DataFrame:
+    out = fresh(s, "routed")
+    streams.stream_upscale(documents_stream(s, d), lambda batch, epoch: stats.route_summary(batch, ["stream"]).write.mode("append").parquet(out), fresh(s, "checkpoint")).awaitTermination()
+    return s.read.parquet(out).groupBy("stream").agg(*[F.sum(c).alias(c) for c in ("n_tiles", "n_cnn", "n_interp")])
+
+
+def run_stream(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def events_stream(s: SparkSession, d: str) -> DataFrame:
+    events = streams.read_frame_stream(s, d, src.table(s, d, "events").schema, 1, pattern="events.parquet")
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("stream"), "value")
+
+
+@query("x3_stream_fps_count", f"{_W2} SELECT stream, win, count(*) AS frames FROM z GROUP BY stream, win HAVING count(*) = 20")
+def x3(s: SparkSession, d: str) -> DataFrame:
+    out = fresh(s, "fps")
+    run_stream(streams.stream_fps_by_count(events_stream(s, d), 20), out, fresh(s, "checkpoint"))
+    return s.read.parquet(out)
+
+
+@query("x4_stream_fps_time", f"WITH {q.EVENTS} SELECT stream, CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS win_start, count(*) AS frames FROM ev GROUP BY 1, 2")
+def x4(s: SparkSession, d: str) -> DataFrame:
+    out = fresh(s, "fps_time")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    timed = streams.stream_fps_by_time(events_stream(s, d), "1 hour", "1 day")
+    timed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", fresh(s, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    last = s.read.parquet(out).groupBy("stream", "win_start").agg(F.max_by("frames", "epoch").alias("frames"))
+    return last.select("stream", F.unix_micros("win_start").alias("win_start"), "frames")
+
+
+@query("x5_stream_packets", f"WITH {q.TILES} SELECT stream, frame_id, CAST(tile_y AS BIGINT) AS packet, CAST(128 AS BIGINT) AS beats FROM tiles")
+def x5(s: SparkSession, d: str) -> DataFrame:
+    out = fresh(s, "packets")
+    run_stream(streams.stream_packets(color.pack_beats(documents_stream(s, d)).select("stream", "frame_id", "seq", "last")), out, fresh(s, "checkpoint"))
+    return s.read.parquet(out)
+
+
+@query("x6_stream_control")
+def x6(s: SparkSession, d: str) -> DataFrame:
+    """The control table follows from the events: the threshold set last holds."""
+    out = fresh(s, "control")
+    control = lambda: src.table(s, d, "events").select(F.col("event_id").alias("since"), F.expr("500D + user_id % 1000").alias("threshold"), F.lit(0).alias("override"))
+    streams.stream_route(documents_stream(s, d), control, out, fresh(s, "checkpoint")).awaitTermination()
+    return s.read.parquet(out).groupBy("stream").agg(F.sum("n_tiles").alias("n_tiles"), F.sum("n_cnn").alias("n_cnn"))
