@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.frames import hashed
-from .resample import downscale
+from .resample import downscale, map_tiles
 
 
 def gaussian_taps(sigma: float) -> list[float]:
@@ -17,26 +18,27 @@ def gaussian_taps(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _blur(pix: str, w: int, h: int, taps: list[float], across: bool) -> str:
-    """Weighted sum along x (or y), edges reflected."""
-    r, n = len(taps) // 2, w if across else h
-    place = "i % {w}" if across else "i div {w}"
-    reflected = f"pmod({place.format(w=w)} + k - {r}, {2 * n})"
-    at = f"if({reflected} < {n}, {reflected}, {2 * n - 1} - {reflected})"
-    index = f"(i div {w}) * {w} + {at}" if across else f"({at}) * {w} + i % {w}"
-    weights = "array(" + ", ".join(f"{t!r}D" for t in taps) + ")"
-    return f"transform(sequence(0, {w * h - 1}), i -> aggregate(sequence(0, {len(taps) - 1}), 0D, (s, k) -> s + {weights}[k] * {pix}[cast({index} as int)]))"
+def blur_matrix(n: int, taps: list[float]) -> np.ndarray:
+    """Weighted sums along an axis of n places, edges reflected."""
+    out = np.zeros((n, n))
+    for o in range(n):
+        for k, t in enumerate(taps):
+            i = (o + k - len(taps) // 2) % (2 * n)
+            out[o, i if i < n else 2 * n - 1 - i] += t
+    return out
 
 
-def gaussian_blur(df: DataFrame, pix: str, out: str, w: int, h: int, sigma: float) -> DataFrame:
+def gaussian_blur(df: DataFrame, pix: str, out: str, w: int, h: int, sigma: float, down: bool = True) -> DataFrame:
+    """df with out: the tile in pix blurred along rows, and along columns too if down."""
     taps = gaussian_taps(sigma)
-    return df.withColumn("_half", F.expr(_blur(pix, w, h, taps, True))).withColumn(out, F.expr(_blur("_half", w, h, taps, False))).drop("_half")
+    x, y = blur_matrix(w, taps).T, blur_matrix(h, taps) if down else np.eye(h)
+    return map_tiles(df, pix, out, lambda tiles: (y @ (tiles.reshape(-1, h, w).astype(float) @ x)).reshape(len(tiles), -1), "double")
 
 
 def chroma_bleed(df: DataFrame, u: str, v: str, w: int, h: int, sigma: float = 2) -> DataFrame:
     """df with u and v blurred along rows only."""
-    taps = gaussian_taps(sigma)
-    return df.withColumns({u: F.expr(_blur(u, w, h, taps, True)), v: F.expr(_blur(v, w, h, taps, True))})
+    once = gaussian_blur(df.withColumnRenamed(u, "_u"), "_u", u, w, h, sigma, False).drop("_u")
+    return gaussian_blur(once.withColumnRenamed(v, "_v"), "_v", v, w, h, sigma, False).drop("_v")
 
 
 def scanlines(pix: str, w: int, k: float = 0.003) -> Column:

@@ -72,11 +72,14 @@ def network_weights(spec: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.
 
 
 def _conv(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """(n, in, h, w) with (out, in, k, k): zero-padded, as one matrix product over shifted views."""
-    k = w.shape[2]
+    """(n, in, h, w) with (out, in, k, k): zero-padded, one matrix product for each place of the kernel."""
+    k, (h, wd) = w.shape[2], x.shape[2:]
     p = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2), (k // 2, k // 2)))
-    views = np.lib.stride_tricks.sliding_window_view(p, (k, k), (2, 3))
-    return np.einsum("nihwkl,oikl->nohw", views, w, optimize=True)
+    y = np.zeros((len(x), len(w), h * wd), np.float32)
+    for ky in range(k):
+        for kx in range(k):
+            y += w[:, :, ky, kx] @ p[:, :, ky : ky + h, kx : kx + wd].reshape(len(x), -1, h * wd)
+    return y.reshape(len(x), -1, h, wd)
 
 
 def run_network(x: np.ndarray, spec: list[tuple], weights: list[tuple]) -> np.ndarray:
@@ -99,7 +102,7 @@ def run_network(x: np.ndarray, spec: list[tuple], weights: list[tuple]) -> np.nd
     return x
 
 
-def score_tiles(tiles: DataFrame, pix: str, size: int, spec: str = "small", scale: int = 256, batch: int = 64) -> DataFrame:
+def score_tiles(tiles: DataFrame, pix: str, size: int, spec: str = "small", scale: int = 256, batch: int = 16) -> DataFrame:
     """tiles with out: the network over column pix (channel planes in one array), twice as wide and high, 0..255, saturated.
 
     Only tiles that need the network should come here: batches go to Python by Arrow.

@@ -52,7 +52,7 @@ def halo_sections(pixels: DataFrame, keys: list[str], h: int, w: int, rows: int,
     """Strips of `rows` rows with halo rows on each side: section, sy, x, v; what lies outside is fill."""
     n = -(-h // rows)
     place = f"sequence(greatest(0, cast(ceil((y - {rows + halo - 1}) / {rows}D) as int)), least({n - 1}, (y + {halo}) div {rows}))"
-    inside = pixels.select(*keys, "y", "x", "v", F.explode(F.expr(place)).cast("int").alias("section")).select(*keys, "section", F.expr(f"cast(y - section * {rows} + {halo} as int)").alias("sy"), "x", "v")
+    inside = pixels.select(*keys, "y", "x", "v", F.explode(F.expr(f"cast({place} as array<int>)")).alias("section")).select(*keys, "section", F.expr(f"cast(y - section * {rows} + {halo} as int)").alias("sy"), "x", "v")
     if not halo:
         return inside
     edge = pixels.where((F.col("y") == 0) | (F.col("y") == h - 1))

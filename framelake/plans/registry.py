@@ -272,7 +272,7 @@ for _name, (_w, _i, _r, _o) in _FORMATS.items():
 
     @query(f"p17_quantise_{_name}", f"SELECT patch_id, CAST(sum(f) AS BIGINT) AS total, CAST(min(f) AS BIGINT) AS least, CAST(max(f) AS BIGINT) AS most, round(max(abs(f / {1 << (_w - _i)}::DOUBLE - 8 * e)), 6) AS worst FROM (SELECT patch_id, e, CAST({_v} AS BIGINT) AS f FROM (SELECT vec_id AS patch_id, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)) GROUP BY patch_id")
     def p17(s: SparkSession, d: str, f: tuple = (_w, _i, _r, _o)) -> DataFrame:
-        e = src.table(s, d, "embeddings").select(F.col("vec_id").alias("patch_id"), F.explode("embedding").cast("double").alias("e"))
+        e = src.table(s, d, "embeddings").select(F.col("vec_id").alias("patch_id"), F.explode(F.col("embedding").cast("array<double>")).alias("e"))
         fixed = e.withColumn("f", color.quantise_fixed(F.col("e") * 8, *f))
         error = F.abs(F.col("f") / float(1 << (f[0] - f[1])) - F.col("e") * 8)
         return fixed.groupBy("patch_id").agg(F.sum("f").alias("total"), F.min("f").alias("least"), F.max("f").alias("most"), F.round(F.max(error), 6).alias("worst"))
@@ -414,7 +414,7 @@ for _name, _mode, _rnd in (("u1_bilinear_align", "align", "half_away"), ("u1_bil
 
     @query(_name, bilinear_sql(_mode, _rnd))
     def u134(s: SparkSession, d: str, m: str = _mode, r: str = _rnd) -> DataFrame:
-        up = src.patches(s, d).withColumn("up", resample.upscale_bilinear("pix", 8, 8, 2, m, r))
+        up = resample.upscale_bilinear(src.patches(s, d), "pix", "up", 8, 8, 2, m, r)
         return digest(planes(up, "up", 16), "v", "patch_id")
 
 
@@ -425,13 +425,13 @@ fixed AS (SELECT patch_id, i // 16 AS y, i % 16 AS x, CAST(((4096 - dx) * (4096
 
 @query("u2_bilinear_fixed12", f"WITH {_FIXED12} {q.digest('fixed', 'v', 'patch_id')}")
 def u2(s: SparkSession, d: str) -> DataFrame:
-    up = src.patches(s, d).withColumn("up", resample.upscale_bilinear("pix", 8, 8, 2, "fixed12"))
+    up = resample.upscale_bilinear(src.patches(s, d), "pix", "up", 8, 8, 2, "fixed12")
     return digest(planes(up, "up", 16), "v", "patch_id")
 
 
 @query("u5_nearest", f"WITH {q.PATCHES}, p AS (SELECT patch_id, i // 12 AS y, i % 12 AS x, pix[CAST(floor((i // 12) * (8 / 12::DOUBLE)) * 8 + floor((i % 12) * (8 / 12::DOUBLE)) AS INTEGER) + 1] AS v FROM (SELECT *, unnest(range(0, 144)) AS i FROM patch)) {q.digest('p', 'v', 'patch_id')}")
 def u5(s: SparkSession, d: str) -> DataFrame:
-    return digest(planes(src.patches(s, d).withColumn("up", resample.resize_nearest("pix", 8, 8, 12, 12)), "up", 12), "v", "patch_id")
+    return digest(planes(resample.resize_nearest(src.patches(s, d), "pix", "up", 8, 8, 12, 12), "up", 12), "v", "patch_id")
 
 
 _TAPS = ", ".join(f"({o}, {i}, {w!r}::DOUBLE)" for o, row in enumerate(resample.axis_taps(8, 16, "cubic")) for i, w in row)
@@ -749,15 +749,14 @@ up AS (SELECT frame_id, stream, tile_y * 64 + i // 64 AS y, i % 64 AS x, CAST(((
 
 
 def upscaled_digest(tiles: DataFrame) -> DataFrame:
-    """Digest by frame of upscaled tiles (out), summed within each tile before tiles are summed up."""
-    place = "((tile_y * 64 + i div 64) * 37 + (i % 64) * 101) % 97"
-    sums = f"aggregate(sequence(0, size(out) - 1), struct(0L as s, 0L as m), (a, i) -> struct(a.s + out[i] as s, a.m + out[i] * ({place}) as m))"
-    return tiles.select("frame_id", F.size("out").alias("k"), F.expr(sums).alias("z")).groupBy("frame_id").agg(F.sum("k").alias("n"), F.sum("z.s").alias("v_sum"), F.sum("z.m").alias("v_mix"))
+    """Digest by frame of upscaled tiles (out)."""
+    pixels = tiles.select("frame_id", "tile_y", F.posexplode("out").alias("i", "v")).select("frame_id", F.expr("tile_y * 64 + i div 64").alias("y"), F.expr("i % 64").alias("x"), "v")
+    return digest(pixels, "v")
 
 
 @query("r2_interp_upscale", f"WITH {_INTERP} {q.digest('up', 'v')}")
 def r2_interp(s: SparkSession, d: str) -> DataFrame:
-    return upscaled_digest(luma_tiles(s, d, 2).withColumn("out", resample.upscale_bilinear("pix", 32, 32, 2, "fixed12")))
+    return upscaled_digest(resample.upscale_bilinear(luma_tiles(s, d, 2), "pix", "out", 32, 32, 2, "fixed12"))
 
 
 @query("r2_adaptive_upscale")
@@ -765,7 +764,7 @@ def r2(s: SparkSession, d: str) -> DataFrame:
     """Flagship: decode, tile, score, route, upscale each branch its way, unite, sum up by frame."""
     routed = luma_tiles(s, d)
     cols = ["frame_id", "stream", "tile_y", "route", "out"]
-    flat = routed.where("route = 'interp'").withColumn("out", resample.upscale_bilinear("pix", 32, 32, 2, "fixed12")).select(*cols)
+    flat = resample.upscale_bilinear(routed.where("route = 'interp'"), "pix", "out", 32, 32, 2, "fixed12").select(*cols)
     detailed = nn.score_tiles(routed.where("route = 'cnn'"), "pix", 32, "luma").select(*cols)
     return upscaled_digest(flat.unionByName(detailed))
 
@@ -799,8 +798,8 @@ _U1_PIX = _U1[_U1.index(", g AS") : _U1.rindex("SELECT patch_id, count")].replac
 
 @query("v3_bilinear_float_fixed", f"WITH {_FIXED12}{_U1_PIX}, z AS (SELECT patch_id, max(abs(p.v - fixed.v)) AS worst FROM p JOIN fixed USING (patch_id, y, x) GROUP BY patch_id) {_SWEEP}")
 def v3(s: SparkSession, d: str) -> DataFrame:
-    both = src.patches(s, d).select("patch_id", resample.upscale_bilinear("pix", 8, 8, 2, "align").alias("a"), resample.upscale_bilinear("pix", 8, 8, 2, "fixed12").alias("b"))
-    worst = both.select("patch_id", F.expr("array_max(transform(sequence(0, 255), i -> abs(a[i] - b[i])))").alias("error"))
+    both = resample.upscale_bilinear(resample.upscale_bilinear(src.patches(s, d), "pix", "a", 8, 8), "pix", "b", 8, 8, 2, "fixed12")
+    worst = both.select("patch_id", F.expr("array_max(zip_with(a, b, (x, y) -> abs(x - y)))").alias("error"))
     return stats.tolerance_sweep(worst, "patch_id", "error", [0, 1, 2, 3, 4, 5])
 
 

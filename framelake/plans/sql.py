@@ -53,7 +53,7 @@ PATCH_WEIGHTS = PATCHES + ",\nw AS (SELECT patch_id AS layer, y // 4 AS out_ch,
 
 
 def hashed(key: str, seed: int = 0) -> str:
-    return f"((({key}) % 1000003 * 48271 + {seed} * 69621) % 2147483647)"
+    return f"((CAST({key} AS BIGINT) % 1000003 * 48271 + {seed} * 69621) % 2147483647)"
 
 
 SYNTH = f"""

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def hashed(key: Column, seed: int = 0) -> Column:
     """A number below 2**31 - 1 for an integer key, alike in any SQL engine."""
-    return ((key % 1000003) * 48271 + seed * 69621) % 2147483647
+    return ((key.cast("long") % 1000003) * 48271 + seed * 69621) % 2147483647
 
 
 # --- files -------------------------------------------------------------------------------------
