@@ -765,7 +765,8 @@ def r2(s: SparkSession, d: str) -> DataFrame:
     routed = luma_tiles(s, d)
     cols = ["frame_id", "stream", "tile_y", "route", "out"]
     flat = resample.upscale_bilinear(routed.where("route = 'interp'"), "pix", "out", 32, 32, 2, "fixed12").select(*cols)
-    detailed = nn.score_tiles(routed.where("route = 'cnn'"), "pix", 32, "luma").select(*cols)
+    spread = routed.where("route = 'cnn'").repartition("frame_id", "tile_y")  # a tile's network costs far more than moving its 4 KB
+    detailed = nn.score_tiles(spread, "pix", 32, "luma").select(*cols)
     return upscaled_digest(flat.unionByName(detailed))
 
 
