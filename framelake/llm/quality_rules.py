@@ -78,26 +78,39 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def common_candidates(docs: DataFrame, text: str, lang: str) -> list[str]:
-    """A list that holds every language's common words: what is common in the whole is so in some part."""
+def base_failed(n_words, n_repeat_words):
+    """Of columns or arrays: too few words, or too many in repeated windows."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
+
+
+def common_words(docs: DataFrame, text: str, lang: str) -> list:
+    """Rows (lang, word, n, size): each language's common words in documents that pass the base rules, counted over all of these.
+
+    size is the number of the language's words; at most 1 / COMMON rows a language reach the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, of = np.unique(np.array([x or "" for x in batch.column("lang").to_pylist()], object), return_inverse=True)
-            found: set[str] = set()
+            langs = batch.column("lang").to_pylist()
+            of = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+            code = np.array([of[x] for x in langs], np.int64)
             for i, j, data, off in pieces(batch.column("text")):
+                base = base_counts(data, off)
+                passed = ~base_failed(base["n_words"], base["n_repeat_words"])
                 data = lower(data)
                 starts, ends, wo = words(data, off, _BLANK)
-                h, k = word_hashes(data, starts, ends), np.repeat(of[i:j], np.diff(wo))
-                for x in range(len(index)):
-                    mine = np.flatnonzero(k == x)
-                    distinct, first, n = np.unique(h[mine], return_index=True, return_counts=True)
-                    often = n >= max(1, COMMON * len(mine))
-                    found |= {data[starts[a] : ends[a]].tobytes().decode() for a in mine[first[often]]}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+                h, k = word_hashes(data, starts, ends), np.repeat(np.where(passed, code[i:j], -1), np.diff(wo))
+                for x, number in of.items():
+                    mine = np.flatnonzero(k == number)
+                    _, first, n = np.unique(h[mine], return_index=True, return_counts=True)
+                    found = [data[starts[a] : ends[a]].tobytes().decode() for a in mine[first]]
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "word string")
-    return [r.word for r in rows.distinct().orderBy("word").collect()]
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, word string, n long")
+    counts = cut(rows.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words").alias("w")
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("size")).alias("s")
+    common = counts.join(F.broadcast(sizes), F.col("w.lang").eqNullSafe(F.col("s.lang"))).where(F.col("n") >= COMMON * F.col("size"))
+    return common.select("w.lang", "word", "n", "size").collect()
 
 
 def features(docs: DataFrame, text: str, candidates: list[str]) -> DataFrame:
@@ -157,22 +170,21 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bo
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    candidates = common_candidates(narrow, "text", "lang")
+    common_rows = common_words(narrow, "text", "lang")
+    candidates = sorted({r.word for r in common_rows})
+    number = {x: k for k, x in enumerate(candidates)}
     measured = features(docs, text, candidates)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     measured = cut((measured if keep_text else measured.drop(text)).withColumn("base_failed", failed), "features")
-    good = measured.where(~failed).select(F.col(lang).alias("lang"), "n_words", "classes", "at", "n")
+    good = measured.where(~failed).select(F.col(lang).alias("lang"), "classes")
     by_class = good.select("lang", F.posexplode("classes").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()
-    by_word = good.select("lang", F.inline(F.arrays_zip("at", "n"))).groupBy("lang", "at").agg(F.sum("n").alias("n")).alias("w")
-    sizes = good.groupBy("lang").agg(F.sum("n_words").alias("size")).alias("s")
-    by_word = by_word.join(F.broadcast(sizes), F.col("w.lang").eqNullSafe(F.col("s.lang"))).where(F.col("n") >= COMMON * F.col("size")).select("w.lang", "at", "n", "size").collect()
     references = []
     for x in sorted({r.lang for r in by_class}, key=lambda x: (x is None, x)):
         classes = np.zeros(N_CLASSES)
         for r in by_class:
             if r.lang == x:
                 classes[r.k] = r.n
-        mine = sorted((r.at, r.n, r.size) for r in by_word if r.lang == x)
+        mine = sorted((number[r.word], r.n, r.size) for r in common_rows if r.lang == x)
         common = np.array([r[1] for r in mine] + [mine[0][2] - sum(r[1] for r in mine)], float) if mine else np.zeros(0)
         references.append((classes, np.array([r[0] for r in mine], np.int64), common))
     shared = spark.sparkContext.broadcast((references, len(candidates)))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import pytest
 import xxhash
@@ -163,6 +164,23 @@ def test_quality_rules(docs, empty):
     assert math.isclose(d, math.sqrt((kl(a) + kl(b)) / 2))
 
 
+def test_common_words_are_counted_over_all_passing_documents(docs):
+    counts, want = {}, set()
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        n_of = Counter(windows)
+        repeated = {k for i, w in enumerate(windows) if n_of[w] > 1 for k in range(i, i + 8)}
+        if len(words) >= 20 and 100 * len(repeated) <= 30 * len(words):
+            lowered = (re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words)
+            counts.setdefault(r.lang, Counter()).update(lowered)
+    for lang, n in counts.items():
+        want |= {(lang, w, k, n.total()) for w, k in n.items() if k >= quality_rules.COMMON * n.total()}
+    assert want
+    for parts in (1, 7):
+        assert {tuple(r) for r in quality_rules.common_words(docs.repartition(parts), "text", "lang")} == want
+
+
 def test_brown(docs, empty):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     got = brown.score_texts(docs, train).collect()
