@@ -53,18 +53,19 @@ def _salt(n: np.ndarray) -> np.ndarray:
     return np.repeat(mix(np.arange(1, len(n) + 1, dtype=np.uint64)), n)
 
 
-def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """The base figures of each text."""
-    starts, ends, wo = words(data, off, _BLANK)
-    n = np.diff(wo)
-    hashes = word_hashes(data, starts, ends)
+def repeat_words(hashes: np.ndarray, wo: np.ndarray) -> np.ndarray:
+    """Words of each text in windows of eight that it has twice or more."""
+    window, whole = window_hashes(hashes, wo, 8)
+    marks = np.zeros(len(hashes), bool)
+    marks[np.flatnonzero(whole)[_repeated((window ^ _salt(np.diff(wo)))[whole])]] = True
+    return per_text(covered(marks, 8).astype(np.int64), wo)
+
+
+def base_counts(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, wo: np.ndarray) -> dict[str, np.ndarray]:
+    """The base figures of each text, whose words are known."""
     doc = np.diff(off)
     char = np.concatenate([[0], np.cumsum(((data & 0xC0) != 0x80) & ~_BLANK[data])])
     symbol = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
-    window, whole = window_hashes(hashes, wo, 8)
-    keys = (window ^ _salt(n))[whole]
-    marks = np.zeros(len(hashes), bool)
-    marks[np.flatnonzero(whole)[_repeated(keys)]] = True
     s, e, lo = words(data, off, _LINE)
     worded = np.searchsorted(starts, e) > np.searchsorted(starts, s)
     line_keys = word_hashes(data, s, e) ^ _salt(np.diff(lo))
@@ -73,8 +74,8 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     dup = np.ones(len(line_doc), bool)
     dup[first] = False
     return {
-        "n_words": n, "word_chars": char[off[1:]] - char[off[:-1]], "n_symbols": symbol[off[1:]] - symbol[off[:-1]],
-        "n_dup_lines": np.bincount(line_doc[dup], minlength=len(doc)), "n_repeat_words": per_text(covered(marks, 8).astype(np.int64), wo),
+        "n_words": np.diff(wo), "word_chars": char[off[1:]] - char[off[:-1]], "n_symbols": symbol[off[1:]] - symbol[off[:-1]],
+        "n_dup_lines": np.bincount(line_doc[dup], minlength=len(doc)), "n_repeat_words": repeat_words(word_hashes(data, starts, ends), wo),
     }
 
 
@@ -95,16 +96,17 @@ def common_words(docs: DataFrame, text: str, lang: str) -> list:
             of = {x: k for k, x in enumerate(dict.fromkeys(langs))}
             code = np.array([of[x] for x in langs], np.int64)
             for i, j, data, off in pieces(batch.column("text")):
-                base = base_counts(data, off)
-                passed = ~base_failed(base["n_words"], base["n_repeat_words"])
-                data = lower(data)
                 starts, ends, wo = words(data, off, _BLANK)
+                passed = ~base_failed(np.diff(wo), repeat_words(word_hashes(data, starts, ends), wo))
+                data = lower(data)
+                # Words and the blanks between them in turn, as one array without copies.
+                edges = np.append(np.column_stack([starts, ends]).ravel(), len(data)).astype(np.int32)
+                both = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data)))
                 h, k = word_hashes(data, starts, ends), np.repeat(np.where(passed, code[i:j], -1), np.diff(wo))
                 for x, number in of.items():
                     mine = np.flatnonzero(k == number)
                     _, first, n = np.unique(h[mine], return_index=True, return_counts=True)
-                    found = [data[starts[a] : ends[a]].tobytes().decode() for a in mine[first]]
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(n), pa.string()), both.take(pa.array(2 * mine[first])), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, word string, n long")
     counts = cut(rows.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words").alias("w")
@@ -126,12 +128,11 @@ def features(docs: DataFrame, text: str, candidates: list[str]) -> DataFrame:
         known, index = shared.value
         out: list[list] = [[] for _ in range(8)]
         for i, j, data, off in pieces(batch.column(text)):
-            counts = base_counts(data, off)
+            starts, ends, wo = words(data, off, _BLANK)
+            counts = base_counts(data, off, starts, ends, wo)
             doc = np.repeat(np.arange(j - i), np.diff(off))
             classes = np.bincount(doc * 8 + _CLASS[data], minlength=(j - i) * 8).reshape(-1, 8)[:, :N_CLASSES]
-            small = lower(data)
-            starts, ends, wo = words(small, off, _BLANK)
-            h = word_hashes(small, starts, ends)
+            h = word_hashes(lower(data), starts, ends)
             doc = np.repeat(np.arange(j - i), np.diff(wo))
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
