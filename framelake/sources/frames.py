@@ -122,16 +122,32 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over all cores where its scan has fewer partitions than these; a large scan isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, *keys)
+
+
 def raw_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame_id, stream, tile_y, data): the frames' tiles, 2048 bytes each."""
-    frames = raw_frames(spark, sf_dir).where("k > 0")
-    return frames.select("frame_id", "stream", F.inline(F.expr("transform(sequence(0, k - 1), t -> struct(t as tile_y, slice(data, t * 2048 + 1, 2048) as data))")))
+    """(frame_id, stream, tile_y, data): the frames' tiles, 2048 bytes each.
+
+    Texts are cut into tiles before their bytes become arrays, so a step holds one tile's array and
+    a long text costs in proportion to its length.
+    """
+    docs = table(spark, sf_dir, "documents").where("n_chars >= 2048")
+    parts = docs.select(
+        F.col("doc_id").alias("frame_id"), F.col("lang").alias("stream"), F.expr("cast(n_chars div 2048 as int)").alias("k"),
+        F.posexplode_outer(F.expr(f"regexp_extract_all(text, '(?s).{{1,{TILE_BYTES}}}', 0)")).alias("tile_y", "part"),
+    ).where("tile_y < k")
+    dealt = spread(parts.select("frame_id", "stream", "tile_y", "part"), "frame_id", "tile_y")
+    # A generator's output is computed once however often later steps use it.
+    return dealt.select("frame_id", "stream", "tile_y", F.explode(F.array(F.expr("transform(split(part, ''), c -> ascii(c) % 256)"))).alias("data"))
 
 
 def explode_yuyv(tiles: DataFrame) -> DataFrame:
     """(frame_id, y, x, luma, u, v): two pixels of each four bytes share u and v."""
     quad = "transform(sequence(0, 511), m -> struct(m, data[4 * m] as y0, data[4 * m + 1] as u, data[4 * m + 2] as y1, data[4 * m + 3] as v))"
-    quads = tiles.select("frame_id", "tile_y", F.inline(F.expr(quad)))
+    quads = tiles.select("frame_id", "tile_y", F.inline_outer(F.expr(quad)))  # outer: no filter that computes the array twice
     two = "array(struct(tile_y * 32 + m div 16 as y, (2 * m) % 32 as x, y0 as luma, u, v), struct(tile_y * 32 + m div 16 as y, (2 * m) % 32 + 1 as x, y1 as luma, u, v))"
     return quads.select("frame_id", F.inline(F.expr(two))).select("frame_id", F.col("y").cast("int"), F.col("x").cast("int"), "luma", "u", "v")
 
