@@ -61,25 +61,46 @@ SPECS = {"small": SMALL, "luma": LUMA, "residual": RESIDUAL}
 
 
 def network_weights(spec: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(weights, bias, slopes) of each layer by a formula of their place, small enough to keep values near their input's."""
+    """(weights, bias, slopes) of each layer by a formula of their place, of a size that keeps the spread of values from layer to layer.
+
+    A layer that is added to its input ('res') gets less, one whose inputs stand two apart ('up')
+    more. The last 'up' layer lifts its output to mid-grey.
+    """
     out = []
-    for layer, (_, i, o, k) in enumerate(spec):
+    last = max(at for at, x in enumerate(spec) if x[0] != "shuffle")
+    for layer, (kind, i, o, k) in enumerate(spec):
         n = np.arange(o * i * k * k, dtype=np.int64)
         h = ((n % 1000003) * 48271 + (layer + 1) * 69621) % 2147483647
-        w = (h % 2049 - 1024).astype(np.float32).reshape(o, i, k, k) / (1024 * np.sqrt(i * k * k))
-        out.append((w, np.zeros(o, np.float32), np.full(o, 0.25, np.float32)))
+        gain = {"res": 1, "up": 24}.get(kind, 6)
+        w = ((h % 2049 - 1024) / 1024 * np.sqrt(gain / (i * k * k))).astype(np.float32).reshape(o, i, k, k)
+        out.append((w, np.full(o, 0.4 if layer == last and kind == "up" else 0, np.float32), np.full(o, 0.25, np.float32)))
     return out
 
 
 def _conv(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """(n, in, h, w) with (out, in, k, k): zero-padded, one matrix product for each place of the kernel."""
-    k, (h, wd) = w.shape[2], x.shape[2:]
-    p = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2), (k // 2, k // 2)))
-    y = np.zeros((len(x), len(w), h * wd), np.float32)
+    """(n, in, h, w) with (out, in, k, k): zero-padded, one matrix product with the neighbourhoods side by side."""
+    n, c, h, wd = x.shape
+    k = w.shape[2]
+    if k > 1:
+        p = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2), (k // 2, k // 2)))
+        x = np.lib.stride_tricks.sliding_window_view(p, (k, k), axis=(2, 3)).transpose(0, 1, 4, 5, 2, 3)
+    return (w.reshape(len(w), -1) @ x.reshape(n, c * k * k, h * wd)).reshape(n, len(w), h, wd)
+
+
+def _conv_up(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """As _conv() over x with a zero after each row and column, without working on the zeros.
+
+    One matrix product gives what each pixel adds at each place of the kernel; these land two apart.
+    """
+    (n, c, h, wd), (o, _, k, _) = x.shape, w.shape
+    parts = (w.transpose(2, 3, 0, 1).reshape(-1, c) @ x.reshape(n, c, h * wd)).reshape(n, k, k, o, h, wd)
+    border = k // 2
+    out = np.zeros((n, o, 2 * (h + border), 2 * (wd + border)), np.float32)
     for ky in range(k):
         for kx in range(k):
-            y += w[:, :, ky, kx] @ p[:, :, ky : ky + h, kx : kx + wd].reshape(len(x), -1, h * wd)
-    return y.reshape(len(x), -1, h, wd)
+            y0, x0 = 2 * border - ky, 2 * border - kx
+            out[:, :, y0 : y0 + 2 * h : 2, x0 : x0 + 2 * wd : 2] += parts[:, ky, kx]
+    return out[:, :, border : border + 2 * h, border : border + 2 * wd]
 
 
 def run_network(x: np.ndarray, spec: list[tuple], weights: list[tuple]) -> np.ndarray:
@@ -89,12 +110,7 @@ def run_network(x: np.ndarray, spec: list[tuple], weights: list[tuple]) -> np.nd
             n, c, h, wd = x.shape
             x = x.reshape(n, c // (k * k), k, k, h, wd).transpose(0, 1, 4, 2, 5, 3).reshape(n, c // (k * k), h * k, wd * k)
             continue
-        if kind == "up":
-            wide = np.zeros((*x.shape[:2], 2 * x.shape[2], 2 * x.shape[3]), np.float32)
-            wide[:, :, ::2, ::2] = x
-            y = _conv(wide, w)
-        else:
-            y = _conv(x, w)
+        y = _conv_up(x, w) if kind == "up" else _conv(x, w)
         y += b[:, None, None]
         if at < len(spec) - 1:
             y = np.where(y >= 0, y, y * a[:, None, None])

@@ -47,8 +47,8 @@ def route_summary(tiles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tile_report(tiles: DataFrame, threshold: float = 1000) -> DataFrame:
-    """A line for each tile, with the name its crop would have."""
-    name = F.format_string("crop_%d_%d_%s_var%.2f", "tile_y", F.lit(0), "route", "variance")
+    """A line for each tile, with the name its crop would have; halves in the name's figure go to the even digit."""
+    name = F.format_string("crop_%d_%d_%s_var%.2f", "tile_y", F.lit(0), "route", F.bround("variance", 2))
     return tiles.select("frame_id", "tile_y", "route", "variance", F.lit(float(threshold)).alias("threshold"), name.alias("name"))
 
 
