@@ -61,7 +61,7 @@ SPECS = {"small": SMALL, "luma": LUMA, "residual": RESIDUAL}
 
 
 def network_weights(spec: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(weights, bias, slopes) of each layer by a formula of their place, of a size that keeps the spread of values from layer to layer.
+    """(weights, bias, slopes) of each layer by a formula of their place, of a size that keeps values from dying out over the layers.
 
     A layer that is added to its input ('res') gets less, one whose inputs stand two apart ('up')
     more. The last 'up' layer lifts its output to mid-grey.

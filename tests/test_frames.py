@@ -1,5 +1,6 @@
 """Hand values, round trips and equivalences of the frame operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,47 @@ def test_bilinear_keeps_constant_tiles(spark, mode):
     tile = spark.createDataFrame([([9] * 16,)], "pix array<int>")
     up = set(resample.upscale_bilinear(tile, "pix", "up", 4, 4, 2, mode).first().up)
     assert up <= {8, 9} if mode == "fixed12" else up == {9}
+
+
+def test_texts_are_cut_into_tiles(spark, tmp_path):
+    texts = ["aé\n€ z" * 1400, "x" * 2047, "y" * 2048, "", None, "ab\r\n" * 1024]
+    rows = [(i, x, "en", len(x or "")) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.frame_id, r.tile_y): list(r.data) for r in src.raw_tiles(spark, str(tmp_path)).collect()}
+    want = {(i, t): [ord(c) % 256 for c in x[2048 * t : 2048 * (t + 1)]] for i, x, _, n in rows for t in range(n // 2048)}
+    assert got == want and len(want) == 7
+    pixels = src.pixels_yuv(spark, str(tmp_path))
+    assert pixels.count() == 7 * 1024
+    one = pixels.where("frame_id = 0 and y = 33 and x = 5").first()
+    data = want[0, 1]
+    assert (one.luma, one.u, one.v) == (data[64 + 10], data[64 + 9], data[64 + 11])
+
+
+@pytest.mark.parametrize("spec", list(nn.SPECS))
+def test_networks_against_plain_sums(spec):
+    rng = np.random.default_rng(3)
+    for (kind, i, o, k), (w, _, _) in zip(nn.SPECS[spec], nn.network_weights(nn.SPECS[spec]), strict=True):
+        if kind == "shuffle":
+            continue
+        x = rng.random((2, i, 6, 6)).astype(np.float32)
+        wide = x if kind != "up" else np.zeros((2, i, 12, 12), np.float32)
+        if kind == "up":
+            wide[:, :, ::2, ::2] = x
+        p = np.pad(wide, ((0, 0), (0, 0), (k // 2, k // 2), (k // 2, k // 2)))
+        size = wide.shape[2]
+        want = np.array([[[(p[:, :, y : y + k, z : z + k] * w[c]).sum((1, 2, 3)) for z in range(size)] for y in range(size)] for c in range(o)]).transpose(3, 0, 1, 2)
+        got = nn._conv_up(x, w) if kind == "up" else nn._conv(x, w)
+        assert got.shape == want.shape and np.allclose(got, want, atol=1e-4)
+
+
+def test_networks_do_not_die_out():
+    x = np.random.default_rng(5).random((1, 1, 32, 32)).astype(np.float32)
+    for spec, channels in (("small", 3), ("luma", 1)):
+        y = nn.run_network(np.repeat(x, channels, 1), nn.SPECS[spec], nn.network_weights(nn.SPECS[spec]))
+        assert y.shape[2:] == (64, 64) and 0 <= y.mean() <= 1 and np.ptp(y) > 25 / 256
+
+
+def test_report_names_round_halves_to_even(spark):
+    rows = [(1, 0, "interp", 12.125), (1, 1, "cnn", 12.375)]
+    names = [r.name for r in stats.tile_report(spark.createDataFrame(rows, "frame_id long, tile_y int, route string, variance double")).orderBy("tile_y").collect()]
+    assert names == ["crop_0_0_interp_var12.12", "crop_1_0_cnn_var12.38"]
