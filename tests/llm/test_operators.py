@@ -266,3 +266,35 @@ def test_pipeline_stages(spark, tmp_path):
     with_passage = [r.doc_id for r in seen[3].collect() if PASSAGE in r.text]
     assert with_passage == [0] and ids[5] <= ids[4]
     assert pipeline.run(spark, str(tmp_path)).count() == seen[5].count()
+
+
+def test_near_duplicates_of_the_pipeline_by_five_word_shingles(spark):
+    """Planted copies at 0.8, 0.85 and 0.9 link, pairs below 0.8 don't, against brute force."""
+    import random
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(3)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    of_words = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    shingles = lambda t: of_words((t or "").lower().split())
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    texts, planted = [], []
+    for goal in (0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95):
+        for _ in range(8):
+            a = [word() for _ in range(204)]
+            b = a[: 204 - round(200 * (1 - goal))]  # cut off at the end: the share of the 200 shingles that is left
+            planted.append((goal, len(texts), jaccard(shingles(" ".join(a)), shingles(" ".join(b)))))
+            texts += [" ".join(a), " ".join(b).upper()]
+    texts += [None, "", " \n", "one two", "ONE  two", "one two three", LONG, LONG + " end"]
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if jaccard(a, b) >= 0.8:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    assert all((s >= 0.8) == (goal >= 0.8) and abs(s - goal) < 1e-9 for goal, _, s in planted) and {s for g, _, s in planted if g == 0.8} == {0.8}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, other string")
+    kept = pipeline.near_duplicates(spark, docs.unionByName(docs.limit(5)), "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({group.index(g) for g in group})
+    assert pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
