@@ -12,19 +12,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .store import cut_bucketed, partitions
+from .store import cut_bucketed, partitions, text_bytes
 
-#: About so many bytes of text make a block; a longer text is a block of its own.
-BLOCK_BYTES = 8_000_000
+#: About so many bytes of text make a block, at least and at most; a longer text is a block of its own.
+BLOCK_BYTES, LARGE_BLOCK_BYTES = 8_000_000, 64_000_000
+#: Hashes of so many bytes of text go to one bucket on average, at most.
+BUCKET_BYTES = 32_000_000
 
 
-def to_blocks(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """docs with block and ord (the row's place in it), in a table that is bucketed by block."""
+def sizes(spark: SparkSession, total: int) -> tuple[int, int]:
+    """(bytes of a block, buckets) for so many bytes of text.
+
+    There is a row for each block and bucket. Blocks grow with the square root of the input, so
+    that such a row doesn't shrink to nothing; a bucket never gets more than one task can hold.
+    """
+    block = min(LARGE_BLOCK_BYTES, max(BLOCK_BYTES, int(25 * total**0.5)))
+    return block, max(partitions(spark), -(-total // BUCKET_BYTES))
+
+
+def to_blocks(docs: DataFrame, text: str, name: str) -> tuple[DataFrame, int]:
+    """docs with block and ord (the row's place in it), in a table that is bucketed by block; and the number of buckets."""
+    block_bytes, parts = sizes(docs.sparkSession, text_bytes(docs, text))
     schema = T.StructType([*docs.schema.fields, T.StructField("block", T.LongType()), T.StructField("ord", T.IntegerType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,14 +47,14 @@ def to_blocks(docs: DataFrame, text: str, name: str) -> DataFrame:
         for batch in batches:
             of, place = [], []
             for n in pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist():
-                if size and size + n > BLOCK_BYTES or at >= 50_000:
+                if size and size + n > block_bytes or at >= 50_000:
                     block, size, at = block + 1, 0, 0
                 of.append(block)
                 place.append(at)
                 size, at = size + n, at + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64()), pa.array(place, pa.int32())], names=[*batch.schema.names, "block", "ord"])
 
-    return cut_bucketed(docs.mapInArrow(number, schema), name, "block", partitions(docs.sparkSession))
+    return cut_bucketed(docs.mapInArrow(number, schema), name, "block", parts), parts
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -1,22 +1,28 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised word windows of the test items."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised word windows of the test items.
+
+Windows are made and made distinct in Spark. Each worker builds the automaton of all of them; only
+where there are more than AUTOMATON_WINDOWS are they dealt over several automata, each with a scan
+of its own, so that a worker's memory doesn't grow with the benchmark.
+"""
 
 from __future__ import annotations
 
 import re
 import uuid
-from bisect import bisect_right
+from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import add_columns
+from .rows import Packed, add_columns, without
 from .store import cut
-from .textops import LOWER, NON_WORD
+from .textops import LOWER, NON_WORD, pieces
 
-#: Test words that one automaton holds at most; more items make more automata, each with a scan of its own.
-AUTOMATON_WORDS = 100_000
+#: Windows that one automaton holds, on average.
+AUTOMATON_WINDOWS = 50_000
 
 _PLAIN = bytes(0x20 if i in NON_WORD and not 0x41 <= i <= 0x5A else LOWER[i] for i in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -27,15 +33,22 @@ def normalised(text: str | None) -> list[bytes]:
     return text.encode().translate(_PLAIN).split() if text else []
 
 
-def windows(items: list[tuple], n: int) -> list[tuple[str, int, list]]:
-    """(pattern, its words, items that have it) of all windows of n words; a shorter item is one window."""
-    found: dict[bytes, tuple[int, set]] = {}
-    for item, text in items:
-        w = normalised(text)
-        for i in range(max(1, len(w) - n + 1) if w else 0):
-            part = w[i : i + n]
-            found.setdefault(b" " + b" ".join(part) + b" ", (len(part), set()))[1].add(item)
-    return [(k.decode("latin-1"), size, sorted(x for x in of if x is not None)) for k, (size, of) in found.items()]
+def windows(items: DataFrame, n: int) -> DataFrame:
+    """(pattern, size, items) of all distinct windows of n words of items (id, text); a shorter item is one window.
+
+    A pattern is the window's words with a blank around each, as UTF-8 bytes written as Latin-1.
+    """
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = [x.decode("latin-1") for x in normalised(text)]
+                if w:
+                    made = [" " + " ".join(w[i : i + n]) + " " for i in range(max(1, len(w) - n + 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(made), pa.array([min(n, len(w))] * len(made), pa.int32()), pa.array([item] * len(made), pa.string())], names=["pattern", "size", "item"])
+
+    made = items.mapInArrow(cut_up, "pattern string, size int, item string")
+    return made.groupBy("pattern").agg(F.first("size").alias("size"), F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def _automaton(shared) -> ahocorasick.Automaton:
@@ -43,31 +56,38 @@ def _automaton(shared) -> ahocorasick.Automaton:
     if shared.value[0] not in _built:
         _built.clear()
         a = ahocorasick.Automaton()
-        for k, (pattern, size, of) in enumerate(shared.value[1]):
-            a.add_word(pattern, (k, size, of))
+        for pattern, size, of in shared.value[1]:
+            a.add_word(pattern, (size, of))
         if len(a):
             a.make_automaton()
         _built[shared.value[0]] = a
     return _built[shared.value[0]]
 
 
-def _scan(texts: list, automaton: ahocorasick.Automaton) -> tuple[list[int], dict[int, list[tuple[int, int, list]]]]:
-    """Words of each text, and by text its hits (first word, end word, items)."""
-    n, parts, at, size = [], [], [], 0
-    for t in texts:
-        w = normalised(t)
-        n.append(len(w))
-        parts.append(b" " + b" ".join(w) + b" \n")
-        at.append(size)
-        size += len(parts[-1])
-    hits: dict[int, list] = {}
-    if len(automaton):
-        whole = b"".join(parts).decode("latin-1")
-        for end, (_, words, of) in automaton.iter(whole):
-            k = bisect_right(at, end) - 1
-            last = whole.count(" ", at[k], end)  # words up to the closing blank
-            hits.setdefault(k, []).append((last - words, last, of))
-    return n, hits
+def _scan(texts: pa.Array, automaton: ahocorasick.Automaton) -> tuple[list[int], list[list[dict]]]:
+    """Words of each text, and its hits (first word, end word, items)."""
+    counts: list[int] = []
+    hits: list[list[dict]] = [[] for _ in range(len(texts))]
+    for first, stop, _, _ in pieces(texts):
+        parts, at, size = [], [], 0
+        for t in texts.slice(first, stop - first).to_pylist():
+            w = normalised(t)
+            counts.append(len(w))
+            parts.append(b" " + b" ".join(w) + b" \n")
+            at.append(size)
+            size += len(parts[-1])
+        if not len(automaton):
+            continue
+        whole = b"".join(parts)
+        found = list(automaton.iter(whole.decode("latin-1")))
+        if found:
+            end = np.array([x[0] for x in found])
+            text = np.searchsorted(at, end, "right") - 1
+            blanks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 0x20)
+            last = np.searchsorted(blanks, end) - np.searchsorted(blanks, np.array(at)[text])  # words up to the closing blank
+            for k, e, (_, (words, of)) in zip(text.tolist(), last.tolist(), found, strict=True):
+                hits[first + k].append({"s": e - words, "e": e, "items": of})
+    return counts, hits
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
@@ -75,34 +95,32 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     spans are the hit passages as character offsets in the original text. Null and wordless texts
     have no words; items without words have no windows; an item without an id marks words but is
-    not listed; repeated rows and items count as one. The benchmark is held by the driver and
-    broadcast in automata of at most AUTOMATON_WORDS words, item by item.
+    not listed; repeated rows and items count as one. Columns of docs that have such a name are
+    replaced; no other name matters. One window's list of items is held whole.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("t"))
-    words = items.agg(F.sum(F.length("t") / 2)).first()[0] or 0
-    blocks = int(words // (3 * AUTOMATON_WORDS)) + 1  # a word and its blank take two characters at least, six as a rule
-    out = docs
+    packed = Packed(without(docs, ["n_words", "n_hit", "items", "spans"]), text=text)
+    patterns = cut(windows(benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")), n), "windows")
+    blocks = -(-patterns.count() // AUTOMATON_WINDOWS) or 1
+    out = packed.df
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, windows([tuple(r) for r in part], n)))
+        part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).collect()
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in part]))
 
         def scan(batch: pa.RecordBatch, shared=shared, first=block == 0) -> list:
-            counts, hits = [], []
-            texts = batch.column(text).to_pylist()
-            for i in range(0, len(texts), 500):
-                c, found = _scan(texts[i : i + 500], _automaton(shared))
-                counts += c
-                hits += [[{"s": s, "e": e, "items": of} for s, e, of in found.get(k, [])] for k in range(len(c))]
+            counts, hits = _scan(batch.column("text"), _automaton(shared))
             if not first:
-                hits = [a + b for a, b in zip(batch.column("_before").to_pylist(), hits, strict=True)]
+                hits = [a + b for a, b in zip(batch.column("before").to_pylist(), hits, strict=True)]
             return [counts, hits]
 
         if blocks == 1:
-            return add_columns(out, "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>", lambda b: _digest(*scan(b), b.column(text)))
-        out = add_columns(out.withColumnRenamed("_hits", "_before"), "n_words bigint, _hits array<struct<s:int,e:int,items:array<string>>>", scan).drop("_before")
-        out = cut(out, "hits")
-    return add_columns(out, "n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>", lambda b: _digest(None, b.column("_hits").to_pylist(), b.column(text))[1:]).drop("_hits")
+            out = add_columns(out, "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>", lambda b: _digest(*scan(b), b.column("text")))
+        else:
+            out = add_columns(out.withColumnRenamed("hits", "before"), "n_words bigint, hits array<struct<s:int,e:int,items:array<string>>>", scan).drop("before")
+            out = cut(out, "hits")
+    if blocks > 1:
+        out = add_columns(out, "n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>", lambda b: _digest(None, b.column("hits").to_pylist(), b.column("text"))[1:])
+    return packed.unpack(out, *map(F.col, ("n_words", "n_hit", "items", "spans")))
 
 
 def _digest(counts: list | None, hits: list, column: pa.Array) -> list:

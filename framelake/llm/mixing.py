@@ -9,10 +9,11 @@ unrounded, one document at most, goes up a tree of groups whose root rounds the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import without
+from .order import numbered
+from .rows import Packed
 from .store import cut
 
 #: Documents that one node of the tree folds, on average.
@@ -32,20 +33,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     """(source, source_size, target) of (source, source_size).
 
     Sources by code point, null last, take the weights in turn and share the sum of all sizes; a
-    target stops at MOST_COPIES times its source's size and the rest is reshared by weight: with
-    sources in order of cap over weight, all are capped up to the first whose cap is above its share
-    of what is left. One row a source goes through one task.
+    target stops at MOST_COPIES times its source's size and the rest is reshared by weight. Each
+    round caps the sources whose share of what is left is too much for them, until a round finds no
+    more; the driver sees only sums.
     """
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    w = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int")))
-    w = w.withColumn("cap", F.col("source_size") * float(MOST_COPIES))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(all_) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    share = w.withColumn("level", left / F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    level = F.max(F.when(F.col("cap") > F.col("level") * F.col("w"), F.col("level"))).over(all_)
-    first = share.withColumn("final", level)
-    return first.select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w"))).alias("target"))
+    turns = numbered(sizes.select("source"), "turn").alias("t")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    rows = sizes.alias("s").join(turns, F.col("s.source").eqNullSafe(F.col("t.source")))
+    rows = cut(rows.select("s.source", "source_size", w.alias("w"), (F.col("source_size") * float(MOST_COPIES)).alias("cap")), "weights")
+    total = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    level, n_capped = 0.0, -1
+    while True:
+        full = F.col("cap") <= level * F.col("w")
+        caps, free, n = rows.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0)), F.count_if(full)).first()
+        if n == n_capped or not free:
+            break
+        level, n_capped = (total - caps) / free, n
+    return rows.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target") if n == n_capped else F.col("cap").alias("target"))
 
 
 #: Two documents a and x. up: a gains and x loses; else the other way. The one that first reaches 0 or 1 is decided, the other keeps the mass.
@@ -119,9 +123,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def copies_of(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """docs as mixed: each row as often as mix() says, numbered by copy, with size, source_size and target."""
-    plan = mix(docs, key, text, source, **options).where("copies > 0").distinct()
-    rows = without(docs, ["size", "source_size", "target", "copy"]).alias("d")
-    sized = rows.withColumn("_size", size_of(F.col(f"d.`{text}`")))
-    same = sized[key].eqNullSafe(plan[key]) & sized[source].eqNullSafe(plan["source"]) & (sized["_size"] == plan["size"])
-    return sized.join(plan, same).select(*[sized[f"`{c}`"] for c in sized.columns if c != "_size"], plan["size"], "source_size", "target", F.explode(F.sequence(F.lit(1), plan["copies"].cast("int"))).alias("copy"))
+    """docs as mixed: each row as often as mix() says, numbered by copy, with size, source_size and target.
+
+    Where docs has a column of such a name, that one stays and the new one is called mix_copy and so on.
+    """
+    packed = Packed(docs, doc=key, text=text, source=source)
+    plan = mix(packed.df, "doc", "text", "source", **options).where("copies > 0").distinct().alias("p")
+    rows = packed.df.withColumn("size", size_of(F.col("text"))).alias("d")
+    same = F.col("d.doc").eqNullSafe(F.col("p.doc")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size"))
+    out = rows.join(plan, same).select("d.*", "source_size", "target", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    taken = {c.lower() for c in docs.columns}
+    return packed.unpack(out, *[F.col(c).alias(f"mix_{c}" if c in taken else c) for c in ("size", "source_size", "target", "copy")])

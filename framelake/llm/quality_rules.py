@@ -1,9 +1,11 @@
 """Quality rules: how far a document's histograms stray from those of a language.
 
 Each language's reference is the histogram of byte classes and of its common words over all
-documents of that language that pass the base rules. A document is held against every reference by
-Jensen-Shannon distance (the root of the divergence in bits, 0 to 1) and rejected if it is far from
-all. Texts below a length are not judged by a histogram that so few words can't fill.
+documents of that language that pass the base rules. A language has one only from a number of such
+documents and words on, so that neither junk without a language nor a mistyped one is its own
+reference. A document is held against its language's reference by Jensen-Shannon distance (the root
+of the divergence in bits, 0 to 1), and against all where its language has none, and is rejected if
+it is far. Texts below a length are not judged by a histogram that so few words can't fill.
 """
 
 from __future__ import annotations
@@ -15,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import add_columns
+from .rows import Packed, add_columns, without
 from .store import cut
 from .textops import BLANKS, covered, lower, mix, per_text, pieces, separators, window_hashes, word_hashes, words
 
 #: A language's common words make up at least this share of its words each: 1 / COMMON at most.
 COMMON = 1 / 300
 MIN_WORDS, MAX_REPEATED = 20, 30
+#: Guards: a language has a reference from so many passing documents and words on, and from this share of all
+#: passing words on, which bounds their number by 1 / REFERENCE_SHARE.
+REFERENCE_DOCS, REFERENCE_WORDS, REFERENCE_SHARE = 10, 1000, 1 / 2000
 #: Guards: a text is judged by classes from so many words on, by common words from so many.
 CLASS_WORDS, COMMON_WORDS = 20, 50
 #: Largest distance that passes, by byte classes and by common words.
@@ -84,8 +89,8 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
 
 
-def common_words(docs: DataFrame, text: str, lang: str) -> list:
-    """Rows (lang, word, n, size): each language's common words in documents that pass the base rules, counted over all of these.
+def common_words(docs: DataFrame, text: str, lang: str, guard: tuple[int, int, float] = (REFERENCE_DOCS, REFERENCE_WORDS, REFERENCE_SHARE)) -> list:
+    """Rows (lang, word, n, size): the common words of each language that has a reference, counted over all documents that pass the base rules.
 
     size is the number of the language's words; at most 1 / COMMON rows a language reach the driver.
     """
@@ -98,21 +103,25 @@ def common_words(docs: DataFrame, text: str, lang: str) -> list:
             for i, j, data, off in pieces(batch.column("text")):
                 starts, ends, wo = words(data, off, _BLANK)
                 passed = ~base_failed(np.diff(wo), repeat_words(word_hashes(data, starts, ends), wo))
+                own = code[i:j][passed]
                 data = lower(data)
                 # Words and the blanks between them in turn, as one array without copies.
                 edges = np.append(np.column_stack([starts, ends]).ravel(), len(data)).astype(np.int32)
                 both = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data)))
                 h, k = word_hashes(data, starts, ends), np.repeat(np.where(passed, code[i:j], -1), np.diff(wo))
                 for x, number in of.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()), pa.array([None], pa.string()), pa.array([int((own == number).sum())], pa.int64())], names=["lang", "word", "n"])  # its documents
                     mine = np.flatnonzero(k == number)
                     _, first, n = np.unique(h[mine], return_index=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(n), pa.string()), both.take(pa.array(2 * mine[first])), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, word string, n long")
-    counts = cut(rows.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words").alias("w")
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("size")).alias("s")
-    common = counts.join(F.broadcast(sizes), F.col("w.lang").eqNullSafe(F.col("s.lang"))).where(F.col("n") >= COMMON * F.col("size"))
-    return common.select("w.lang", "word", "n", "size").collect()
+    counts = cut(rows.where("lang is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    sizes = counts.groupBy("lang").agg(F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("size"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("docs"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    known = sizes.where((F.col("docs") >= guard[0]) & (F.col("size") >= guard[1]) & (F.col("size") >= guard[2] * total)).select("lang", "size")
+    common = counts.where("word is not null").join(F.broadcast(known), "lang").where(F.col("n") >= COMMON * F.col("size"))
+    return common.select("lang", "word", "n", "size").collect()
 
 
 def features(docs: DataFrame, text: str, candidates: list[str]) -> DataFrame:
@@ -164,30 +173,34 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
     """docs (without the text if not keep_text) with the base figures, base_failed, class_distance, common_distance and kept.
 
-    Null texts have no words. A null language is a language of its own as a reference; the language
-    of a row is not looked at to judge it. Distances are those to the nearest language, null below
-    the guards; kept is false if base_failed or where both guards pass or one does and no reference
-    is within all distances that apply. The references are bounded by 1 / COMMON words a language.
+    Null texts have no words. Distances are those to the reference of the row's language, or to the
+    nearest one where that language is null or has none, and null below the guards; kept is false if
+    base_failed or where no reference in question is within all distances that apply. Where no
+    language has a reference all that pass the base rules are kept. Columns of docs that have such a
+    name are replaced; no other name matters. The references are bounded by 1 / COMMON words a
+    language and 1 / REFERENCE_SHARE languages.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    common_rows = common_words(narrow, "text", "lang")
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept"]
+    packed = Packed(without(docs, made), lang=lang, text=text)
+    common_rows = common_words(packed.df.select("lang", "text"), "text", "lang")
     candidates = sorted({r.word for r in common_rows})
     number = {x: k for k, x in enumerate(candidates)}
-    measured = features(docs, text, candidates)
+    measured = features(packed.df, "text", candidates)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    measured = cut((measured if keep_text else measured.drop(text)).withColumn("base_failed", failed), "features")
-    good = measured.where(~failed).select(F.col(lang).alias("lang"), "classes")
+    measured = cut((measured if keep_text else measured.drop("text")).withColumn("base_failed", failed), "features")
+    languages = sorted({r.lang for r in common_rows})
+    good = measured.where(~failed & F.col("lang").isin(languages)).select("lang", "classes")
     by_class = good.select("lang", F.posexplode("classes").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()
     references = []
-    for x in sorted({r.lang for r in by_class}, key=lambda x: (x is None, x)):
+    for x in languages:
         classes = np.zeros(N_CLASSES)
         for r in by_class:
             if r.lang == x:
                 classes[r.k] = r.n
         mine = sorted((number[r.word], r.n, r.size) for r in common_rows if r.lang == x)
-        common = np.array([r[1] for r in mine] + [mine[0][2] - sum(r[1] for r in mine)], float) if mine else np.zeros(0)
-        references.append((classes, np.array([r[0] for r in mine], np.int64), common))
+        common = np.array([r[1] for r in mine] + [mine[0][2] - sum(r[1] for r in mine)], float)
+        references.append((x, classes, np.array([r[0] for r in mine], np.int64), common))
     shared = spark.sparkContext.broadcast((references, len(candidates)))
 
     def verdict(batch: pa.RecordBatch) -> list:
@@ -197,20 +210,24 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bo
         at, count = batch.column("at"), batch.column("n").flatten().to_numpy()
         doc = np.repeat(np.arange(len(n)), np.diff(at.offsets.to_numpy()))
         word = at.flatten().to_numpy()
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        unknown = ~np.isin(langs.astype(str), [x[0] for x in references]) | (langs == None)  # noqa: E711
         fine, near, near_common = np.zeros(len(n), bool), np.full(len(n), np.inf), np.full(len(n), np.inf)
-        for reference, common, weights in references:
+        for name, reference, common, weights in references:
             d = distance(classes, reference)
-            place = np.full(max(1, n_candidates), -1)
+            place = np.full(n_candidates, -1)
             place[common] = np.arange(len(common))
             where = place[word] >= 0
             own = np.bincount(doc[where] * (len(common) + 1) + place[word[where]], count[where], len(n) * (len(common) + 1)).reshape(len(n), -1)
             own[:, -1] = n - own.sum(1)
-            dc = distance(own, weights) if len(common) else np.zeros(len(n))
-            fine |= ((d <= CLASS_DISTANCE) | (n < CLASS_WORDS)) & ((dc <= COMMON_DISTANCE) | (n < COMMON_WORDS))
-            near, near_common = np.minimum(near, d), np.minimum(near_common, dc)
+            dc = distance(own, weights)
+            asked = unknown | (langs == name)
+            fine |= asked & ((d <= CLASS_DISTANCE) | (n < CLASS_WORDS)) & ((dc <= COMMON_DISTANCE) | (n < COMMON_WORDS))
+            near, near_common = np.where(asked, np.minimum(near, d), near), np.where(asked, np.minimum(near_common, dc), near_common)
         fine |= not references
         kept = fine & ~np.asarray(batch.column("base_failed"))
         mask = lambda x, guard: pa.array(x, pa.float64(), mask=(n < guard) | np.isinf(x))
         return [mask(near, CLASS_WORDS), mask(near_common, COMMON_WORDS), kept]
 
-    return add_columns(measured, "class_distance double, common_distance double, kept boolean", verdict).drop("classes", "at", "n")
+    judged = add_columns(measured, "class_distance double, common_distance double, kept boolean", verdict)
+    return packed.unpack(judged, *map(F.col, made), less=None if keep_text else text)

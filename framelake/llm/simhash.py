@@ -17,11 +17,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .rows import add_columns
+from .components import components, spread
+from .rows import Packed, add_columns
 from .store import cut
 from .textops import BLANKS, lower, pieces, separators, words
 
@@ -29,6 +29,8 @@ from .textops import BLANKS, lower, pieces, separators, words
 GENERATOR = 0b101011100011
 HALVES = (((0, 11), (11, 11)), ((22, 10), (32, 11)), ((43, 10), (53, 11)))
 MAX_BITS = 4
+#: Copies of each class's row when members look it up, so that a class of many members isn't one task's.
+SALTS = 16
 
 _U = np.uint64
 _BLANK = separators(BLANKS)
@@ -36,7 +38,7 @@ _BLANK = separators(BLANKS)
 _SPREAD = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).copy().view(np.uint64).ravel()
 
 
-def _counts(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+def bit_counts(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """How often each bit is set in each run of n > 0 hashes."""
     per = -(-n // 255)  # a counter of eight bits holds 255
     first = np.concatenate([[0], np.cumsum(per)[:-1]])
@@ -67,7 +69,7 @@ def fingerprint_array(column: pa.Array, shingle: int = 4) -> np.ndarray:
         text = data.tobytes()
         made = map(xxhash.xxh64_intdigest, map(text.__getitem__, map(slice, starts[first].tolist(), ends[last].tolist())), repeat(42))
         hashes = np.fromiter(made, np.uint64, runs[-1])
-        bits = 2 * _counts(hashes, runs[:-1], n[has]) > n[has, None]
+        bits = 2 * bit_counts(hashes, runs[:-1], n[has]) > n[has, None]
         out[i + has] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
     return out.view(np.int64)
 
@@ -111,21 +113,45 @@ def codeword_indices(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (segment[:, None] ^ flips[rest]) >> 11, n[rest]
 
 
+def _halves(fingerprint: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    bits = fingerprint.view(np.uint64)
+    return {(s, h): ((bits >> _U(HALVES[s][h][0])) & _U((1 << HALVES[s][h][1]) - 1)).astype(np.int64) for s in range(3) for h in range(2)}
+
+
+#: Each kind of key: the segment that is decoded and the two halves that are exact.
+KINDS = [(s, a, b) for s in range(3) for a, b in combinations([(t, h) for t in range(3) for h in range(2) if t != s], 2)]
+
+
 def fuzzy_keys(fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys of the fingerprints (int64)."""
-    bits = fingerprint.view(np.uint64)
-    half = {(s, h): ((bits >> _U(HALVES[s][h][0])) & _U((1 << HALVES[s][h][1]) - 1)).astype(np.int64) for s in range(3) for h in range(2)}
-    rows, keys, kind = [], [], 0
-    for s in range(3):
-        index, n = codeword_indices(half[s, 0] | half[s, 1] << HALVES[s][0][1])
+    half = _halves(fingerprint)
+    decoded = [codeword_indices(half[s, 0] | half[s, 1] << HALVES[s][0][1]) for s in range(3)]
+    rows, keys = [], []
+    for kind, (s, a, b) in enumerate(KINDS):
+        index, n = decoded[s]
         row, col = np.nonzero(np.arange(6) < n[:, None])
-        for a, b in combinations([x for x in half if x[0] != s], 2):
-            rows.append(row)
-            keys.append(index[row, col] << 24 | half[a][row] << 12 | half[b][row] | kind << 40)
-            kind += 1
+        rows.append(row)
+        keys.append(index[row, col] << 24 | half[a][row] << 12 | half[b][row] | kind << 40)
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def free_parts(key: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
+    """(keys, MAX_BITS + 1): the bits that a key leaves free, in parts; of two fingerprints at MAX_BITS one part is equal."""
+    half, kind = _halves(fingerprint), key >> 40
+    out = np.empty((len(key), MAX_BITS + 1), np.int64)
+    for k, (_, a, b) in enumerate(KINDS):
+        at = np.flatnonzero(kind == k)
+        value, size = np.zeros(len(at), np.int64), 0
+        for place in half:
+            if place not in (a, b):
+                value |= half[place][at] << size
+                size += HALVES[place[0]][place[1]][1]
+        width = -(-size // (MAX_BITS + 1))
+        for i in range(MAX_BITS + 1):
+            out[at, i] = value >> i * width & (1 << width) - 1 | i << 16
+    return out
+
+
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
@@ -138,23 +164,30 @@ def _close(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, fp, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        parts = free_parts(np.ascontiguousarray(key), np.ascontiguousarray(fp))
+        n = parts.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(key, n), parts.ravel(), np.repeat(fp, n), np.repeat(c, n))], names=["key", "part", "fp", "c"])
+
+
 def link_fingerprints(unique: DataFrame) -> DataFrame:
     """(node, root) for fingerprints (fp, without repeats) that link to others at four or fewer differing bits.
 
     Under each key, all members are first held against its smallest and its largest member, which
-    joins large groups in linear work; only keys whose members are then still in more than one
-    component have these compared with each other.
+    joins large groups in linear work. Only keys whose members are then still in more than one
+    component have these compared with each other, and of these only members that also agree in one
+    of five parts of the bits that the key leaves free, as any two at four bits do.
     """
-    by_key = Window.partitionBy("key")
-    shared = unique.select("fp").mapInArrow(_explode, "key long, fp long").withColumns({"lo": F.min("fp").over(by_key), "hi": F.max("fp").over(by_key)}).where("lo <> hi")
-    shared = cut(shared, "keys")
+    members = unique.select("fp").mapInArrow(_explode, "key long, fp long")
+    shared = cut(spread(members, "fp"), "keys")
     star = shared.select("fp", F.explode(F.array("lo", "hi")).alias("u")).where(_close("fp", "u")).select("u", F.col("fp").alias("v"))
     first = components(star)
     named = shared.select("key", "fp").join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("c"))
-    mixed = named.withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key)}).where("lo <> hi").select("key", "fp", "c")
-    mixed = cut(mixed, "mixed")
-    other = mixed.select("key", F.col("fp").alias("fp2"), F.col("c").alias("v"))
-    pairs = mixed.withColumnRenamed("c", "u").join(other, "key").where((F.col("u") < F.col("v")) & _close("fp", "fp2")).select("u", "v").distinct()
+    mixed = cut(spread(named, "c").select("key", "fp", "c").mapInArrow(_parts, "key long, part long, fp long, c long"), "mixed")
+    other = mixed.select("key", "part", F.col("fp").alias("fp2"), F.col("c").alias("v"))
+    pairs = mixed.withColumnRenamed("c", "u").join(other, ["key", "part"]).where((F.col("u") < F.col("v")) & _close("fp", "fp2")).select("u", "v").distinct()
     second = components(pairs)
     roots = first.select("node", "root").unionByName(first.select(F.col("root").alias("node"), "root")).distinct()
     joined = roots.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -162,13 +195,15 @@ def link_fingerprints(unique: DataFrame) -> DataFrame:
     return joined.unionByName(alone)
 
 
-def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(id, row, fp) of each row of docs, and (fp, component_id, first) of each fingerprint; row is a hash of key and text."""
-    rows = fingerprints(docs.select(F.col(key).alias("id"), text), text).select("id", F.xxhash64("id", text).alias("row"), F.col("fingerprint").alias("fp"))
-    rows = cut(rows, "fingerprints")
-    unique = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")), "unique")
-    roots = unique.join(link_fingerprints(unique), F.col("fp") == F.col("node"), "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
-    return rows, roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("kept")), "root").select("fp", "component_id", "kept")
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, component_id, first) of each fingerprint of rows (id, tie, row, fp); first is its class's row with the smallest id."""
+    unique = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie", "row")).alias("first")), "unique")
+    linked = unique.join(link_fingerprints(unique), F.col("fp") == F.col("node"), "left").select("fp", "least", "first", "root")
+    linked = cut(linked.withColumn("root", F.coalesce("root", "fp")).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))), "linked")
+    classes = linked.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id"), F.min("first").alias("kept"))
+    large = classes.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = linked.join(large, ["root", "salt"], "left")
+    return found.select("fp", F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("kept", "first").alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,12 +213,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Null and wordless texts have fingerprint zero and link like any other; null keys are ignored
     for component_id, which is null where a class has no other; rows that repeat a key stay apart.
     """
-    rows, named = _classes(docs, key, text)
-    return rows.join(named, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = fingerprints(Packed(docs, id=key, text=text).df.select("id", "text"))
+    rows = cut(rows.select("id", F.lit(0).alias("tie"), F.lit(0).alias("row"), F.col("fingerprint").alias("fp")), "fingerprints")
+    return rows.join(_classes(rows), "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of each class with the smallest key, with all its columns; of rows alike in key and text any one."""
-    _, named = _classes(docs, key, text)
-    kept = named.select(F.col("kept.row").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64(key, text)).join(kept, "_row").dropDuplicates(["_row"]).select(*[f"`{c}`" for c in docs.columns])
+    """The row of each class with the smallest key, with all its columns.
+
+    Null keys come last; of rows alike in key and text the one with the smallest hash of its other
+    columns stays, of rows alike in all columns one.
+    """
+    packed = Packed(docs, id=key, text=text)
+    whole = cut(packed.df.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = fingerprints(whole.select("id", "row", packed.tie().alias("tie"), "text")).select("id", "tie", "row", F.col("fingerprint").alias("fp"))
+    kept = _classes(cut(rows, "fingerprints")).select("kept.row").distinct()
+    return packed.unpack(whole.join(kept, "row"))

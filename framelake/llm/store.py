@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -30,13 +31,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table that cut() wrote and that no later step reads."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """As cut(), in n buckets by key: grouping or joining by it later needs no shuffle of this table."""
+    """As cut(), in n buckets by key: grouping or joining by it later needs no shuffle of this table.
+
+    Only a catalog knows of buckets. The name leaves it as soon as the table is read; its files stay
+    as those of cut() do.
+    """
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(df.sparkSession)}/{table}"
     df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table)
-    return df.sparkSession.table(table)
+    out = df.sparkSession.table(table)
+    out.schema  # resolves the name
+    df.sparkSession.sql(f"DROP TABLE {table}")
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of a column's texts, which sizes of partitions and blocks follow from."""
+    return df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0

@@ -15,9 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import answer, answers, ask, asked, by_block, to_blocks, with_answers
-from .store import cut, partitions
+from .order import numbered
+from .rows import Packed, without
+from .store import cut
 from .textops import BLANKS, covered, per_text, pieces, separators, window_hashes, word_hashes, words
 
 #: A difference cover of 13. Any other pair would do that covers all differences.
@@ -70,12 +73,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     Earlier is a smaller key, or an earlier start in the same text. Null texts have no words and
     kept_text null if nothing was there to keep; null keys come first; rows that repeat a key come
     in the order of their rows in the input. Where nothing is removed kept_text is the text itself;
-    else the kept words, with the original blanks between words that stay neighbours.
+    else the kept words, with the original blanks between words that stay neighbours. Keys that are
+    not integers are replaced by their places in Spark's order of them. Columns of docs that have
+    such a name are replaced; no other name matters.
     """
-    length, parts = n - PERIOD + 1, partitions(docs.sparkSession)
-    columns = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text", "block", "ord")]
-    blocks = to_blocks(docs.select(*[f"`{c}`" for c in columns]), text, "blocks")
-    texts = blocks.select("block", "ord", F.col(key).alias("id"), F.col(text).alias("text"))
+    length = n - PERIOD + 1
+    packed = Packed(without(docs, ["n_words", "n_removed", "kept_text"]), text=text)
+    rows = packed.df.withColumn("id", F.col(f"rest.{packed.place[key]}"))
+    if dict(rows.dtypes)["id"] not in ("tinyint", "smallint", "int", "bigint"):
+        places = numbered(rows.select("id").where("id is not null").distinct(), "place")
+        rows = rows.join(places, "id", "left").drop("id").withColumnRenamed("place", "id")
+    blocks, parts = to_blocks(rows.select("text", "rest", F.col("id").cast("long").alias("id")), "text", "blocks")
+    texts = blocks.select("block", "ord", "id", "text")
 
     def send_anchors(table: pa.Table) -> pa.Table:
         distinct, count, _ = _repeats(_anchors(*_hashes(table, "text"), length)[1])
@@ -136,13 +145,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     windows_back = answer(with_answers(texts, marked, send_windows, asked(2)), [np.int64, bool], later)
     both = marked.withColumn("kind", F.lit(0)).unionByName(windows_back.withColumn("kind", F.lit(1)))
 
-    fields = [c for c in blocks.columns if c not in ("block", "ord")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields if f.name in fields) + ", n_words bigint, n_removed bigint, kept_text string"
+    schema = T.StructType([blocks.schema["text"], blocks.schema["rest"], *T._parse_datatype_string("n_words bigint, n_removed bigint, kept_text string").fields])
 
     def rest(table: pa.Table, replies: pa.Table) -> pa.Table:
-        named = table.rename_columns(["id" if c == key else "text" if c == text else f"_{c}" if c not in ("block", "ord") else c for c in table.column_names])
         one = replies.filter(pa.compute.equal(replies.column("kind"), 0))
-        place, doc, off, distinct, first = firsts(named, one)
+        place, doc, off, distinct, first = firsts(table, one)
         window_later = answers(replies.filter(pa.compute.equal(replies.column("kind"), 1)), distinct, parts, bool)
         starts = np.ones(len(place), bool)
         starts[first] = window_later
@@ -150,12 +157,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         marks[place[starts]] = True
         gone = covered(marks, n)
         removed = per_text(gone, off)
-        kept = table.column(text).to_pylist()
+        kept = table.column("text").to_pylist()
         for i in np.flatnonzero(removed):
             kept[i] = without_words(kept[i], gone[off[i] : off[i + 1]])
-        return table.select(fields).append_column("n_words", pa.array(np.diff(off))).append_column("n_removed", pa.array(removed.astype(np.int64))).append_column("kept_text", pa.array(kept, pa.string()))
+        return table.select(["text", "rest"]).append_column("n_words", pa.array(np.diff(off))).append_column("n_removed", pa.array(removed.astype(np.int64))).append_column("kept_text", pa.array(kept, pa.string()))
 
-    return with_answers(blocks, both, rest, schema)
+    return packed.unpack(with_answers(blocks, both, rest, schema), *map(F.col, ("n_words", "n_removed", "kept_text")))
 
 
 def without_words(text: str, gone: np.ndarray) -> str:

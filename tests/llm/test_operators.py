@@ -89,7 +89,7 @@ def test_decontamination(docs, empty, spark, monkeypatch):
         assert sum(r.n_hit > 0 for r in got.values()) == 1 and got[1, None].n_words == 0
 
     check()
-    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", 5)  # several automata give the same
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WINDOWS", 2)  # several automata give the same
     check()
     assert decontaminate.mark_contamination(empty, bench).count() == 0
     assert decontaminate.mark_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -164,6 +164,41 @@ def test_quality_rules(docs, empty):
     assert math.isclose(d, math.sqrt((kl(a) + kl(b)) / 2))
 
 
+def test_quality_verdict_against_brute_force(spark):
+    """Each document against its language's reference, or the nearest one where the language has none."""
+    import random
+
+    rng = random.Random(5)
+    vocabulary = {"xx": [f"{a}{b}a" for a in "bdfg" for b in "aeiou"], "yy": [f"{a}{b}OK" for a in "klmn" for b in "aeiou"]}
+    texts = [(i, " ".join(rng.choices(vocabulary[x], k=rng.choice([45, 90, 200]))), x) for i, x in enumerate(["xx", "yy"] * 40)]
+    junk = [" ".join(f"{rng.randrange(10**6)}#{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3)]
+    texts += [(100, junk[0], "xx"), (101, junk[1], None), (102, junk[2], "zz"), (103, texts[1][1], "xx"), (104, texts[1][1], "zz"), (105, texts[0][1], None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    kind = lambda c: "blank" if c in " \t\n\r\x0b\x0c" else "small" if "a" <= c <= "z" else "capital" if "A" <= c <= "Z" else "digit" if c.isdigit() else "mark" if c in ".,;:!?'\"()-" else "symbol"
+
+    def js(p, q):
+        a, b = ({k: v / sum(x.values()) for k, v in x.items()} for x in (p, q))
+        m = {k: (a.get(k, 0) + b.get(k, 0)) / 2 for k in {**a, **b}}
+        return math.sqrt(sum(x[k] * math.log2(x[k] / m[k]) for x in (a, b) for k in x if x[k]) / 2)
+
+    passed = [r for r in texts if not got[r[0]].base_failed]
+    references = {}
+    for lang in ("xx", "yy"):
+        mine = [t for _, t, x in passed if x == lang]
+        words, classes = Counter(w.lower() for t in mine for w in t.split()), Counter(kind(c) for t in mine for c in t)
+        common = {w: n for w, n in words.items() if n >= quality_rules.COMMON * words.total()}
+        references[lang] = classes, common | {None: words.total() - sum(common.values())}
+    for i, t, lang in passed:
+        fine = []
+        for classes, common in (references[x] for x in ([lang] if lang in references else references)):
+            own = Counter(w.lower() if w.lower() in common else None for w in t.split())
+            a, b = js(Counter(map(kind, t)), classes), js(own, common)
+            fine.append(a <= quality_rules.CLASS_DISTANCE and (b <= quality_rules.COMMON_DISTANCE or len(t.split()) < quality_rules.COMMON_WORDS))
+        assert got[i].kept == any(fine), i
+    assert all(got[i].kept for i in range(80)) and [got[i].kept for i in range(100, 106)] == [False, False, False, False, True, True]
+
+
 def test_common_words_are_counted_over_all_passing_documents(docs):
     counts, want = {}, set()
     for r in docs.collect():
@@ -177,8 +212,10 @@ def test_common_words_are_counted_over_all_passing_documents(docs):
     for lang, n in counts.items():
         want |= {(lang, w, k, n.total()) for w, k in n.items() if k >= quality_rules.COMMON * n.total()}
     assert want
+    want = {x for x in want if x[0] is not None}
     for parts in (1, 7):
-        assert {tuple(r) for r in quality_rules.common_words(docs.repartition(parts), "text", "lang")} == want
+        assert {tuple(r) for r in quality_rules.common_words(docs.repartition(parts), "text", "lang", (1, 1, 0.0))} == want
+    assert quality_rules.common_words(docs, "text", "lang", (100, 1, 0.0)) == [] == quality_rules.common_words(docs, "text", "lang", (1, 10**9, 0.0))
 
 
 def test_brown(docs, empty):
@@ -198,6 +235,52 @@ def test_brown(docs, empty):
     assert all(r.n_known == 0 for r in brown.score_texts(docs, F.lit(False)).collect())
 
 
+def test_probabilities_after_any_token_sum_to_one():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    counts = {k: rng.integers(1, 9, rng.integers(0, 6)) for k in range(brown.CLASSES)}
+    n_class, v_class = (np.array([f(counts[k]) for k in range(brown.CLASSES)], float) for f in (np.sum, len))
+    table = rng.integers(0, 5, (brown.CLASSES + 1, brown.CLASSES + 1)).astype(float)
+    moves, unseen = brown.model_of(table, n_class, v_class)
+    emitted = [sum((c - brown.DISCOUNT) / n_class[k] for c in counts[k]) for k in range(brown.CLASSES)] + [1]
+    assert np.allclose(moves @ (np.array(emitted) + unseen), 1) and moves.shape == (brown.CLASSES + 2, brown.CLASSES + 1)
+
+
+def test_brown_score_against_the_model_it_says(spark):
+    """Scores of a held-out text as the sum of its tokens' log probabilities; all words that fit train get a class by their neighbours."""
+    import random
+
+    rng = random.Random(4)
+    kinds = [[f"{c}{i}" for i in range(30)] for c in "abc"]
+    texts = [" ".join(rng.choice(kinds[k % 3]) for k in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "a1 b1 c1 a2", "c1 c2 c3 c4", "zz zz", ""])], "doc_id long, text string")
+    got = {r.doc_id: r for r in brown.score_texts(docs, F.col("doc_id") < 40).collect()}
+    assert got[40].score > got[41].score + 1 and got[40].score > got[40].base_score  # the order of classes counts
+    assert got[42].n_known == 1 and math.isfinite(got[42].score) and 0 > got[43].score
+    again = {r.doc_id: r.score for r in brown.score_texts(docs.repartition(3), F.col("doc_id") < 40).collect()}
+    assert all(math.isclose(again[i], r.score, abs_tol=1e-9) for i, r in got.items())
+
+
+def test_placing_against_brute_force():
+    """The class with the largest class-bigram likelihood, of all classes tried."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    table = rng.integers(0, 50, (brown.CLASSES + 1, brown.CLASSES + 1)).astype(float)
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    word, code, n, want = [], [], [], []
+    for w in range(20):
+        codes = np.sort(rng.choice(np.concatenate([np.arange(brown.CLASSES + 1), 128 + np.arange(brown.CLASSES + 1)]), rng.integers(1, 9), replace=False))
+        counts = rng.integers(1, 20, len(codes))
+        right, left = np.zeros(brown.CLASSES + 1), np.zeros(brown.CLASSES + 1)
+        right[codes[codes < 128]], left[codes[codes >= 128] - 128] = counts[codes < 128], counts[codes >= 128]
+        gain = [(f(table[k] + right) - f(table[k])).sum() + (f(table[:, k] + left) - f(table[:, k])).sum() - f(table[k].sum() + right.sum()) + f(table[k].sum()) - f(table[:, k].sum() + left.sum()) + f(table[:, k].sum()) for k in range(brown.CLASSES)]
+        want.append(int(np.argmax(gain)))
+        word, code, n = [*word, *[w] * len(codes)], [*code, *codes], [*n, *counts]
+    assert brown.place(np.array(word), np.array(code), np.array(n), 20, table).tolist() == want
+
+
 def test_exchange_clustering_finds_two_classes():
     import numpy as np
 
@@ -215,6 +298,40 @@ def test_neighbours(docs, empty, spark):
     assert {r.score for r in neighbours.vote(docs, neighbours.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_vote_against_all_labelled_vectors(docs):
+    """The share of label 1 among the nearest, each similarity worked out by itself; ties at the last place all count."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    known, z, labels = unit(rng.standard_normal((60, 8))), unit(rng.standard_normal((700, 8))), rng.integers(0, 2, 60).astype(float)
+    known[30:] = known[:30]  # every vector twice
+    got = neighbours.share_of_ones(z, known, labels)
+    for i in range(0, 700, 7):
+        near = [sum(a * b for a, b in zip(z[i], k, strict=True)) for k in known]
+        last = sorted(near)[-neighbours.NEIGHBOURS]
+        weights = [max(x, 0) ** neighbours.SHARPNESS if x >= last - 1e-12 else 0 for x in near]
+        assert math.isclose(got[i], sum(w * y for w, y in zip(weights, labels, strict=True)) / sum(weights), abs_tol=1e-9)
+
+
+def test_terms_of_a_text_are_words_grams_and_shapes():
+    import numpy as np
+
+    texts = ["ab cd", "cd ab", "xy zw", "Ab 12"]
+    data = "".join(texts).encode()
+    counts = neighbours.term_counts(np.frombuffer(data, np.uint8), np.array([0, 5, 10, 15, 20]))
+    word, gram, shape = (counts[:, i * neighbours.TERMS : (i + 1) * neighbours.TERMS] for i in range(3))
+    assert (word.sum(1) == 2).all() and (gram.sum(1) == 5).all() and (word[0] == word[1]).all() and (word[0] != word[2]).any()
+    assert (gram[0] != gram[2]).any() and (shape[0, :] != shape[3, :]).any() and shape[0].max() == shape[2].max()
+
+
+def test_a_repeated_key_is_one_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i} of many") for i in range(50)] + [(i, f"other {i} words") for i in range(2, 8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 40 + [(i, i % 2) for i in range(2, 8)], "doc_id long, quality int")
+    model = neighbours.fit(docs, labels, sample=5)
+    assert len(model[3]) == 5 and len(neighbours.fit(docs, labels)[3]) == 7
+
+
 def test_substring(docs, empty):
     got = substring.remove_repeats(docs).collect()
     assert len(got) == len(rows()) and substring.remove_repeats(empty).count() == 0
@@ -233,6 +350,14 @@ def test_substring(docs, empty):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, digest(r.kept_text)) for r in got) == sorted(want)
 
 
+def test_substring_keys_that_are_not_integers(docs, spark):
+    """Keys of any type that has an order: strings by code point, nulls first."""
+    named = docs.withColumn("doc_id", F.concat(F.lit("k"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    want = {(None if r.doc_id is None else f"k{r.doc_id:03}", r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs).collect()}
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(named).collect()} == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks")]  # nothing stays in the catalog
+
+
 def test_difference_cover():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 
@@ -249,6 +374,65 @@ def test_langid(docs, empty, spark):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(langid.train(empty, F.lit(True)))).collect()} == {"und"}
 
 
+def test_mixing_targets_against_brute_force(spark):
+    """Sources in order of cap over weight are capped one by one until the next one's share fits."""
+    import random
+
+    rng = random.Random(2)
+    sizes = [(f"s{i:04}", rng.choice([0, 1, 5, 40, 1000, 30000])) for i in range(97)] + [(None, 77)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(5)).collect()}
+    weights = {s: i % 3 + 1 for i, (s, _) in enumerate(sizes)}
+    left, free, want = sum(n for _, n in sizes), sum(weights.values()), {}
+    for s, n in sorted(sizes, key=lambda x: 3 * x[1] / weights[x[0]]):
+        want[s] = min(3 * n, left * weights[s] / free) if free else 3 * n
+        if want[s] == 3 * n:
+            left, free = left - 3 * n, free - weights[s]
+    assert set(got) == set(want) and all(math.isclose(got[s], want[s], abs_tol=1e-6) for s in want)
+
+
+def test_pivotal_rounding_keeps_fractions_and_each_sources_words(spark):
+    """Copies are one of the two whole numbers next to the fraction, over many documents of a size on average the fraction itself."""
+    data = [(i, " ".join(["w"] * (1 + i % 7)), f"s{i % 3}") for i in range(6300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    up, sums = {}, {}
+    for r in mixing.mix(docs).collect():
+        f = r.target / r.source_size
+        assert r.copies in (math.floor(f), math.floor(f) + 1)
+        up.setdefault((r.source, r.size), []).append(r.copies - f)
+        sums.setdefault((r.source, r.target), []).append(r.taken)
+    assert len(up) == 21 and all(abs(sum(x) / len(x)) < 4 * 0.5 / math.sqrt(len(x)) for x in up.values())
+    assert len(sums) == 3 and all(abs(sum(x) - target) <= 7 for (_, target), x in sums.items())
+
+
+CLASHES = "n at classes block ord _row _hits size tokens hits before rest id row key place c0 copies plan kept_text n_words source_size target"
+
+
+def test_columns_with_the_names_of_inner_ones_pass_the_pipeline_unchanged(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    data = [(i, f"{' '.join(f'word{(i * 37 + k) % 997}x the and of' for k in range(12))} {PASSAGE if i % 5 == 0 else ''}", "en", f"s{i % 3}", 100) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in CLASHES.split()}
+    docs = docs.withColumns(extra | {"kept": F.lit("yes"), "a.b`c": F.create_map(F.lit("k"), F.col("doc_id")), "copy": F.lit("mine")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = docs
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns or name == "mixing", name
+    rows = out.collect()
+    assert len({r.doc_id for r in rows}) > 30 and out.columns[: len(docs.columns)] == docs.columns and out.columns[-4:] == ["mix_size", "mix_source_size", "mix_target", "mix_copy"]
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHES.split()) and all(r["kept"] == "yes" and r["a.b`c"] == {"k": r.doc_id} and r["copy"] == "mine" for r in rows)
+
+
+def test_rows_alike_in_key_and_text_are_told_apart(spark):
+    """Of rows alike in key and text one stays, the same one in each run; alike rows are one."""
+    data = [(1, "one two three", x) for x in ("b", "a", "c", "a")] + [(2, "four", "z"), (None, "one two three", "n")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, other string")
+    for keep in (simhash.keep_one, pytest.importorskip("corpus_pipeline").jaccard.keep_one):
+        kept = [sorted(map(str, keep(docs.repartition(n)).collect())) for n in (1, 3)]
+        assert kept[0] == kept[1] and len(kept[0]) == 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     data = [(i, f"{' '.join(f'word{(i * 37 + k) % 997}x the and of' for k in range(12))} {PASSAGE if i % 5 == 0 else ''} {ITEM if i == 3 else ''}", "en", f"s{i % 3}") for i in range(40)]
