@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-Blocks are lines. Tokens are ordered by their frequency in the corpus, rarest first. A block that
-holds at least the threshold of a template's tokens holds one of the first |T| - need + 1 of them
-(prefix filter), has at least `need` of the templates' tokens (length filter), and its first common
-token leaves enough tokens behind it on both sides (positional filter). Pairs that pass are counted.
+Blocks are all runs of words that are a quarter longer than a template, whatever the lines they
+stand in. Tokens are ordered by their frequency in the corpus, rarest first. A block that holds at
+least `need` of a template's tokens holds one of the first |T| - need + 1 of them (prefix filter);
+with the rarest of those at place j, it holds `need` of the tokens from j on, among the words near
+it (positional and length filter). Blocks around the places that pass are counted.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut
+
 #: Phrases that name a license wherever their words stand consecutively.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -25,26 +28,47 @@ PHRASES = {
 #: Wordings of licenses and notices, and their labels.
 TEMPLATES = {
     "Released under the MIT License": "mit",
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so": "mit",
     "Licensed under the Apache License, Version 2.0": "apache",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at": "apache",
     "This work is licensed under the GNU General Public License, version 3": "gpl",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "isc",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl",
+    "This is free and unencumbered software released into the public domain": "unlicense",
     "Licensed under CC BY-NC 4.0": "cc-by-nc",
+    "Licensed under CC BY-SA 4.0": "cc-by-sa",
     "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License": "cc-by-sa",
     "All rights reserved": "all-rights-reserved",
 }
-CONTAINMENT = 0.8
-#: A prefix index of up to so many rows is broadcast; a longer one is joined by shuffles.
-INDEX_ROWS = 10_000
+#: A template of this many tokens or more is found from this share of them on; in a shorter one each word decides, so all are needed.
+CONTAINMENT, LONG = 0.8, 10
+#: A block has this many words for each of the template's.
+SLACK = 1.25
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def word_array(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SEPARATOR), "")
+    return F.array_remove(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), SEPARATOR), "")
+
+
+def word_list(template: str) -> list[str]:
+    return [w for w in re.split(SEPARATOR, re.sub("[A-Z]", lambda m: m[0].lower(), template)) if w]
 
 
-def tokens(template: str) -> list[str]:
-    return sorted({w for w in re.split(SEPARATOR, template.lower()) if w})
+def template_rows(templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> list[tuple[list[str], str, int, int]]:
+    """(distinct tokens, label, need, words of a block) of each template that has words."""
+    out = []
+    for t, label in (templates or TEMPLATES).items():
+        words = word_list(t)
+        distinct = sorted(set(words))
+        need = len(distinct) if len(distinct) < LONG else math.ceil(containment * len(distinct) - 1e-9)
+        if words:
+            out.append((distinct, label, need, math.ceil(SLACK * len(words) - 1e-9)))
+    return out
 
 
 def phrase_places(w: Column, phrase: list[str]) -> Column:
@@ -54,45 +78,42 @@ def phrase_places(w: Column, phrase: list[str]) -> Column:
     return F.when(there & (F.size(w) >= len(phrase)), at).otherwise(F.array().cast("array<int>"))
 
 
-def prefix_index(docs: DataFrame, text: str, templates: dict[str, str], containment: float) -> tuple[list[str], list[tuple]]:
-    """The templates' vocabulary, rarest in the corpus first, and (token, place, template's tokens, need, label) of their prefixes."""
-    sets = [(tokens(t), label) for t, label in templates.items() if tokens(t)]
-    vocabulary = sorted({w for t, _ in sets for w in t})
+def prefix_index(docs: DataFrame, text: str, templates: dict[str, str] | None, containment: float) -> list[tuple]:
+    """(token, later tokens, tokens, need, words of a block, label) of the templates' prefixes; tokens are ordered by the corpus, rarest first."""
+    sets = template_rows(templates, containment)
+    vocabulary = sorted({w for t, *_ in sets for w in t})
     word = docs.select(F.explode(word_array(F.col(text))).alias("w")).where(F.col("w").isin(vocabulary))
-    counts = {r.w: r.n for r in word.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    vocabulary.sort(key=lambda w: (counts.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(vocabulary)}
+    counts = {r.w: r.n for r in word.groupBy("w").agg(F.count("*").alias("n")).collect()}  # as many rows as the templates have tokens
     index = []
-    for t, label in sets:
-        ordered = sorted(t, key=rank.get)
-        need = math.ceil(containment * len(t) - 1e-9)
-        index += [(w, j, ordered, need, label) for j, w in enumerate(ordered[: len(t) - need + 1])]
-    return vocabulary, index
+    for t, label, need, block in sets:
+        ordered = sorted(t, key=lambda w: (counts.get(w, 0), w))
+        index += [(w, ordered[j:], ordered, need, block, label) for j, w in enumerate(ordered[: len(t) - need + 1])]
+    return index
 
 
 def template_matches(docs: DataFrame, keys: list[str], text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """(keys, line, label, containment) of every line and template that meet the threshold."""
-    vocabulary, index = prefix_index(docs, text, templates or TEMPLATES, containment)
-    row = [F.struct(F.lit(w).alias("token"), F.lit(j).alias("j"), F.array(*map(F.lit, t)).alias("template"), F.lit(need).alias("need"), F.lit(label).alias("label")) for w, j, t, need, label in index]
-    prefixes = docs.sparkSession.range(1).select(F.inline(F.array(*row)))
-    if len(index) <= INDEX_ROWS:
-        prefixes = F.broadcast(prefixes)
-    least = min(x[3] for x in index)
-    lines = docs.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "_text"))
-    held = lines.select(*keys, "line", F.array_intersect(F.array(*map(F.lit, vocabulary)), word_array(F.col("_text"))).alias("held")).where(F.size("held") >= least)
-    places = held.select(*keys, "line", "held", F.posexplode("held").alias("i", "token"))
-    left = F.least(F.size("held") - F.col("i"), F.size("template") - F.col("j"))
-    common = F.size(F.array_intersect("held", "template"))
-    pairs = places.join(prefixes, "token").where((F.size("held") >= F.col("need")) & (left >= F.col("need")) & (common >= F.col("need")))
-    return pairs.select(*keys, "line", "label", (common / F.size("template")).alias("containment")).distinct()
+    """(keys, start, label, containment) of the best block around each place that passes the filters; start counts words from 0."""
+    index = prefix_index(docs, text, templates, containment)
+    strings = lambda x: F.array(*map(F.lit, x))
+    row = [F.struct(F.lit(w).alias("token"), strings(later).alias("later"), strings(t).alias("template"), F.lit(need).alias("need"), F.lit(block).alias("block"), F.lit(label).alias("label")) for w, later, t, need, block, label in index]
+    prefixes = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.array(*row))))  # its size is the templates'
+    words = docs.select(*keys, word_array(F.col(text)).alias("w"))
+    at = words.select(*keys, "w", F.posexplode("w").alias("i", "token")).where(F.col("token").isin(sorted({x[0] for x in index})))
+    first = F.greatest(F.col("i") - F.col("block") + 1, F.lit(0))
+    near = at.join(prefixes, "token").withColumns({"first": first, "span": F.slice("w", first + 1, F.col("i") + F.col("block") - first)})
+    near = near.where(F.size(F.array_intersect("span", "later")) >= F.col("need"))
+    near = cut(near.select(*keys, "first", (F.col("i") - F.col("first")).alias("back"), "span", "template", "need", "block", "label"), "near")
+    held = F.expr("transform(sequence(0, back), s -> struct(size(array_intersect(slice(span, s + 1, block), template)) as n, -s as s))")
+    best = near.select(*keys, "first", "need", "label", F.size("template").alias("tokens"), F.array_max(held).alias("best")).where("best.n >= need")
+    return best.select(*keys, (F.col("first") - F.col("best.s")).alias("start"), "label", (F.col("best.n") / F.col("tokens")).alias("containment")).distinct()
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score): one row for each row of docs.
 
     Base labels come from phrases, the others from template_matches(); score is the largest
-    containment found, 1 where a phrase stands, else 0. Null texts are empty; rows alike in key and
-    text have equal results.
+    containment found, 1 where a phrase stands, else 0. Only A-Z are lower-cased. Null texts are
+    empty; rows alike in key and text have equal results.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("_same", F.xxhash64("_text"))
     words = rows.select("_key", "_same", word_array(F.col("_text")).alias("w"))

@@ -100,8 +100,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def _op5() -> str:
     phrases = ", ".join(f"('{p}', '{x}')" for p, x in licenses.PHRASES.items())
-    sets = [(licenses.tokens(t), x) for t, x in licenses.TEMPLATES.items()]
-    templates = ", ".join(f"([{', '.join(repr(w) for w in t)}], '{x}')" for t, x in sets)
+    templates = ", ".join(f"([{', '.join(repr(w) for w in t)}], '{x}', {need}, {block})" for t, x, need, block in licenses.template_rows())
     return f"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all({_PLAIN.format("coalesce(text, '')")}, '{_WORDS}') AS w FROM documents),
 p(phrase, label) AS (VALUES {phrases}),
@@ -111,11 +110,12 @@ place_of AS (
   WHERE array_to_string(w[i:i + n - 1], ' ') = phrase
 ),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place_of GROUP BY doc_id),
-t(template, label) AS (VALUES {templates}),
-line AS (SELECT doc_id, list_distinct(regexp_extract_all({_PLAIN.format("l")}, '{_WORDS}')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d)),
+t(template, label, need, block) AS (VALUES {templates}),
+near AS (SELECT doc_id, w, t.* FROM d, t WHERE len(list_intersect(w, template)) >= need),
+place AS (SELECT *, unnest(generate_series(1, len(w))) AS i FROM near),
 hit AS (
-  SELECT doc_id, label, len(list_intersect(w, template)) / CAST(len(template) AS DOUBLE) AS c FROM line, t
-  WHERE len(list_intersect(w, template)) >= ceil({licenses.CONTAINMENT} * len(template) - 1e-9)
+  SELECT doc_id, label, n / CAST(len(template) AS DOUBLE) AS c
+  FROM (SELECT doc_id, label, template, need, len(list_intersect(w[i:i + block - 1], template)) AS n FROM place WHERE list_contains(template, w[i])) WHERE n >= need
 ),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place_of UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id),
 best AS (SELECT doc_id, max(c) AS c FROM hit GROUP BY doc_id)

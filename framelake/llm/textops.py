@@ -89,12 +89,10 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words in bytes, and offsets of the texts in words."""
-    inside = np.empty(len(data) + 1, bool)
-    inside[:-1] = ~sep[data]
-    inside[-1] = False
-    before = np.empty(len(data) + 1, bool)
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes that don't cross texts, and offsets of the texts in runs."""
+    inside = np.append(inside, False)
+    before = np.empty(len(inside), bool)
     before[0] = False
     before[1:] = inside[:-1]
     cut = off[:-1]
@@ -109,6 +107,11 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
+def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words in bytes, and offsets of the texts in words."""
+    return runs(~sep[data], off)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word's bytes."""
     up, down = _power(len(data) + 1)

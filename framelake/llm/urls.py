@@ -1,17 +1,16 @@
 """URL filters: rules first, then naive Bayes over the words of hosts and paths.
 
 Hosts write names in one piece. A unigram Viterbi splits each part of a host into words of the
-pages themselves; multinomial naive Bayes then scores host and path tokens. It learns from the
-table: pages whose host holds a seed word as a whole hyphenated part, or whose split host holds
-one, are taken as bad examples and all others as good ones, so what goes along with bad hosts
-counts against a page too.
+pages themselves; multinomial naive Bayes then scores host and path tokens. Pages whose host holds a
+seed word are its bad examples, all others its good ones. What makes a page an example tells nothing
+by itself: a token's odds count only examples that some other word made, so a seed weighs no more
+than what stands beside other seeds. Rules say nothing about what they don't fit, so their verdicts
+are no examples. All counts are exact and stay in tables.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,17 +27,22 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Words of hosts that no training corpus wants, by kind: adult, gambling, drugs, spam, advertising.
+#: Words of hosts that no training corpus wants, by kind: adult, gambling, drugs, spam and malware, advertising.
 SEEDS = [
-    "adult", "porn", "sex", "xxx", "casino", "bet", "bets", "poker", "slots", "pills", "viagra", "pharma",
-    "spam", "malware", "phish", "warez", "ads", "adserver", "track", "tracker", "clickbait",
+    "adult", "porn", "porno", "sex", "sexy", "xxx", "escort", "escorts", "nude", "erotic", "webcam",
+    "casino", "casinos", "bet", "bets", "betting", "poker", "slots", "roulette", "lottery", "jackpot",
+    "pills", "viagra", "cialis", "pharma", "steroids", "weed",
+    "spam", "malware", "phish", "phishing", "warez", "crack", "cracked", "keygen", "torrent", "torrents",
+    "ads", "adserver", "advert", "banner", "popup", "track", "tracker", "tracking", "clickbait", "clicks",
 ]
-#: Words and tokens at least this frequent among all enter the models: at most 1 / FREQUENT of them each.
+#: No longer word enters the unigram model.
+LONGEST = 30
+#: Odds of tokens at least this frequent are broadcast, at most 1 / FREQUENT of them; the others' are joined. Results are the same.
 FREQUENT = 1 / 20_000
 #: A page is blocked from this log-odds on.
 THRESHOLD = 0.0
 
-_TOKEN = re.compile(r"[^\W_]+")
+_PART = r"([\p{L}\p{N}]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -59,22 +63,23 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
-def word_counts(texts: DataFrame, text: str) -> dict[str, int]:
-    """Words of the texts that are frequent enough, with their counts over all texts."""
-    words = texts.select(F.explode(F.split(F.lower(F.regexp_replace(text, "<[^>]*>", " ")), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    words = cut(words.where("n > 1"), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    return {r.w: r.n for r in words.where(F.col("n") >= FREQUENT * total).collect()}
+def word_counts(texts: DataFrame, text: str) -> DataFrame:
+    """(w, n): all words of the texts, and seeds, with their counts; a table."""
+    words = texts.select(F.explode(F.split(F.lower(F.regexp_replace(text, "<[^>]*>", " ")), r"[^\p{L}]+")).alias("w")).where(f"w <> '' and length(w) <= {LONGEST}")
+    seeds = texts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("w"), F.lit(1).cast("long").alias("n"))
+    return cut(words.groupBy("w").agg(F.count("*").alias("n")).unionByName(seeds).groupBy("w").agg(F.max("n").alias("n")), "words")
 
 
-def split_name(name: str, logs: dict[str, float], unknown: float, longest: int) -> list[str]:
+def split_name(name: str, logs: dict[str, float], unknown: float, longest: int = LONGEST) -> list[str]:
     """The most likely words of a name; a letter that no word covers costs `unknown`, and such letters stay together."""
     best = [(0.0, 0)] + [(-math.inf, 0)] * len(name)
     for j in range(1, len(name) + 1):
         for i in range(max(0, j - longest), j):
             log = logs.get(name[i:j])
             if log is None:
-                log = unknown * (j - i)
+                if j - i > 1:
+                    continue
+                log = unknown
             if best[i][0] + log > best[j][0]:
                 best[j] = (best[i][0] + log, i)
     cuts, j = [], len(name)
@@ -92,38 +97,64 @@ def split_name(name: str, logs: dict[str, float], unknown: float, longest: int)
     return out
 
 
-def tokens(pages: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """pages (host, path) with tokens: the host's words, then the path's, numbers as one token; bounded by 1 / FREQUENT words."""
-    total = sum(counts.values()) or 1
-    logs = {w: math.log(n / total) for w, n in counts.items()} | {w: math.log(1 / 1000) for w in SEEDS}
-    shared = pages.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, logs, math.log(1 / total) - 3, max(map(len, logs))))
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words) of distinct hosts: each part split on its own, with the counts of all its pieces that are words."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1
+    parts = hosts.select("host", F.explode(F.array_distinct(F.regexp_extract_all("host", F.lit(_PART), 1))).alias("part"))
+    piece = f"flatten(transform(sequence(1, length(part)), i -> transform(sequence(1, least({LONGEST}, length(part) - i + 1)), k -> substr(part, i, k))))"
+    pieces = parts.select("part").distinct().select("part", F.explode(F.array_distinct(F.expr(piece))).alias("w"))
+    found = pieces.join(counts, "w").groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    found = parts.select("part").distinct().join(found, "part", "left")
 
     def split(batch: pa.RecordBatch) -> list:
-        _, logs, unknown, longest = shared.value
-        known: dict[str, list[str]] = {}
         out = []
-        for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-            if host not in known:
-                known[host] = ["h:" + w for part in _TOKEN.findall(host) for w in ([part] if part in logs else split_name(part, logs, unknown, longest))]
-            out.append(known[host] + ["p:" + ("0" if x.isdigit() else x.lower()) for x in _TOKEN.findall(path)])
+        for part, known in zip(batch.column("part").to_pylist(), batch.column("known").to_pylist(), strict=True):
+            logs = {x["w"]: math.log(x["n"] / total) for x in known or []}
+            out.append(split_name(part, logs, math.log(1 / total) - 3))
         return [pa.array(out, pa.list_(pa.string()))]
 
-    return add_columns(pages, "tokens array<string>", split)
+    words = add_columns(found, "words array<string>", split).select("part", "words")
+    placed = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(_PART), 1)).alias("at", "part")).join(words, "part")
+    return placed.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
 
 
-def train(pages: DataFrame) -> tuple[dict[str, float], float, float]:
-    """Log-odds of bad over good by token, of a token that is not among the frequent ones, and of a page."""
-    bad = F.arrays_overlap("tokens", F.array(*[F.lit("h:" + w) for w in SEEDS])).cast("int")
-    marked = pages.select("tokens", bad.alias("bad"))
-    n_pages, n_bad = marked.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    by = marked.select("bad", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    by = cut(by, "tokens")
-    total, total_bad = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    rows = by.where(F.col("n") >= FREQUENT * total).collect()
-    v = len(rows) + 1
-    odds = lambda b, g: math.log((b + 1) / (total_bad + v)) - math.log((g + 1) / (total - total_bad + v))
-    rest = (total_bad - sum(r.bad for r in rows), total - total_bad - sum(r.n - r.bad for r in rows))
-    return {r.t: odds(r.bad, r.n - r.bad) for r in rows}, odds(*rest), math.log((n_bad + 1) / (n_pages - n_bad + 1))
+def tokens(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, path, n, tokens) of the distinct hosts and paths of pages: the host's words, then the path's, numbers as one token; a table."""
+    pairs = pages.groupBy("host", "path").agg(F.count("*").alias("n"))
+    words = host_words(pages.select("host").distinct(), counts)
+    of_path = F.transform(F.regexp_extract_all("path", F.lit(_PART), 1), lambda x: F.when(x.rlike("^[0-9]+$"), F.lit("p:0")).otherwise(F.concat(F.lit("p:"), F.lower(x))))
+    of_host = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda x: F.concat(F.lit("h:"), x))
+    return cut(pairs.join(words, "host", "left").select("host", "path", "n", F.concat(of_host, of_path).alias("tokens")), "urls")
+
+
+def train(pairs: DataFrame) -> tuple[DataFrame, float]:
+    """(t, n, odds) of all tokens, a table, and the log-odds of a page.
+
+    odds is the token's log-odds of bad over good, with one added to its counts of each. A page is bad
+    for a token if its host holds a seed other than that token.
+    """
+    seeds = F.array(*[F.lit("h:" + w) for w in SEEDS])
+    marked = pairs.select("n", "tokens", F.size(F.array_intersect("tokens", seeds)).alias("seeds"))
+    pages, bad_pages = marked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("seeds") > 0, F.col("n"))), F.lit(0))).first()
+    each = marked.select("n", "seeds", F.explode("tokens").alias("t"))
+    bad = F.col("seeds") - F.when(F.col("t").isin(*["h:" + w for w in SEEDS]), 1).otherwise(0) > 0
+    by = cut(each.groupBy("t").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("bad")), "tokens")
+    total, total_bad, v = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0)), F.count("*")).first()
+    odds = F.log((F.col("bad") + 1) / (total_bad + v + 1)) - F.log((F.col("n") - F.col("bad") + 1) / (total - total_bad + v + 1))
+    return by.select("t", "n", odds.alias("odds")), math.log((bad_pages + 1) / (pages - bad_pages + 1))
+
+
+def score_pairs(pairs: DataFrame, odds: DataFrame, prior: float) -> DataFrame:
+    """(host, path, words, score): each pair's log-odds, the prior and those of its tokens, repeats included."""
+    total = odds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    each = pairs.select("host", "path", F.explode("tokens").alias("t"))
+    often = odds.where(F.col("n") >= FREQUENT * total).select("t", "odds")
+    there = each.join(F.broadcast(often), "t", "left")
+    rare = there.where("odds is null").drop("odds").join(odds.where(F.col("n") < FREQUENT * total).select("t", "odds"), "t")
+    # Tokens of each kind are summed up before the two meet.
+    sums = [x.groupBy("host", "path").agg(F.sum("odds").alias("odds")) for x in (there.where("odds is not null"), rare)]
+    score = sums[0].unionByName(sums[1]).groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    return pairs.join(score, ["host", "path"], "left").select("host", "path", F.col("tokens").alias("words"), F.round(F.coalesce("odds", F.lit(0.0)) + prior, 9).alias("score"))
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -133,13 +164,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", text: s
     those without :// have empty host and path, and only the prior speaks. Repeated rows count each.
     """
     base = pages.select(F.col(key).alias("id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    split = cut(tokens(base, word_counts(pages, text)), "urls")
-    shared = pages.sparkSession.sparkContext.broadcast(train(split))
-
-    def score(batch: pa.RecordBatch) -> list:
-        odds, other, prior = shared.value
-        return [[prior + sum(odds.get(t, other) for t in row) for row in batch.column("tokens").to_pylist()]]
-
-    scored = add_columns(split, "score double", score).withColumn("_rule", rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules))
-    verdict = F.coalesce(F.col("_rule.action"), F.when(F.col("score") > THRESHOLD, "block").otherwise("allow"))
-    return scored.select(F.col("id").alias(key), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.col("tokens").alias("words"), "score")
+    pairs = tokens(base, word_counts(pages, text))
+    scored = base.join(score_pairs(pairs, *train(pairs)), ["host", "path"]).withColumn("fits", rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules))
+    verdict = F.coalesce(F.col("fits.action"), F.when(F.col("score") > THRESHOLD, "block").otherwise("allow"))
+    return scored.select(F.col("id").alias(key), "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"), "words", "score")

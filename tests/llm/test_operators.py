@@ -119,17 +119,55 @@ def test_mixing(docs, empty):
 
 def test_urls(spark):
     data = [(1, "http://example.com/en/7x?q", ""), (2, "https://a.example.com/en/8", ""), (3, "http://Spam-Farm.example.org/de/1", "good words"), (4, None, None), (5, "nothing", ""), (5, "nothing", ""), (6, "http://goodwords.example.net/de/812", "good words good words"), (7, "http://notcom/en/7", ""), (8, "://", "")]
-    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("host", F.lit("mine")).withColumn("tokens", F.lit(1))
     got = {r.page_id: r for r in urls.judge_urls(pages).collect()}
     assert (got[1].rule, got[1].verdict, got[1].path) == ("example.com/en/7", "allow", "/en/7x")
     assert (got[2].rule, got[2].verdict) == ("com/en/", "block")
-    assert (got[3].host, got[3].rule, got[3].verdict) == ("spam-farm.example.org", None, "block")
+    assert (got[3].host, got[3].rule, got[3].words) == ("spam-farm.example.org", None, ["h:spam", *got[3].words[1:]])
     assert (got[4].host, got[4].path, got[4].rule) == ("", "", None)
-    assert got[6].rule == "example.net/de/8" and "h:good" in got[6].words and "h:words" in got[6].words
+    assert got[6].rule == "example.net/de/8" and got[6].words[:2] == ["h:good", "h:words"] and got[6].words[-2:] == ["p:de", "p:0"]
     assert got[7].rule is None and urls.judge_urls(pages).count() == len(data)
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_names_are_split_as_the_best_of_all_ways():
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    logs = {w: math.log(rng.random()) - 2 for w in ("a", "b", "ab", "ba", "aba", "bb", "abb", "c")}
+    for _ in range(60):
+        name = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))
+        cost = lambda parts: sum(logs.get(p, -9.0) if p in logs or len(p) == 1 else -math.inf for p in parts)
+        ways = [[name[i:j] for i, j in zip([0, *cuts], [*cuts, len(name)], strict=True)] for k in range(len(name)) for cuts in itertools.combinations(range(1, len(name)), k)]
+        got = urls.split_name(name, logs, -9.0)
+        letters = [p for part in got for p in ([part] if part in logs else part)]
+        assert math.isclose(cost(letters), max(map(cost, ways))) and "".join(got) == name
+
+
+def test_url_scores_against_bayes_by_hand(spark, monkeypatch):
+    """What a seed makes bad is learned by other words only; rare and frequent tokens are scored alike."""
+    hosts = ["casino-win.com", "free-bets.net", "ads-track.com", "good-news.org", "news.com", "winter.net", "free-news.org"] + [f"site{i}.org" for i in range(20)]
+    data = [(i, f"http://{h}/{('a', 'b')[i % 2]}/{i}", f"<p>{h.replace('-', ' ')} news casino win</p>") for i, h in enumerate(hosts * 3)] + [(999, None, None)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = urls.judge_urls(pages, rules=[("allow", "unknown.zz", "/")]).collect()
+    seeds = {"h:" + w for w in urls.SEEDS}
+    n, bad, pages_bad = Counter(), Counter(), 0
+    for r in got:
+        pages_bad += bool(seeds & set(r.words))
+        for t in r.words:
+            n[t] += 1
+            bad[t] += bool(seeds & set(r.words) - {t})
+    total, total_bad = n.total(), bad.total()
+    odds = {t: math.log((bad[t] + 1) / (total_bad + len(n) + 1)) - math.log((n[t] - bad[t] + 1) / (total - total_bad + len(n) + 1)) for t in n}
+    prior = math.log((pages_bad + 1) / (len(got) - pages_bad + 1))
+    for r in got:
+        assert math.isclose(r.score, prior + sum(odds[t] for t in r.words), abs_tol=1e-6) and r.verdict == ("block" if r.score > 0 else "allow")
+    assert {r.host for r in got if r.verdict == "block"} == {"casino-win.com", "free-bets.net", "ads-track.com"}
+    monkeypatch.setattr(urls, "FREQUENT", 0.05)
+    assert {(r.page_id, r.score) for r in urls.judge_urls(pages, rules=[("allow", "unknown.zz", "/")]).collect()} == {(r.page_id, r.score) for r in got}
+
+
 def test_licenses(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(docs).collect()}
     assert (got[11, 5].base_labels, got[11, 5].labels, got[11, 5].first_word, got[11, 5].score) == ("mit", "mit", 3, 1.0)
@@ -139,6 +177,35 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(docs).count() == len(rows()) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_against_all_blocks(spark):
+    """Wrapped notices and single lines alike; near misses don't count; only A-Z are lower-cased."""
+    import random
+
+    rng = random.Random(8)
+    texts = []
+    for t in licenses.TEMPLATES:
+        w = t.split()
+        texts += [t, "\n".join(" ".join(w[i : i + 5]) for i in range(0, len(w), 5)), " ".join(w[: len(w) * 3 // 4]), "some text before " + " then ".join(t.split(" ", 3)) + " and after", " ".join(rng.sample(w, len(w)))]
+        texts.append(" ".join(x for word in w for x in (word, "x" * rng.randrange(1, 4)) if rng.random() < 0.8))
+    texts += ["the film was released under a hunting license", "all of us have rights and a table is reserved", "Licensed under CC BY 4.0", "MIT \u212aicense mit L\u0130cense", None, "", "all rights reserved " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    sets = licenses.template_rows()
+    for i, text in enumerate(texts):
+        w = licenses.word_list(text or "")
+        found = {}
+        for t, label, need, block in sets:
+            for k in range(len(w)):
+                n = len(set(w[k : k + block]) & set(t))
+                if n >= need:
+                    found[label] = max(found.get(label, 0), n / len(t))
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == base | set(found), text
+        assert math.isclose(got[i].score, 1.0 if base else max(found.values(), default=0.0)), text
+    plain = [got[len(licenses.TEMPLATES) * 6 + k] for k in range(6)]
+    assert [r.labels for r in plain] == ["", "", "cc-by", "", "", ""] and all(got[6 * k + 1].labels for k in range(len(licenses.TEMPLATES)))
+
+
 def test_quality_rules(docs, empty):
     got = {(r.doc_id, r.text): r for r in quality_rules.judge(docs).collect()}
     for (_, text), r in got.items():
@@ -407,6 +474,60 @@ def test_pivotal_rounding_keeps_fractions_and_each_sources_words(spark):
 CLASHES = "n at classes block ord _row _hits size tokens hits before rest id row key place c0 copies plan kept_text n_words source_size target"
 
 
+@pytest.mark.parametrize("segment", [1, 3, 512])
+def test_viterbi_against_all_paths(segment, monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rng = np.random.default_rng(segment)
+    sizes = [0, 1, 2, 7, 3, 0, 6, 8, 1]
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    scores = rng.normal(0, 2, (off[-1], 3)).astype(np.float32)
+    got = langid.label_words(scores, off, 1.5)
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        cost = lambda path: sum(float(scores[a + i, x]) for i, x in enumerate(path)) - 1.5 * sum(x != y for x, y in zip(path, path[1:], strict=False))  # noqa: B023, E731
+        best = max(itertools.product(range(3), repeat=b - a), key=cost)
+        assert math.isclose(cost(best), cost(tuple(got[a:b])), abs_tol=1e-4)
+
+
+def test_words_and_scripts_by_code_point():
+    import numpy as np
+
+    text = "\u201chello\u201d Việt-nam 12 \U00020000\u4e2d \u10d0\u10d1 \u1780\u17b6 abв\u0301г x\u0301 \u13a0"
+    data = np.frombuffer(text.encode(), np.uint8)
+    at, script = langid.scripts_of(data)
+    starts, ends, _, _, letters = langid.score_words(data, np.array([0, len(data)]), np.zeros((langid.GRAMS, 1), np.float32), np.ones((langid.N_SCRIPTS, 1), bool))
+    found = [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+    assert found == ["hello", "Việt", "nam", "\U00020000\u4e2d", "\u10d0\u10d1", "\u1780\u17b6", "abв\u0301г", "x\u0301", "\u13a0"]
+    names = [None, *langid.SCRIPTS, "other"]
+    kinds, n = langid.word_scripts(starts, at, script)
+    assert [names[k] for k in kinds] == ["latin", "latin", "latin", "han", "georgian", "khmer", "latin", "latin", "other"] and n.tolist() == letters.tolist() == [5, 4, 3, 2, 2, 1, 4, 1, 1]
+
+
+def test_punctuation_and_neighbouring_texts_change_no_label(spark):
+    english, viet = "the house is on the hill and that was with them ", "tiếng Việt là ngôn ngữ của người Việt và là ngôn ngữ chính thức "
+    train = spark.createDataFrame([(english * 5, "en"), (viet * 5, "vi")], "text string, lang string")
+    model = langid.fit(langid.train(train, F.lit(True)))
+    texts = ["\u201chouse\u201d \u201cwith\u201d \u2018them\u2019", viet, "\u2014 the hill \u2026", "12 \u201c\u201d", "\u0915\u093f"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["en", "vi", "en", "und", got[4].lang_pred] and got[0].score == got[2].score == 1.0 and got[4].lang_pred != "und"
+    alone = [langid.identify(spark.createDataFrame([(i, t)], "doc_id long, text string"), model).first() for i, t in enumerate(texts)]
+    assert [(r.lang_pred, r.score, r.spans) for r in got] == [(r.lang_pred, r.score, r.spans) for r in alone]
+
+
+def test_a_long_text_in_chunks_has_the_spans_of_its_parts(spark, monkeypatch):
+    english, french = "the house is on the hill and that was with them ", "les maisons sont dans la ville avec cette école "
+    train = spark.createDataFrame([(english * 5, "en"), (french * 5, "fr")], "text string, lang string")
+    model = langid.fit(langid.train(train, F.lit(True)))
+    text = english * 70_000 + french * 60_000 + english * 30_000  # three times two pieces
+    got = langid.identify(spark.createDataFrame([(1, text), (2, english)], "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()
+    edge = [len((english * 70_000).encode()), len((english * 70_000 + french * 60_000).encode())]
+    assert [(s.lang, s.start) for s in got[0].spans] == [("en", 0), ("fr", edge[0]), ("en", edge[1])] and got[0].lang_pred == "en"
+    assert [(s.lang, s.start, s.end) for s in got[1].spans] == [("en", 0, len(english) - 1)]
+
+
 def test_columns_with_the_names_of_inner_ones_pass_the_pipeline_unchanged(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     data = [(i, f"{' '.join(f'word{(i * 37 + k) % 997}x the and of' for k in range(12))} {PASSAGE if i % 5 == 0 else ''}", "en", f"s{i % 3}", 100) for i in range(40)]
