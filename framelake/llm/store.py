@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
