@@ -53,14 +53,31 @@ def add_noise(pix: str, key: str, sigma: float, seed: int = 9) -> Column:
 
 
 def augment(df: DataFrame, key: str, pix: str, w: int, h: int, copies: int = 3, seed: int = 4) -> DataFrame:
-    """`copies` rows of each tile, each with brightness, contrast and a small shift, or not, by a hash of key and copy."""
+    """`copies` rows of each tile, each with brightness, contrast, sharpness and a small affine map, or not, by a hash of key and copy.
+
+    Sharpness goes between the tile smoothed by nine neighbours (the middle one five times; edges
+    stay) and twice as far from it. The affine map takes a pixel from x + ax * x / 64 + ay * y / 64 +
+    dx / 8, and likewise from y, held inside, mixed from the four pixels around.
+    """
     rows = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     draw = lambda s, n: (F.floor(hashed(F.col(key) * copies + F.col("copy"), seed + s) / 13) % n).cast("int")
     half = lambda s, x, default: F.when(draw(s, 2) == 1, x).otherwise(default)
-    rows = rows.withColumns({"bright": half(1, draw(2, 41) - 20, 0), "contrast": half(3, (draw(4, 41) + 80) / 100.0, 1.0), "dy": half(5, draw(6, 3) - 1, 0), "dx": half(7, draw(8, 3) - 1, 0)})
-    place = f"cast(greatest(0, least({h - 1}, i div {w} + dy)) * {w} + greatest(0, least({w - 1}, i % {w} + dx)) as int)"
-    value = f"cast(greatest(0D, least(255D, floor(({pix}[{place}] - 128) * contrast + 128 + bright + 0.5D))) as int)"
-    return rows.withColumn("augmented", F.expr(f"transform(sequence(0, {w * h - 1}), i -> {value})"))
+    jitter = {"bright": half(1, draw(2, 41) - 20, 0), "contrast": half(3, (draw(4, 41) + 80) / 100.0, 1.0), "sharp": half(5, draw(6, 41) / 20.0, 1.0)}
+    affine = {c: half(7, draw(8 + i, n) - n // 2, 0) for i, (c, n) in enumerate({"ax": 5, "ay": 9, "bx": 9, "by": 5, "dx": 17, "dy": 17}.items())}
+    rows = rows.withColumns(jitter | affine)
+    byte = lambda e: f"cast(greatest(0D, least(255D, floor({e} + 0.5D))) as int)"
+    once = lambda e: F.explode(F.array(F.expr(e)))  # noqa: E731  # a generator's output is computed once however often later steps use it
+    coloured = rows.withColumn("_c", once(f"transform({pix}, p -> {byte('(p - 128) * contrast + 128 + bright')})"))
+    near = " + ".join(f"_c[i + {dy * w + dx}]" for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + " + 4 * _c[i]"
+    inner = f"i div {w} between 1 and {h - 2} and i % {w} between 1 and {w - 2}"
+    sharp = coloured.withColumn("_s", once(f"transform(_c, (p, i) -> if({inner}, {byte(f'({near}) / 13D + sharp * (p - ({near}) / 13D)')}, p))"))
+    x = f"greatest(0D, least({w - 1}D, i % {w} + ax * (i % {w}) / 64D + ay * (i div {w}) / 64D + dx / 8D))"
+    y = f"greatest(0D, least({h - 1}D, i div {w} + bx * (i % {w}) / 64D + by * (i div {w}) / 64D + dy / 8D))"
+    at = sharp.withColumn("_at", once(f"transform(sequence(0, {w * h - 1}), i -> struct({x} as x, {y} as y))"))
+    corner = lambda j, k: f"_s[cast(least({h - 1}, floor(a.y) + {j}) as int) * {w} + cast(least({w - 1}, floor(a.x) + {k}) as int)]"
+    fx, fy = "(a.x - floor(a.x))", "(a.y - floor(a.y))"
+    mixed = f"(1 - {fx}) * (1 - {fy}) * {corner(0, 0)} + {fx} * (1 - {fy}) * {corner(0, 1)} + (1 - {fx}) * {fy} * {corner(1, 0)} + {fx} * {fy} * {corner(1, 1)}"
+    return at.withColumn("augmented", F.expr(f"transform(_at, a -> {byte(mixed)})")).drop("_c", "_s", "_at")
 
 
 def make_training_pairs(tiles: DataFrame, key: str, pix: str, size: int, factor: int = 2, copies: int = 3) -> DataFrame:

@@ -10,8 +10,8 @@ def _byte(expr: str) -> Column:
     return F.expr(f"cast(greatest(0, least(255, {expr})) as int)")
 
 
-def yuv_to_rgb(df: DataFrame, method: str = "fixed") -> DataFrame:
-    """(frame_id, y, x, r, g, b): 'fixed' by shifted integers with rounding, 'float' truncated after clamping."""
+def rgb_of(method: str = "fixed") -> dict[str, Column]:
+    """r, g and b of luma, u and v: 'fixed' by shifted integers with rounding, 'float' truncated after clamping."""
     if method == "fixed":
         rgb = {
             "r": "luma + shiftright(1436 * (v - 128) + 512, 10)",
@@ -24,7 +24,12 @@ def yuv_to_rgb(df: DataFrame, method: str = "fixed") -> DataFrame:
             "g": "cast(luma - 0.344D * (u - 128) - 0.714D * (v - 128) as int)",
             "b": "cast(luma + 1.770D * (u - 128) as int)",
         }
-    return df.select("frame_id", "y", "x", *[_byte(e).alias(c) for c, e in rgb.items()])
+    return {c: _byte(e) for c, e in rgb.items()}
+
+
+def yuv_to_rgb(df: DataFrame, method: str = "fixed") -> DataFrame:
+    """(frame_id, y, x, r, g, b)."""
+    return df.select("frame_id", "y", "x", *[e.alias(c) for c, e in rgb_of(method).items()])
 
 
 def pack_rgb565(df: DataFrame) -> DataFrame:
@@ -42,11 +47,6 @@ def yuv_to_rgb565(df: DataFrame) -> DataFrame:
     return pack_rgb565(yuv_to_rgb(df, "float")).drop("r", "g", "b")
 
 
-def mask_rgb565(df: DataFrame) -> DataFrame:
-    """r, g, b with the bits cleared that 565 has no room for."""
-    return df.withColumns({"r": F.expr("r & 248"), "g": F.expr("g & 252"), "b": F.expr("b & 248")})
-
-
 def quantisation_loss(df: DataFrame) -> DataFrame:
     """(frame_id, mse) of masking to 565."""
     return df.groupBy("frame_id").agg(F.round(F.sum(F.expr("(r & 7) * (r & 7) + (g & 3) * (g & 3) + (b & 7) * (b & 7)")) / (F.count("*") * 3), 6).alias("mse"))
@@ -78,9 +78,9 @@ def inverse(matrix: tuple) -> list[list[float]]:
     return [[x / det for x in row] for row in co]
 
 
-def roundtrip_error(df: DataFrame, matrix: str = "bt601") -> DataFrame:
-    """(frame_id, worst): largest error of a channel after RGB to YUV and back."""
-    back = [F.expr(" + ".join(f"{w!r}D * {c}" for w, c in zip(row, ("luma", "u", "v"), strict=True))) for row in inverse(MATRICES[matrix])]
+def roundtrip_error(df: DataFrame, matrix: str = "bt601", inverse_of: str | None = None) -> DataFrame:
+    """(frame_id, worst): largest error of a channel after RGB to YUV and back, by the inverse of the same matrix or of another."""
+    back = [F.expr(" + ".join(f"{w!r}D * {c}" for w, c in zip(row, ("luma", "u", "v"), strict=True))) for row in inverse(MATRICES[inverse_of or matrix])]
     forward = [" + ".join(f"{w}D * {c}" for w, c in zip(row, "rgb", strict=True)) for row in MATRICES[matrix]]
     made = df.withColumns({n: F.expr(e) for n, e in zip(("luma", "u", "v"), forward, strict=True)})
     return made.groupBy("frame_id").agg(F.max(F.greatest(*[F.abs(e - F.col(c)) for e, c in zip(back, "rgb", strict=True)])).alias("worst"))
@@ -163,6 +163,10 @@ def prelu(df: DataFrame, slopes: DataFrame, value: str = "v") -> DataFrame:
     return df.join(F.broadcast(slopes), "c").withColumn(value, F.when(F.col(value) >= 0, F.col(value) * 4096).otherwise(F.col(value) * F.col("a"))).drop("a")
 
 
+def relu(df: DataFrame, value: str = "v") -> DataFrame:
+    return df.withColumn(value, F.greatest(F.lit(0), F.col(value)))
+
+
 def format_duration(seconds: Column) -> Column:
     """h:mm:ss."""
     s = seconds.cast("long")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resample import axis_matrix, map_tiles
+
 
 def conv2d(fmap: DataFrame, weights: DataFrame, k: int, size: int) -> DataFrame:
     """(patch_id, c, y, x, v): zero-padded convolution of (patch_id, c, y, x, v) of size x size maps.
@@ -43,8 +42,33 @@ def pad(fmap: DataFrame, by: int, size: int) -> DataFrame:
     return spread.select("patch_id", "c", F.col("ny").cast("int").alias("y"), F.col("nx").cast("int").alias("x"), F.expr(f"if(ny = y + {by} and nx = x + {by}, v, 0)").alias("v"))
 
 
-def add_bias(fmap: DataFrame, bias: DataFrame) -> DataFrame:
-    return fmap.join(F.broadcast(bias), "c").withColumn("v", F.col("v") + F.col("b")).drop("b")
+def convolve(df: DataFrame, pix: str, out: str, size: int, weights: np.ndarray, bias: np.ndarray | None = None, slopes: np.ndarray | None = None, up: bool = False) -> DataFrame:
+    """df with out: one layer over the channel planes in pix, exact in integers; no pixel leaves its row.
+
+    weights (out, in, k, k), bias and slopes are integers in units of 2**-12. With slopes the result is
+    in units of 2**-24: what is below zero has its channel's slope. up is a transposed convolution
+    that doubles the size. conv2d() and conv_transpose2d() do the same over rows of pixels.
+    """
+    exact = (weights[:, :, ::-1, ::-1] if up else weights).astype(float)  # each pixel scatters the kernel; sums stay below 2**53
+
+    def kernel(pixels: np.ndarray) -> np.ndarray:
+        x = pixels.astype(float).reshape(len(pixels), -1, size, size)
+        y = np.rint((_conv_up if up else _conv)(x, exact)).astype(np.int64)
+        if bias is not None:
+            y = y + bias[:, None, None]
+        if slopes is not None:
+            y = np.where(y >= 0, y * 4096, y * slopes[:, None, None])
+        return y.reshape(len(x), -1)
+
+    return map_tiles(df, pix, out, kernel, "bigint")
+
+
+def narrow_convolve(pixels: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """(tiles, values): as convolve(), but each product of a pixel and a weight loses its 12 last bits before it is added."""
+    x, k = pixels.reshape(len(pixels), -1, size, size), weights.shape[2]
+    p = np.pad(x.astype(np.int64), ((0, 0), (0, 0), (k // 2, k // 2), (k // 2, k // 2)))
+    parts = [(p[:, None, :, ky : ky + size, kx : kx + size] * weights[:, :, ky, kx, None, None] >> 12).sum(2) for ky in range(k) for kx in range(k)]
+    return sum(parts).reshape(len(x), -1)
 
 
 def collapse_weights(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -53,27 +77,33 @@ def collapse_weights(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(two, ["layer", "out_ch"]).groupBy("layer", F.col("o").alias("out_ch"), "in_ch", "ky", "kx").agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
 
 
-#: Layers as (kind, in, out, kernel): 'conv', or 'up' for a transposed convolution that doubles the size.
+#: Layers as (kind, in, out, kernel): 'conv', or 'up' for a transposed convolution that doubles the size; 'mark' keeps
+#: what comes in, 'add' adds it again, 'shuffle' turns channels into pixels.
 SMALL = [("conv", 3, 16, 5), ("conv", 16, 12, 1), ("conv", 12, 12, 3), ("conv", 12, 12, 3), ("conv", 12, 8, 3), ("conv", 8, 8, 1), ("up", 8, 3, 7)]
 LUMA = [("conv", 1, 56, 5), ("conv", 56, 12, 1), *[("conv", 12, 12, 3)] * 4, ("conv", 12, 56, 1), ("up", 56, 1, 9)]
-RESIDUAL = [("conv", 1, 8, 3), *[("res", 8, 8, 3)] * 6, ("conv", 8, 4, 3), ("shuffle", 4, 1, 2)]
-SPECS = {"small": SMALL, "luma": LUMA, "residual": RESIDUAL}
+COLOUR = [("conv", 3, 56, 5), *LUMA[1:-1], ("up", 56, 3, 9)]
+RESIDUAL = [("conv", 3, 64, 3), *[("conv", 64, 64, 3)] * 6, ("mark", 64, 64, 0), *[("conv", 64, 64, 3)] * 6, ("add", 64, 64, 0), ("conv", 64, 12, 3), ("shuffle", 12, 3, 2)]
+SPECS = {"small": SMALL, "luma": LUMA, "colour": COLOUR, "residual": RESIDUAL}
 
 
-def network_weights(spec: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def network_weights(spec: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
     """(weights, bias, slopes) of each layer by a formula of their place, of a size that keeps values from dying out over the layers.
 
-    A layer that is added to its input ('res') gets less, one whose inputs stand two apart ('up')
-    more. The last 'up' layer lifts its output to mid-grey.
+    A layer whose inputs stand two apart ('up') gets more. The last 'up' layer lifts its output to
+    mid-grey. A layer of the small network has a slope for each channel, the others one for all; the
+    residual network cuts off below zero.
     """
-    out = []
-    last = max(at for at, x in enumerate(spec) if x[0] != "shuffle")
+    out: list[tuple | None] = []
+    last = max(at for at, x in enumerate(spec) if x[0] in ("conv", "up"))
     for layer, (kind, i, o, k) in enumerate(spec):
+        if kind not in ("conv", "up"):
+            out.append(None)
+            continue
         n = np.arange(o * i * k * k, dtype=np.int64)
         h = ((n % 1000003) * 48271 + (layer + 1) * 69621) % 2147483647
-        gain = {"res": 1, "up": 24}.get(kind, 6)
-        w = ((h % 2049 - 1024) / 1024 * np.sqrt(gain / (i * k * k))).astype(np.float32).reshape(o, i, k, k)
-        out.append((w, np.full(o, 0.4 if layer == last and kind == "up" else 0, np.float32), np.full(o, 0.25, np.float32)))
+        w = ((h % 2049 - 1024) / 1024 * np.sqrt({"up": 24}.get(kind, 6) / (i * k * k))).astype(np.float32).reshape(o, i, k, k)
+        slopes = 0.25 + np.arange(o) % 4 / 16 if spec is SMALL else np.full(o, 0.0 if spec is RESIDUAL else 0.25 + layer / 64)
+        out.append((w, np.full(o, 0.4 if layer == last and kind == "up" else 0, np.float32), slopes.astype(np.float32)))
     return out
 
 
@@ -95,7 +125,7 @@ def _conv_up(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     (n, c, h, wd), (o, _, k, _) = x.shape, w.shape
     parts = (w.transpose(2, 3, 0, 1).reshape(-1, c) @ x.reshape(n, c, h * wd)).reshape(n, k, k, o, h, wd)
     border = k // 2
-    out = np.zeros((n, o, 2 * (h + border), 2 * (wd + border)), np.float32)
+    out = np.zeros((n, o, 2 * (h + border), 2 * (wd + border)), x.dtype)
     for ky in range(k):
         for kx in range(k):
             y0, x0 = 2 * border - ky, 2 * border - kx
@@ -103,40 +133,45 @@ def _conv_up(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out[:, :, border : border + 2 * h, border : border + 2 * wd]
 
 
-def run_network(x: np.ndarray, spec: list[tuple], weights: list[tuple]) -> np.ndarray:
-    """Network over a batch (n, channels, h, w) of floats; the last layer has no activation."""
-    for at, ((kind, _, out, k), (w, b, a)) in enumerate(zip(spec, weights, strict=True)):
+def run_network(x: np.ndarray, spec: list[tuple], weights: list[tuple | None], fraction: int = 0) -> np.ndarray:
+    """Network over a batch (n, channels, h, w) of floats; the last layer has no activation.
+
+    With fraction, weights and each layer's sums and activations are cut to so many binary places,
+    as fixed-point numbers of a wide accumulator are.
+    """
+    cut = (lambda v: np.floor(v * (1 << fraction)) / (1 << fraction)) if fraction else (lambda v: v)
+    last = max(at for at, layer in enumerate(spec) if layer[0] in ("conv", "up"))
+    kept = x
+    for at, ((kind, _, _, k), layer) in enumerate(zip(spec, weights, strict=True)):
         if kind == "shuffle":
             n, c, h, wd = x.shape
             x = x.reshape(n, c // (k * k), k, k, h, wd).transpose(0, 1, 4, 2, 5, 3).reshape(n, c // (k * k), h * k, wd * k)
-            continue
-        y = _conv_up(x, w) if kind == "up" else _conv(x, w)
-        y += b[:, None, None]
-        if at < len(spec) - 1:
-            y = np.where(y >= 0, y, y * a[:, None, None])
-        x = x + y if kind == "res" else y
+        elif kind == "mark":
+            kept = x
+        elif kind == "add":
+            x = x + kept
+        else:
+            w, b, a = layer
+            y = cut((_conv_up if kind == "up" else _conv)(x, cut(w)) + cut(b)[:, None, None])
+            x = cut(np.where(y >= 0, y, y * cut(a)[:, None, None])) if at < last else y
     return x
 
 
-def score_tiles(tiles: DataFrame, pix: str, size: int, spec: str = "small", scale: int = 256, batch: int = 16) -> DataFrame:
+def score_tiles(tiles: DataFrame, pix: str, size: int, spec: str = "small", scale: int = 256, batch: int = 16, fraction: int = 0) -> DataFrame:
     """tiles with out: the network over column pix (channel planes in one array), twice as wide and high, 0..255, saturated.
 
-    Only tiles that need the network should come here: batches go to Python by Arrow.
+    The residual network's output is added to its input upscaled by cubic convolution. Only tiles
+    that need the network should come here: batches go to Python by Arrow.
     """
     layers = SPECS[spec]
     weights = tiles.sparkSession.sparkContext.broadcast(network_weights(layers))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema.fields if f.name != "out") + ", out array<int>"
-    channels = layers[0][1]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for i in range(0, len(f), batch):
-                x = np.stack(f[pix].iloc[i : i + batch].to_list()).astype(np.float32).reshape(-1, channels, size, size) / scale
-                y = run_network(x, layers, weights.value)
-                if spec == "residual":
-                    y = y + np.repeat(np.repeat(x, 2, 2), 2, 3)
-                out += list(np.clip(np.floor(y * scale), 0, 255).astype(np.int32).reshape(len(x), -1))
-            yield f.drop(columns="out", errors="ignore").assign(out=out)
-
-    return tiles.mapInPandas(run, schema)
+    channels, wide = layers[0][1], axis_matrix(size, 2 * size, "cubic").astype(np.float32)
+
+    def kernel(pixels: np.ndarray) -> np.ndarray:
+        x = pixels.astype(np.float64 if fraction else np.float32).reshape(-1, channels, size, size) / scale
+        y = run_network(x, layers, weights.value, fraction)
+        if spec == "residual":
+            y = y + wide @ x @ wide.T
+        return np.clip(np.floor(y * scale), 0, 255).reshape(len(x), -1)
+
+    return map_tiles(tiles, pix, "out", kernel, "int", batch)

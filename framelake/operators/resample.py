@@ -10,22 +10,35 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from ..sources.frames import list_column
 
 ROUNDINGS = {"half_away": lambda x: np.floor(x + 0.5), "half_even": np.rint, "trunc": np.floor}
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """(rows, values) of a column of arrays of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def map_tiles(df: DataFrame, pix: str, out: str, kernel: Callable[[np.ndarray], np.ndarray], kind: str = "int", batch: int = 256) -> DataFrame:
-    """df with out: kernel of the (tiles, pixels) matrix of column pix, as integers or doubles."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != out) + f", `{out}` array<{kind}>"
+    """df with out: kernel of the (tiles, pixels) matrix of column pix, as integers, long ones or doubles."""
+    kept = [c for c in df.columns if c != out]
+    made = T.ArrayType({"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()}[kind])
+    dtype = {"int": np.int32, "bigint": np.int64, "double": np.float64}[kind]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, made)])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [list(kernel(np.stack(f[pix].iloc[i : i + batch].to_list())).astype(np.int32 if kind == "int" else float)) for i in range(0, len(f), batch)]
-            yield f.drop(columns=out, errors="ignore").assign(**{out: [x for part in made for x in part]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, batch):
+                part = whole.slice(i, batch)
+                values = kernel(matrix(part.column(pix))).astype(dtype)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], list_column(values)], names=[*kept, out])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _axis(n: int, m: int, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +53,7 @@ def _axis(n: int, m: int, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def upscale_bilinear(df: DataFrame, pix: str, out: str, w: int, h: int, scale: int = 2, mode: str = "align", rounding: str = "half_away") -> DataFrame:
-    """df with the tile in pix upscaled; 'fixed12' is bit-exact in 12 fraction bits, each product truncated."""
+    """df with the tile in pix upscaled, each channel plane on its own; 'fixed12' is bit-exact in 12 fraction bits, each product truncated."""
     (x0, x1, dx), (y0, y1, dy) = _axis(w, w * scale, mode), _axis(h, h * scale, mode)
     dy = dy[:, None]
 
@@ -49,9 +62,9 @@ def upscale_bilinear(df: DataFrame, pix: str, out: str, w: int, h: int, scale: i
         corner = [t[:, y][:, :, x] for y in (y0, y1) for x in (x0, x1)]
         if mode == "fixed12":
             weights = [(4096 - dx) * (4096 - dy) // 4096, dx * (4096 - dy) // 4096, (4096 - dx) * dy // 4096, dx * dy // 4096]
-            return (sum(a * b for a, b in zip(weights, corner, strict=True)) // 4096).reshape(len(t), -1)
+            return (sum(a * b for a, b in zip(weights, corner, strict=True)) // 4096).reshape(len(tiles), -1)
         weights = [(1 - dx) * (1 - dy), dx * (1 - dy), (1 - dx) * dy, dx * dy]
-        return ROUNDINGS[rounding](sum(a * b for a, b in zip(weights, corner, strict=True))).reshape(len(t), -1)
+        return ROUNDINGS[rounding](sum(a * b for a, b in zip(weights, corner, strict=True))).reshape(len(tiles), -1)
 
     return map_tiles(df, pix, out, kernel)
 
@@ -98,15 +111,17 @@ def axis_taps(n: int, m: int, kind: str) -> list[list[tuple[int, float]]]:
     return out
 
 
-def _separable(df: DataFrame, pix: str, out: str, w: int, h: int, ow: int, oh: int, kind: str, rounding: str) -> DataFrame:
-    def matrix(n: int, m: int) -> np.ndarray:
-        made = np.zeros((m, n))
-        for o, row in enumerate(axis_taps(n, m, kind)):
-            for i, weight in row:
-                made[o, i] = weight
-        return made
+def axis_matrix(n: int, m: int, kind: str) -> np.ndarray:
+    """axis_taps() as an (m, n) matrix."""
+    made = np.zeros((m, n))
+    for o, row in enumerate(axis_taps(n, m, kind)):
+        for i, weight in row:
+            made[o, i] = weight
+    return made
+
 
-    across, down = matrix(w, ow), matrix(h, oh)
+def _separable(df: DataFrame, pix: str, out: str, w: int, h: int, ow: int, oh: int, kind: str, rounding: str) -> DataFrame:
+    across, down = axis_matrix(w, ow, kind), axis_matrix(h, oh, kind)
 
     def kernel(tiles: np.ndarray) -> np.ndarray:
         t = tiles.reshape(-1, h, w).astype(float)
@@ -123,3 +138,41 @@ def upscale_bicubic(df: DataFrame, pix: str, out: str, w: int, h: int, scale: in
 def downscale(df: DataFrame, pix: str, out: str, w: int, h: int, factor: int = 2, rounding: str = "half_away") -> DataFrame:
     """df with the tile in pix shrunk by Lanczos of three lobes."""
     return _separable(df, pix, out, w, h, w // factor, h // factor, "lanczos", rounding)
+
+
+def yuyv_planes(df: DataFrame, data: str = "data", out: str = "rgb") -> DataFrame:
+    """df with out: a YUYV tile's bytes as planes of red, green and blue, by the shifted integers of color.rgb_of()."""
+
+    def kernel(tiles: np.ndarray) -> np.ndarray:
+        quad = tiles.reshape(len(tiles), -1, 4).astype(np.int64)
+        luma = quad[:, :, [0, 2]].reshape(len(tiles), -1)
+        u, v = (np.repeat(quad[:, :, i] - 128, 2, axis=1) for i in (1, 3))
+        shift = lambda x: (x + 512) >> 10
+        rgb = [luma + shift(1436 * v), luma - shift(352 * u) - shift(732 * v), luma + shift(1811 * u)]
+        return np.clip(np.concatenate(rgb, axis=1), 0, 255)
+
+    return map_tiles(df, data, out, kernel)
+
+
+def pack_planes(df: DataFrame, rgb: str, out: str) -> DataFrame:
+    """df with out: planes of red, green and blue as one plane of rgb565 words."""
+
+    def kernel(tiles: np.ndarray) -> np.ndarray:
+        r, g, b = tiles.reshape(len(tiles), 3, -1).transpose(1, 0, 2)
+        return (r & 248) << 8 | (g & 252) << 3 | b >> 3
+
+    return map_tiles(df, rgb, out, kernel)
+
+
+def tile_digest(tiles: DataFrame, w: int, h: int) -> DataFrame:
+    """(frame_id, n, v_sum, v_mix) of tiles (frame_id, tile_y, out): number, sum and place-weighted sum of each tile's values in its frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(h)[:, None] * 37 + np.arange(w) * 101
+        for b in batches:
+            if b.num_rows:
+                out, top = matrix(b.column("out")).astype(np.int64), b.column("tile_y").to_numpy().astype(np.int64) * (h * 37)
+                mix = (out * ((place.ravel() + top[:, None]) % 97)).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column("frame_id"), pa.array(np.full(len(out), w * h)), pa.array(out.sum(1)), pa.array(mix)], names=["frame_id", "n", "v_sum", "v_mix"])
+
+    return tiles.mapInArrow(run, "frame_id long, n long, v_sum long, v_mix long")

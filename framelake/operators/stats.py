@@ -46,10 +46,12 @@ def route_summary(tiles: DataFrame, keys: list[str]) -> DataFrame:
     return tiles.groupBy(*keys).agg(F.count("*").alias("n_tiles"), cnn.alias("n_cnn"), (F.count("*") - cnn).alias("n_interp"))
 
 
-def tile_report(tiles: DataFrame, threshold: float = 1000) -> DataFrame:
-    """A line for each tile, with the name its crop would have; halves in the name's figure go to the even digit."""
-    name = F.format_string("crop_%d_%d_%s_var%.2f", "tile_y", F.lit(0), "route", F.bround("variance", 2))
-    return tiles.select("frame_id", "tile_y", "route", "variance", F.lit(float(threshold)).alias("threshold"), name.alias("name"))
+def tile_report(tiles: DataFrame, threshold: float = 1000, size: int = 32) -> DataFrame:
+    """A line for each tile (frames one tile wide have no tile_x), with its place and the name its crop would have; halves in the name's figure go to the even digit."""
+    x = F.col("tile_x") if "tile_x" in tiles.columns else F.lit(0)
+    name = F.format_string("crop_%d_%d_%s_var%.2f", "tile_y", x, "route", F.bround("variance", 2))
+    place = [(F.col("tile_y") * size).alias("src_y"), (x * size).cast("int").alias("src_x"), F.lit(size).alias("size")]
+    return tiles.select("frame_id", "tile_y", x.cast("int").alias("tile_x"), *place, "route", "variance", F.lit(float(threshold)).alias("threshold"), name.alias("name"))
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -110,12 +112,12 @@ def tile_pca(tiles: DataFrame, array: str, k: int = 2) -> DataFrame:
 
 
 def progress(df: DataFrame, run: str, order: list[str], ts: str) -> DataFrame:
-    """done, total, percent, elapsed and remaining seconds at each row of a run."""
+    """done, total, percent, elapsed and remaining seconds and rows a second at each row of a run; no rate before any time has passed."""
     w = Window.partitionBy(run).orderBy(*order)
     all_ = Window.partitionBy(run)
     done, total = F.row_number().over(w), F.count("*").over(all_)
     elapsed = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.min(ts).over(all_).cast("timestamp"))) / 1e6
-    out = df.withColumns({"done": done.cast("long"), "total": total, "elapsed": elapsed})
+    out = df.withColumns({"done": done.cast("long"), "total": total, "elapsed": elapsed}).withColumn("rate", F.when(F.col("elapsed") > 0, F.round(F.col("done") / F.col("elapsed"), 6)))
     return out.withColumns({"percent": F.round(100.0 * F.col("done") / F.col("total"), 6), "remaining": F.round(F.col("elapsed") / F.col("done") * (F.col("total") - F.col("done")), 6), "elapsed": F.round("elapsed", 6)})
 
 
@@ -143,10 +145,17 @@ def assemble_packets(beats: DataFrame, expected: int) -> DataFrame:
 # --- sorts, samples, splits --------------------------------------------------------------------
 
 
+def natural_key(col: str) -> Column:
+    """Sorts names by their runs of digits as numbers, of any length, and by what stands between them."""
+    parts = F.regexp_extract_all(col, F.lit(r"(\d+|\D+)"), 1)
+    number = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    is_number = lambda x: x.rlike(r"^\d")
+    return F.transform(parts, lambda x: F.struct((~is_number(x)).alias("text"), F.when(is_number(x), F.length(number(x))).otherwise(0).alias("digits"), F.when(is_number(x), number(x)).otherwise(x).alias("part")))
+
+
 def natural_rank(df: DataFrame, col: str) -> DataFrame:
-    """df with rank: names in order of their prefix, then of the first number in them."""
-    keyed = df.withColumns({"_p": F.regexp_extract(col, r"^(\D*)", 1), "_n": F.try_to_number(F.regexp_extract(col, r"(\d+)", 1), F.lit("999999999")).cast("long")})
-    return numbered(keyed, ["_p", "_n", col], "rank").drop("_p", "_n")
+    """df with rank: names in natural order, those that differ by leading zeros only as they are."""
+    return numbered(df, [natural_key(col), F.col(col)], "rank")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -181,6 +190,17 @@ def scoreboard(expected: DataFrame, actual: DataFrame, trial: str, place: list[s
     return e.join(a, [trial, *place], "full_outer").groupBy(trial).agg(F.count("*").alias("n"), F.count_if(~good).alias("n_wrong"), F.bool_and(good).alias("passed"))
 
 
+def scoreboard_of(pairs: DataFrame, trial: str, tol: int) -> DataFrame:
+    """As scoreboard() of expected and actual values that stand side by side."""
+    good = F.coalesce(F.abs(F.col("expected") - F.col("actual")) <= tol, F.lit(False))
+    return pairs.groupBy(trial).agg(F.count("*").alias("n"), F.count_if(~good).alias("n_wrong"), F.bool_and(good).alias("passed"))
+
+
+def mismatches(pairs: DataFrame, tol: int) -> DataFrame:
+    """The pairs that are further apart than tol or lack a side."""
+    return pairs.where(~F.coalesce(F.abs(F.col("expected") - F.col("actual")) <= tol, F.lit(False)))
+
+
 def tolerance_sweep(errors: DataFrame, trial: str, error: str, tols: list[int]) -> DataFrame:
     """(tol, n_trials, n_passed) from each trial's worst error."""
     worst = errors.groupBy(trial).agg(F.max(error).alias("worst"))

@@ -106,3 +106,10 @@ def rotate90(pixels: DataFrame, k: str, size: int) -> DataFrame:
     """Square tiles turned k times by 90 degrees counter-clockwise; k is an expression of the row."""
     turned = {"_y": F.expr(f"case pmod({k}, 4) when 0 then y when 1 then {size - 1} - x when 2 then {size - 1} - y else x end"), "_x": F.expr(f"case pmod({k}, 4) when 0 then x when 1 then y when 2 then {size - 1} - x else {size - 1} - y end")}
     return pixels.withColumns(turned).drop("y", "x").withColumnsRenamed({"_y": "y", "_x": "x"})
+
+
+def stitch_rows(tiles: DataFrame, out: str, w: int, h: int) -> DataFrame:
+    """(frame_id, width, height, data) of frames one tile wide: their tiles' planes (w x h values in out) one below the other, a frame a row."""
+    ordered = F.array_sort(F.collect_list(F.struct("tile_y", out)))
+    whole = tiles.groupBy("frame_id").agg(F.flatten(F.transform(ordered, lambda x: x[out])).alias("data"), (F.count("*") * h).cast("int").alias("height"))
+    return whole.select("frame_id", F.lit(w).alias("width"), "height", "data")

@@ -46,6 +46,13 @@ def planes(df: DataFrame, col: str, width: int, key: str = "patch_id") -> DataFr
     return df.select(key, F.posexplode(col).alias("i", "v")).select(key, F.expr(f"i div {width}").alias("y"), F.expr(f"i % {width}").alias("x"), "v")
 
 
+def channel_digest(df: DataFrame, size: int, key: str = "patch_id") -> DataFrame:
+    """Digest by channel of channel planes of size x size (out)."""
+    n = size * size
+    pixels = df.select(key, F.posexplode("out").alias("i", "v")).select(key, F.expr(f"cast(i div {n} as int)").alias("c"), F.expr(f"i % {n} div {size}").alias("y"), F.expr(f"i % {size}").alias("x"), "v")
+    return digest(pixels, "v", f"{key}, c")
+
+
 def fresh(s: SparkSession, name: str) -> str:
     return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
 
@@ -63,8 +70,8 @@ _NAMES = "SELECT p_partkey, concat(CASE WHEN p_partkey % 7 = 0 THEN '.' ELSE ''
 
 
 def names(s: SparkSession, d: str) -> DataFrame:
-    src.table(s, d, "part").createOrReplaceTempView("_part_names")
-    return s.sql(_NAMES.replace("FROM part", "FROM _part_names"))
+    ending = "CASE p_partkey % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.txt' WHEN 3 THEN '.jpeg' ELSE '.bmp' END"
+    return src.table(s, d, "part").selectExpr("p_partkey", f"concat(CASE WHEN p_partkey % 7 = 0 THEN '.' ELSE '' END, 'img', p_partkey, {ending}) AS name", "p_size")
 
 
 @query("s2_scan_images", f"SELECT name FROM ({_NAMES}) WHERE regexp_matches(lower(name), '\\.(png|jpg|jpeg|bmp|webp)$') AND name NOT LIKE '.%'")
@@ -98,13 +105,6 @@ def s4(s: SparkSession, d: str) -> DataFrame:
     return src.zip_by_position(p.where("p_size <= 25").select(F.col("p_partkey").alias("a")), p.where("p_size > 25").select(F.col("p_partkey").alias("b")), ["a"], ["b"])
 
 
-@query("s5_training_set")
-def s5(s: SparkSession, d: str) -> DataFrame:
-    path = fresh(s, "training")
-    src.write_training_set(stats.split(augment.make_training_pairs(src.patches(s, d), "patch_id", "pix", 8), "patch_id"), path)
-    return s.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
-
-
 @query("s6_frame_dump", f"WITH {q.TILES} SELECT frame_id, md5(array_to_string(list_transform(data[1:k * 2048], lambda b: printf('%02x', b)), '')) AS dump_md5 FROM frames WHERE k > 0")
 def s6(s: SparkSession, d: str) -> DataFrame:
     hexed = F.expr("array_join(transform(slice(data, 1, k * 2048), b -> lpad(lower(hex(b)), 2, '0')), '')")
@@ -128,13 +128,13 @@ def s8(s: SparkSession, d: str) -> DataFrame:
     return src.flip_transposed(patch_weights(s, d), 4)
 
 
-@query("s9_append_metrics")
+@query("s9_append_metrics", f"WITH {q.EVENTS}, g AS (SELECT status AS run, stream, avg(value) AS value FROM ev GROUP BY ALL) SELECT run, tag, count(*) AS n, round(sum(value), 4) AS total FROM g, (VALUES ('loss'), ('rate')) t(tag) GROUP BY run, tag")
 def s9(s: SparkSession, d: str) -> DataFrame:
     path = fresh(s, "metrics")
     ev = src.frame_events(s, d)
     for tag in ("loss", "rate"):
         src.append_metrics(ev.groupBy(F.col("status").alias("run"), F.col("stream").alias("step")).agg(F.avg("value").alias("value")).withColumn("tag", F.lit(tag)), path)
-    return s.read.parquet(path).groupBy("run", "tag").agg(F.count("*").alias("n"))
+    return s.read.parquet(path).groupBy("run", "tag").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 # --- colour and values -------------------------------------------------------------------------
@@ -200,9 +200,14 @@ for _m in ("bt601", "rounded"):
         return digest(yuv.withColumns({c: F.floor(F.col(c) * 1000) for c in ("luma", "u", "v")}), "luma u v")
 
 
-@query("p9_roundtrip_error")
+_FORWARD = ", ".join(" + ".join(f"{w}::DOUBLE * {c}" for w, c in zip(row, "rgb", strict=True)) + f" AS {n}" for n, row in zip(("luma", "u", "v"), color.MATRICES["rounded"], strict=True))
+_BACK = ", ".join("abs(" + " + ".join(f"{w!r}::DOUBLE * {c}" for w, c in zip(row, ("luma", "u", "v"), strict=True)) + f" - {c})" for c, row in zip("rgb", color.inverse(color.MATRICES["bt601"]), strict=True))
+
+
+@query("p9_roundtrip_error", f"WITH {q.RGB}, p AS (SELECT frame_id, r, g, b, {_FORWARD} FROM rgb) SELECT frame_id, round(max(greatest({_BACK})), 6) AS worst FROM p GROUP BY frame_id")
 def p9(s: SparkSession, d: str) -> DataFrame:
-    return color.roundtrip_error(rgb(s, d))
+    """There by the rounded matrix, back by the inverse of the exact one."""
+    return color.roundtrip_error(rgb(s, d), "rounded", "bt601").withColumn("worst", F.round("worst", 6))
 
 
 @query("p10_subsample_422", f"WITH {q.RGB}, p AS (SELECT frame_id, y, x, {_OFFSET} FROM rgb), z AS (SELECT frame_id, y, x // 2 AS x, max(luma) FILTER (x % 2 = 0) AS y0, sum(u) // 2 AS u, max(luma) FILTER (x % 2 = 1) AS y1, sum(v) // 2 AS v FROM p GROUP BY frame_id, y, x // 2) {q.digest('z', 'y0 u y1 v')}")
@@ -288,6 +293,11 @@ def p18(s: SparkSession, d: str) -> DataFrame:
     return digest(color.prelu(maps, slopes), "v", "patch_id")
 
 
+@query("p18_relu", f"WITH {q.PATCHES}, p AS (SELECT patch_id, y, x, greatest(0, v - 128) AS v FROM pp) {q.digest('p', 'v', 'patch_id')}")
+def p18b(s: SparkSession, d: str) -> DataFrame:
+    return digest(color.relu(src.patch_pixels(s, d).withColumn("v", F.col("v") - 128)), "v", "patch_id")
+
+
 @query("p19_pad", f"WITH {q.PATCHES}, g AS (SELECT patch_id, CAST(i // 12 AS INTEGER) AS y, CAST(i % 12 AS INTEGER) AS x FROM patch, range(0, 144) t(i)), p AS (SELECT g.patch_id, g.y, g.x, coalesce(v, 0) AS v FROM g LEFT JOIN pp ON g.patch_id = pp.patch_id AND g.y = pp.y + 2 AND g.x = pp.x + 2) {q.digest('p', 'v', 'patch_id')}")
 def p19(s: SparkSession, d: str) -> DataFrame:
     return digest(nn.pad(fmap(s, d), 2, 8), "v", "patch_id")
@@ -434,15 +444,18 @@ def u5(s: SparkSession, d: str) -> DataFrame:
     return digest(planes(resample.resize_nearest(src.patches(s, d), "pix", "up", 8, 8, 12, 12), "up", 12), "v", "patch_id")
 
 
-_TAPS = ", ".join(f"({o}, {i}, {w!r}::DOUBLE)" for o, row in enumerate(resample.axis_taps(8, 16, "cubic")) for i, w in row)
+def taps_sql(n: int, m: int, kind: str, name: str = "p") -> str:
+    """Relations t and `name`: the patches resampled along both axes."""
+    taps = ", ".join(f"({o}, {i}, {w!r}::DOUBLE)" for o, row in enumerate(resample.axis_taps(n, m, kind)) for i, w in row)
+    return f"t(o, i, w) AS (VALUES {taps}), {name} AS (SELECT patch_id, ty.o AS y, tx.o AS x, CAST(greatest(0, least(255, floor(sum(ty.w * tx.w * v) + 0.5))) AS INTEGER) AS v FROM pp JOIN t tx ON tx.i = x JOIN t ty ON ty.i = y GROUP BY patch_id, ty.o, tx.o)"
 
 
-@query("u6_bicubic", f"WITH {q.PATCHES}, t(o, i, w) AS (VALUES {_TAPS}), p AS (SELECT patch_id, ty.o AS y, tx.o AS x, CAST(greatest(0, least(255, floor(sum(ty.w * tx.w * v) + 0.5))) AS INTEGER) AS v FROM pp JOIN t tx ON tx.i = x JOIN t ty ON ty.i = y GROUP BY patch_id, ty.o, tx.o) {q.digest('p', 'v', 'patch_id')}")
+@query("u6_bicubic", f"WITH {q.PATCHES}, {taps_sql(8, 16, 'cubic')} {q.digest('p', 'v', 'patch_id')}")
 def u6(s: SparkSession, d: str) -> DataFrame:
     return digest(planes(resample.upscale_bicubic(src.patches(s, d), "pix", "up", 8, 8), "up", 16), "v", "patch_id")
 
 
-@query("u7_lanczos_down")
+@query("u7_lanczos_down", f"WITH {q.PATCHES}, {taps_sql(8, 4, 'lanczos')} {q.digest('p', 'v', 'patch_id')}")
 def u7(s: SparkSession, d: str) -> DataFrame:
     return digest(planes(resample.downscale(src.patches(s, d), "pix", "low", 8, 8, 2), "low", 4), "v", "patch_id")
 
@@ -455,7 +468,16 @@ def conv_sql(weights: str, k: int, rel: str = "pp", up: bool = False) -> str:
 
 @query("u8_conv2d", f"WITH {q.PATCHES}, p AS ({conv_sql(q.weights(1, 4, 1, 3), 3)}) {q.digest('p', 'v', 'patch_id, c')}")
 def u8(s: SparkSession, d: str) -> DataFrame:
-    return digest(nn.conv2d(fmap(s, d), src.weights_table(s, 1, 4, 1, 3), 3, 8), "v", "patch_id, c")
+    return channel_digest(nn.convolve(src.patches(s, d), "pix", "out", 8, src.weights_array(1, 4, 1, 3)), 8)
+
+
+_BIAS = f"{q.hashed('3 * 64 + c', 6)} % 40001 - 20000"
+_SLOPE = f"{q.hashed('3 * 64 + c', 7)} % 2048"
+
+
+@query("u8_conv_layer", f"WITH {q.PATCHES}, s AS ({conv_sql(q.weights(3, 4, 1, 5), 5)}), b AS (SELECT patch_id, c, y, x, v + {_BIAS} AS v FROM s), p AS (SELECT patch_id, c, y, x, CASE WHEN v >= 0 THEN v * 4096 ELSE v * ({_SLOPE}) END AS v FROM b) {q.digest('p', 'v', 'patch_id, c')}")
+def u8b(s: SparkSession, d: str) -> DataFrame:
+    return channel_digest(nn.convolve(src.patches(s, d), "pix", "out", 8, src.weights_array(3, 4, 1, 5), *src.layer_values(3, 4)), 8)
 
 
 _DECONV = f"WITH {q.PATCHES}, p AS ({conv_sql(q.weights(2, 2, 1, 5), 5, up=True)}) {q.digest('p', 'v', 'patch_id, c')}"
@@ -463,7 +485,7 @@ _DECONV = f"WITH {q.PATCHES}, p AS ({conv_sql(q.weights(2, 2, 1, 5), 5, up=True)
 
 @query("u9_conv_transpose", _DECONV)
 def u9(s: SparkSession, d: str) -> DataFrame:
-    return digest(nn.conv_transpose2d(fmap(s, d), src.weights_table(s, 2, 2, 1, 5), 5, 8), "v", "patch_id, c")
+    return channel_digest(nn.convolve(src.patches(s, d), "pix", "out", 8, src.weights_array(2, 2, 1, 5), up=True), 16)
 
 
 @query("u9_zero_insert_conv", _DECONV)
@@ -472,17 +494,14 @@ def u9b(s: SparkSession, d: str) -> DataFrame:
     return digest(nn.conv2d(nn.zero_insert(fmap(s, d), 2, 8), turned, 5, 16), "v", "patch_id, c")
 
 
-@query("u10_small_network")
-def u10(s: SparkSession, d: str) -> DataFrame:
-    three = src.patches(s, d).select("patch_id", F.expr("concat(pix, transform(pix, v -> 255 - v), pix)").alias("rgb"))
-    return nn.score_tiles(three, "rgb", 8, "small").select("patch_id", F.size("out").alias("n"), F.expr("aggregate(out, 0L, (a, v) -> a + v)").alias("total"))
-
+for _name, _spec, _scale in (("u10_small_network", "small", 256), ("u11_luma_network", "luma", 255), ("u11_colour_network", "colour", 256), ("u12_residual_network", "residual", 256)):
 
-for _spec in ("luma", "residual"):
-
-    @query(f"u{'11' if _spec == 'luma' else '12'}_{_spec}_network")
-    def u11(s: SparkSession, d: str, spec: str = _spec) -> DataFrame:
-        return nn.score_tiles(src.patches(s, d).select("patch_id", "pix"), "pix", 8, spec).select("patch_id", F.size("out").alias("n"), F.expr("aggregate(out, 0L, (a, v) -> a + v)").alias("total"))
+    @query(_name)
+    def u10(s: SparkSession, d: str, spec: str = _spec, scale: int = _scale) -> DataFrame:
+        planes_ = "pix" if spec == "luma" else "concat(pix, transform(pix, v -> 255 - v), pix)"
+        tiles = src.patches(s, d).select("patch_id", F.expr(planes_).alias("rgb"))
+        scored_ = nn.score_tiles(tiles, "rgb", 8, spec, scale)
+        return scored_.select("patch_id", F.size("out").alias("n"), F.expr("aggregate(out, 0L, (a, v) -> a + v)").alias("total"))
 
 
 @query("u13_collapse_weights", f"WITH {q.PATCH_WEIGHTS} SELECT a.layer, b.out_ch, a.in_ch, a.ky, a.kx, CAST(sum(a.w * b.w) AS BIGINT) AS w FROM w a JOIN (SELECT * FROM w WHERE ky = 0 AND kx = 0) b ON a.layer = b.layer AND a.out_ch = b.in_ch GROUP BY ALL")
@@ -530,13 +549,15 @@ def a4(s: SparkSession, d: str) -> DataFrame:
     return stats.route_summary(scored(s, d), ["stream"])
 
 
-def colour_pairs(s: SparkSession, d: str) -> DataFrame:
-    """(frame_id, y, x, c, expected, actual): fixed against float colour conversion of the same pixels, side by side."""
+def colour_sides(s: SparkSession, d: str) -> DataFrame:
+    """(frame_id, y, x, e, a): fixed (e) against float (a) colour conversion of the same pixels, as arrays of r, g, b."""
     yuv = src.pixels_yuv(s, d)
-    fixed = color.yuv_to_rgb(yuv.select(F.struct("frame_id", "luma", "u", "v").alias("frame_id"), "y", "x", "luma", "u", "v"), "fixed")
-    kept = fixed.select(F.col("frame_id.frame_id").alias("_f"), "y", "x", F.array("r", "g", "b").alias("e"), F.col("frame_id.luma").alias("luma"), F.col("frame_id.u").alias("u"), F.col("frame_id.v").alias("v"))
-    both = color.yuv_to_rgb(kept.select(F.struct("_f", "e").alias("frame_id"), "y", "x", "luma", "u", "v"), "float")
-    return both.select(F.col("frame_id._f").alias("frame_id"), "y", "x", F.inline(F.expr("transform(sequence(0, 2), c -> struct(c, frame_id.e[c] as expected, array(r, g, b)[c] as actual))")))
+    return yuv.select("frame_id", "y", "x", F.array(*color.rgb_of("fixed").values()).alias("e"), F.array(*color.rgb_of("float").values()).alias("a"))
+
+
+def colour_pairs(s: SparkSession, d: str) -> DataFrame:
+    """(frame_id, y, x, c, expected, actual): as colour_sides(), a row for each channel."""
+    return colour_sides(s, d).select("frame_id", "y", "x", F.inline(F.arrays_zip(F.array(*map(F.lit, range(3))).alias("c"), F.col("e").alias("expected"), F.col("a").alias("actual")))).toDF("frame_id", "y", "x", "c", "expected", "actual")
 
 
 _PAIRS = q.BOTH + ", pairs AS (" + " UNION ALL ".join(f"SELECT frame_id, y, x, {i} AS c, a.{c} AS expected, b.{c} AS actual FROM rgb a JOIN rgbf b USING (frame_id, y, x)" for i, c in enumerate("rgb")) + ")"
@@ -588,9 +609,9 @@ def a12(s: SparkSession, d: str) -> DataFrame:
 # --- windows -----------------------------------------------------------------------------------
 
 
-@query("w1_progress", f"WITH {q.EVENTS}, z AS (SELECT event_id, stream, row_number() OVER w AS done, count(*) OVER (PARTITION BY stream) AS total, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY stream))) / 1e6 AS elapsed FROM ev WINDOW w AS (PARTITION BY stream ORDER BY event_id)) SELECT event_id, stream, done, total, round(100.0::DOUBLE * done / total, 6) AS percent, round(elapsed / done * (total - done), 6) AS remaining, round(elapsed, 6) AS elapsed FROM z")
+@query("w1_progress", f"WITH {q.EVENTS}, z AS (SELECT event_id, stream, row_number() OVER w AS done, count(*) OVER (PARTITION BY stream) AS total, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY stream))) / 1e6 AS elapsed FROM ev WINDOW w AS (PARTITION BY stream ORDER BY event_id)) SELECT event_id, stream, done, total, round(100.0::DOUBLE * done / total, 6) AS percent, round(elapsed / done * (total - done), 6) AS remaining, round(elapsed, 6) AS elapsed, CASE WHEN elapsed > 0 THEN round(done / elapsed, 6) END AS rate FROM z")
 def w1(s: SparkSession, d: str) -> DataFrame:
-    return stats.progress(src.frame_events(s, d), "stream", ["event_id"], "ts").select("event_id", "stream", "done", "total", "percent", "remaining", "elapsed")
+    return stats.progress(src.frame_events(s, d), "stream", ["event_id"], "ts").select("event_id", "stream", "done", "total", "percent", "remaining", "elapsed", "rate")
 
 
 _W2 = f"WITH {q.EVENTS}, z AS (SELECT stream, ts, (row_number() OVER (PARTITION BY stream ORDER BY event_id) - 1) // 20 AS win FROM ev)"
@@ -691,10 +712,25 @@ def t3(s: SparkSession, d: str) -> DataFrame:
 # --- degradation -------------------------------------------------------------------------------
 
 
-@query("d1_chroma_bleed")
+def blur_sql(sigma: float, rel: str, value: str, name: str, down: bool) -> str:
+    """Relation `name`: 16 times the blurred values, rounded."""
+    taps = ", ".join(f"({o}, {i}, {w!r}::DOUBLE)" for o, row in enumerate(augment.blur_matrix(8, augment.gaussian_taps(sigma)).tolist()) for i, w in enumerate(row) if w)
+    rows = f"{name}_x AS (SELECT patch_id, y, o AS x, sum(w * {value}) AS v FROM {rel} JOIN {name}_t ON i = x GROUP BY ALL)"
+    last = f"SELECT patch_id, o AS y, x, sum(w * v) AS v FROM {name}_x JOIN {name}_t ON i = y GROUP BY ALL" if down else f"SELECT * FROM {name}_x"
+    return f"{name}_t(o, i, w) AS (VALUES {taps}), {rows}, {name} AS (SELECT patch_id, y, x, CAST(floor(v * 16 + 0.5) AS BIGINT) AS v FROM ({last}))"
+
+
+def soft_digest(df: DataFrame, col: str) -> DataFrame:
+    """Digest of 16 times a column of blurred tiles, rounded."""
+    return digest(planes(df, col, 8).withColumn("v", F.floor(F.col("v") * 16 + 0.5)), "v", "patch_id")
+
+
+@query("d1_chroma_bleed", f"WITH {q.PATCHES}, {blur_sql(2, 'pp', 'v', 'bu', False)}, {blur_sql(2, 'pp', '(255 - v)', 'bv', False)}, p AS (SELECT patch_id, 0 AS c, y, x, v FROM bu UNION ALL SELECT patch_id, 1, y, x, v FROM bv) {q.digest('p', 'v', 'patch_id, c')}")
 def d1(s: SparkSession, d: str) -> DataFrame:
     p = src.patches(s, d).select("patch_id", F.col("pix").alias("u"), F.expr("transform(pix, v -> 255 - v)").alias("v"))
-    return augment.chroma_bleed(p, "u", "v", 8, 8).select("patch_id", F.round(F.expr("aggregate(u, 0D, (a, x) -> a + x)"), 3).alias("u"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 3).alias("v"))
+    bled = augment.chroma_bleed(p, "u", "v", 8, 8)
+    u, v = (soft_digest(bled, c).withColumn("c", F.lit(i)) for i, c in enumerate(("u", "v")))
+    return u.unionByName(v)
 
 
 @query("d2_scanlines", f"WITH {q.PATCHES} SELECT patch_id, round(sum(CASE WHEN y % 2 = 0 THEN v * (1 - 0.003::DOUBLE) ELSE v END), 4) AS total FROM pp GROUP BY patch_id")
@@ -703,27 +739,77 @@ def d2(s: SparkSession, d: str) -> DataFrame:
     return lined.select("patch_id", F.round(F.expr("aggregate(p, 0D, (a, x) -> a + x)"), 4).alias("total"))
 
 
-@query("d3_noise")
+def noise_sql(rel: str, n: int, sigma: float, name: str) -> str:
+    """Relation `name` of (patch_id, i, v) with noise by hashes of patch and place."""
+    u = lambda seed: f"(((((patch_id % 1000003 * 1024 + i) % 1000003) * 48271 + {seed} * 69621) % 2147483647 + 1) / 2147483648::DOUBLE)"
+    value = f"floor(v + {sigma}::DOUBLE * sqrt(-2 * ln({u(9)})) * cos(6.283185307179586::DOUBLE * {u(10)}) + 0.5::DOUBLE)"
+    return f"{name} AS (SELECT patch_id, i, CAST(greatest(0, least(255, {value})) AS INTEGER) AS v FROM (SELECT patch_id, y * {n} + x AS i, v FROM {rel}))"
+
+
+_OUT8 = "SELECT patch_id, i // 8 AS y, i % 8 AS x, v FROM "
+
+
+@query("d3_noise", f"WITH {q.PATCHES}, {noise_sql('pp', 8, 4.0, 'z')}, p AS ({_OUT8} z) {q.digest('p', 'v', 'patch_id')}")
 def d3(s: SparkSession, d: str) -> DataFrame:
-    return src.patches(s, d).select("patch_id", augment.add_noise("pix", "patch_id", 4.0).alias("noisy"))
+    return digest(planes(src.patches(s, d).withColumn("noisy", augment.add_noise("pix", "patch_id", 4.0)), "noisy", 8), "v", "patch_id")
 
 
-@query("d4_gaussian_blur")
+@query("d4_gaussian_blur", f"WITH {q.PATCHES}, {blur_sql(1.0, 'pp', 'v', 'p', True)} {q.digest('p', 'v', 'patch_id')}")
 def d4(s: SparkSession, d: str) -> DataFrame:
-    blurred = augment.gaussian_blur(src.patches(s, d), "pix", "soft", 8, 8, 1.0)
-    return blurred.select("patch_id", F.transform("soft", lambda x: F.round(x, 3)).alias("soft"))
+    return soft_digest(augment.gaussian_blur(src.patches(s, d), "pix", "soft", 8, 8, 1.0), "soft")
+
+
+def augment_sql(rel: str, n: int, name: str) -> str:
+    """Relation `name` of (patch_id, copy, y, x, v): three copies of rel (patch_id, pix), augmented; and {name}_r with what was drawn."""
+    draw = lambda seed, m: f"(CAST(floor({q.hashed('patch_id * 3 + copy', 4 + seed)} // 13) AS BIGINT) % {m})"
+    half = lambda seed, x, default: f"CASE WHEN {draw(seed, 2)} = 1 THEN {x} ELSE {default} END"
+    drawn = {"bright": half(1, f"{draw(2, 41)} - 20", "0"), "contrast": half(3, f"({draw(4, 41)} + 80) / 100::DOUBLE", "1::DOUBLE"), "sharp": half(5, f"{draw(6, 41)} / 20::DOUBLE", "1::DOUBLE")}
+    drawn |= {c: half(7, f"{draw(8 + i, m)} - {m // 2}", "0") for i, (c, m) in enumerate({"ax": 5, "ay": 9, "bx": 9, "by": 5, "dx": 17, "dy": 17}.items())}
+    byte = lambda e: f"CAST(greatest(0, least(255, floor({e} + 0.5::DOUBLE))) AS INTEGER)"
+    near = " + ".join(f"c[i + {dy * n + dx} + 1]" for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + " + 4 * c[i + 1]"
+    inner = f"i // {n} BETWEEN 1 AND {n - 2} AND i % {n} BETWEEN 1 AND {n - 2}"
+    x = f"greatest(0, least({n - 1}, i % {n} + ax * (i % {n}) / 64::DOUBLE + ay * (i // {n}) / 64::DOUBLE + dx / 8::DOUBLE))"
+    y = f"greatest(0, least({n - 1}, i // {n} + bx * (i % {n}) / 64::DOUBLE + \"by\" * (i // {n}) / 64::DOUBLE + dy / 8::DOUBLE))"
+    corner = lambda j, k: f"s[CAST(least({n - 1}, floor(fy) + {j}) * {n} + least({n - 1}, floor(fx) + {k}) AS INTEGER) + 1]"
+    ax, ay = "(fx - floor(fx))", "(fy - floor(fy))"
+    mixed = f"(1 - {ax}) * (1 - {ay}) * {corner(0, 0)} + {ax} * (1 - {ay}) * {corner(0, 1)} + (1 - {ax}) * {ay} * {corner(1, 0)} + {ax} * {ay} * {corner(1, 1)}"
+    places = f"(SELECT *, unnest(range(0, {n * n})) AS i FROM {{0}})"
+    return f"""{name}_r AS (SELECT *, {", ".join(f'{e} AS "{c}"' for c, e in drawn.items())} FROM (SELECT patch_id, pix, unnest(range(0, 3)) AS copy FROM {rel})),
+    {name}_c AS (SELECT patch_id, copy, list({byte("(pix[i + 1] - 128) * contrast + 128 + bright")} ORDER BY i) AS c FROM {places.format(f"{name}_r")} GROUP BY ALL),
+    {name}_s AS (SELECT patch_id, copy, list(CASE WHEN {inner} THEN {byte(f"({near}) / 13::DOUBLE + sharp * (c[i + 1] - ({near}) / 13::DOUBLE)")} ELSE c[i + 1] END ORDER BY i) AS s FROM (SELECT k.*, sharp, unnest(range(0, {n * n})) AS i FROM {name}_c k JOIN {name}_r USING (patch_id, copy)) GROUP BY ALL),
+    {name} AS (SELECT patch_id, CAST(copy AS INTEGER) AS copy, i // {n} AS y, i % {n} AS x, {byte(mixed)} AS v FROM (SELECT *, {x} AS fx, {y} AS fy FROM (SELECT r.*, s, unnest(range(0, {n * n})) AS i FROM {name}_r r JOIN {name}_s USING (patch_id, copy))))"""
+
+
+@query("d5_augment", f"WITH {q.PATCHES}, {augment_sql('patch', 8, 'p')} {q.digest('p', 'v', 'patch_id, copy')}")
+def d5(s: SparkSession, d: str) -> DataFrame:
+    made = augment.augment(src.patches(s, d), "patch_id", "pix", 8, 8).select("patch_id", "copy", F.posexplode("augmented").alias("i", "v"))
+    return digest(made.select("patch_id", "copy", F.expr("i div 8").alias("y"), F.expr("i % 8").alias("x"), "v"), "v", "patch_id, copy")
 
 
-@query("d5_augment")
-def d5(s: SparkSession, d: str) -> DataFrame:
-    return augment.augment(src.patches(s, d), "patch_id", "pix", 8, 8).select("patch_id", "copy", "bright", "contrast", "augmented")
+_LOW = f"""{q.PATCHES}, {taps_sql(8, 4, "lanczos", "small")}, lined AS (SELECT patch_id, y, x, CASE WHEN y % 2 = 0 THEN v * (1 - 0.003::DOUBLE) ELSE v END AS v FROM small),
+{noise_sql("lined", 4, 1.5, "noisy")}, low AS (SELECT patch_id, list(v ORDER BY i) AS pix FROM noisy GROUP BY patch_id), {augment_sql("low", 4, "p")}"""
 
 
-@query("d6_training_pairs")
-def d6(s: SparkSession, d: str) -> DataFrame:
+def pairs_made(s: SparkSession, d: str) -> DataFrame:
     return augment.make_training_pairs(src.patches(s, d), "patch_id", "pix", 8)
 
 
+@query("d6_training_pairs", f"WITH {_LOW}, h AS (SELECT patch_id, CAST(sum(v) AS BIGINT) AS hi FROM pp GROUP BY patch_id), z AS ({q.digest('p', 'v', 'patch_id, copy')}) SELECT z.*, hi FROM z JOIN h USING (patch_id)")
+def d6(s: SparkSession, d: str) -> DataFrame:
+    pixels = pairs_made(s, d).select("patch_id", "copy", F.expr("aggregate(hi, 0L, (a, v) -> a + v)").alias("hi"), F.posexplode("lo").alias("i", "v"))
+    return digest(pixels.select("patch_id", "copy", "hi", F.expr("i div 4").alias("y"), F.expr("i % 4").alias("x"), "v"), "v", "patch_id, copy, hi")
+
+
+_SPLIT = f"CASE WHEN {q.hashed('patch_id', 1)} // 7 % 100 < 85 THEN 'train' WHEN {q.hashed('patch_id', 1)} // 7 % 100 < 95 THEN 'valid' ELSE 'test' END"
+
+
+@query("s5_training_set", f"WITH {_LOW} SELECT {_SPLIT} AS split, count(DISTINCT patch_id * 3 + copy) AS n, CAST(sum(v) AS BIGINT) AS lo FROM p GROUP BY 1")
+def s5(s: SparkSession, d: str) -> DataFrame:
+    path = fresh(s, "training")
+    src.write_training_set(stats.split(pairs_made(s, d), "patch_id"), path)
+    return s.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum(F.expr("aggregate(lo, 0L, (a, v) -> a + v)")).alias("lo"))
+
+
 # --- routing and the whole pipeline ------------------------------------------------------------
 
 for _name, _over, _op in (("auto", 0, ">"), ("auto_ge", 0, ">="), ("all_cnn", 1, ">"), ("all_interp", 2, ">")):
@@ -750,8 +836,7 @@ up AS (SELECT frame_id, stream, tile_y * 64 + i // 64 AS y, i % 64 AS x, CAST(((
 
 def upscaled_digest(tiles: DataFrame) -> DataFrame:
     """Digest by frame of upscaled tiles (out)."""
-    pixels = tiles.select("frame_id", "tile_y", F.posexplode("out").alias("i", "v")).select("frame_id", F.expr("tile_y * 64 + i div 64").alias("y"), F.expr("i % 64").alias("x"), "v")
-    return digest(pixels, "v")
+    return resample.tile_digest(tiles.select("frame_id", "tile_y", "out"), 64, 64).groupBy("frame_id").agg(F.sum("n").alias("n"), F.sum("v_sum").alias("v_sum"), F.sum("v_mix").alias("v_mix"))
 
 
 @query("r2_interp_upscale", f"WITH {_INTERP} {q.digest('up', 'v')}")
@@ -770,7 +855,78 @@ def r2(s: SparkSession, d: str) -> DataFrame:
     return upscaled_digest(flat.unionByName(detailed))
 
 
-@query("r3_tile_report", f"WITH {q.VARIANCE} SELECT frame_id, tile_y, route, variance, 1000::DOUBLE AS threshold, printf('crop_%d_%d_%s_var%.2f', tile_y, 0, route, variance) AS name FROM routed")
+def colour_tiles(s: SparkSession, d: str, override: int = 0) -> DataFrame:
+    routed = stats.route_tiles(src.raw_tiles(s, d), 1000, override)
+    return resample.yuyv_planes(routed.select("frame_id", "stream", "tile_y", "route", "data"))
+
+
+def colour_frames(tiles: DataFrame) -> DataFrame:
+    """Stitched frames of rgb565 words from tiles (frame_id, tile_y, out) of three planes of 64 x 64."""
+    return tiling.stitch_rows(resample.pack_planes(tiles.select("frame_id", "tile_y", "out"), "out", "word"), "word", 64, 64)
+
+
+def frame_digest(frames: DataFrame) -> DataFrame:
+    pixels = frames.select("frame_id", "height", F.posexplode("data").alias("i", "v")).select("frame_id", "height", F.expr("i div 64").alias("y"), F.expr("i % 64").alias("x"), "v")
+    return digest(pixels, "v", "frame_id, height")
+
+
+def upscale_colour(tiles: DataFrame) -> DataFrame:
+    """Tiles with out: the flat ones interpolated, the others by the network, plane by plane."""
+    cols = ["frame_id", "stream", "tile_y", "route", "out"]
+    flat = resample.upscale_bilinear(tiles.where("route = 'interp'"), "rgb", "out", 32, 32, 2, "fixed12").select(*cols)
+    dealt = tiles.where("route = 'cnn'").repartition("frame_id", "tile_y")
+    return flat.unionByName(nn.score_tiles(dealt, "rgb", 32, "small").select(*cols))
+
+
+_COLOUR_UP = f"""{q.RGB}, planes AS (SELECT frame_id, y // 32 AS tile_y, {", ".join(f"list({c} ORDER BY y, x) AS {c}" for c in "rgb")} FROM rgb GROUP BY ALL),
+g AS (SELECT *, (i % 64) * (31 * 4096 // 63) AS fx, (i // 64) * (31 * 4096 // 63) AS fy FROM (SELECT *, unnest(range(0, 4096)) AS i FROM planes)),
+n AS (SELECT *, least(31, fx // 4096) AS x0, least(31, fx // 4096 + 1) AS x1, fx % 4096 AS dx, least(31, fy // 4096) AS y0, least(31, fy // 4096 + 1) AS y1, fy % 4096 AS dy FROM g),
+up AS (SELECT frame_id, tile_y * 64 + i // 64 AS y, i % 64 AS x, {", ".join(f"CAST(((4096 - dx) * (4096 - dy) // 4096 * {c}[y0 * 32 + x0 + 1] + dx * (4096 - dy) // 4096 * {c}[y0 * 32 + x1 + 1] + (4096 - dx) * dy // 4096 * {c}[y1 * 32 + x0 + 1] + dx * dy // 4096 * {c}[y1 * 32 + x1 + 1]) // 4096 AS INTEGER) AS {c}" for c in "rgb")} FROM n),
+words AS (SELECT frame_id, y, x, {_P565} AS v, CAST(max(y) OVER (PARTITION BY frame_id) + 1 AS INTEGER) AS height FROM up)"""
+
+
+@query("r2_interp_frames", f"WITH {_COLOUR_UP} {q.digest('words', 'v', 'frame_id, height')}")
+def r2_interp_colour(s: SparkSession, d: str) -> DataFrame:
+    up = resample.upscale_bilinear(colour_tiles(s, d, 2), "rgb", "out", 32, 32, 2, "fixed12")
+    return frame_digest(colour_frames(up))
+
+
+@query("r2_adaptive_frames")
+def r2_colour(s: SparkSession, d: str) -> DataFrame:
+    """Whole colour frames upscaled and stitched, with each frame's tiles by route."""
+    up = upscale_colour(colour_tiles(s, d))
+    return frame_digest(colour_frames(up)).join(stats.route_summary(up, ["frame_id"]), "frame_id")
+
+
+_GRID_UP = f"""{_CROP}, w AS {q.weights(2, 1, 1, 5)},
+var AS (SELECT frame_id, tile_y, tile_x, sum(v * v) - 2 * (sum(v) // 64) * sum(v) + 64 * (sum(v) // 64) * (sum(v) // 64) > 64 * 1000 AS detailed FROM c GROUP BY ALL),
+tile AS (SELECT frame_id, texture, tile_y, tile_x, detailed, list(v ORDER BY y, x) AS pix FROM c JOIN var USING (frame_id, tile_y, tile_x) GROUP BY ALL),
+flat AS (SELECT *, i // 16 AS y, i % 16 AS x, (i % 16) * (7 * 4096 // 15) AS fx, (i // 16) * (7 * 4096 // 15) AS fy FROM (SELECT *, unnest(range(0, 256)) AS i FROM tile WHERE NOT detailed)),
+flat_up AS (SELECT frame_id, texture, tile_y, tile_x, y, x, CAST(((4096 - dx) * (4096 - dy) // 4096 * pix[y0 * 8 + x0 + 1] + dx * (4096 - dy) // 4096 * pix[y0 * 8 + x1 + 1] + (4096 - dx) * dy // 4096 * pix[y1 * 8 + x0 + 1] + dx * dy // 4096 * pix[y1 * 8 + x1 + 1]) // 4096 AS INTEGER) AS v
+  FROM (SELECT *, least(7, fx // 4096) AS x0, least(7, fx // 4096 + 1) AS x1, fx % 4096 AS dx, least(7, fy // 4096) AS y0, least(7, fy // 4096 + 1) AS y1, fy % 4096 AS dy FROM flat)),
+cnn_up AS (SELECT frame_id, texture, tile_y, tile_x, y, x, CAST(greatest(0, least(255, sum(p) >> 12)) AS INTEGER) AS v FROM (
+  SELECT frame_id, texture, tile_y, tile_x, c.y * 2 + ky - 2 AS y, c.x * 2 + kx - 2 AS x, CAST(v * w AS BIGINT) AS p FROM c JOIN var USING (frame_id, tile_y, tile_x), w WHERE detailed) WHERE y BETWEEN 0 AND 15 AND x BETWEEN 0 AND 15 GROUP BY ALL),
+whole AS (SELECT texture, frame_id, least(tile_y * 8, 12) * 2 + y AS y, least(tile_x * 8, 12) * 2 + x AS x, arg_max(v, tile_x * 65536 + tile_y) AS v FROM (SELECT * FROM flat_up UNION ALL SELECT * FROM cnn_up) GROUP BY ALL)"""
+
+
+@query("r2_adaptive_grid", f"{_GRID_UP} {q.digest('whole', 'v', 'texture')}")
+def r2_grid(s: SparkSession, d: str) -> DataFrame:
+    """The whole way on frames of several tiles a row: crop, score, route, upscale flat tiles by interpolation and the others by an integer network of one layer, stitch."""
+    keys = ["frame_id", "texture", "tile_y", "tile_x"]
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ty", "tx", "v"))), lambda x: x["v"])
+    tiles = synth_tiles(s, d).groupBy(*keys).agg(ordered.alias("pix"))
+    n, total, squares = 64, "aggregate(pix, 0L, (a, v) -> a + v)", "aggregate(pix, 0L, (a, v) -> a + v * v)"
+    scored_ = tiles.withColumns({"n": F.expr(total), "q": F.expr(squares)}).withColumn("detailed", F.expr(f"q - 2 * (n div {n}) * n + {n} * (n div {n}) * (n div {n}) > {n} * 1000"))
+    flat = resample.upscale_bilinear(scored_.where("not detailed"), "pix", "out", 8, 8, 2, "fixed12").select(*keys, F.col("out").cast("array<bigint>").alias("out"))
+    layer = nn.convolve(scored_.where("detailed"), "pix", "out", 8, src.weights_array(2, 1, 1, 5), up=True)
+    detailed = layer.select(*keys, F.transform("out", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.shiftright(v, 12)))).cast("array<bigint>").alias("out"))
+    pixels = flat.unionByName(detailed).select(*keys, F.posexplode("out").alias("i", "v")).select("texture", "frame_id", "tile_y", "tile_x", F.expr("i div 16").alias("ty"), F.expr("i % 16").alias("tx"), "v")
+    at = lambda t, p: f"cast(least({t} * 8, 12) * 2 + {p} as int)"
+    placed = pixels.select("texture", "frame_id", F.expr(at("tile_y", "ty")).alias("y"), F.expr(at("tile_x", "tx")).alias("x"), "v", F.expr("tile_x * 65536 + tile_y").alias("seq"))
+    return digest(placed.groupBy("texture", "frame_id", "y", "x").agg(F.max_by("v", "seq").alias("v")), "v", "texture")
+
+
+@query("r3_tile_report", f"WITH {q.VARIANCE} SELECT frame_id, tile_y, 0 AS tile_x, tile_y * 32 AS src_y, 0 AS src_x, 32 AS size, route, variance, 1000::DOUBLE AS threshold, printf('crop_%d_%d_%s_var%.2f', tile_y, 0, route, variance) AS name FROM routed")
 def r3(s: SparkSession, d: str) -> DataFrame:
     return stats.tile_report(scored(s, d))
 
@@ -780,8 +936,15 @@ def r3(s: SparkSession, d: str) -> DataFrame:
 
 @query("v1_scoreboard", f"WITH {_PAIRS} SELECT frame_id, count(*) AS n, count(*) FILTER (expected <> actual) AS n_wrong, bool_and(expected = actual) AS passed FROM pairs GROUP BY frame_id")
 def v1(s: SparkSession, d: str) -> DataFrame:
-    fixed, approx = (color.to_planar(rgb(s, d, m)).withColumnRenamed("value", "v") for m in ("fixed", "float"))
-    return stats.scoreboard(fixed, approx, "frame_id", ["c", "y", "x"], 0)
+    return stats.scoreboard_of(colour_pairs(s, d), "frame_id", 0)
+
+
+_WRONG = f"WITH {_PAIRS}, z AS (SELECT *, expected AS e, actual AS a FROM pairs WHERE expected <> actual) {q.digest('z', 'e a', 'frame_id, c')}"
+
+
+@query("v1_mismatches", _WRONG)
+def v1b(s: SparkSession, d: str) -> DataFrame:
+    return digest(stats.mismatches(colour_pairs(s, d), 0).withColumnsRenamed({"expected": "e", "actual": "a"}), "e a", "frame_id, c")
 
 
 _SWEEP = "SELECT t AS tol, count(*) AS n_trials, count(*) FILTER (worst <= t) AS n_passed FROM z, (VALUES (0), (1), (2), (3), (4), (5)) x(t) GROUP BY t"
@@ -789,8 +952,8 @@ _SWEEP = "SELECT t AS tol, count(*) AS n_trials, count(*) FILTER (worst <= t) AS
 
 @query("v2_tolerance_sweep", f"WITH {_PAIRS}, z AS (SELECT frame_id, max(abs(expected - actual)) AS worst FROM pairs GROUP BY frame_id) {_SWEEP}")
 def v2(s: SparkSession, d: str) -> DataFrame:
-    errors = colour_pairs(s, d).select("frame_id", F.abs(F.col("expected") - F.col("actual")).alias("error"))
-    return stats.tolerance_sweep(errors, "frame_id", "error", [0, 1, 2, 3, 4, 5])
+    apart = [F.abs(F.element_at("e", i) - F.element_at("a", i)) for i in (1, 2, 3)]  # a row a pixel, not one a channel
+    return stats.tolerance_sweep(colour_sides(s, d).select("frame_id", F.greatest(*apart).alias("error")), "frame_id", "error", [0, 1, 2, 3, 4, 5])
 
 
 _U1 = bilinear_sql("align", "half_away")
@@ -804,6 +967,29 @@ def v3(s: SparkSession, d: str) -> DataFrame:
     return stats.tolerance_sweep(worst, "patch_id", "error", [0, 1, 2, 3, 4, 5])
 
 
+_CUT_CONV = f"SELECT patch_id, c, y, x, CAST(sum(p) >> 12 AS BIGINT) AS e, CAST(sum(p >> 12) AS BIGINT) AS a FROM (SELECT patch_id, out_ch AS c, y - ky + 1 AS y, x - kx + 1 AS x, CAST(v * w AS BIGINT) AS p FROM pp JOIN {q.weights(1, 4, 1, 3)} ON in_ch = 0) WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 GROUP BY patch_id, c, y, x"
+
+
+@query("v3_conv_wide_narrow", f"WITH {q.PATCHES}, k AS ({_CUT_CONV}), z AS (SELECT patch_id, max(abs(e - a)) AS worst FROM k GROUP BY patch_id) {_SWEEP.replace('(4), (5)', '(4), (5), (6), (7), (8)')}")
+def v3b(s: SparkSession, d: str) -> DataFrame:
+    """A layer summed up in full and cut once against one that cuts each product."""
+    w = src.weights_array(1, 4, 1, 3)
+    both = nn.convolve(src.patches(s, d), "pix", "wide", 8, w)
+    parts = resample.map_tiles(both, "pix", "narrow", lambda p: nn.narrow_convolve(p, w, 8), "bigint")
+    worst = parts.select("patch_id", F.expr("array_max(zip_with(wide, narrow, (x, y) -> abs(shiftright(x, 12) - y)))").alias("error"))
+    return stats.tolerance_sweep(worst, "patch_id", "error", list(range(9)))
+
+
+@query("v3_network_float_fixed")
+def v3c(s: SparkSession, d: str) -> DataFrame:
+    """The small network in floats against the same with 12 binary places, by each tile's worst pixel."""
+    three = src.patches(s, d).select("patch_id", F.expr("concat(pix, transform(pix, v -> 255 - v), pix)").alias("rgb"))
+    exact = nn.score_tiles(three, "rgb", 8, "small").withColumnRenamed("out", "exact")
+    both = nn.score_tiles(exact, "rgb", 8, "small", fraction=12)
+    worst = both.select("patch_id", F.expr("array_max(zip_with(exact, out, (x, y) -> abs(x - y)))").alias("error"))
+    return stats.tolerance_sweep(worst, "patch_id", "error", [0, 1, 2, 3, 4, 5])
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
@@ -811,17 +997,41 @@ def documents_stream(s: SparkSession, d: str) -> DataFrame:
     """Tiles of a stream of the documents' files."""
     schema = src.table(s, d, "documents").schema
     docs = streams.read_frame_stream(s, d, schema, 2, pattern="documents.parquet")
-    frames = docs.select(F.col("doc_id").alias("frame_id"), F.col("lang").alias("stream"), F.expr("cast(n_chars div 2048 as int)").alias("k"), F.expr("transform(split(text, ''), c -> ascii(c) % 256)").alias("data")).where("k > 0")
-    return frames.select("frame_id", "stream", F.inline(F.expr("transform(sequence(0, k - 1), t -> struct(t as tile_y, slice(data, t * 2048 + 1, 2048) as data))")))
+    return src.tiled_texts(docs.select(F.col("doc_id").cast("long").alias("frame_id"), F.col("lang").alias("stream"), "text"))
 
 
 @query("x1_stream_route", f"WITH {q.VARIANCE} SELECT stream, count(*) AS n_tiles, count(*) FILTER (route = 'cnn') AS n_cnn, count(*) FILTER (route <> 'cnn') AS n_interp FROM routed GROUP BY stream")
 def x1(s: SparkSession, d: str) -> DataFrame:
     out = fresh(s, "routed")
-    streams.stream_upscale(documents_stream(s, d), lambda batch, epoch: stats.route_summary(batch, ["stream"]).write.mode("append").parquet(out), fresh(s, "checkpoint")).awaitTermination()
+    streams.stream_upscale(documents_stream(s, d), lambda tiles: stats.route_summary(stats.route_tiles(tiles), ["stream"]), out, fresh(s, "checkpoint")).awaitTermination()
     return s.read.parquet(out).groupBy("stream").agg(*[F.sum(c).alias(c) for c in ("n_tiles", "n_cnn", "n_interp")])
 
 
+@query("x1_stream_upscale", f"WITH {_COLOUR_UP} {q.digest('words', 'v', 'frame_id, height')}")
+def x1b(s: SparkSession, d: str) -> DataFrame:
+    """Frames of a stream, interpolated, stitched and written trigger by trigger."""
+    out = fresh(s, "upscaled")
+
+    def upscale(tiles: DataFrame) -> DataFrame:
+        planes_ = resample.yuyv_planes(tiles.select("frame_id", "tile_y", "data"))
+        return colour_frames(resample.upscale_bilinear(planes_, "rgb", "out", 32, 32, 2, "fixed12"))
+
+    streams.stream_upscale(documents_stream(s, d), upscale, out, fresh(s, "checkpoint")).awaitTermination()
+    return frame_digest(s.read.parquet(out))
+
+
+@query("x2_bounded_intake", f"WITH {q.TILES} SELECT CAST(4 AS BIGINT) AS epochs, count(*) AS n_tiles FROM tiles")
+def x2(s: SparkSession, d: str) -> DataFrame:
+    """The documents in four files, of which a trigger takes one."""
+    folder, out = fresh(s, "intake"), fresh(s, "taken")
+    docs = src.table(s, d, "documents")
+    docs.repartition(4).write.parquet(folder)
+    stream = streams.read_frame_stream(s, folder, docs.schema, 1)
+    tiles = src.tiled_texts(stream.select(F.col("doc_id").cast("long").alias("frame_id"), F.col("lang").alias("stream"), "text"))
+    streams.stream_upscale(tiles, lambda batch: stats.route_summary(stats.route_tiles(batch, override=2), ["stream"]), out, fresh(s, "checkpoint")).awaitTermination()
+    return s.read.parquet(out).agg(F.countDistinct("epoch").alias("epochs"), F.sum("n_tiles").alias("n_tiles"))
+
+
 def run_stream(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
@@ -858,10 +1068,13 @@ def x5(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(out)
 
 
-@query("x6_stream_control")
+_CONTROL = "(SELECT 500::DOUBLE + user_id % 1000 AS threshold, user_id % 3 AS override FROM events ORDER BY event_id DESC LIMIT 1)"
+
+
+@query("x6_stream_control", f"WITH {q.VARIANCE} SELECT scored.stream, count(*) AS n_tiles, count(*) FILTER (override = 1 OR override = 0 AND variance > threshold) AS n_cnn FROM scored, {_CONTROL} k GROUP BY scored.stream")
 def x6(s: SparkSession, d: str) -> DataFrame:
-    """The control table follows from the events: the threshold set last holds."""
+    """The control table follows from the events: threshold and override set last hold."""
     out = fresh(s, "control")
-    control = lambda: src.table(s, d, "events").select(F.col("event_id").alias("since"), F.expr("500D + user_id % 1000").alias("threshold"), F.lit(0).alias("override"))
+    control = lambda: src.table(s, d, "events").select(F.col("event_id").alias("since"), F.expr("500D + user_id % 1000").alias("threshold"), F.expr("cast(user_id % 3 as int)").alias("override"))
     streams.stream_route(documents_stream(s, d), control, out, fresh(s, "checkpoint")).awaitTermination()
     return s.read.parquet(out).groupBy("stream").agg(F.sum("n_tiles").alias("n_tiles"), F.sum("n_cnn").alias("n_cnn"))

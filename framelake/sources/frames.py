@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 BYTES_PER_PIXEL = {"yuyv": 2, "rgb888": 3, "rgb565": 2}
 IMAGE_NAMES = r"\.(png|jpg|jpeg|bmp|webp)$"
 TILE, TILE_BYTES = 32, 2048
@@ -54,18 +60,21 @@ def missing_pairs(high: DataFrame, low: DataFrame, suffix: str = "_downscaled")
     return high.select(F.col("name").alias("hi"), derived.alias("lo")).join(low.select(F.col("name").alias("lo")), "lo", "left_anti").select("hi")
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], name: str = "pos") -> DataFrame:
     """df with each row's place (from 0) in a total order, without one task that sorts all.
 
-    Range partitions are sorted side by side; each partition's rows are shifted by the sizes of the
-    partitions before it, of which there are as many as partitions.
+    Range partitions are sorted side by side and written once, each row with its place in its
+    partition; they are then shifted by the sizes of the partitions before them, of which there are
+    as many as partitions. Read twice, the written rows are the same; computed twice, they need not be.
     """
-    cols = df.columns
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.max("_local").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(before.select("_part", "_before"), "_part").select(*cols, (F.col("_before") + F.col("_local") - 1).cast("long").alias(name))
+    keys = [f"k{i}" for i in range(len(order))]
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), *[(F.col(c) if isinstance(c, str) else c).alias(k) for c, k in zip(order, keys, strict=True)])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("row", F.monotonically_increasing_id().alias("at")), "ranged")
+    placed = ranged.withColumns({"part": F.shiftright("at", 33), "local": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(sizes), "part").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], (F.col("before") + F.col("local")).alias(name))
 
 
 def zip_by_position(a: DataFrame, b: DataFrame, a_order: list[str], b_order: list[str]) -> DataFrame:
@@ -105,6 +114,19 @@ def weights_table(spark: SparkSession, layer: int, out_ch: int, in_ch: int, k: i
     return grid.select(*place).withColumn("w", w.cast("long"))
 
 
+def weights_array(layer: int, out_ch: int, in_ch: int, k: int) -> np.ndarray:
+    """As weights_table(), as an (out_ch, in_ch, k, k) array."""
+    o, i, y, x = np.indices((out_ch, in_ch, k, k), np.int64)
+    place = ((layer * 64 + o) * 64 + i) * 81 + y * 9 + x
+    return (place % 1000003 * 48271 + 5 * 69621) % 2147483647 % 2049 - 1024
+
+
+def layer_values(layer: int, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bias, slopes) of a layer by a formula, in units of 2**-12."""
+    key = layer * 64 + np.arange(channels, dtype=np.int64)
+    return tuple((key % 1000003 * 48271 + seed * 69621) % 2147483647 % n - low for seed, n, low in ((6, 40001, 20000), (7, 2048, 0)))
+
+
 def flip_transposed(weights: DataFrame, k: int) -> DataFrame:
     """Weights of the convolution that a transposed one equals over a zero-inserted input: turned by 180 degrees, channels swapped."""
     return weights.select("layer", F.col("in_ch").alias("out_ch"), F.col("out_ch").alias("in_ch"), (k - 1 - F.col("ky")).alias("ky"), (k - 1 - F.col("kx")).alias("kx"), "w")
@@ -128,32 +150,70 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, *keys)
 
 
+def _tile_bytes(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
+    """Frame ids, streams, tile numbers and bytes (tiles, 2048) of the whole tiles of texts (frame_id, stream, text), so many at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        for frame, stream, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            data = np.frombuffer((text or "").encode("utf-32-le"), np.uint8)[::4]  # low byte of each code point
+            tiles = data[: len(data) // TILE_BYTES * TILE_BYTES].reshape(-1, TILE_BYTES)
+            for a in range(0, len(tiles), at_once):
+                held.append((frame, stream, np.arange(a, min(a + at_once, len(tiles))), tiles[a : a + at_once]))
+                if sum(len(x[2]) for x in held) >= at_once:
+                    yield _joined(held)
+                    held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple]) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
+    n = [len(x[2]) for x in held]
+    return np.repeat([x[0] for x in held], n), [s for (_, s, _, _), k in zip(held, n, strict=True) for _ in range(k)], np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+
+
+def list_column(matrix: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a column of arrays."""
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(matrix).ravel()))
+
+
+def tiled_texts(docs: DataFrame) -> DataFrame:
+    """(frame_id, stream, tile_y, data) of texts (frame_id, stream, text): a byte a character, 2048 bytes a tile; what doesn't fill a tile is left out."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame, stream, tile, data in _tile_bytes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(frame, pa.int64()), pa.array(stream, pa.string()), pa.array(tile, pa.int32()), list_column(data.astype(np.int32))], names=["frame_id", "stream", "tile_y", "data"])
+
+    return docs.mapInArrow(cut, "frame_id long, stream string, tile_y int, data array<int>")
+
+
+def frame_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame_id, stream, text) of documents that hold a tile, dealt over all cores."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") >= TILE_BYTES)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("frame_id"), F.col("lang").alias("stream"), "text"), "frame_id")
+
+
 def raw_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame_id, stream, tile_y, data): the frames' tiles, 2048 bytes each.
+    """(frame_id, stream, tile_y, data): the frames' tiles, 2048 bytes each, cut and decoded in Arrow batches."""
+    return tiled_texts(frame_texts(spark, sf_dir))
 
-    Texts are cut into tiles before their bytes become arrays, so a step holds one tile's array and
-    a long text costs in proportion to its length.
-    """
-    docs = table(spark, sf_dir, "documents").where("n_chars >= 2048")
-    parts = docs.select(
-        F.col("doc_id").alias("frame_id"), F.col("lang").alias("stream"), F.expr("cast(n_chars div 2048 as int)").alias("k"),
-        F.posexplode_outer(F.expr(f"regexp_extract_all(text, '(?s).{{1,{TILE_BYTES}}}', 0)")).alias("tile_y", "part"),
-    ).where("tile_y < k")
-    dealt = spread(parts.select("frame_id", "stream", "tile_y", "part"), "frame_id", "tile_y")
-    # A generator's output is computed once however often later steps use it.
-    return dealt.select("frame_id", "stream", "tile_y", F.explode(F.array(F.expr("transform(split(part, ''), c -> ascii(c) % 256)"))).alias("data"))
 
+def explode_yuyv(frames: DataFrame) -> DataFrame:
+    """(frame_id, y, x, luma, u, v) of texts (frame_id, stream, text): two pixels of each four bytes share u and v."""
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame, _, tile, data in _tile_bytes(batches, 32):
+            quad = data.reshape(-1, 4).astype(np.int32)
+            n = len(tile) * TILE * TILE
+            y, x = np.divmod(np.tile(np.arange(TILE * TILE, dtype=np.int32), len(tile)), TILE)
+            columns = [np.repeat(frame, TILE * TILE), y + np.repeat(tile * TILE, TILE * TILE).astype(np.int32), x, quad[:, [0, 2]].reshape(n), np.repeat(quad[:, 1], 2), np.repeat(quad[:, 3], 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["frame_id", "y", "x", "luma", "u", "v"])
 
-def explode_yuyv(tiles: DataFrame) -> DataFrame:
-    """(frame_id, y, x, luma, u, v): two pixels of each four bytes share u and v."""
-    quad = "transform(sequence(0, 511), m -> struct(m, data[4 * m] as y0, data[4 * m + 1] as u, data[4 * m + 2] as y1, data[4 * m + 3] as v))"
-    quads = tiles.select("frame_id", "tile_y", F.inline_outer(F.expr(quad)))  # outer: no filter that computes the array twice
-    two = "array(struct(tile_y * 32 + m div 16 as y, (2 * m) % 32 as x, y0 as luma, u, v), struct(tile_y * 32 + m div 16 as y, (2 * m) % 32 + 1 as x, y1 as luma, u, v))"
-    return quads.select("frame_id", F.inline(F.expr(two))).select("frame_id", F.col("y").cast("int"), F.col("x").cast("int"), "luma", "u", "v")
+    return frames.mapInArrow(pixels, "frame_id long, y int, x int, luma int, u int, v int")
 
 
 def pixels_yuv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_yuyv(raw_tiles(spark, sf_dir))
+    return explode_yuyv(frame_texts(spark, sf_dir))
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +20,25 @@ def read_frame_stream(spark: SparkSession, path: str, schema: StructType, max_fi
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
-def stream_upscale(tiles: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, threshold: float = 1000):
-    """Routes each trigger's tiles and hands them to sink(batch, epoch); ends with what is there."""
-    routed = route_tiles(tiles, threshold)
-    return routed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_upscale(tiles: DataFrame, upscale: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+    """Appends upscale(tiles of a trigger) to the table out, with the trigger's number as epoch; ends with what is there.
+
+    A trigger that is run again after a failure writes its own folder again.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        upscale(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return tiles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_route(tiles: DataFrame, control: Callable[[], DataFrame], out: str, checkpoint: str):
-    """As stream_upscale(), with threshold and override read again from a control table for each trigger."""
+    """Summaries of each trigger's tiles in the table out, with threshold and override read again from a control table for each trigger."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         now = control().orderBy(F.desc("since")).first()
         summary = route_summary(route_tiles(batch, now.threshold, now.override), ["stream"])
-        summary.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        summary.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return tiles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -56,18 +63,24 @@ def stream_fps_by_count(events: DataFrame, n: int = 99) -> DataFrame:
 
 
 def stream_packets(beats: DataFrame) -> DataFrame:
-    """(stream, frame_id, packet, beats) of packets that have ended; state is the number of the open packet and its beats so far."""
+    """(stream, frame_id, packet, beats) of packets that have ended; a frame's beats are numbered by seq from 0 without gaps.
+
+    Beats may come in any order, within a trigger and across triggers, and more than once. State is
+    the number of the open packet, its beats so far, the next beat's number, and the beats that came
+    before their turn.
+    """
 
     def frame(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        packet, held = state.get if state.exists else (0, 0)
-        rows = []
-        for f in frames:
-            for last in f.sort_values("seq")["last"]:
-                held += 1
-                if last:
-                    rows.append((key[0], key[1], packet, held))
-                    packet, held = packet + 1, 0
-        state.update((packet, held))
-        yield pd.DataFrame(rows, columns=["stream", "frame_id", "packet", "beats"])
-
-    return beats.groupBy("stream", "frame_id").applyInPandasWithState(frame, "stream string, frame_id long, packet long, beats long", "packet long, beats long", "append", GroupStateTimeout.NoTimeout)
+        packet, held, due, early, ends = state.get if state.exists else (0, 0, 0, [], [])
+        came = pd.concat([pd.DataFrame({"seq": list(early), "last": list(ends)}), *[f[["seq", "last"]] for f in frames]])
+        came = came[came["seq"] >= due].drop_duplicates("seq").sort_values("seq")
+        seq, last = came["seq"].to_numpy(np.int64), came["last"].to_numpy(bool)
+        n = int((seq == due + np.arange(len(seq))).sum())  # those whose turn has come: ascending numbers, so all before the first gap
+        at = np.flatnonzero(last[:n])
+        sizes = np.diff(at, prepend=-1 - held)
+        state.update((packet + len(at), held + n if not len(at) else n - 1 - int(at[-1]), due + n, seq[n:].tolist(), last[n:].tolist()))
+        yield pd.DataFrame({"stream": [key[0]] * len(at), "frame_id": [key[1]] * len(at), "packet": packet + np.arange(len(at)), "beats": sizes})
+
+    return beats.groupBy("stream", "frame_id").applyInPandasWithState(
+        frame, "stream string, frame_id long, packet long, beats long", "packet long, held long, due long, early array<long>, ends array<boolean>", "append", GroupStateTimeout.NoTimeout
+    )
