@@ -48,7 +48,8 @@ def scanlines(pix: str, w: int, k: float = 0.003) -> Column:
 
 def add_noise(pix: str, key: str, sigma: float, seed: int = 9) -> Column:
     """Gaussian noise from two hashes of the key and the place, clipped to 0..255."""
-    u = lambda s: f"(((({key} % 1000003 * 1024 + i) % 1000003) * 48271 + {s} * 69621) % 2147483647 + 1) / 2147483648D"
+    t = lambda s: f"((({key} % 1000003 * 1024 + i) % 1000003 * 630360016 + {s} * 69621) % 2147483647)"
+    u = lambda s: f"(({t(s)} * ({t(s)} % 65521 + 1)) % 2147483647 + 1) / 2147483648D"  # noqa: E731  # squared, so that neighbours have nothing in common
     return F.expr(f"transform({pix}, (p, i) -> cast(greatest(0D, least(255D, floor(p + {sigma}D * sqrt(-2 * ln({u(seed)})) * cos(6.283185307179586D * {u(seed + 1)}) + 0.5D))) as int))")
 
 

@@ -741,7 +741,8 @@ def d2(s: SparkSession, d: str) -> DataFrame:
 
 def noise_sql(rel: str, n: int, sigma: float, name: str) -> str:
     """Relation `name` of (patch_id, i, v) with noise by hashes of patch and place."""
-    u = lambda seed: f"(((((patch_id % 1000003 * 1024 + i) % 1000003) * 48271 + {seed} * 69621) % 2147483647 + 1) / 2147483648::DOUBLE)"
+    t = lambda seed: f"(((patch_id % 1000003 * 1024 + i) % 1000003 * 630360016 + {seed} * 69621) % 2147483647)"
+    u = lambda seed: f"((({t(seed)} * ({t(seed)} % 65521 + 1)) % 2147483647 + 1) / 2147483648::DOUBLE)"
     value = f"floor(v + {sigma}::DOUBLE * sqrt(-2 * ln({u(9)})) * cos(6.283185307179586::DOUBLE * {u(10)}) + 0.5::DOUBLE)"
     return f"{name} AS (SELECT patch_id, i, CAST(greatest(0, least(255, {value})) AS INTEGER) AS v FROM (SELECT patch_id, y * {n} + x AS i, v FROM {rel}))"
 
