@@ -30,7 +30,7 @@ REFERENCE_DOCS, REFERENCE_WORDS, REFERENCE_SHARE = 10, 1000, 1 / 2000
 #: Guards: a text is judged by classes from so many words on, by common words from so many.
 CLASS_WORDS, COMMON_WORDS = 20, 50
 #: Largest distance that passes, by byte classes and by common words.
-CLASS_DISTANCE, COMMON_DISTANCE = 0.25, 0.6
+CLASS_DISTANCE, COMMON_DISTANCE = 0.32, 0.45
 
 _BLANK = separators(BLANKS)
 _LINE = separators(b"\n")
