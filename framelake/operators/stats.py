@@ -111,21 +111,31 @@ def tile_pca(tiles: DataFrame, array: str, k: int = 2) -> DataFrame:
 # --- windows -----------------------------------------------------------------------------------
 
 
+def place_within(df: DataFrame, key: str, order: list[str], name: str, **sums: Column) -> DataFrame:
+    """df with each row's place (from 0) among the rows of its key, and aggregates over these rows.
+
+    Rows are numbered over all keys at once, and a key's first place is taken off, so that no task has
+    to hold or sort all rows of one key.
+    """
+    placed = numbered(df, [key, *order], "_pos")
+    of = placed.groupBy(F.col(key).alias("_key")).agg(F.min("_pos").alias("_first"), *[e.alias(c) for c, e in sums.items()])
+    joined = placed.join(of, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.select(*df.columns, (F.col("_pos") - F.col("_first")).alias(name), *sums)
+
+
 def progress(df: DataFrame, run: str, order: list[str], ts: str) -> DataFrame:
     """done, total, percent, elapsed and remaining seconds and rows a second at each row of a run; no rate before any time has passed."""
-    w = Window.partitionBy(run).orderBy(*order)
-    all_ = Window.partitionBy(run)
-    done, total = F.row_number().over(w), F.count("*").over(all_)
-    elapsed = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.min(ts).over(all_).cast("timestamp"))) / 1e6
-    out = df.withColumns({"done": done.cast("long"), "total": total, "elapsed": elapsed}).withColumn("rate", F.when(F.col("elapsed") > 0, F.round(F.col("done") / F.col("elapsed"), 6)))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    placed = place_within(df, run, order, "done", total=F.count("*"), _began=F.min(micros)).withColumns({"done": F.col("done") + 1, "elapsed": (micros - F.col("_began")) / 1e6}).drop("_began")
+    out = placed.withColumn("rate", F.when(F.col("elapsed") > 0, F.round(F.col("done") / F.col("elapsed"), 6)))
     return out.withColumns({"percent": F.round(100.0 * F.col("done") / F.col("total"), 6), "remaining": F.round(F.col("elapsed") / F.col("done") * (F.col("total") - F.col("done")), 6), "elapsed": F.round("elapsed", 6)})
 
 
 def fps_by_count(df: DataFrame, stream: str, order: list[str], ts: str, n: int = 99) -> DataFrame:
     """(stream, win, frames, seconds) of windows of n frames."""
-    numbered_ = df.withColumn("win", F.floor((F.row_number().over(Window.partitionBy(stream).orderBy(*order)) - 1) / n))
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return numbered_.groupBy(stream, "win").agg(F.count("*").alias("frames"), F.round((F.max(micros) - F.min(micros)) / 1e6, 6).alias("seconds"))
+    placed = place_within(df.select(stream, ts, *[c for c in order if c not in (stream, ts)]), stream, order, "_at").withColumn("win", F.floor(F.col("_at") / n))
+    return placed.groupBy(stream, "win").agg(F.count("*").alias("frames"), F.round((F.max(micros) - F.min(micros)) / 1e6, 6).alias("seconds"))
 
 
 def first_per(df: DataFrame, key: str, order: list[str]) -> DataFrame:
