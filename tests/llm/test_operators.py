@@ -95,6 +95,16 @@ def test_decontamination(docs, empty, spark, monkeypatch):
     assert decontaminate.mark_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    """Places are found in one pass, whatever a text's length; spans are those of the original."""
+    head = "Wörter, und mehr; " * 700_000
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, head + ITEM + " " + ITEM.replace(" ", "-") + " end"), (2, ITEM)], "doc_id long, text string").coalesce(1)
+    got = decontaminate.mark_contamination(docs, bench).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r["items"]) for r in got] == [(3 * 700_000 + 25, 24, ["1"]), (12, 12, ["1"])]
+    assert [(s.start, s.end) for s in got[0].spans] in ([(len(head), len(head) + 2 * len(ITEM) + 1)], [(len(head), len(head) + len(ITEM)), (len(head) + len(ITEM) + 1, len(head) + 2 * len(ITEM) + 1)])
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows()) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
