@@ -137,5 +137,49 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 """
 
+
+
+def _op6() -> str:
+    q = quality_rules
+    kinds = ["[a-z]", "[A-Z]", r"[^\x00-\x7F]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?''\"()\-]"]
+    counted = ", ".join(f"len(regexp_extract_all(t, '{k}'))" for k in kinds)
+    term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+again AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(generate_series(i, i + 7)) AS k FROM twice) GROUP BY r),
+line AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+b AS (
+  SELECT r, doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(line.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
+    len(w) < {q.MIN_WORDS} OR 100 * coalesce(again.n, 0) > {q.MAX_REPEATED} * len(w) AS base_failed
+  FROM d LEFT JOIN again USING (r) LEFT JOIN line USING (r)
+),
+word AS (SELECT r, {_PLAIN.format("x")} AS x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM b) GROUP BY ALL),
+counts AS (SELECT lang, x, sum(n) AS n FROM word JOIN b USING (r) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY ALL),
+sizes AS (SELECT lang, sum(n_words) AS size, count(*) AS docs FROM b WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang),
+known AS (SELECT lang, size FROM sizes WHERE docs >= {q.REFERENCE_DOCS} AND size >= {q.REFERENCE_WORDS} AND size >= {q.REFERENCE_SHARE} * (SELECT sum(size) FROM sizes)),
+common AS (SELECT counts.lang AS of, x, counts.n / CAST(size AS DOUBLE) AS q FROM counts JOIN known USING (lang) WHERE counts.n >= {q.COMMON} * size),
+refs AS (SELECT of, 1 - sum(q) AS rest, sum(q) AS held FROM common GROUP BY of),
+kind AS (SELECT r, lang, base_failed, n_words, k, c FROM (SELECT r, lang, base_failed, n_words, unnest(range(0, 7)) AS k, unnest(list_append(c, length(t) - list_sum(c))) AS c FROM (SELECT *, [{counted}] AS c FROM b))),
+own AS (SELECT r, k, c / greatest(sum(c) OVER (PARTITION BY r), 1e-12::DOUBLE) AS p FROM kind),
+whole AS (SELECT lang AS of, k, sum(c) / CAST(sum(sum(c)) OVER (PARTITION BY lang) AS DOUBLE) AS q FROM kind WHERE NOT base_failed AND lang IN (SELECT of FROM refs) GROUP BY lang, k),
+asked AS (SELECT r, n_words, of, rest, held FROM b, refs WHERE of = lang OR lang IS NULL OR lang NOT IN (SELECT of FROM refs)),
+by_kind AS (SELECT r, of, sqrt(greatest(0, sum({term("p", "q")} + {term("q", "p")}) / 2)) AS d FROM asked JOIN own USING (r) JOIN whole USING (of, k) GROUP BY r, of),
+met AS (SELECT r, common.of, word.n / CAST(n_words AS DOUBLE) AS p, q FROM asked JOIN word USING (r) JOIN common ON common.of = asked.of AND common.x = word.x),
+sums AS (SELECT r, of, sum(p) AS p, sum(q) AS q, sum({term("p", "q")} + {term("q", "p")}) AS s FROM met GROUP BY r, of),
+by_word AS (
+  SELECT r, of, sqrt(greatest(0, (s + held - q + {term("op", "rest")} + {term("rest", "op")}) / 2)) AS d
+  FROM (SELECT asked.r, asked.of, rest, held, coalesce(s, 0) AS s, coalesce(q, 0) AS q, CASE WHEN n_words > 0 THEN greatest(0, 1 - coalesce(p, 0)) ELSE 0 END AS op FROM asked LEFT JOIN sums ON sums.r = asked.r AND sums.of = asked.of)
+),
+near AS (
+  SELECT r, bool_or((k.d <= {q.CLASS_DISTANCE} OR n_words < {q.CLASS_WORDS}) AND (w.d <= {q.COMMON_DISTANCE} OR n_words < {q.COMMON_WORDS})) AS fine
+  FROM asked JOIN by_kind k USING (r, of) JOIN by_word w USING (r, of) GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (coalesce(fine, false) OR NOT EXISTS (SELECT 1 FROM refs)) AS kept FROM b LEFT JOIN near USING (r)
+"""
+
+
 #: SQL for those that it can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op5_licenses": _op5(), "op9_substring": _OP9}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op5_licenses": _op5(), "op6_quality_rules": _op6(), "op9_substring": _OP9}
