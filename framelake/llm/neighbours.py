@@ -98,17 +98,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return [pa.array(terms, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.float32()))]
 
     found = add_columns(rows, "terms array<int>, numbers array<float>", counts).select("id", "label", "terms", "numbers").toPandas().sort_values("id")
-    x = np.zeros((len(found), FAMILIES * TERMS), np.float32)
+    x, often = np.zeros((len(found), FAMILIES * TERMS), np.float32), np.zeros(FAMILIES * TERMS)
     for i, (t, n) in enumerate(zip(found["terms"], found["numbers"], strict=True)):
         x[i, np.asarray(t, np.int64)] = n
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = weighted(x, idf)
+        often[t] += 1
+    labels_of = found["label"].to_numpy(np.float32)
+    del found
+    idf = np.log((1 + len(x)) / (1 + often)).astype(np.float32) + 1
+    for i in range(0, len(x), BATCH):  # in place: the matrix is the driver's largest piece, 200 MB for 4096 texts
+        x[i : i + BATCH] = weighted(x[i : i + BATCH], idf)
     q = np.random.default_rng(seed).standard_normal((FAMILIES * TERMS, LATENT + 16)).astype(np.float32)
     for _ in range(4):  # subspace iteration for the leading right singular vectors
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, v = np.linalg.svd(x @ q, full_matrices=False)
     basis = (q @ v.T)[:, :LATENT].astype(np.float32)
-    return idf, basis, _unit(x @ basis).astype(np.float32), found["label"].to_numpy(np.float32)
+    return idf, basis, _unit(x @ basis).astype(np.float32), labels_of
 
 
 def share_of_ones(z: np.ndarray, known: np.ndarray, labels: np.ndarray) -> np.ndarray:
