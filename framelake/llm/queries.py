@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, langid, licenses, mixing, neighbours, quality_rules, simhash, substring, urls
+from . import brown, decontaminate, langid, licenses, mixing, nearest, neighbours, prefix_trie, quality_rules, simhash, substring, urls, whiten
 from .rows import add_columns
 
 
@@ -64,6 +64,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", remainder("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def remainder(key: str, of: int, is_: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder; a null key doesn't."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % of == is_, F.lit(False))
@@ -71,7 +83,7 @@ def remainder(key: str, of: int, is_: int) -> Column:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_decontaminate, op3_mix, op4_urls, op5_licenses, op6_quality_rules, op7_brown, op8_neighbours, op9_substring, op10_langid)
+    for f in (op1_simhash, op2_decontaminate, op3_mix, op4_urls, op5_licenses, op6_quality_rules, op7_brown, op8_neighbours, op9_substring, op10_langid, op11_nearest, op12_prefix_trie, op13_whiten)
 }
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -181,5 +193,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: CRC-32 of a number in decimal: each byte, then eight shifts.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda k: list_concat([CAST(ascii(k) AS BIGINT)], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+_OP12 = rf"""
+WITH t AS (
+  SELECT conv_id AS c, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS name, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens, turn, coalesce(role, '') AS role
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (SELECT c, list(struct_pack(name := name, tokens := tokens) ORDER BY turn NULLS FIRST, role, name) AS w FROM t GROUP BY c),
+seq AS (
+  SELECT a.c, list_concat(coalesce(b.w[1:a.h], []), a.w[a.h + 1:]) AS w
+  FROM (SELECT *, {_CRC} % 4 AS h FROM own) a LEFT JOIN own b ON b.c = a.c - a.c % 20
+),
+member AS (SELECT c, d, array_to_string(list_transform(w[1:d], lambda x: x.name), ',') AS key, CASE WHEN d > 0 THEN w[d].tokens ELSE 0 END AS tokens, d = len(w) AS last FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM seq)),
+node AS (SELECT key, d, min(c) AS c, count(*) AS n, max(tokens) AS tokens, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '') AS ends FROM member GROUP BY key, d),
+child AS (SELECT node.key, m.key AS parent FROM node JOIN member m ON m.c = node.c AND m.d = node.d - 1),
+size AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN (SELECT parent, count(*) AS k FROM child GROUP BY parent) s ON s.parent = node.key),
+total AS (SELECT m.key, count(*) FILTER (k = 0) AS leaves, CAST(sum((n - 1) * size.tokens) AS BIGINT) AS saved FROM size JOIN member m ON m.c = size.c AND m.d <= size.d GROUP BY m.key)
+SELECT size.c AS conv_id, CAST(size.d AS BIGINT) AS depth, up.c AS parent_conv_id, size.n AS n_convs, size.k AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(size.ends) AS ends_sha256
+FROM size JOIN total USING (key) LEFT JOIN child USING (key) LEFT JOIN node up ON up.key = child.parent
+"""
+
 #: SQL for those that it can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op5_licenses": _op5(), "op6_quality_rules": _op6(), "op9_substring": _OP9}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op5_licenses": _op5(), "op6_quality_rules": _op6(), "op9_substring": _OP9, "op12_prefix_trie": _OP12}
