@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.frames import hashed, numbered
+from .scan import segmented_scan
 
 
 def luma_variance(data: str = "data", n: int = 1024) -> dict[str, Column]:
@@ -144,12 +145,14 @@ def first_per(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("s")).select(key, "s.*")
 
 
-def assemble_packets(beats: DataFrame, expected: int) -> DataFrame:
-    """(stream, frame_id, packet, beats, ok): a packet ends with a beat marked last."""
-    w = Window.partitionBy("stream", "frame_id").orderBy("seq")
-    before = F.coalesce(F.lag(F.col("last").cast("int")).over(w), F.lit(0))
-    packets = beats.withColumn("_b", before).withColumn("packet", F.sum("_b").over(w))
-    return packets.groupBy("stream", "frame_id", "packet").agg(F.count("*").alias("beats"), (F.count("*") == expected).alias("ok"))
+def assemble_packets(beats: DataFrame, expected: int, keys: tuple[str, ...] = ("stream", "frame_id"), order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """(keys, packet, beats, ok): a packet ends with a beat marked last, what comes after the last of these is a packet too.
+
+    The open packet is carried from range partition to range partition, so one key may have any number of beats.
+    """
+    packets = segmented_scan(beats.select(*keys, *order, "last"), list(keys), list(order), F.col("last"), after=True)
+    by = packets.groupBy(*keys, F.col("segment").alias("packet"))
+    return by.agg(F.count("*").alias("beats"), (F.count("*") == expected).alias("ok"))
 
 
 # --- sorts, samples, splits --------------------------------------------------------------------

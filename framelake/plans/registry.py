@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import augment, color, nn, resample, stats, tiling
+from ..operators import augment, color, nn, resample, scan, stats, tiling
 from ..sources import frames as src
 from ..sources.shared import shared_folder
 from ..streaming import frames as streams
@@ -115,7 +115,7 @@ def s6(s: SparkSession, d: str) -> DataFrame:
 def s7(s: SparkSession, d: str) -> DataFrame:
     text = F.expr("concat(array('log', concat('Feature map ', patch_id % 3, ':')), transform(pix, v -> cast(v as string)), array(''))")
     lines = src.patches(s, d).select(F.col("patch_id").alias("file"), F.posexplode(text).alias("line", "text"))
-    parsed = src.parse_fmap_log(lines)
+    parsed = scan.parse_fmap_log(lines)
     return parsed.groupBy("file", "map").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("pos")).alias("mixed"))
 
 
@@ -640,7 +640,25 @@ def w5(s: SparkSession, d: str) -> DataFrame:
     text = F.expr("concat(array(concat('Feature map ', patch_id % 3, ':')), transform(pix, v -> cast(v as string)), array(''))")
     lines = src.patches(s, d).select(F.expr("patch_id div 10").alias("file"), "patch_id", F.posexplode(text).alias("p", "text"))
     lines = lines.select("file", (F.col("patch_id") * 100 + F.col("p")).alias("line"), "text")  # ten sections a file
-    return src.parse_fmap_log(lines).groupBy("map").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    return scan.parse_fmap_log(lines).groupBy("map").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("w4_stream_packets", f"""WITH {q.TILES}, beats AS (SELECT stream, frame_id * 8192 + tile_y * 128 + i AS place, i = 127 AND (frame_id + tile_y) % 3 > 0 AS last FROM (SELECT *, unnest(range(0, 128)) AS i FROM tiles)),
+p AS (SELECT stream, coalesce(sum(CAST(last AS INTEGER)) OVER (PARTITION BY stream ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS packet FROM beats)
+SELECT stream, CAST(packet AS BIGINT) AS packet, count(*) AS beats, count(*) = 128 AS ok FROM p GROUP BY stream, packet""")
+def w4_streams(s: SparkSession, d: str) -> DataFrame:
+    """Each stream as one sequence of beats, in which every third tile lacks its end: packets run over tiles and frames."""
+    beats = color.pack_beats(src.raw_tiles(s, d))
+    ends = F.col("last") & ((F.col("frame_id") + F.expr("seq div 128")) % 3 > 0)
+    return stats.assemble_packets(beats.select("stream", (F.col("frame_id") * 8192 + F.col("seq")).alias("place"), ends.alias("last")), 128, ("stream",), ("place",))
+
+
+@query("w5_one_file", f"WITH {q.PATCHES}, m AS (SELECT patch_id, v, row_number() OVER (PARTITION BY patch_id // 3 ORDER BY patch_id, y, x) - 1 AS pos FROM pp) SELECT CAST(patch_id // 3 * 3 % 1000 AS INTEGER) AS map, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total, CAST(sum(v * pos) AS DOUBLE) AS mixed FROM m GROUP BY 1")
+def w5_one(s: SparkSession, d: str) -> DataFrame:
+    """All patches in the log of a single file, three of them under each header."""
+    text = F.expr("concat(if(patch_id % 3 = 0, array(concat('Feature map ', patch_id % 1000, ':')), array()), transform(pix, v -> cast(v as string)), array(''))")
+    lines = src.patches(s, d).select(F.lit(0).alias("file"), "patch_id", F.posexplode(text).alias("p", "text")).select("file", (F.col("patch_id") * 100 + F.col("p")).alias("line"), "text")
+    return scan.parse_fmap_log(lines).groupBy("map").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("pos")).alias("mixed"))
 
 
 for _o, _e in (("column", "tile_x * 65536 + tile_y"), ("row", "tile_y * 65536 + tile_x")):

@@ -83,16 +83,6 @@ def zip_by_position(a: DataFrame, b: DataFrame, a_order: list[str], b_order: lis
     return left.join(right, "pos", "full_outer")
 
 
-def parse_fmap_log(lines: DataFrame, marker: str = r"^Feature map (\d+):$") -> DataFrame:
-    """(file, map, pos, v) of text dumps (file, line, text): a marker line starts a map, blank lines don't count."""
-    order = Window.partitionBy("file").orderBy("line")
-    seen = lines.withColumn("section", F.sum(F.col("text").rlike(marker).cast("int")).over(order))
-    named = seen.withColumn("map", F.last(F.when(F.col("text").rlike(marker), F.regexp_extract("text", marker, 1).cast("int")), ignorenulls=True).over(order))
-    values = named.where((F.trim("text") != "") & ~F.col("text").rlike(marker) & (F.col("section") > 0))
-    pos = F.row_number().over(Window.partitionBy("file", "section").orderBy("line")) - 1
-    return values.select("file", "map", pos.alias("pos"), F.col("text").cast("double").alias("v"))
-
-
 def write_training_set(pairs: DataFrame, path: str) -> None:
     pairs.write.mode("overwrite").partitionBy("split").parquet(path)
 
