@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import augment, color, nn, resample, scan, stats, tiling
 from ..sources import frames as src
+from ..sources import raw
 from ..sources.shared import shared_folder
 from ..streaming import frames as streams
 from . import sql as q
@@ -66,6 +67,28 @@ def s1(s: SparkSession, d: str) -> DataFrame:
     return src.raw_frames(s, d).groupBy("stream").agg(F.count_if(k > 0).alias("good"), F.count_if(k == 0).alias("rejected"), F.sum(k).alias("n_tiles"))
 
 
+def dumped(s: SparkSession, frames: DataFrame, **options: object) -> str:
+    """A new folder with raw files of frames (name, id, data) of 32 x 32: one for each name and task."""
+    path = fresh(s, "raw")
+    raw.write_frames(frames.sortWithinPartitions("name", "id"), path, "yuyv", 32, 32, **options)
+    return path
+
+
+@query("s1_raw_files", f"""WITH {q.TILES} SELECT stream AS name, CAST(sum(k) AS BIGINT) AS frames, CAST(sum(k) * 2048 AS BIGINT) AS bytes, CAST(sum(list_sum(data[1:k * 2048])) AS BIGINT) AS total FROM frames WHERE k > 0 GROUP BY stream
+UNION ALL SELECT concat(stream, '-rest'), NULL, CAST(sum(n_bytes - k * 2048) AS BIGINT), NULL FROM frames GROUP BY stream""")
+def s1_raw(s: SparkSession, d: str) -> DataFrame:
+    """Documents as raw files by stream, whole frames in some and what is left over in others, read by ranges of bytes; others than whole frames are rejected."""
+    path = dumped(s, src.text_buffers(src.frame_texts(s, d)))
+    rests = src.text_rests(src.table(s, d, "documents").select(F.col("doc_id").cast("long").alias("frame_id"), F.col("lang").alias("stream"), "text"))
+    raw.write_frames(rests.sortWithinPartitions("name", "id"), path, "yuyv", 32, 32, ragged="true")
+    good, rejected = raw.read_frames(s, path, "yuyv", 32, 32)
+    name = F.regexp_extract("path", r"([^/]+)-\d+-\d+-\w+\.yuyv$", 1).alias("name")
+    tiles = raw.tiles_of(good.select(name, "data")).select("name", F.lit(2048).cast("long").alias("length"), F.expr("aggregate(data, 0L, (a, b) -> a + b)").alias("sum"))
+    whole = ~F.col("name").endswith("-rest")
+    by = tiles.unionByName(rejected.select(name, "length", F.lit(0).cast("long").alias("sum"))).groupBy("name")
+    return by.agg(F.count_if(whole).alias("n"), F.sum("length").alias("bytes"), F.sum("sum").alias("sum")).select("name", F.when(whole, F.col("n")).alias("frames"), "bytes", F.when(whole, F.col("sum")).alias("total"))
+
+
 _NAMES = "SELECT p_partkey, concat(CASE WHEN p_partkey % 7 = 0 THEN '.' ELSE '' END, 'img', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.txt' WHEN 3 THEN '.jpeg' ELSE '.bmp' END) AS name, p_size FROM part"
 
 
@@ -107,8 +130,10 @@ def s4(s: SparkSession, d: str) -> DataFrame:
 
 @query("s6_frame_dump", f"WITH {q.TILES} SELECT frame_id, md5(array_to_string(list_transform(data[1:k * 2048], lambda b: printf('%02x', b)), '')) AS dump_md5 FROM frames WHERE k > 0")
 def s6(s: SparkSession, d: str) -> DataFrame:
-    hexed = F.expr("array_join(transform(slice(data, 1, k * 2048), b -> lpad(lower(hex(b)), 2, '0')), '')")
-    return src.raw_frames(s, d).where("k > 0").select("frame_id", F.md5(hexed).alias("dump_md5"))
+    """Frames dumped to raw files, tile by tile, and read back."""
+    tiles, _ = raw.read_frames(s, dumped(s, src.text_buffers(src.frame_texts(s, d))), "yuyv", 32, 32)
+    of = tiles.groupBy(F.expr("id div 4096").alias("frame_id")).agg(F.array_sort(F.collect_list(F.struct("id", "data"))).alias("tiles"))
+    return of.select("frame_id", F.md5(F.expr("array_join(transform(tiles, t -> lower(hex(t.data))), '')")).alias("dump_md5"))
 
 
 @query("s7_fmap_log", f"WITH {q.PATCHES} SELECT patch_id AS file, CAST(patch_id % 3 AS INTEGER) AS map, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total, CAST(sum(v * (y * 8 + x)) AS DOUBLE) AS mixed FROM pp GROUP BY patch_id")
@@ -1051,6 +1076,29 @@ def x2(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(out).agg(F.countDistinct("epoch").alias("epochs"), F.sum("n_tiles").alias("n_tiles"))
 
 
+def raw_stream(s: SparkSession, d: str, max_frames: int) -> DataFrame:
+    """Tiles (stream, data) of a stream of raw files, so many in flight."""
+    path = dumped(s, src.text_buffers(src.frame_texts(s, d)))
+    frames = raw.stream_frames(s, path, "yuyv", 32, 32, fresh(s, "progress"), max_frames)
+    return raw.tiles_of(frames.select(F.regexp_extract("path", r"([^/]+)-\d+-\d+-\w+\.yuyv$", 1).alias("stream"), "data"))
+
+
+@query("x1_stream_raw", f"WITH {q.VARIANCE} SELECT stream, count(*) AS n_tiles, count(*) FILTER (route = 'cnn') AS n_cnn, count(*) FILTER (route <> 'cnn') AS n_interp FROM routed GROUP BY stream")
+def x1_raw(s: SparkSession, d: str) -> DataFrame:
+    """Raw frames as they come, routed trigger by trigger."""
+    out = fresh(s, "routed")
+    streams.drain(streams.stream_upscale(raw_stream(s, d, 1024), lambda tiles: stats.route_summary(stats.route_tiles(tiles), ["stream"]), out, fresh(s, "checkpoint"), once=False))
+    return s.read.parquet(out).groupBy("stream").agg(*[F.sum(c).alias(c) for c in ("n_tiles", "n_cnn", "n_interp")])
+
+
+@query("x2_frames_in_flight", f"WITH {q.TILES} SELECT CAST(ceil(count(*) / 250) AS BIGINT) AS epochs, count(*) AS n_tiles, CAST(least(250, count(*)) AS BIGINT) AS most FROM tiles")
+def x2_flight(s: SparkSession, d: str) -> DataFrame:
+    """Intake bounded by frames: no trigger takes more than 250."""
+    out = fresh(s, "taken")
+    streams.drain(streams.stream_upscale(raw_stream(s, d, 250), lambda tiles: tiles.agg(F.count("*").alias("n_tiles")), out, fresh(s, "checkpoint"), once=False))
+    return s.read.parquet(out).agg(F.countDistinct("epoch").alias("epochs"), F.sum("n_tiles").alias("n_tiles"), F.max("n_tiles").alias("most"))
+
+
 def run_stream(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-BYTES_PER_PIXEL = {"yuyv": 2, "rgb888": 3, "rgb565": 2}
 IMAGE_NAMES = r"\.(png|jpg|jpeg|bmp|webp)$"
 TILE, TILE_BYTES = 32, 2048
 
@@ -28,21 +27,6 @@ def hashed(key: Column, seed: int = 0) -> Column:
 # --- files -------------------------------------------------------------------------------------
 
 
-def read_frames(spark: SparkSession, path: str, fmt: str, width: int, height: int) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected) raw buffers under path: good ones have the size that the geometry asks for."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    size = width * height * BYTES_PER_PIXEL[fmt]
-    geometry = [F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(fmt).alias("fmt")]
-    good = files.where(F.col("length") == size).select(F.xxhash64("path").alias("frame_id"), "path", *geometry, F.col("content").alias("data"))
-    rejected = files.where(F.col("length") != size).select("path", "length", F.lit(f"expected {size} bytes").alias("reason"))
-    return good, rejected
-
-
-def write_frames(frames: DataFrame, path: str) -> None:
-    """Raw dumps as a table of (frame_id, data)."""
-    frames.select("frame_id", "data").write.mode("overwrite").parquet(path)
-
-
 def scan_images(names: DataFrame, column: str = "name") -> DataFrame:
     """Names of images, without hidden files."""
     return names.where(F.lower(column).rlike(IMAGE_NAMES) & ~F.col(column).startswith("."))
@@ -177,6 +161,30 @@ def tiled_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, "frame_id long, stream string, tile_y int, data array<int>")
 
 
+def text_buffers(docs: DataFrame) -> DataFrame:
+    """(name, id, data) of texts (frame_id, stream, text): their tiles as raw frames of 32 x 32 in YUYV, named by stream and numbered 4096 a frame."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame, stream, tile, data in _tile_bytes(batches):
+            names = ["none" if s is None else s for s in stream]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(frame * 4096 + tile, pa.int64()), pa.array([row.tobytes() for row in data], pa.binary())], names=["name", "id", "data"])
+
+    return docs.mapInArrow(cut, "name string, id long, data binary")
+
+
+def text_rests(docs: DataFrame) -> DataFrame:
+    """(name, id, data): what text_buffers() leaves over of each text, named by stream and -rest."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(t or "").encode("utf-32-le")[::4] for t in b.column(2).to_pylist()]
+            rests = [t[len(t) // TILE_BYTES * TILE_BYTES :] for t in texts]
+            names = [f"{'none' if s is None else s}-rest" for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column(0), pa.array(rests, pa.binary())], names=["name", "id", "data"])
+
+    return docs.mapInArrow(cut, "name string, id long, data binary")
+
+
 def frame_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame_id, stream, text) of documents that hold a tile, dealt over all cores."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") >= TILE_BYTES)

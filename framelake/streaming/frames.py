@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -20,8 +21,8 @@ def read_frame_stream(spark: SparkSession, path: str, schema: StructType, max_fi
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
-def stream_upscale(tiles: DataFrame, upscale: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Appends upscale(tiles of a trigger) to the table out, with the trigger's number as epoch; ends with what is there.
+def stream_upscale(tiles: DataFrame, upscale: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True):
+    """Appends upscale(tiles of a trigger) to the table out, with the trigger's number as epoch; ends with what is there, or if not `once` when it is stopped.
 
     A trigger that is run again after a failure writes its own folder again.
     """
@@ -29,7 +30,16 @@ def stream_upscale(tiles: DataFrame, upscale: Callable[[DataFrame], DataFrame],
     def write(batch: DataFrame, epoch: int) -> None:
         upscale(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    return tiles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = tiles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def drain(query: StreamingQuery) -> None:
+    """Waits until a stream has taken up all that is there, and stops it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def stream_route(tiles: DataFrame, control: Callable[[], DataFrame], out: str, checkpoint: str):

@@ -64,13 +64,6 @@ def test_words_round_trip(spark):
     assert color.pack_rgb565(px).first().rgb565 == (255 >> 3 << 11) | (17 >> 3)
 
 
-def test_read_frames_rejects_wrong_sizes(spark, tmp_path):
-    (tmp_path / "a.yuv").write_bytes(bytes(32))
-    (tmp_path / "b.yuv").write_bytes(bytes(31))
-    good, rejected = src.read_frames(spark, str(tmp_path), "yuyv", 4, 4)
-    assert good.count() == 1 and rejected.first().reason == "expected 32 bytes"
-
-
 def test_registered_queries_have_names_and_oracles():
     import __spark_entry__ as e
 
