@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -1103,6 +1104,13 @@ def run_stream(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -
     df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+def in_turn(s: SparkSession, folder: str, *parts: DataFrame) -> None:
+    """A folder for a stream that takes its files by time: all of a part before those of the next, each part in files of its own."""
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        time.sleep(0.05)
+
+
 def events_stream(s: SparkSession, d: str) -> DataFrame:
     events = streams.read_frame_stream(s, d, src.table(s, d, "events").schema, 1, pattern="events.parquet")
     return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("stream"), "value")
@@ -1111,10 +1119,21 @@ def events_stream(s: SparkSession, d: str) -> DataFrame:
 @query("x3_stream_fps_count", f"{_W2} SELECT stream, win, count(*) AS frames FROM z GROUP BY stream, win HAVING count(*) = 20")
 def x3(s: SparkSession, d: str) -> DataFrame:
     out = fresh(s, "fps")
-    run_stream(streams.stream_fps_by_count(events_stream(s, d), 20), out, fresh(s, "checkpoint"))
+    came = events_stream(s, d).withColumn("came", F.current_timestamp())
+    run_stream(streams.stream_fps_by_count(came, 20, "came"), out, fresh(s, "checkpoint"))
     return s.read.parquet(out)
 
 
+@query("x3_idle_streams", f"{_W2} SELECT stream, win, count(*) AS frames FROM z GROUP BY stream, win")
+def x3_idle(s: SparkSession, d: str) -> DataFrame:
+    """Streams that fall silent give their open window and are forgotten: a late row of a stream of its own moves the watermark on."""
+    out, folder = fresh(s, "fps"), fresh(s, "events")
+    events = src.frame_events(s, d).select("stream", F.lit("2026-01-01 00:00:00").cast("timestamp").alias("came"))
+    in_turn(s, folder, events, s.range(1).select(F.lit(-1).cast("long").alias("stream"), F.lit("2026-01-02 00:00:00").cast("timestamp").alias("came")))
+    run_stream(streams.stream_fps_by_count(streams.read_frame_stream(s, folder, events.schema, 1), 20, "came"), out, fresh(s, "checkpoint"))
+    return s.read.parquet(out).where("stream >= 0")
+
+
 @query("x4_stream_fps_time", f"WITH {q.EVENTS} SELECT stream, CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS win_start, count(*) AS frames FROM ev GROUP BY 1, 2")
 def x4(s: SparkSession, d: str) -> DataFrame:
     out = fresh(s, "fps_time")
@@ -1131,8 +1150,22 @@ def x4(s: SparkSession, d: str) -> DataFrame:
 @query("x5_stream_packets", f"WITH {q.TILES} SELECT stream, frame_id, CAST(tile_y AS BIGINT) AS packet, CAST(128 AS BIGINT) AS beats FROM tiles")
 def x5(s: SparkSession, d: str) -> DataFrame:
     out = fresh(s, "packets")
-    run_stream(streams.stream_packets(color.pack_beats(documents_stream(s, d)).select("stream", "frame_id", "seq", "last")), out, fresh(s, "checkpoint"))
-    return s.read.parquet(out)
+    docs = streams.read_frame_stream(s, d, src.table(s, d, "documents").schema, 2, pattern="documents.parquet")
+    beats = src.text_beats(docs.select(F.col("doc_id").cast("long").alias("frame_id"), F.col("lang").alias("stream"), "text")).withColumn("came", F.current_timestamp())
+    run_stream(streams.stream_packets(beats, "came"), out, fresh(s, "checkpoint"))
+    return s.read.parquet(out).where("complete").drop("complete")
+
+
+@query("x5_lost_beats", f"""WITH {q.TILES} SELECT stream, frame_id, CAST(tile_y AS BIGINT) AS packet, CAST(128 AS BIGINT) AS beats, true AS complete FROM tiles WHERE frame_id % 5 > 0 OR tile_y < 1
+UNION ALL SELECT stream, frame_id, 1, CAST(k * 128 - 129 AS BIGINT), false FROM frames WHERE frame_id % 5 = 0 AND k > 1""")
+def x5_lost(s: SparkSession, d: str) -> DataFrame:
+    """In every fifth frame a beat of the second tile never comes: its packets before are given, and what is left of it when its time has passed."""
+    out, folder = fresh(s, "packets"), fresh(s, "beats")
+    beats = src.text_beats(src.frame_texts(s, d)).where("frame_id % 5 > 0 or seq <> 135").withColumn("came", F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    later = s.range(1).select(F.lit("clock").alias("stream"), F.lit(-1).cast("long").alias("frame_id"), F.lit(0).cast("long").alias("seq"), F.lit(True).alias("last"), F.lit(True).alias("end"), F.lit("2026-01-02 00:00:00").cast("timestamp").alias("came"))
+    in_turn(s, folder, beats.coalesce(4), later)
+    run_stream(streams.stream_packets(streams.read_frame_stream(s, folder, beats.schema, 4), "came"), out, fresh(s, "checkpoint"))
+    return s.read.parquet(out).where("stream <> 'clock'")
 
 
 _CONTROL = "(SELECT 500::DOUBLE + user_id % 1000 AS threshold, user_id % 3 AS override FROM events ORDER BY event_id DESC LIMIT 1)"

@@ -196,6 +196,13 @@ def raw_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiled_texts(frame_texts(spark, sf_dir))
 
 
+def text_beats(docs: DataFrame) -> DataFrame:
+    """(stream, frame_id, seq, last, end) of texts (frame_id, stream, text): 128 beats a tile, the last of a tile and the end of a frame marked."""
+    tiles = docs.select("stream", "frame_id", F.expr(f"char_length(text) div {TILE_BYTES}").alias("k")).where("k > 0")
+    beats = tiles.select("stream", "frame_id", "k", F.explode(F.expr("sequence(0L, k * 128 - 1)")).alias("seq"))
+    return beats.select("stream", "frame_id", "seq", F.expr("seq % 128 = 127").alias("last"), F.expr("seq = k * 128 - 1").alias("end"))
+
+
 def explode_yuyv(frames: DataFrame) -> DataFrame:
     """(frame_id, y, x, luma, u, v) of texts (frame_id, stream, text): two pixels of each four bytes share u and v."""
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from ..operators.stats import route_summary, route_tiles
@@ -59,38 +59,118 @@ def stream_fps_by_time(events: DataFrame, width: str = "1 hour", delay: str = "1
     return timed.select("stream", F.col("window.start").alias("win_start"), "frames")
 
 
-def stream_fps_by_count(events: DataFrame, n: int = 99) -> DataFrame:
-    """(stream, win, frames) of complete windows of n frames in order of arrival; a stream's state is its open window's count."""
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        win, seen = state.get if state.exists else (0, 0)
-        seen += sum(len(f) for f in frames)
-        full, seen = divmod(seen, n)
-        state.update((win + full, seen))
-        yield pd.DataFrame({"stream": [key[0]] * full, "win": range(win, win + full), "frames": [n] * full})
 
-    return events.groupBy("stream").applyInPandasWithState(count, "stream long, win long, frames long", "win long, seen long", "append", GroupStateTimeout.NoTimeout)
+def _timed(rows: DataFrame, time: str, delay: str) -> DataFrame:
+    """rows with a watermark and their time in milliseconds. Timers need the state store that keeps state on disk, for this session's streams from now on."""
+    rows.sparkSession.conf.set(_STORE, _ROCKS)
+    return rows.withColumn("ms", F.unix_millis(time)).withWatermark(time, delay)
 
 
-def stream_packets(beats: DataFrame) -> DataFrame:
-    """(stream, frame_id, packet, beats) of packets that have ended; a frame's beats are numbered by seq from 0 without gaps.
+class _Timed(StatefulProcessor):
+    """State of a key that a timer ends: it goes off when the watermark has passed the key's latest row by `idle` milliseconds."""
 
-    Beats may come in any order, within a trigger and across triggers, and more than once. State is
-    the number of the open packet, its beats so far, the next beat's number, and the beats that came
-    before their turn.
+    fields: str
+
+    def __init__(self, idle: int) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("open", self.fields)
+
+    def put_off(self, old: int, ms: int) -> int:
+        """The time at which the timer goes off now."""
+        due = max(old, ms + self.idle)
+        if due > old:
+            if old:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(due)
+        return due
+
+    def close(self) -> None:
+        pass
+
+
+class _FpsByCount(_Timed):
+    fields = "win long, seen long, timer long"
+
+    def __init__(self, n: int, idle: int) -> None:
+        super().__init__(idle)
+        self.n = n
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        win, seen, timer = self.state.get() if self.state.exists() else (0, 0, 0)
+        if 0 < timer <= timerValues.getCurrentWatermarkInMs():  # it has come back before its timer's turn in this trigger
+            yield from self.forget(key)
+            win, seen = 0, 0
+        came = [(len(r), int(r["ms"].max())) for r in rows]
+        full, seen = divmod(seen + sum(n for n, _ in came), self.n)
+        self.state.update((win + full, seen, self.put_off(timer, max(ms for _, ms in came))))
+        yield pd.DataFrame({"stream": [key[0]] * full, "win": range(win, win + full), "frames": [self.n] * full})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self.forget(key)
+
+    def forget(self, key: tuple) -> Iterator[pd.DataFrame]:
+        win, seen, _ = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame({"stream": [key[0]] * bool(seen), "win": [win] * bool(seen), "frames": [seen] * bool(seen)})
+
+
+def stream_fps_by_count(events: DataFrame, n: int = 99, time: str = "ts", delay: str = "1 minute", idle_ms: int = 3_600_000) -> DataFrame:
+    """(stream, win, frames) of windows of n frames in order of arrival.
+
+    A stream's state is its open window's count. A stream that has been silent for idle_ms, by the
+    watermark, gives what its open window holds and is forgotten; if it comes back it starts at window 0.
     """
+    rows = _timed(events.select("stream", time), time, delay)
+    return rows.groupBy("stream").transformWithStateInPandas(_FpsByCount(n, idle_ms), "stream long, win long, frames long", "Append", "EventTime")
 
-    def frame(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        packet, held, due, early, ends = state.get if state.exists else (0, 0, 0, [], [])
-        came = pd.concat([pd.DataFrame({"seq": list(early), "last": list(ends)}), *[f[["seq", "last"]] for f in frames]])
+
+class _Packets(_Timed):
+    fields = "packet long, held long, due long, end long, timer long, early array<long>, lasts array<boolean>"
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        packet, held, due, end, timer, early, lasts = self.state.get() if self.state.exists() else (0, 0, 0, -1, 0, [], [])
+        came = pd.concat([pd.DataFrame({"seq": list(early), "last": list(lasts)}).astype({"seq": "int64", "last": "bool"}), *[r[["seq", "last", "end", "ms"]] for r in rows]])
+        timer = self.put_off(timer, int(came["ms"].max()))
+        end = max(end, int(came["seq"].where(came["end"].eq(True), -1).max()))
         came = came[came["seq"] >= due].drop_duplicates("seq").sort_values("seq")
         seq, last = came["seq"].to_numpy(np.int64), came["last"].to_numpy(bool)
         n = int((seq == due + np.arange(len(seq))).sum())  # those whose turn has come: ascending numbers, so all before the first gap
         at = np.flatnonzero(last[:n])
         sizes = np.diff(at, prepend=-1 - held)
-        state.update((packet + len(at), held + n if not len(at) else n - 1 - int(at[-1]), due + n, seq[n:].tolist(), last[n:].tolist()))
-        yield pd.DataFrame({"stream": [key[0]] * len(at), "frame_id": [key[1]] * len(at), "packet": packet + np.arange(len(at)), "beats": sizes})
-
-    return beats.groupBy("stream", "frame_id").applyInPandasWithState(
-        frame, "stream string, frame_id long, packet long, beats long", "packet long, held long, due long, early array<long>, ends array<boolean>", "append", GroupStateTimeout.NoTimeout
-    )
+        due, held = due + n, held + n if not len(at) else n - 1 - int(at[-1])
+        # A frame that has ended keeps no beats, only that it has ended, until its timer goes off: repeats still come.
+        self.state.update((packet + len(at), held, due, end, timer, [] if due == end + 1 else seq[n:].tolist(), [] if due == end + 1 else last[n:].tolist()))
+        yield self.rows(key, packet + np.arange(len(at)), sizes, True)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        packet, held, due, end, _, early, _ = self.state.get()
+        self.state.clear()
+        ended = end >= 0 and due == end + 1 and not held
+        yield self.rows(key, [] if ended else [packet], [] if ended else [held + len(early)], False)
+
+    @staticmethod
+    def rows(key: tuple, packet: Sequence[int], beats: Sequence[int], complete: bool) -> pd.DataFrame:
+        stream = pd.Series([key[0]] * len(packet), dtype=object)  # a column of pandas' strings can't be handed back in several pieces
+        return pd.DataFrame({"stream": stream, "frame_id": [key[1]] * len(packet), "packet": packet, "beats": beats, "complete": [complete] * len(packet)})
+
+
+def stream_packets(beats: DataFrame, time: str = "ts", delay: str = "1 minute", idle_ms: int = 600_000) -> DataFrame:
+    """(stream, frame_id, packet, beats, complete) of packets that have ended; a frame's beats are numbered by seq from 0 without gaps.
+
+    beats are (stream, frame_id, seq, last, end, time): last marks a packet's last beat, end the frame's.
+    They may come in any order, within a trigger and across triggers, and more than once. State is the
+    number of the open packet, its beats so far, the next beat's number, and the beats that came before
+    their turn.
+
+    A frame's state ends when the watermark has passed its latest beat by idle_ms. If by then the frame
+    hasn't ended, its open packet is given as not complete, with the number of beats that came for it and
+    after it: somewhere a beat is missing.
+    """
+    rows = _timed(beats.select("stream", "frame_id", "seq", "last", "end", time), time, delay)
+    schema = "stream string, frame_id long, packet long, beats long, complete boolean"
+    return rows.groupBy("stream", "frame_id").transformWithStateInPandas(_Packets(idle_ms), schema, "Append", "EventTime")

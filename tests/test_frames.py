@@ -185,39 +185,6 @@ def test_residual_network_adds_once_around_its_mapping_layers():
     assert np.allclose(nn.run_network(x, nn.RESIDUAL, weights)[0], want, rtol=1e-3, atol=1e-4)
 
 
-def run_packets(spark, tmp_path, name, parts):
-    """Packets of beats that come in the parts' files, one a trigger."""
-    import os
-    import time
-
-    from framelake.streaming import frames as streams
-
-    schema = "stream string, frame_id long, seq long, last boolean"
-    for i, part in enumerate(parts):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/{i}")
-        time.sleep(0.05)  # files are taken in order of their times
-    os.makedirs(f"{tmp_path}/{name}-in")
-    for i in range(len(parts)):
-        for f in os.listdir(f"{tmp_path}/{name}/{i}"):
-            if f.endswith(".parquet"):
-                os.rename(f"{tmp_path}/{name}/{i}/{f}", f"{tmp_path}/{name}-in/{i}.parquet")
-    stream = streams.read_frame_stream(spark, f"{tmp_path}/{name}-in", spark.createDataFrame([], schema).schema, 1)
-    q = streams.stream_packets(stream).writeStream.format("parquet").option("path", f"{tmp_path}/{name}-out").option("checkpointLocation", f"{tmp_path}/{name}-check").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return sorted((r.packet, r.beats) for r in spark.read.parquet(f"{tmp_path}/{name}-out").collect())
-
-
-def test_packets_of_shuffled_beats(spark, tmp_path):
-    """25,600 beats in any order, in one trigger and in four with repeats, are 200 packets of 128."""
-    import random
-
-    beats = [("s", 1, i, i % 128 == 127) for i in range(25_600)]
-    random.Random(1).shuffle(beats)
-    want = [(i, 128) for i in range(200)]
-    assert run_packets(spark, tmp_path, "one", [beats]) == want
-    assert run_packets(spark, tmp_path, "four", [beats[i::4] + beats[:50] for i in range(4)]) == want
-
-
 def test_a_stream_obeys_its_control_table_as_it_changes(spark, tmp_path):
     """Each trigger reads threshold and override again."""
     from framelake.streaming import frames as streams
