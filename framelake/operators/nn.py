@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .resample import axis_matrix, map_tiles
@@ -157,14 +160,9 @@ def run_network(x: np.ndarray, spec: list[tuple], weights: list[tuple | None], f
     return x
 
 
-def score_tiles(tiles: DataFrame, pix: str, size: int, spec: str = "small", scale: int = 256, batch: int = 16, fraction: int = 0) -> DataFrame:
-    """tiles with out: the network over column pix (channel planes in one array), twice as wide and high, 0..255, saturated.
-
-    The residual network's output is added to its input upscaled by cubic convolution. Only tiles
-    that need the network should come here: batches go to Python by Arrow.
-    """
+def network_kernel(weights: Broadcast, size: int, spec: str = "small", scale: int = 256, fraction: int = 0) -> Callable[[np.ndarray], np.ndarray]:
+    """The kernel of score_tiles(): (tiles, channel planes) to (tiles, planes of twice the size), with network_weights() of the spec broadcast."""
     layers = SPECS[spec]
-    weights = tiles.sparkSession.sparkContext.broadcast(network_weights(layers))
     channels, wide = layers[0][1], axis_matrix(size, 2 * size, "cubic").astype(np.float32)
 
     def kernel(pixels: np.ndarray) -> np.ndarray:
@@ -174,4 +172,36 @@ def score_tiles(tiles: DataFrame, pix: str, size: int, spec: str = "small", scal
             y = y + wide @ x @ wide.T
         return np.clip(np.floor(y * scale), 0, 255).reshape(len(x), -1)
 
-    return map_tiles(tiles, pix, "out", kernel, "int", batch)
+    return kernel
+
+
+def broadcast_weights(spark: SparkSession, spec: str) -> Broadcast:
+    """Weights of a network, of a size that its layers set."""
+    return spark.sparkContext.broadcast(network_weights(SPECS[spec]))
+
+
+def score_tiles(tiles: DataFrame, pix: str, size: int, spec: str = "small", scale: int = 256, batch: int = 16, fraction: int = 0) -> DataFrame:
+    """tiles with out: the network over column pix (channel planes in one array), twice as wide and high, 0..255, saturated.
+
+    The residual network's output is added to its input upscaled by cubic convolution. Only tiles
+    that need the network should come here: batches go to Python by Arrow.
+    """
+    return map_tiles(tiles, pix, "out", network_kernel(broadcast_weights(tiles.sparkSession, spec), size, spec, scale, fraction), "int", batch)
+
+
+def integer_kernel(size: int, first: tuple[np.ndarray, np.ndarray, np.ndarray], up: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A network of two layers in integers: a convolution (weights, bias, slopes) cut to whole numbers, and a transposed one (weights) that doubles the size, cut and saturated.
+
+    Weights, bias and slopes are in units of 2**-12. Sums stay below 2**53, so matrix products are exact.
+    """
+    weights, bias, slopes = first
+    turned = up[:, :, ::-1, ::-1].astype(float)
+
+    def kernel(pixels: np.ndarray) -> np.ndarray:
+        x = pixels.astype(float).reshape(len(pixels), -1, size, size)
+        y = np.rint(_conv(x, weights.astype(float))).astype(np.int64) + bias[:, None, None]
+        y = np.where(y >= 0, y * 4096, y * slopes[:, None, None]) >> 24
+        z = np.rint(_conv_up(y.astype(float), turned)).astype(np.int64) >> 12
+        return np.clip(z, 0, 255).reshape(len(x), -1)
+
+    return kernel

@@ -52,8 +52,8 @@ def _axis(n: int, m: int, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.minimum(n - 1, low).astype(int), np.minimum(n - 1, low + 1).astype(int), at - low
 
 
-def upscale_bilinear(df: DataFrame, pix: str, out: str, w: int, h: int, scale: int = 2, mode: str = "align", rounding: str = "half_away") -> DataFrame:
-    """df with the tile in pix upscaled, each channel plane on its own; 'fixed12' is bit-exact in 12 fraction bits, each product truncated."""
+def bilinear_kernel(w: int, h: int, scale: int = 2, mode: str = "align", rounding: str = "half_away") -> Callable[[np.ndarray], np.ndarray]:
+    """The kernel of upscale_bilinear()."""
     (x0, x1, dx), (y0, y1, dy) = _axis(w, w * scale, mode), _axis(h, h * scale, mode)
     dy = dy[:, None]
 
@@ -66,7 +66,12 @@ def upscale_bilinear(df: DataFrame, pix: str, out: str, w: int, h: int, scale: i
         weights = [(1 - dx) * (1 - dy), dx * (1 - dy), (1 - dx) * dy, dx * dy]
         return ROUNDINGS[rounding](sum(a * b for a, b in zip(weights, corner, strict=True))).reshape(len(tiles), -1)
 
-    return map_tiles(df, pix, out, kernel)
+    return kernel
+
+
+def upscale_bilinear(df: DataFrame, pix: str, out: str, w: int, h: int, scale: int = 2, mode: str = "align", rounding: str = "half_away") -> DataFrame:
+    """df with the tile in pix upscaled, each channel plane on its own; 'fixed12' is bit-exact in 12 fraction bits, each product truncated."""
+    return map_tiles(df, pix, out, bilinear_kernel(w, h, scale, mode, rounding))
 
 
 def resize_nearest(df: DataFrame, pix: str, out: str, w: int, h: int, ow: int, oh: int) -> DataFrame:
@@ -140,18 +145,23 @@ def downscale(df: DataFrame, pix: str, out: str, w: int, h: int, factor: int = 2
     return _separable(df, pix, out, w, h, w // factor, h // factor, "lanczos", rounding)
 
 
-def yuyv_planes(df: DataFrame, data: str = "data", out: str = "rgb") -> DataFrame:
-    """df with out: a YUYV tile's bytes as planes of red, green and blue, by the shifted integers of color.rgb_of()."""
+def rgb_of_yuyv(tiles: np.ndarray) -> np.ndarray:
+    """(tiles, 3 * pixels): planes of red, green and blue of YUYV bytes, by the shifted integers of color.rgb_of()."""
+    quad = tiles.reshape(len(tiles), -1, 4).astype(np.int64)
+    luma = quad[:, :, [0, 2]].reshape(len(tiles), -1)
+    u, v = (np.repeat(quad[:, :, i] - 128, 2, axis=1) for i in (1, 3))
+    shift = lambda x: (x + 512) >> 10
+    rgb = [luma + shift(1436 * v), luma - shift(352 * u) - shift(732 * v), luma + shift(1811 * u)]
+    return np.clip(np.concatenate(rgb, axis=1), 0, 255)
 
-    def kernel(tiles: np.ndarray) -> np.ndarray:
-        quad = tiles.reshape(len(tiles), -1, 4).astype(np.int64)
-        luma = quad[:, :, [0, 2]].reshape(len(tiles), -1)
-        u, v = (np.repeat(quad[:, :, i] - 128, 2, axis=1) for i in (1, 3))
-        shift = lambda x: (x + 512) >> 10
-        rgb = [luma + shift(1436 * v), luma - shift(352 * u) - shift(732 * v), luma + shift(1811 * u)]
-        return np.clip(np.concatenate(rgb, axis=1), 0, 255)
-
-    return map_tiles(df, data, out, kernel)
+
+def luma_of_yuyv(tiles: np.ndarray) -> np.ndarray:
+    return tiles[:, ::2]
+
+
+def yuyv_planes(df: DataFrame, data: str = "data", out: str = "rgb") -> DataFrame:
+    """df with out: a YUYV tile's bytes as planes of red, green and blue."""
+    return map_tiles(df, data, out, rgb_of_yuyv)
 
 
 def pack_planes(df: DataFrame, rgb: str, out: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import augment, color, nn, resample, scan, stats, tiling
+from ..operators import augment, color, nn, resample, router, scan, stats, tiling
 from ..sources import frames as src
 from ..sources import raw
 from ..sources.shared import shared_folder
@@ -891,13 +891,15 @@ def r2_interp(s: SparkSession, d: str) -> DataFrame:
 
 @query("r2_adaptive_upscale")
 def r2(s: SparkSession, d: str) -> DataFrame:
-    """Flagship: decode, tile, score, route, upscale each branch its way, unite, sum up by frame."""
-    routed = luma_tiles(s, d)
-    cols = ["frame_id", "stream", "tile_y", "route", "out"]
-    flat = resample.upscale_bilinear(routed.where("route = 'interp'"), "pix", "out", 32, 32, 2, "fixed12").select(*cols)
-    spread = routed.where("route = 'cnn'").repartition("frame_id", "tile_y")  # a tile's network costs far more than moving its 4 KB
-    detailed = nn.score_tiles(spread, "pix", 32, "luma").select(*cols)
-    return upscaled_digest(flat.unionByName(detailed))
+    """Flagship: decode, tile, score, route and upscale each tile its way in one pass, sum up by frame."""
+    flat = resample.bilinear_kernel(32, 32, 2, "fixed12")
+    detailed = nn.network_kernel(nn.broadcast_weights(s, "luma"), 32, "luma")
+    return upscaled_digest(router.upscale_routed(dealt_tiles(s, d), resample.luma_of_yuyv, flat, detailed))
+
+
+def dealt_tiles(s: SparkSession, d: str) -> DataFrame:
+    """Tiles dealt over all tasks: a tile's network costs far more than moving its 2 KB."""
+    return src.raw_tiles(s, d).repartition("frame_id", "tile_y")
 
 
 def colour_tiles(s: SparkSession, d: str, override: int = 0) -> DataFrame:
@@ -915,14 +917,6 @@ def frame_digest(frames: DataFrame) -> DataFrame:
     return digest(pixels, "v", "frame_id, height")
 
 
-def upscale_colour(tiles: DataFrame) -> DataFrame:
-    """Tiles with out: the flat ones interpolated, the others by the network, plane by plane."""
-    cols = ["frame_id", "stream", "tile_y", "route", "out"]
-    flat = resample.upscale_bilinear(tiles.where("route = 'interp'"), "rgb", "out", 32, 32, 2, "fixed12").select(*cols)
-    dealt = tiles.where("route = 'cnn'").repartition("frame_id", "tile_y")
-    return flat.unionByName(nn.score_tiles(dealt, "rgb", 32, "small").select(*cols))
-
-
 _COLOUR_UP = f"""{q.RGB}, planes AS (SELECT frame_id, y // 32 AS tile_y, {", ".join(f"list({c} ORDER BY y, x) AS {c}" for c in "rgb")} FROM rgb GROUP BY ALL),
 g AS (SELECT *, (i % 64) * (31 * 4096 // 63) AS fx, (i // 64) * (31 * 4096 // 63) AS fy FROM (SELECT *, unnest(range(0, 4096)) AS i FROM planes)),
 n AS (SELECT *, least(31, fx // 4096) AS x0, least(31, fx // 4096 + 1) AS x1, fx % 4096 AS dx, least(31, fy // 4096) AS y0, least(31, fy // 4096 + 1) AS y1, fy % 4096 AS dy FROM g),
@@ -938,9 +932,39 @@ def r2_interp_colour(s: SparkSession, d: str) -> DataFrame:
 
 @query("r2_adaptive_frames")
 def r2_colour(s: SparkSession, d: str) -> DataFrame:
-    """Whole colour frames upscaled and stitched, with each frame's tiles by route."""
-    up = upscale_colour(colour_tiles(s, d))
-    return frame_digest(colour_frames(up)).join(stats.route_summary(up, ["frame_id"]), "frame_id")
+    """Whole colour frames upscaled and stitched in one pass, with each frame's tiles by route."""
+    detailed = nn.network_kernel(nn.broadcast_weights(s, "small"), 32, "small")
+    return adaptive_digest(s, d, detailed)
+
+
+def adaptive_digest(s: SparkSession, d: str, detailed: router.Kernel) -> DataFrame:
+    routed = router.upscale_routed(dealt_tiles(s, d), resample.rgb_of_yuyv, resample.bilinear_kernel(32, 32, 2, "fixed12"), detailed)
+    frames = router.whole_frames(routed, 64, 64)
+    counts = ["n_tiles", "n_cnn", "n_interp"]
+    pixels = frames.select("frame_id", "height", *counts, F.posexplode("data").alias("i", "v")).select("frame_id", "height", *counts, F.expr("i div 64").alias("y"), F.expr("i % 64").alias("x"), "v")
+    return digest(pixels, "v", "frame_id, height, " + ", ".join(counts))
+
+
+_LAYER = lambda layer, seed: q.hashed(f"{layer} * 64 + c", seed)
+_INTEGER_UP = f"""{_COLOUR_UP[: _COLOUR_UP.index(",\nwords AS")]}{q.VARIANCE[len(q.TILES) :]},
+deep AS (SELECT frame_id, tile_y FROM routed WHERE route = 'cnn'),
+p AS (SELECT frame_id, y // 32 AS tile_y, y % 32 AS y, x, unnest([0, 1, 2]) AS c, unnest([r, g, b]) AS v FROM rgb WHERE (frame_id, y // 32) IN (SELECT (frame_id, tile_y) FROM deep)),
+l1 AS (SELECT frame_id, tile_y, c, y, x, sum(p) + {_LAYER(5, 6)} % 40001 - 20000 AS v FROM (SELECT frame_id, tile_y, out_ch AS c, y - ky + 1 AS y, x - kx + 1 AS x, CAST(v AS BIGINT) * w AS p FROM p JOIN {q.weights(5, 2, 3, 3)} ON in_ch = c) WHERE y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31 GROUP BY frame_id, tile_y, c, y, x),
+a1 AS (SELECT frame_id, tile_y, c, y, x, CAST(CASE WHEN v >= 0 THEN v * 4096 ELSE v * ({_LAYER(5, 7)} % 2048) END AS BIGINT) >> 24 AS v FROM l1),
+l2 AS (SELECT frame_id, tile_y, c, y, x, CAST(greatest(0, least(255, CAST(sum(p) AS BIGINT) >> 12)) AS INTEGER) AS v FROM (SELECT frame_id, tile_y, out_ch AS c, y * 2 + ky - 1 AS y, x * 2 + kx - 1 AS x, v * w AS p FROM a1 JOIN {q.weights(6, 3, 2, 3)} ON in_ch = c) WHERE y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63 GROUP BY ALL),
+both_ways AS (
+  SELECT frame_id, y, x, r, g, b FROM up WHERE (frame_id, y // 64) NOT IN (SELECT (frame_id, tile_y) FROM deep)
+  UNION ALL SELECT frame_id, tile_y * 64 + y AS y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM l2 GROUP BY frame_id, tile_y, y, x
+),
+routes AS (SELECT frame_id, count(*) AS n_tiles, count(*) FILTER (route = 'cnn') AS n_cnn, count(*) FILTER (route <> 'cnn') AS n_interp FROM routed GROUP BY frame_id),
+whole AS (SELECT frame_id, y, x, {_P565} AS v, CAST(n_tiles * 64 AS INTEGER) AS height, n_tiles, n_cnn, n_interp FROM both_ways JOIN routes USING (frame_id))"""
+
+
+@query("r2_integer_frames", f"WITH {_INTEGER_UP} {q.digest('whole', 'v', 'frame_id, height, n_tiles, n_cnn, n_interp')}")
+def r2_integer(s: SparkSession, d: str) -> DataFrame:
+    """As r2_adaptive_frames, by a network in integers."""
+    first = (src.weights_array(5, 2, 3, 3), *src.layer_values(5, 2))
+    return adaptive_digest(s, d, nn.integer_kernel(32, first, src.weights_array(6, 3, 2, 3)))
 
 
 _GRID_UP = f"""{_CROP}, w AS {q.weights(2, 1, 1, 5)},
