@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.frames import hashed
+from ..functions import numbers
 from .resample import downscale, map_tiles
 
 
@@ -46,11 +46,13 @@ def scanlines(pix: str, w: int, k: float = 0.003) -> Column:
     return F.expr(f"transform({pix}, (p, i) -> if((i div {w}) % 2 = 0, p * (1D - {k}D), cast(p as double)))")
 
 
-def add_noise(pix: str, key: str, sigma: float, seed: int = 9) -> Column:
-    """Gaussian noise from two hashes of the key and the place, clipped to 0..255."""
-    t = lambda s: f"((({key} % 1000003 * 1024 + i) % 1000003 * 630360016 + {s} * 69621) % 2147483647)"
-    u = lambda s: f"(({t(s)} * ({t(s)} % 65521 + 1)) % 2147483647 + 1) / 2147483648D"  # noqa: E731  # squared, so that neighbours have nothing in common
-    return F.expr(f"transform({pix}, (p, i) -> cast(greatest(0D, least(255D, floor(p + {sigma}D * sqrt(-2 * ln({u(seed)})) * cos(6.283185307179586D * {u(seed + 1)}) + 0.5D))) as int))")
+def add_noise(df: DataFrame, pix: str, key: str, sigma: float, out: str | None = None, seed: int = 9) -> DataFrame:
+    """df with Gaussian noise on pix (in out, if it has another name), from two numbers of the key that are carried on by place, clipped to 0..255."""
+    t = lambda m: f"(({m} + i * 630360016L) % 2147483647)"
+    u = lambda m: f"(({t(m)} * ({t(m)} % 65521 + 1)) % 2147483647 + 1) / 2147483648D"  # noqa: E731  # squared, so that neighbours have nothing in common
+    drawn = df.withColumns({f"_m{i}": numbers.mixed(F.col(key), seed + i)[0] for i in (0, 1)})
+    noisy = f"transform({pix}, (p, i) -> cast(greatest(0D, least(255D, floor(p + {sigma}D * sqrt(-2 * ln({u('_m0')})) * cos(6.283185307179586D * {u('_m1')}) + 0.5D))) as int))"
+    return drawn.withColumn(out or pix, F.expr(noisy)).drop("_m0", "_m1")
 
 
 def augment(df: DataFrame, key: str, pix: str, w: int, h: int, copies: int = 3, seed: int = 4) -> DataFrame:
@@ -61,7 +63,7 @@ def augment(df: DataFrame, key: str, pix: str, w: int, h: int, copies: int = 3,
     dx / 8, and likewise from y, held inside, mixed from the four pixels around.
     """
     rows = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    draw = lambda s, n: (F.floor(hashed(F.col(key) * copies + F.col("copy"), seed + s) / 13) % n).cast("int")
+    draw = lambda s, n: numbers.below(F.col(key) * copies + F.col("copy"), n, seed + s).cast("int")
     half = lambda s, x, default: F.when(draw(s, 2) == 1, x).otherwise(default)
     jitter = {"bright": half(1, draw(2, 41) - 20, 0), "contrast": half(3, (draw(4, 41) + 80) / 100.0, 1.0), "sharp": half(5, draw(6, 41) / 20.0, 1.0)}
     affine = {c: half(7, draw(8 + i, n) - n // 2, 0) for i, (c, n) in enumerate({"ax": 5, "ay": 9, "bx": 9, "by": 5, "dx": 17, "dy": 17}.items())}
@@ -85,6 +87,6 @@ def make_training_pairs(tiles: DataFrame, key: str, pix: str, size: int, factor:
     """(key, copy, hi, lo): each tile with copies of its shrunk, scanlined, noisy and augmented version."""
     small = size // factor
     low = downscale(tiles, pix, "_low", size, size, factor)
-    low = low.withColumn("_low", scanlines("_low", small)).withColumn("_low", add_noise("_low", key, 1.5))
+    low = add_noise(low.withColumn("_low", scanlines("_low", small)), "_low", key, 1.5)
     made = augment(low, key, "_low", small, small, copies)
     return made.select(key, "copy", F.col(pix).alias("hi"), F.col("augmented").alias("lo"))

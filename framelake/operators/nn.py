@@ -136,6 +136,37 @@ def _conv_up(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out[:, :, border : border + 2 * h, border : border + 2 * wd]
 
 
+def _conv_phases(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Transposed convolution of stride 2 by its four phases: each is an ordinary convolution by every second row and column of the kernel.
+
+    Output row 2m + p gets input rows m + (p + pad - ky) / 2 for kernel rows ky of the parity of p + pad.
+    Phases are interleaved; no zero is inserted and nothing is scattered.
+    """
+    (n, c, h, wd), (o, _, k, _) = x.shape, w.shape
+    border, reach = k // 2, k // 2 + 1
+    p = np.pad(x, ((0, 0), (0, 0), (reach, reach), (reach, reach)))
+    out = np.zeros((n, o, 2 * h, 2 * wd), x.dtype)
+    for py in (0, 1):
+        for px in (0, 1):
+            ys, xs = ([ki for ki in range(k) if (s + border - ki) % 2 == 0] for s in (py, px))
+            seen = [p[:, :, reach + dy : reach + dy + h, reach + dx : reach + dx + wd] for dy in ((py + border - ky) // 2 for ky in ys) for dx in ((px + border - kx) // 2 for kx in xs)]
+            if not seen:  # a kernel of one value has a single phase
+                continue
+            part = w[:, :, ys][:, :, :, xs].transpose(0, 2, 3, 1).reshape(o, -1)
+            out[:, :, py::2, px::2] = (part @ np.stack(seen, 1).reshape(n, -1, h * wd)).reshape(n, o, h, wd)
+    return out
+
+
+def transpose_convolve(df: DataFrame, pix: str, out: str, size: int, weights: np.ndarray) -> DataFrame:
+    """df with out: as convolve() with up, by polyphase kernels; weights scatter, as they stand."""
+
+    def kernel(pixels: np.ndarray) -> np.ndarray:
+        x = pixels.astype(float).reshape(len(pixels), -1, size, size)
+        return np.rint(_conv_phases(x, weights.astype(float))).astype(np.int64).reshape(len(x), -1)
+
+    return map_tiles(df, pix, out, kernel, "bigint")
+
+
 def run_network(x: np.ndarray, spec: list[tuple], weights: list[tuple | None], fraction: int = 0) -> np.ndarray:
     """Network over a batch (n, channels, h, w) of floats; the last layer has no activation.
 

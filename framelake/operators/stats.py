@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.frames import hashed, numbered
+from ..functions import numbers
+from ..sources.frames import numbered
 from .scan import segmented_scan
 
 
@@ -172,28 +173,37 @@ def natural_rank(df: DataFrame, col: str) -> DataFrame:
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows chosen by a seeded hash of their key."""
-    return df.orderBy(hashed(F.col(key), seed), key).limit(n)
+    """n rows chosen by their keys' numbers; different keys have different ones, so no key stands in for another at any number of rows."""
+    return df.orderBy(numbers.number(F.col(key), seed), key).limit(n)
 
 
 def split(df: DataFrame, key: str, seed: int = 1, fractions: tuple[int, ...] = (85, 10, 5), names: tuple[str, ...] = ("train", "valid", "test")) -> DataFrame:
-    """df with split by a seeded hash of the key; fractions in percent."""
-    h, edge, out = F.floor(hashed(F.col(key), seed) / 7) % 100, 0, None
+    """df with split by a number of the key; fractions in percent."""
+    rows, edge, out = df.withColumn("_h", numbers.below(F.col(key), 100, seed)), 0, None
     for share, name in zip(fractions, names, strict=True):
         edge += share
-        out = F.when(h < edge, name) if out is None else out.when(h < edge, name)
-    return df.withColumn("split", out)
+        out = F.when(F.col("_h") < edge, name) if out is None else out.when(F.col("_h") < edge, name)
+    return rows.withColumn("split", out).drop("_h")
 
 
-def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """df with batch: runs of `size` rows in order."""
-    return numbered(df, order, "_pos").withColumn("batch", F.floor(F.col("_pos") / size)).drop("_pos")
+def batches(df: DataFrame, size: int, order: list[str], seed: int | None = None) -> DataFrame:
+    """df with batch: runs of `size` rows in order, or with a seed of rows as if shuffled.
+
+    Shuffled, a row's place goes to another one by a permutation of the places, row by row: rows are not sorted again.
+    """
+    placed = numbered(df, order, "_pos")
+    place = F.col("_pos") if seed is None else numbers.permuted(F.col("_pos"), placed.count(), seed)
+    return placed.withColumn("batch", F.floor(place / size)).drop("_pos")
+
+
+#: What a stimulus is drawn from, as (key, seed) to a column.
+RANGES = {"byte": lambda k, s: numbers.below(k, 256, s).cast("int"), "unit": numbers.uniform, "signed": lambda k, s: numbers.uniform(k, s, True)}
 
 
-def stimulus(keys: DataFrame, key: str, n: int, seed: int = 3) -> DataFrame:
-    """n values from 0 to 255 for each key, as if drawn at random, and alike in each run."""
+def stimulus(keys: DataFrame, key: str, n: int, seed: int = 3, kind: str = "byte") -> DataFrame:
+    """n values for each key, as if drawn at random, and alike in each run: bytes, or doubles from [0, 1) ('unit') or [-1, 1) ('signed')."""
     i = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    return i.withColumn("v", (F.floor(hashed(F.col(key) * n + F.col("i"), seed) / 11) % 256).cast("int"))
+    return i.withColumn("v", RANGES[kind](F.col(key) * n + F.col("i"), seed))
 
 
 def scoreboard(expected: DataFrame, actual: DataFrame, trial: str, place: list[str], tol: int) -> DataFrame:

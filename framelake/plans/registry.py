@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -342,6 +343,12 @@ def p20(s: SparkSession, d: str) -> DataFrame:
     return src.frame_events(s, d).where("value >= 0").select("event_id", color.format_duration(F.floor(t)).alias("clock"), color.format_duration_units(t).alias("units"))
 
 
+def conv_sql(weights: str, k: int, rel: str = "pp", up: bool = False) -> str:
+    pad, size = k // 2, 16 if up else 8
+    y, x = (f"{c} * 2 + k{c} - {pad}" if up else f"{c} - k{c} + {pad}" for c in "yx")
+    return f"SELECT patch_id, c, y, x, CAST(sum(p) AS BIGINT) AS v FROM (SELECT patch_id, out_ch AS c, {y} AS y, {x} AS x, CAST(v AS BIGINT) * w AS p FROM {rel} JOIN {weights} ON in_ch = 0) WHERE y BETWEEN 0 AND {size - 1} AND x BETWEEN 0 AND {size - 1} GROUP BY patch_id, c, y, x"
+
+
 # --- tiles and geometry ------------------------------------------------------------------------
 
 
@@ -398,6 +405,60 @@ def g7(s: SparkSession, d: str) -> DataFrame:
     return digest(back, "v", "part", "y * 37 + x * 101 + frame_id")
 
 
+@query("g6_halo_exchange", f"WITH {q.PATCHES}, p AS ({conv_sql(q.weights(1, 4, 1, 3), 3)}) {q.digest('p', 'v', 'patch_id, c')}")
+def g6_exchange(s: SparkSession, d: str) -> DataFrame:
+    """A convolution over patches cut into four tiles, whose borders meet, equals it over whole patches."""
+    tiles = tiling.split_tiles(src.patches(s, d), ["patch_id"], "pix", 4, 2, 2)
+    wide = nn.convolve(tiling.exchange_halo(tiles, ["patch_id"], 4, 1), "pix", "out", 6, src.weights_array(1, 4, 1, 3))
+    return channel_digest(tiling.join_tiles(tiling.trim_halo(wide, "out", 4, 1), ["patch_id"], "out", 4, 2, 2, 4), 8)
+
+
+_BLUR_EDGE = "SELECT texture, frame_id, y, x, CAST(sum(luma) AS BIGINT) AS v FROM (SELECT a.texture, a.frame_id, a.y, a.x, b.luma FROM (SELECT *, unnest([-1, 0, 1]) AS dy FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM px)) a JOIN px b ON b.frame_id = a.frame_id AND b.y = greatest(0, least(19, a.y + dy)) AND b.x = greatest(0, least(19, a.x + dx))) GROUP BY ALL"
+
+
+@query("g6_halo_frames", f"WITH {q.SYNTH}, p AS ({_BLUR_EDGE}) {q.digest('p', 'v', 'texture')}")
+def g6_frames(s: SparkSession, d: str) -> DataFrame:
+    """Frames of 4 x 4 tiles summed up over 3 x 3 pixels: tiles of all kinds of place, outermost pixels repeated."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ty", "tx", "v"))), lambda x: x["v"])
+    px = tiling.crop_tiles(src.synth_frames(s, d).withColumn("v", F.col("luma")), 20, 20, 5)
+    tiles = px.groupBy("texture", "frame_id", "tile_y", "tile_x").agg(ordered.alias("pix"))
+    keys = ["texture", "frame_id"]
+    summed = nn.convolve(tiling.exchange_halo(tiles, keys, 5, 1, fill="edge"), "pix", "out", 7, np.ones((1, 1, 3, 3), np.int64))
+    whole = tiling.join_tiles(tiling.trim_halo(summed, "out", 5, 1), keys, "out", 5, 4, 4)
+    pixels = whole.select("texture", F.posexplode("out").alias("i", "v")).select("texture", F.expr("i div 20").alias("y"), F.expr("i % 20").alias("x"), "v")
+    return digest(pixels, "v", "texture")
+
+
+@query("g7_join_sections", f"WITH {q.PATCHES} {q.digest('pp', 'v', 'patch_id')}")
+def g7_sections(s: SparkSession, d: str) -> DataFrame:
+    """Patches cut into strips with halo rows and put together again."""
+    return digest(tiling.join_sections(tiling.halo_sections(src.patch_pixels(s, d), ["patch_id"], 8, 8, 4, 1, 7), ["patch_id"], 4, 1), "v", "patch_id")
+
+
+_REGIONS = """r AS (SELECT l_orderkey AS frame_id, l_linenumber AS id, CAST(l_partkey % 23 - 2 AS INTEGER) AS y0, CAST(l_suppkey % 23 - 2 AS INTEGER) AS x0,
+  CAST(l_partkey % 23 - 2 + l_quantity % 7 AS INTEGER) AS y1, CAST(l_suppkey % 23 - 2 + l_partkey % 9 AS INTEGER) AS x1 FROM lineitem)"""
+
+
+def regions(s: SparkSession, d: str) -> DataFrame:
+    """Rectangles by order line, of 0 to 8 pixels, some of them over the frame's borders."""
+    y0, x0 = "cast(l_partkey % 23 - 2 as int)", "cast(l_suppkey % 23 - 2 as int)"
+    sides = {"y1": f"{y0} + cast(l_quantity % 7 as int)", "x1": f"{x0} + cast(l_partkey % 9 as int)"}
+    return src.table(s, d, "lineitem").selectExpr("l_orderkey as frame_id", "l_linenumber as id", f"{y0} as y0", f"{x0} as x0", *[f"{e} as {c}" for c, e in sides.items()])
+
+
+@query("j3_region_pixels", f"WITH {q.SYNTH}, {_REGIONS} SELECT px.texture, id, count(*) AS n, CAST(sum(luma) AS BIGINT) AS luma, CAST(sum(y * 37 + x * 101) AS BIGINT) AS place FROM px JOIN r ON px.frame_id = r.frame_id AND y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY px.texture, id")
+def j3_pixels(s: SparkSession, d: str) -> DataFrame:
+    """A table of regions joined to the pixels within them."""
+    held = tiling.points_in(src.synth_frames(s, d), regions(s, d), ["frame_id"])
+    return held.groupBy("texture", "id").agg(F.count("*").alias("n"), F.sum(F.col("luma").cast("long")).alias("luma"), F.sum(F.expr("cast(y * 37 + x * 101 as bigint)")).alias("place"))
+
+
+@query("j3_region_overlaps", f"WITH {_REGIONS} SELECT a.frame_id, a.id AS a, b.id AS b, (least(a.y1, b.y1) - greatest(a.y0, b.y0)) * (least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS area FROM r a JOIN r b ON a.frame_id = b.frame_id AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.id < b.id AND a.y0 < a.y1 AND a.x0 < a.x1 AND b.y0 < b.y1 AND b.x0 < b.x1")
+def j3_overlaps(s: SparkSession, d: str) -> DataFrame:
+    r = regions(s, d)
+    return tiling.overlaps(r, r, ["frame_id"]).where("a < b")
+
+
 @query("g8_flat_index", f"WITH {q.TILES}, i AS (SELECT frame_id, i, data[i + 1] AS v FROM (SELECT frame_id, data, unnest(range(0, k * 2048)) AS i FROM frames)) SELECT frame_id, i % 2 AS c, count(*) AS n, CAST(sum(v * (i // 64 * 37 + i // 2 % 32 * 101)) AS BIGINT) AS total, CAST(sum(i) AS BIGINT) AS back FROM i GROUP BY frame_id, i % 2")
 def g8(s: SparkSession, d: str) -> DataFrame:
     flat = src.raw_frames(s, d).where("k > 0").select("frame_id", F.posexplode(F.expr("slice(data, 1, k * 2048)")).alias("i", "v"))
@@ -486,12 +547,6 @@ def u7(s: SparkSession, d: str) -> DataFrame:
     return digest(planes(resample.downscale(src.patches(s, d), "pix", "low", 8, 8, 2), "low", 4), "v", "patch_id")
 
 
-def conv_sql(weights: str, k: int, rel: str = "pp", up: bool = False) -> str:
-    pad, size = k // 2, 16 if up else 8
-    y, x = (f"{c} * 2 + k{c} - {pad}" if up else f"{c} - k{c} + {pad}" for c in "yx")
-    return f"SELECT patch_id, c, y, x, CAST(sum(p) AS BIGINT) AS v FROM (SELECT patch_id, out_ch AS c, {y} AS y, {x} AS x, CAST(v AS BIGINT) * w AS p FROM {rel} JOIN {weights} ON in_ch = 0) WHERE y BETWEEN 0 AND {size - 1} AND x BETWEEN 0 AND {size - 1} GROUP BY patch_id, c, y, x"
-
-
 @query("u8_conv2d", f"WITH {q.PATCHES}, p AS ({conv_sql(q.weights(1, 4, 1, 3), 3)}) {q.digest('p', 'v', 'patch_id, c')}")
 def u8(s: SparkSession, d: str) -> DataFrame:
     return channel_digest(nn.convolve(src.patches(s, d), "pix", "out", 8, src.weights_array(1, 4, 1, 3)), 8)
@@ -520,6 +575,21 @@ def u9b(s: SparkSession, d: str) -> DataFrame:
     return digest(nn.conv2d(nn.zero_insert(fmap(s, d), 2, 8), turned, 5, 16), "v", "patch_id, c")
 
 
+_GATHER = f"""SELECT patch_id, out_ch AS c, g.y, g.x, CAST(sum(CAST(v AS BIGINT) * w) AS BIGINT) AS v FROM (SELECT CAST(i // 16 AS INTEGER) AS y, CAST(i % 16 AS INTEGER) AS x FROM range(0, 256) t(i)) g
+JOIN {q.weights(2, 2, 1, 5)} ON (g.y + 2 - ky) % 2 = 0 AND (g.x + 2 - kx) % 2 = 0 JOIN pp ON pp.y = (g.y + 2 - ky) // 2 AND pp.x = (g.x + 2 - kx) // 2 AND g.y + 2 - ky >= 0 AND g.x + 2 - kx >= 0 GROUP BY ALL"""
+
+
+@query("u9_equivalence", f"WITH {q.PATCHES}, a AS ({conv_sql(q.weights(2, 2, 1, 5), 5, up=True)}), b AS ({_GATHER}) SELECT patch_id, c, count(*) AS n, count(*) FILTER (a.v IS DISTINCT FROM b.v) AS n_wrong, bool_and(a.v IS NOT DISTINCT FROM b.v) AS passed, CAST(sum(b.v) AS BIGINT) AS total FROM a FULL JOIN b USING (patch_id, c, y, x) GROUP BY patch_id, c")
+def u9c(s: SparkSession, d: str) -> DataFrame:
+    """Transposed convolution by phases against its scatter form, value by value."""
+    w = src.weights_array(2, 2, 1, 5)
+    phases = nn.transpose_convolve(src.patches(s, d), "pix", "a", 8, w)
+    both = nn.convolve(phases, "pix", "e", 8, w, up=True)
+    pairs = both.select("patch_id", F.posexplode(F.arrays_zip("a", "e")).alias("i", "z")).select("patch_id", F.expr("cast(i div 256 as int)").alias("c"), F.col("z.e").alias("expected"), F.col("z.a").alias("actual"))
+    wrong = ~F.coalesce(F.col("expected") == F.col("actual"), F.lit(False))
+    return pairs.groupBy("patch_id", "c").agg(F.count("*").alias("n"), F.count_if(wrong).alias("n_wrong"), F.bool_and(~wrong).alias("passed"), F.sum("actual").alias("total"))
+
+
 for _name, _spec, _scale in (("u10_small_network", "small", 256), ("u11_luma_network", "luma", 255), ("u11_colour_network", "colour", 256), ("u12_residual_network", "residual", 256)):
 
     @query(_name)
@@ -711,13 +781,13 @@ def o1(s: SparkSession, d: str) -> DataFrame:
     return stats.natural_rank(names(s, d).select("name"), "name")
 
 
-@query("o2_sample_n", f"WITH {q.TILES} SELECT frame_id, tile_y FROM tiles ORDER BY {q.hashed('frame_id * 64 + tile_y', 11)}, frame_id * 64 + tile_y LIMIT 100")
+@query("o2_sample_n", f"WITH {q.TILES} SELECT frame_id, tile_y FROM tiles ORDER BY {q.number('frame_id * 64 + tile_y', 11)}, frame_id * 64 + tile_y LIMIT 100")
 def o2(s: SparkSession, d: str) -> DataFrame:
     keyed = src.raw_tiles(s, d).select("frame_id", "tile_y", F.expr("frame_id * 64 + tile_y").alias("key"))
     return stats.sample_n(keyed, "key", 100, 11).select("frame_id", "tile_y")
 
 
-@query("o3_split", f"SELECT p_partkey, CASE WHEN h < 85 THEN 'train' WHEN h < 95 THEN 'valid' ELSE 'test' END AS split FROM (SELECT p_partkey, {q.hashed('p_partkey', 1)} // 7 % 100 AS h FROM part)")
+@query("o3_split", f"SELECT p_partkey, CASE WHEN h < 85 THEN 'train' WHEN h < 95 THEN 'valid' ELSE 'test' END AS split FROM (SELECT p_partkey, {q.below('p_partkey', 100, 1)} AS h FROM part)")
 def o3(s: SparkSession, d: str) -> DataFrame:
     return stats.split(src.table(s, d, "part").select("p_partkey"), "p_partkey")
 
@@ -727,9 +797,17 @@ def o4(s: SparkSession, d: str) -> DataFrame:
     return stats.batches(src.table(s, d, "part").select("p_partkey", "p_retailprice"), 32, ["p_retailprice", "p_partkey"]).select("p_partkey", "batch")
 
 
-@query("o5_stimulus", f"SELECT p_partkey, CAST(i AS INTEGER) AS i, CAST({q.hashed('p_partkey * 16 + i', 3)} // 11 % 256 AS INTEGER) AS v FROM part, range(0, 16) t(i)")
-def o5(s: SparkSession, d: str) -> DataFrame:
-    return stats.stimulus(src.table(s, d, "part"), "p_partkey", 16)
+@query("o4_shuffled_batches", f"WITH c AS (SELECT n, a, CAST(ceil(n / a::DOUBLE) AS BIGINT) AS b FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM part)) SELECT p_partkey, CAST({q.permuted('pos', 8)} // 32 AS BIGINT) AS batch FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS pos FROM part), c")
+def o4_shuffled(s: SparkSession, d: str) -> DataFrame:
+    """Batches of rows in a seeded order: their places permuted, nothing sorted a second time."""
+    return stats.batches(src.table(s, d, "part").select("p_partkey", "p_retailprice"), 32, ["p_retailprice", "p_partkey"], 8).select("p_partkey", "batch")
+
+
+for _name, _kind, _e in (("o5_stimulus", "byte", f"CAST({q.below('p_partkey * 16 + i', 256, 3)} AS INTEGER)"), ("o5_stimulus_unit", "unit", q.uniform("p_partkey * 16 + i", 3)), ("o5_stimulus_signed", "signed", q.uniform("p_partkey * 16 + i", 3, True))):
+
+    @query(_name, f"SELECT p_partkey, CAST(i AS INTEGER) AS i, {_e} AS v FROM part, range(0, 16) t(i)")
+    def o5(s: SparkSession, d: str, kind: str = _kind) -> DataFrame:
+        return stats.stimulus(src.table(s, d, "part"), "p_partkey", 16, kind=kind)
 
 
 @query("t1_append_copies", f"WITH {q.PATCHES}, z AS (SELECT patch_id, -1 AS copy, y, x, v FROM pp UNION ALL SELECT patch_id, i, y, x, v FROM pp, range(0, 3) t(i)) {q.digest('z', 'v', 'patch_id, copy')}")
@@ -785,10 +863,10 @@ def d2(s: SparkSession, d: str) -> DataFrame:
 
 def noise_sql(rel: str, n: int, sigma: float, name: str) -> str:
     """Relation `name` of (patch_id, i, v) with noise by hashes of patch and place."""
-    t = lambda seed: f"(((patch_id % 1000003 * 1024 + i) % 1000003 * 630360016 + {seed} * 69621) % 2147483647)"
+    t = lambda seed: f"((m{seed} + CAST(i AS BIGINT) * 630360016) % 2147483647)"
     u = lambda seed: f"((({t(seed)} * ({t(seed)} % 65521 + 1)) % 2147483647 + 1) / 2147483648::DOUBLE)"
     value = f"floor(v + {sigma}::DOUBLE * sqrt(-2 * ln({u(9)})) * cos(6.283185307179586::DOUBLE * {u(10)}) + 0.5::DOUBLE)"
-    return f"{name} AS (SELECT patch_id, i, CAST(greatest(0, least(255, {value})) AS INTEGER) AS v FROM (SELECT patch_id, y * {n} + x AS i, v FROM {rel}))"
+    return f"{name} AS (SELECT patch_id, i, CAST(greatest(0, least(255, {value})) AS INTEGER) AS v FROM (SELECT patch_id, y * {n} + x AS i, v, {q.mixed('patch_id', 9)[0]} AS m9, {q.mixed('patch_id', 10)[0]} AS m10 FROM {rel}))"
 
 
 _OUT8 = "SELECT patch_id, i // 8 AS y, i % 8 AS x, v FROM "
@@ -796,7 +874,7 @@ _OUT8 = "SELECT patch_id, i // 8 AS y, i % 8 AS x, v FROM "
 
 @query("d3_noise", f"WITH {q.PATCHES}, {noise_sql('pp', 8, 4.0, 'z')}, p AS ({_OUT8} z) {q.digest('p', 'v', 'patch_id')}")
 def d3(s: SparkSession, d: str) -> DataFrame:
-    return digest(planes(src.patches(s, d).withColumn("noisy", augment.add_noise("pix", "patch_id", 4.0)), "noisy", 8), "v", "patch_id")
+    return digest(planes(augment.add_noise(src.patches(s, d), "pix", "patch_id", 4.0, "noisy"), "noisy", 8), "v", "patch_id")
 
 
 @query("d4_gaussian_blur", f"WITH {q.PATCHES}, {blur_sql(1.0, 'pp', 'v', 'p', True)} {q.digest('p', 'v', 'patch_id')}")
@@ -806,7 +884,7 @@ def d4(s: SparkSession, d: str) -> DataFrame:
 
 def augment_sql(rel: str, n: int, name: str) -> str:
     """Relation `name` of (patch_id, copy, y, x, v): three copies of rel (patch_id, pix), augmented; and {name}_r with what was drawn."""
-    draw = lambda seed, m: f"(CAST(floor({q.hashed('patch_id * 3 + copy', 4 + seed)} // 13) AS BIGINT) % {m})"
+    draw = lambda seed, m: q.below("patch_id * 3 + copy", m, 4 + seed)
     half = lambda seed, x, default: f"CASE WHEN {draw(seed, 2)} = 1 THEN {x} ELSE {default} END"
     drawn = {"bright": half(1, f"{draw(2, 41)} - 20", "0"), "contrast": half(3, f"({draw(4, 41)} + 80) / 100::DOUBLE", "1::DOUBLE"), "sharp": half(5, f"{draw(6, 41)} / 20::DOUBLE", "1::DOUBLE")}
     drawn |= {c: half(7, f"{draw(8 + i, m)} - {m // 2}", "0") for i, (c, m) in enumerate({"ax": 5, "ay": 9, "bx": 9, "by": 5, "dx": 17, "dy": 17}.items())}
@@ -845,7 +923,7 @@ def d6(s: SparkSession, d: str) -> DataFrame:
     return digest(pixels.select("patch_id", "copy", "hi", F.expr("i div 4").alias("y"), F.expr("i % 4").alias("x"), "v"), "v", "patch_id, copy, hi")
 
 
-_SPLIT = f"CASE WHEN {q.hashed('patch_id', 1)} // 7 % 100 < 85 THEN 'train' WHEN {q.hashed('patch_id', 1)} // 7 % 100 < 95 THEN 'valid' ELSE 'test' END"
+_SPLIT = f"CASE WHEN {q.below('patch_id', 100, 1)} < 85 THEN 'train' WHEN {q.below('patch_id', 100, 1)} < 95 THEN 'valid' ELSE 'test' END"
 
 
 @query("s5_training_set", f"WITH {_LOW} SELECT {_SPLIT} AS split, count(DISTINCT patch_id * 3 + copy) AS n, CAST(sum(v) AS BIGINT) AS lo FROM p GROUP BY 1")

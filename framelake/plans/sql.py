@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import numbers
+
 TILES = """
 frames AS (SELECT doc_id AS frame_id, lang AS stream, CAST(n_chars // 2048 AS INTEGER) AS k, n_chars AS n_bytes, list_transform(string_split(text, ''), lambda c: unicode(c) % 256) AS data FROM documents),
 tiles AS (SELECT frame_id, stream, CAST(t AS INTEGER) AS tile_y, data[t * 2048 + 1:(t + 1) * 2048] AS data FROM (SELECT *, unnest(range(0, k)) AS t FROM frames))"""
@@ -56,6 +58,45 @@ def hashed(key: str, seed: int = 0) -> str:
     return f"((CAST({key} AS BIGINT) % 1000003 * 48271 + {seed} * 69621) % 2147483647)"
 
 
+def mixed(key: str, seed: int = 0) -> tuple[str, str]:
+    """As functions.numbers.mixed()."""
+    half = lambda x: f"({x} & {numbers.MASK})"
+    key = f"CAST({key} AS BIGINT)"
+    return numbers.rounds(half(f"({key} >> 32)"), half(key), seed, lambda a, b, c, k: f"xor({a}, {half(f'(({b} * {c} + {k}) >> 15)')})")
+
+
+def number(key: str, seed: int = 0) -> str:
+    high, low = mixed(key, seed)
+    return f"((xor({high}, {1 << 31}) - {1 << 31}) * {1 << 32} + {low})"
+
+
+def below(key: str, n: int, seed: int = 0) -> str:
+    return f"(({mixed(key, seed)[0]} * {n}) >> 32)"
+
+
+def uniform(key: str, seed: int = 0, signed: bool = False) -> str:
+    high = mixed(key, seed)[0]
+    return f"({high} / {1 << 31}::DOUBLE - 1)" if signed else f"({high} / {1 << 32}::DOUBLE)"
+
+
+def permuted(place: str, seed: int = 0) -> str:
+    """As functions.numbers.permuted(), for rows that have n and its grid a, b."""
+    ks, f = numbers.keys_of(seed), numbers.FACTORS
+
+    def turned(x: str, i: int) -> str:
+        middle = f"((({x} * {f[i]} + {ks[i]}) >> 15) & {numbers.MASK >> 2})"
+        return f"(({middle} * {middle}) >> 15)"
+
+    def once(v: str) -> str:
+        row, column = f"({v} // b)", f"({v} % b)"
+        for i in (0, 2):
+            column = f"(({column} + {turned(row, i)}) % b)"
+            row = f"(({row} + {turned(column, i + 1)}) % a)"
+        return f"({row} * b + {column})"
+
+    return f"list_reduce(list_concat([{once(place)}], range({numbers.WALK})), lambda v, z: CASE WHEN v < n THEN v ELSE {once('v')} END)"
+
+
 SYNTH = f"""
 o AS (SELECT o_orderkey AS frame_id, o_custkey % 16 AS stream, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS texture FROM orders),
 grid AS (SELECT *, CAST(i // 20 AS INTEGER) AS y, CAST(i % 20 AS INTEGER) AS x FROM (SELECT *, unnest(range(0, 400)) AS i FROM o)),

@@ -203,7 +203,7 @@ def test_noise_spreads_as_a_normal_draw_and_bleed_keeps_sums(spark):
     from framelake.operators import augment
 
     flat = spark.range(300).select(F.col("id").alias("patch_id"), F.array_repeat(F.lit(128), 64).alias("pix"))
-    noisy = np.stack(flat.select(augment.add_noise("pix", "patch_id", 4.0).alias("n")).toPandas()["n"].to_list()).astype(float) - 128
+    noisy = np.stack(augment.add_noise(flat, "pix", "patch_id", 4.0, "n").toPandas()["n"].to_list()).astype(float) - 128
     assert abs(noisy.mean()) < 0.2 and abs(noisy.std() - 4) < 0.3
     made = augment.augment(flat, "patch_id", "pix", 8, 8).toPandas()
     assert len(made) == 900 and {int(v) for x in made["augmented"] for v in x} <= set(range(256))
