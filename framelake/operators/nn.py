@@ -80,6 +80,16 @@ def collapse_weights(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(two, ["layer", "out_ch"]).groupBy("layer", F.col("o").alias("out_ch"), "in_ch", "ky", "kx").agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
 
 
+def collapse_bias(second: DataFrame, bias1: DataFrame, bias2: DataFrame) -> DataFrame:
+    """(layer, out_ch, b): each layer's bias for a convolution with bias1 followed by a 1 x 1 one (second) with bias2, both (layer, out_ch, b), in units of 2**-24.
+
+    The first bias goes through the second layer's weights. A channel without bias has zero.
+    """
+    through = second.select("layer", "out_ch", F.col("in_ch").alias("mid"), "w").join(bias1.select("layer", F.col("out_ch").alias("mid"), F.col("b").alias("b1")), ["layer", "mid"])
+    moved = through.groupBy("layer", "out_ch").agg(F.sum(F.col("w") * F.col("b1")).alias("moved"))
+    return moved.join(bias2, ["layer", "out_ch"], "full_outer").select("layer", "out_ch", (F.coalesce("moved", F.lit(0)) + F.coalesce(F.col("b") * 4096, F.lit(0))).alias("b"))
+
+
 #: Layers as (kind, in, out, kernel): 'conv', or 'up' for a transposed convolution that doubles the size; 'mark' keeps
 #: what comes in, 'add' adds it again, 'shuffle' turns channels into pixels.
 SMALL = [("conv", 3, 16, 5), ("conv", 16, 12, 1), ("conv", 12, 12, 3), ("conv", 12, 12, 3), ("conv", 12, 8, 3), ("conv", 8, 8, 1), ("up", 8, 3, 7)]

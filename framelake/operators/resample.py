@@ -86,6 +86,13 @@ def cubic_weights(d: float, a: float = -0.75) -> list[float]:
     return [far(1 + d), near(d), near(1 - d), far(2 - d)]
 
 
+def cubic_value(d: float, a: float) -> float:
+    """The cubic kernel at a distance."""
+    if d <= 1:
+        return (a + 2) * d**3 - (a + 3) * d**2 + 1
+    return a * d**3 - 5 * a * d**2 + 8 * a * d - 4 * a if d < 2 else 0.0
+
+
 def lanczos_weights(offset: float, scale: int, lobes: int = 3) -> list[tuple[int, float]]:
     """(distance, weight) of the inputs around a centre when shrinking by scale, summing to one."""
     import math
@@ -102,7 +109,13 @@ def axis_taps(n: int, m: int, kind: str) -> list[list[tuple[int, float]]]:
     out = []
     for o in range(m):
         at = (o + 0.5) * n / m - 0.5
-        if kind == "cubic":
+        if kind == "antialias":  # the cubic kernel of a = -0.5, as much wider as the axis shrinks
+            scale = max(1.0, n / m)
+            reach = range(int(np.floor(at - 2 * scale)), int(np.ceil(at + 2 * scale)) + 1)
+            taps = [(i, w) for i in reach if (w := cubic_value(abs(at - i) / scale, -0.5))]
+            total = sum(w for _, w in taps)
+            taps = [(i, w / total) for i, w in taps]
+        elif kind == "cubic":
             lo = int(at // 1)
             taps = [(lo + k - 1, w) for k, w in enumerate(cubic_weights(at - lo))]
         else:
@@ -140,9 +153,9 @@ def upscale_bicubic(df: DataFrame, pix: str, out: str, w: int, h: int, scale: in
     return _separable(df, pix, out, w, h, w * scale, h * scale, "cubic", rounding)
 
 
-def downscale(df: DataFrame, pix: str, out: str, w: int, h: int, factor: int = 2, rounding: str = "half_away") -> DataFrame:
-    """df with the tile in pix shrunk by Lanczos of three lobes."""
-    return _separable(df, pix, out, w, h, w // factor, h // factor, "lanczos", rounding)
+def downscale(df: DataFrame, pix: str, out: str, w: int, h: int, factor: int = 2, rounding: str = "half_away", kind: str = "lanczos") -> DataFrame:
+    """df with the tile in pix shrunk by Lanczos of three lobes, or by a cubic kernel widened against aliasing ('antialias')."""
+    return _separable(df, pix, out, w, h, w // factor, h // factor, kind, rounding)
 
 
 def rgb_of_yuyv(tiles: np.ndarray) -> np.ndarray:

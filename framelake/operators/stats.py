@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..sources.frames import numbered
+from . import pca
 from .scan import segmented_scan
 
 
@@ -78,6 +79,12 @@ def psnr(pairs: DataFrame, image: str, peak: float = 255) -> DataFrame:
     return by.select(image, F.round("m", 9).alias("mse"), F.round(F.when(F.col("m") > 0, 10 * F.log10(1 / F.col("m"))), 6).alias("psnr"))
 
 
+def mean_psnr(by_image: DataFrame) -> DataFrame:
+    """(images, equal, mse, psnr) from psnr(): averages over images; those that are equal have no psnr and don't count in its average."""
+    equal = F.count_if(F.col("psnr").isNull())
+    return by_image.agg(F.count("*").alias("images"), equal.alias("equal"), F.round(F.avg("mse"), 8).alias("mse"), F.round(F.avg("psnr"), 5).alias("psnr"))
+
+
 def loss_rollup(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Per epoch: the sum of batch means over samples, and over batches."""
     return metrics.groupBy(*keys).agg(F.round(F.sum("batch_mean") / F.sum("n"), 9).alias("per_sample"), F.round(F.avg("batch_mean"), 6).alias("per_batch"))
@@ -96,18 +103,15 @@ def threshold_sweep(tiles: DataFrame, thresholds: list[int]) -> DataFrame:
     return rows.select("threshold", "n_tiles", "n_cnn", F.round(F.col("n_cnn") / F.col("n_tiles"), 9).alias("share"))
 
 
-def curate_pairs(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs with enough detail on both sides."""
-    return pairs.where((F.col("hi_variance") >= least) & (F.col("lo_variance") >= least))
+def curate_pairs(pairs: DataFrame, least: float, least_low: float | None = None) -> DataFrame:
+    """Pairs with enough detail on both sides; the low side may have its own least variance."""
+    return pairs.where((F.col("hi_variance") >= least) & (F.col("lo_variance") >= (least if least_low is None else least_low)))
 
 
 def tile_pca(tiles: DataFrame, array: str, k: int = 2) -> DataFrame:
-    """tiles with pc: the first k principal components of an array column."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    vectors = tiles.withColumn("_v", array_to_vector(F.col(array).cast("array<double>")))
-    return PCA(k=k, inputCol="_v", outputCol="_pc").fit(vectors).transform(vectors).withColumn("pc", vector_to_array("_pc")).drop("_v", "_pc")
+    """tiles with pc: coordinates on the first k principal components of an array column."""
+    mean, axes, _, _ = pca.principal(tiles, array, k)
+    return pca.project(tiles, array, "pc", mean, axes)
 
 
 # --- windows -----------------------------------------------------------------------------------
@@ -207,10 +211,11 @@ def stimulus(keys: DataFrame, key: str, n: int, seed: int = 3, kind: str = "byte
 
 
 def scoreboard(expected: DataFrame, actual: DataFrame, trial: str, place: list[str], tol: int) -> DataFrame:
-    """(trial, n, n_wrong, passed): an element without partner is wrong."""
+    """(trial, n_expected, n_actual, n_wrong, passed): an element without partner on either side is wrong, so outputs of another size can't pass."""
     e, a = expected.withColumnRenamed("v", "expected"), actual.withColumnRenamed("v", "actual")
     good = F.coalesce(F.abs(F.col("expected") - F.col("actual")) <= tol, F.lit(False))
-    return e.join(a, [trial, *place], "full_outer").groupBy(trial).agg(F.count("*").alias("n"), F.count_if(~good).alias("n_wrong"), F.bool_and(good).alias("passed"))
+    sizes = [F.count("expected").alias("n_expected"), F.count("actual").alias("n_actual")]
+    return e.join(a, [trial, *place], "full_outer").groupBy(trial).agg(*sizes, F.count_if(~good).alias("n_wrong"), F.bool_and(good).alias("passed"))
 
 
 def scoreboard_of(pairs: DataFrame, trial: str, tol: int) -> DataFrame:

@@ -7,13 +7,13 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import augment, color, nn, resample, router, scan, stats, tiling
+from ..operators import augment, color, nn, pca, resample, router, scan, stats, tiling
 from ..sources import frames as src
 from ..sources import raw
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from ..streaming import frames as streams
 from . import sql as q
 
@@ -552,6 +552,11 @@ def u8(s: SparkSession, d: str) -> DataFrame:
     return channel_digest(nn.convolve(src.patches(s, d), "pix", "out", 8, src.weights_array(1, 4, 1, 3)), 8)
 
 
+@query("u7_antialias_down", f"WITH {q.PATCHES}, {taps_sql(8, 4, 'antialias')} {q.digest('p', 'v', 'patch_id')}")
+def u7_antialias(s: SparkSession, d: str) -> DataFrame:
+    return digest(planes(resample.downscale(src.patches(s, d), "pix", "low", 8, 8, 2, kind="antialias"), "low", 4), "v", "patch_id")
+
+
 _BIAS = f"{q.hashed('3 * 64 + c', 6)} % 40001 - 20000"
 _SLOPE = f"{q.hashed('3 * 64 + c', 7)} % 2048"
 
@@ -606,6 +611,13 @@ def u13(s: SparkSession, d: str) -> DataFrame:
     return nn.collapse_weights(w, w.where("ky = 0 and kx = 0").drop("ky", "kx"))
 
 
+@query("u13_collapse_bias", f"WITH {q.PATCH_WEIGHTS} SELECT a.layer, a.out_ch, CAST(sum(a.w * b1.w) + any_value(b2.w) * 4096 AS BIGINT) AS b FROM (SELECT * FROM w WHERE ky = 0 AND kx = 0) a JOIN (SELECT * FROM w WHERE in_ch = 0 AND ky = 1 AND kx = 1) b1 ON a.layer = b1.layer AND a.in_ch = b1.out_ch JOIN (SELECT * FROM w WHERE in_ch = 0 AND ky = 2 AND kx = 2) b2 ON a.layer = b2.layer AND a.out_ch = b2.out_ch GROUP BY a.layer, a.out_ch")
+def u13_bias(s: SparkSession, d: str) -> DataFrame:
+    w = patch_weights(s, d)
+    bias = lambda k: w.where(f"in_ch = 0 and ky = {k} and kx = {k}").select("layer", "out_ch", F.col("w").alias("b"))
+    return nn.collapse_bias(w.where("ky = 0 and kx = 0").drop("ky", "kx"), bias(1), bias(2))
+
+
 # --- aggregates --------------------------------------------------------------------------------
 
 
@@ -669,6 +681,11 @@ def a6(s: SparkSession, d: str) -> DataFrame:
     return stats.psnr(colour_pairs(s, d), "frame_id")
 
 
+@query("a6_mean_psnr", f"WITH {_PAIRS}, m AS (SELECT frame_id, sum((expected - actual) * (expected - actual)) / count(*)::DOUBLE / 65025::DOUBLE AS m FROM pairs GROUP BY frame_id), p AS (SELECT round(m, 9) AS mse, round(CASE WHEN m > 0 THEN 10 * log10(1 / m) END, 6) AS psnr FROM m) SELECT count(*) AS images, count(*) FILTER (psnr IS NULL) AS equal, round(avg(mse), 8) AS mse, round(avg(psnr), 5) AS psnr FROM p")
+def a6_mean(s: SparkSession, d: str) -> DataFrame:
+    return stats.mean_psnr(stats.psnr(colour_pairs(s, d), "frame_id"))
+
+
 @query("a7_loss_rollup", f"WITH {q.EVENTS} SELECT status, round(sum(value) / sum(1 + event_id % 8), 6) AS per_sample, round(avg(value), 6) AS per_batch FROM ev GROUP BY status")
 def a7(s: SparkSession, d: str) -> DataFrame:
     m = src.frame_events(s, d).select("status", F.col("value").alias("batch_mean"), F.expr("1 + event_id % 8").alias("n"))
@@ -688,8 +705,18 @@ def a9(s: SparkSession, d: str) -> DataFrame:
 @query("a10_curate_pairs", f"WITH {q.VARIANCE} SELECT a.frame_id, a.tile_y, a.variance AS hi_variance, b.variance AS lo_variance FROM scored a JOIN scored b ON a.frame_id = b.frame_id AND b.tile_y = a.tile_y + 1 WHERE a.variance >= 900 AND b.variance >= 900")
 def a10(s: SparkSession, d: str) -> DataFrame:
     t = stats.tile_variance(src.raw_tiles(s, d)).select("frame_id", "tile_y", "variance")
-    low = t.select("frame_id", (F.col("tile_y") - 1).alias("tile_y"), F.col("variance").alias("lo_variance"))
-    return stats.curate_pairs(t.withColumnRenamed("variance", "hi_variance").join(low, ["frame_id", "tile_y"]), 900)
+    below = F.lead("variance").over(Window.partitionBy("frame_id").orderBy("tile_y"))  # a frame's tiles are a few
+    return stats.curate_pairs(t.select("frame_id", "tile_y", F.col("variance").alias("hi_variance"), below.alias("lo_variance")), 900)
+
+
+@query("a10_curate_low_high", f"WITH {q.PATCHES}, {taps_sql(8, 4, 'lanczos', 'small')}, h AS (SELECT patch_id, (count(*) * sum(v * v) - sum(v) * sum(v)) / CAST(count(*) * count(*) AS DOUBLE) AS hi_variance FROM pp GROUP BY patch_id), l AS (SELECT patch_id, (count(*) * sum(v * v) - sum(v) * sum(v)) / CAST(count(*) * count(*) AS DOUBLE) AS lo_variance FROM small GROUP BY patch_id) SELECT patch_id, hi_variance, lo_variance FROM h JOIN l USING (patch_id) WHERE hi_variance >= 200 AND lo_variance >= 60")
+def a10_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of a tile and its shrunk version that both have detail enough; each side has its own least variance."""
+    pairs = resample.downscale(src.patches(s, d), "pix", "low", 8, 8, 2)
+    sums = lambda c: (f"aggregate({c}, 0L, (a, v) -> a + v)", f"aggregate({c}, 0L, (a, v) -> a + v * v)", f"size({c})")
+    variance = lambda c: F.expr("({2} * {1} - {0} * {0}) / cast({2} * {2} as double)".format(*sums(c)))
+    both = pairs.select("patch_id", variance("pix").alias("hi_variance"), variance("low").alias("lo_variance"))
+    return stats.curate_pairs(both, 200, 60)
 
 
 @query("a11_threshold_sweep", f"WITH {q.VARIANCE} SELECT t AS threshold, count(*) AS n_tiles, count(*) FILTER (variance > t) AS n_cnn, round(count(*) FILTER (variance > t) / count(*)::DOUBLE, 9) AS share FROM scored, (VALUES (100), (500), (1000), (2000)) x(t) GROUP BY t")
@@ -697,6 +724,14 @@ def a11(s: SparkSession, d: str) -> DataFrame:
     return stats.threshold_sweep(scored(s, d), [100, 500, 1000, 2000])
 
 
+@query("a12_wide_tiles")
+def a12_wide(s: SparkSession, d: str) -> DataFrame:
+    """Components of colour tiles as rows of 3,072 values: variance and share of each. Rounded so that sums in another order give the same."""
+    tiles = written(resample.yuyv_planes(src.raw_tiles(s, d)).select("rgb"), "wide")
+    _, _, value, total = pca.principal(tiles, "rgb", 4)
+    return s.createDataFrame([(i + 1, round(float(v), 2), round(float(v) / total, 6)) for i, v in enumerate(value)], "component int, variance double, share double")
+
+
 @query("a12_tile_pca")
 def a12(s: SparkSession, d: str) -> DataFrame:
     return stats.tile_pca(src.patches(s, d), "pix").select("patch_id", F.round(F.abs(F.col("pc")[0]), 3).alias("pc1"), F.round(F.abs(F.col("pc")[1]), 3).alias("pc2"))
@@ -819,7 +854,7 @@ def t1(s: SparkSession, d: str) -> DataFrame:
 
 @query("t2_merge_routes", f"WITH {q.VARIANCE} SELECT frame_id, tile_y, route FROM routed")
 def t2(s: SparkSession, d: str) -> DataFrame:
-    routed = scored(s, d).select("frame_id", "tile_y", "route")
+    routed = written(scored(s, d).select("frame_id", "tile_y", "route"), "routed")  # both branches read it; neither scores again
     return routed.where("route = 'cnn'").unionByName(routed.where("route = 'interp'"))
 
 
@@ -1086,6 +1121,15 @@ def v1(s: SparkSession, d: str) -> DataFrame:
     return stats.scoreboard_of(colour_pairs(s, d), "frame_id", 0)
 
 
+@query("v1_size_mismatch", f"WITH {q.PATCHES}, e AS (SELECT patch_id, y, x, v FROM pp), a AS (SELECT patch_id, y, x, CASE WHEN patch_id % 3 = 1 AND x = 2 THEN v + 2 ELSE v END AS v FROM pp WHERE patch_id % 5 > 0 OR y < 7 UNION ALL SELECT patch_id, y + 1, x, v FROM pp WHERE patch_id % 7 = 0 AND y = 7) SELECT patch_id, count(e.v) AS n_expected, count(a.v) AS n_actual, count(*) FILTER (NOT coalesce(abs(e.v - a.v) <= 1, false)) AS n_wrong, bool_and(coalesce(abs(e.v - a.v) <= 1, false)) AS passed FROM e FULL JOIN a USING (patch_id, y, x) GROUP BY patch_id")
+def v1_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Outputs of which some are off, some lack a row and some have one more."""
+    e = src.patch_pixels(s, d).select("patch_id", "y", "x", "v")
+    off = e.where("patch_id % 5 > 0 or y < 7").withColumn("v", F.expr("if(patch_id % 3 = 1 and x = 2, v + 2, v)"))
+    more = e.where("patch_id % 7 = 0 and y = 7").withColumn("y", F.col("y") + 1)
+    return stats.scoreboard(e, off.unionByName(more), "patch_id", ["y", "x"], 1)
+
+
 _WRONG = f"WITH {_PAIRS}, z AS (SELECT *, expected AS e, actual AS a FROM pairs WHERE expected <> actual) {q.digest('z', 'e a', 'frame_id, c')}"
 
 
