@@ -4,7 +4,8 @@ A source's target over its size says how often each of its documents is copied:
 times for all, and a fraction that is rounded for each so that the source's words stay put. Two
 fractional documents pass mass (fraction times words) to each other at random, without drift,
 until one of them is 0 or 1. Small groups are folded this way side by side; what each leaves
-unrounded, one document at most, goes up a tree of groups whose root rounds the last one.
+unrounded, one document at most, goes up a tree of groups whose root rounds the last one. What that
+leaves a source off its target is mixed again, from its smaller documents.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from .store import cut
 FAN_IN = 32
 #: No document is copied more often.
 MOST_COPIES = 3
+#: After rounding, a source is off its target by a part of one text, which may be a very long one. What it is off by is then rounded
+#: anew over its texts of at most this share of that: who was rounded down goes up, or the other way, and others only where these don't suffice. Small ones first, larger ones where these were too few.
+CORRECTIONS = (1 / 8, 1 / 2, 1 / 4)
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,15 +91,47 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     stats = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     units = sized.where("size > 0").groupBy("source", "doc", "size").agg(F.count("*").alias("n"))
     copies = F.col("target") / F.col("source_size")
-    frac = (
-        units.join(stats, units.source.eqNullSafe(stats.source))
-        .select(units.source, "doc", "size", "n", (F.col("size") * F.col("n")).cast("double").alias("mass"), (copies - F.floor(copies)).alias("p"))
-        .where("p > 0")
-        .withColumn("rank", F.xxhash64("doc", "size", F.lit(seed)))
-    )
+    of = units.alias("u").join(stats.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")))
+    of = of.select("u.source", "doc", "size", "n", (F.col("size") * F.col("n")).cast("double").alias("mass"), "target", F.floor(copies).cast("long").alias("base"), copies.alias("copies"))
+    decided = rounded(of.select("source", "doc", "size", "n", "mass", (F.col("copies") - F.floor("copies")).alias("p")), kind, seed)
+    taken = _joined(of.withColumn("copies", F.col("base")), decided)
+    for again, share in enumerate(CORRECTIONS, 1):
+        taken = cut(taken, "taken")
+        off = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("mass"))).alias("off"))
+        near = taken.alias("t").join(off.alias("o"), F.col("t.source").eqNullSafe(F.col("o.source"))).select("t.*", "off")
+        up = F.col("off") > 0
+        near = near.where((F.col("mass") <= F.abs("off") * share) & F.when(up, F.col("copies") < MOST_COPIES).otherwise(F.col("copies") > 0))
+        near = near.withColumn("next", F.col("copies") - F.col("base") == F.when(up, 0).otherwise(1))
+        room = near.groupBy("source").agg(F.sum("mass").alias("all"), F.coalesce(F.sum(F.when(F.col("next"), F.col("mass"))), F.lit(0.0)).alias("room"))
+        moved = near.alias("n").join(room.alias("r"), F.col("n.source").eqNullSafe(F.col("r.source")))
+        enough = F.col("room") >= F.abs("off")
+        moved = moved.where(F.col("next") | ~enough).withColumn("p", F.least(F.lit(1.0), F.abs("off") / F.when(enough, F.col("room")).otherwise(F.col("all"))))
+        moved = moved.select("n.source", "doc", "size", "n.n", "mass", "p")
+        step = rounded(moved, kind, seed + 100 * again)
+        signs = off.select("source", F.signum("off").cast("long").alias("sign"))
+        step = step.alias("d").join(signs.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.source", "doc", "size", (F.col("take") * F.col("sign")).alias("take"))
+        taken = _joined(taken, step)
+    taken = cut(taken.select("source", "doc", "size", "copies"), "taken")
+    out = sized.alias("d").join(stats.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    same = F.col("d.source").eqNullSafe(F.col("c.source")) & F.col("d.doc").eqNullSafe(F.col("c.doc")) & (F.col("d.size") == F.col("c.size"))
+    times = F.coalesce(F.col("c.copies"), F.lit(0)).cast("long")
+    return out.join(taken.alias("c"), same, "left").select(F.col("d.doc").alias(key), F.col("d.source").alias("source"), F.col("d.size").alias("size"), "source_size", "target", times.alias("copies"), (times * F.col("d.size")).alias("taken"))
+
+
+def _joined(units: DataFrame, decided: DataFrame) -> DataFrame:
+    """units with what was decided added to their copies."""
+    same = F.col("u.source").eqNullSafe(F.col("c.source")) & F.col("u.doc").eqNullSafe(F.col("c.doc")) & (F.col("u.size") == F.col("c.size"))
+    more = (F.col("u.copies") + F.coalesce("take", F.lit(0))).cast("long")
+    return units.alias("u").join(decided.alias("c"), same, "left").select("u.source", "u.doc", "u.size", "u.n", "u.mass", "u.target", "u.base", more.alias("copies"))
+
+
+def rounded(frac: DataFrame, kind: str, seed: int) -> DataFrame:
+    """(source, doc, size, take): each unit's fraction p rounded to 0 or 1 by the tree, so that a source's mass stays put but for one unit's."""
+    frac = frac.where("p > 0").withColumn("rank", F.xxhash64("doc", "size", F.lit(seed)))
     groups = frac.groupBy("source").agg(F.ceil(F.count("*") / FAN_IN).alias("groups"))
+    columns = [F.col(f"f.{c}") for c in ("source", "doc", "size", "n", "mass", "p", "rank")]
     level = cut(
-        frac.alias("f").join(groups.alias("g"), F.col("f.source").eqNullSafe(F.col("g.source"))).select("f.*", "groups", F.pmod(F.xxhash64("rank"), "groups").alias("node")),
+        frac.alias("f").join(groups.alias("g"), F.col("f.source").eqNullSafe(F.col("g.source"))).select(*columns, "groups", F.pmod(F.xxhash64("rank"), "groups").alias("node")),
         "leaves",
     )
     most, depth = level.agg(F.max("groups")).first()[0] or 0, 0
@@ -107,19 +143,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         decided = done if decided is None else decided.unionByName(done)
         if most == 1:
             last = folded.select("source", "s.a.*").withColumn("u", F.expr(f"(xxhash64(rank, doc, {seed}) & 9007199254740991) / 9007199254740992D"))
-            decided = decided.unionByName(last.select("source", "doc", "size", (F.col("u") < F.col("p")).cast("int").alias("take")))
-            break
+            return decided.unionByName(last.select("source", "doc", "size", (F.col("u") < F.col("p")).cast("int").alias("take")))
         level = folded.select("source", F.ceil(F.col("groups") / FAN_IN).alias("groups"), F.floor(F.col("node") / FAN_IN).alias("node"), "s.a.*")
         most, depth = -(-most // FAN_IN), depth + 1
-    out = sized.alias("d").join(stats.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    whole = F.when(F.col("d.size") > 0, F.floor(copies)).otherwise(0)
-    if decided is None:
-        chosen, take = out, F.lit(0)
-    else:
-        same = F.col("d.source").eqNullSafe(F.col("c.source")) & F.col("d.doc").eqNullSafe(F.col("c.doc")) & (F.col("d.size") == F.col("c.size"))
-        chosen, take = out.join(decided.alias("c"), same, "left"), F.coalesce("take", F.lit(0))
-    times = (whole + take).cast("long")
-    return chosen.select(F.col("d.doc").alias(key), F.col("d.source").alias("source"), F.col("d.size").alias("size"), "source_size", "target", times.alias("copies"), (times * F.col("d.size")).alias("taken"))
+    return frac.select("source", "doc", "size", F.lit(0).alias("take"))  # nothing to round
 
 
 def copies_of(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:

@@ -11,6 +11,7 @@ are no examples. All counts are exact and stay in tables.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,8 +36,8 @@ SEEDS = [
     "spam", "malware", "phish", "phishing", "warez", "crack", "cracked", "keygen", "torrent", "torrents",
     "ads", "adserver", "advert", "banner", "popup", "track", "tracker", "tracking", "clickbait", "clicks",
 ]
-#: No longer word enters the unigram model.
-LONGEST = 30
+#: No longer word enters the unigram model. Long names are cut up so many letters at a time.
+LONGEST, BLOCK = 30, 2000
 #: Odds of tokens at least this frequent are broadcast, at most 1 / FREQUENT of them; the others' are joined. Results are the same.
 FREQUENT = 1 / 20_000
 #: A page is blocked from this log-odds on.
@@ -97,14 +98,27 @@ def split_name(name: str, logs: dict[str, float], unknown: float, longest: int =
     return out
 
 
+def _pieces(parts: DataFrame) -> DataFrame:
+    """(name, w): all pieces of a part up to the longest word, in time that grows with its length; a long part is named by its digest."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, part in zip(b.column("name").to_pylist(), b.column("part").to_pylist(), strict=True):
+                for at in range(0, len(part), BLOCK):
+                    stretch = part[at : at + BLOCK + LONGEST - 1]
+                    w = sorted({stretch[i : i + k] for i in range(min(BLOCK, len(stretch))) for k in range(1, min(LONGEST, len(stretch) - i) + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(w), pa.string()), pa.array(w, pa.string())], names=["name", "w"])
+
+    return parts.select("name", "part").mapInArrow(cut_up, "name string, w string")
+
+
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, words) of distinct hosts: each part split on its own, with the counts of all its pieces that are words."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1
-    parts = hosts.select("host", F.explode(F.array_distinct(F.regexp_extract_all("host", F.lit(_PART), 1))).alias("part"))
-    piece = f"flatten(transform(sequence(1, length(part)), i -> transform(sequence(1, least({LONGEST}, length(part) - i + 1)), k -> substr(part, i, k))))"
-    pieces = parts.select("part").distinct().select("part", F.explode(F.array_distinct(F.expr(piece))).alias("w"))
-    found = pieces.join(counts, "w").groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("known"))
-    found = parts.select("part").distinct().join(found, "part", "left")
+    part_of = F.explode(F.array_distinct(F.regexp_extract_all("host", F.lit(_PART), 1))).alias("part")
+    parts = hosts.select(part_of).distinct().withColumn("name", F.when(F.length("part") > LONGEST, F.sha2("part", 256)).otherwise(F.col("part")))
+    found = _pieces(parts).join(counts, "w").groupBy("name").agg(F.collect_set(F.struct("w", "n")).alias("known"))  # of a part's pieces those that are words
+    found = parts.join(found, "name", "left")
 
     def split(batch: pa.RecordBatch) -> list:
         out = []

@@ -481,6 +481,31 @@ def test_pivotal_rounding_keeps_fractions_and_each_sources_words(spark):
     assert len(sums) == 3 and all(abs(sum(x) - target) <= 7 for (_, target), x in sums.items())
 
 
+def test_mixing_comes_near_its_targets_whatever_the_longest_text(spark):
+    """Each source has a text as long as a fifth of it and many short ones: what that one leaves is made up by the others."""
+    import random
+
+    rng = random.Random(5)
+    data = [(i, " ".join(["w"] * (4000 if i % 200 < 3 else rng.choice([1, 3, 9, 30, 90, 200]))), f"s{i % 3}") for i in range(1200)]
+    for seed in (1, 2):
+        sums = {}
+        for r in mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), seed=seed).collect():
+            assert r.taken <= 3 * r.size
+            sums.setdefault((r.source, r.target), []).append(r.taken)
+        assert len(sums) == 3 and all(abs(sum(x) - target) <= 0.005 * target for (_, target), x in sums.items())
+
+
+def test_a_host_of_very_many_letters_is_split_in_time_that_grows_with_it(spark):
+    """A quarter of a million letters without a word, and the same with words at the borders of what is cut up at once."""
+    junk = "qzxv" * 62_500
+    held = junk[: urls.BLOCK - 3] + "gardening" + junk[:5000] + "gardening"
+    pages = spark.createDataFrame([(1, f"http://{junk}.org/a", "gardening gardening"), (2, f"http://{held}.net/b", "gardening"), (3, "http://gardeningqq.net/" + "x/" * 100_000, "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge_urls(pages).collect()}
+    host_words = lambda i: [w[2:] for w in got[i].words if w.startswith("h:")]
+    assert "".join(host_words(1)) == junk + "org" and host_words(2).count("gardening") == 2 and "".join(host_words(2)) == held + "net"
+    assert host_words(3)[:2] == ["gardening", "qq"]
+
+
 CLASHES = "n at classes block ord _row _hits size tokens hits before rest id row key place c0 copies plan kept_text n_words source_size target"
 
 
