@@ -779,7 +779,7 @@ p AS (SELECT stream, coalesce(sum(CAST(last AS INTEGER)) OVER (PARTITION BY stre
 SELECT stream, CAST(packet AS BIGINT) AS packet, count(*) AS beats, count(*) = 128 AS ok FROM p GROUP BY stream, packet""")
 def w4_streams(s: SparkSession, d: str) -> DataFrame:
     """Each stream as one sequence of beats, in which every third tile lacks its end: packets run over tiles and frames."""
-    beats = color.pack_beats(src.raw_tiles(s, d))
+    beats = src.text_beats(src.frame_texts(s, d))
     ends = F.col("last") & ((F.col("frame_id") + F.expr("seq div 128")) % 3 > 0)
     return stats.assemble_packets(beats.select("stream", (F.col("frame_id") * 8192 + F.col("seq")).alias("place"), ends.alias("last")), 128, ("stream",), ("place",))
 
