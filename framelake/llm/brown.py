@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .blocks import answer, answers, ask, asked, sizes
+from .blocks import Route, answer, answers, ask, asked, sizes
 from .store import cut, cut_bucketed, text_bytes
 from .textops import BLANKS, lower, per_text, pieces, separators, word_hashes, words
 
@@ -142,9 +142,9 @@ class _Block:
         return seq, np.concatenate([[end], seq[:-1]]), np.repeat(self.train, np.diff(self.off) + 1)
 
 
-def word_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Blocks of docs (id, text, train), a row each, in a table that is bucketed by block; and the number of buckets."""
-    block_bytes, parts = sizes(docs.sparkSession, text_bytes(docs, "text"))
+def word_blocks(docs: DataFrame) -> tuple[DataFrame, Route]:
+    """Blocks of docs (id, text, train), a row each, in a table that is bucketed by block; and the route of its hashes."""
+    block_bytes, route, buckets = sizes(docs.sparkSession, text_bytes(docs, "text"))
     kind = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *[T.StructField(x, T.BinaryType()) for x in ("words", "local", "off", "train")]])
     arrow = to_arrow_schema(schema)
@@ -173,7 +173,7 @@ def word_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
         if held:
             yield row(block, held)
 
-    return cut_bucketed(docs.mapInArrow(index, schema), "words", "block", parts), parts
+    return cut_bucketed(docs.mapInArrow(index, schema), "words", "block", buckets), route
 
 
 def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,7 +185,7 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
     rows nothing is known: every token's base probability is one. Repeated rows count each.
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    blocks, parts = word_blocks(rows)
+    blocks, route = word_blocks(rows)
     broadcast = docs.sparkSession.sparkContext.broadcast
 
     def alone(function: Callable[[_Block], pa.Table], schema: str) -> DataFrame:
@@ -206,7 +206,7 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
         return blocks.groupBy("block").cogroup(replies).applyInArrow(lambda left, right: function(_Block(left.to_pylist()[0]), right).cast(arrow), schema)
 
     def count(b: _Block) -> pa.Table:
-        return ask(b.block, b.words, parts, np.bincount(b.local, b.of_words(b.train), len(b.words)).astype(np.int64))
+        return ask(b.block, b.words, route, np.bincount(b.local, b.of_words(b.train), len(b.words)).astype(np.int64))
 
     def total(hashes: np.ndarray, sender: np.ndarray, n: np.ndarray) -> np.ndarray:
         distinct, inverse = np.unique(hashes, return_inverse=True)
@@ -222,7 +222,7 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
         frequent = [{"hash": int(h), "n": int(x)} for h, x in zip(distinct[often].view(np.int64), c[often], strict=True) if x]
         return [int(c.sum()), int((c > 0).sum()), frequent]
 
-    counted = cut(answer(alone(count, asked(1)), [np.int64], total, "n bigint, v bigint, frequent array<struct<hash:bigint,n:bigint>>", summary), "counts")
+    counted = cut(answer(alone(count, asked(1)), route, [np.int64], np.int64, total, "n bigint, v bigint, frequent array<struct<hash:bigint,n:bigint>>", summary), "counts")
     sums = counted.where("sender is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     ends = rows.where("train").count()
     n_all, v_all = sums[0] + ends, sums[1] + (ends > 0)
@@ -254,22 +254,18 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
 
     def neighbours(b: _Block, back: pa.Table | None = None) -> pa.Table:
         """Each word's counts of its neighbours' classes in training: how many counts, and these as code and number."""
-        known = among(b.words, of, UNKNOWN) if back is None else answers(back, b.words, parts, np.uint8)
+        known = among(b.words, of, UNKNOWN) if back is None else answers(back, b.words, route, np.uint8)
         seq, before, chosen = b.sequence(known, END)
         after = np.append(seq[1:], END)
         word = np.insert(b.local.astype(np.int64), b.off[1:], -1)
         right, left = chosen & (word >= 0) & (after != UNKNOWN), chosen & (word >= 0) & (before != UNKNOWN)
         code, n = np.unique(np.concatenate([word[right] * 256 + after[right], word[left] * 256 + 128 + before[left]]), return_counts=True)
         runs = np.bincount(code >> 8, minlength=len(b.words))
-        table = ask(b.block, b.words, parts, runs.astype(np.uint32))
-        at = np.concatenate([[0], np.cumsum(runs)])[np.concatenate([[0], np.cumsum([len(x) // 8 for x in table.column("hashes").to_pylist()])]).astype(np.int64)]
-        for name, x in (("c1", (code & 255).astype(np.uint8)), ("c2", n.astype(np.uint32))):
-            table = table.append_column(name, pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()))
-        return table
+        return ask(b.block, b.words, route, runs.astype(np.uint32), ragged=((code & 255).astype(np.uint8), n.astype(np.uint32)))
 
     def transitions(b: _Block, back: pa.Table) -> pa.Table:
         """Counts of pairs of classes in training."""
-        seq, before, chosen = b.sequence(answers(back, b.words, parts, np.uint8), END)
+        seq, before, chosen = b.sequence(answers(back, b.words, route, np.uint8), END)
         pair, n = np.unique((before * 128 + seq)[chosen], return_counts=True)
         return pa.table({"pair": pair, "n": n})
 
@@ -290,7 +286,7 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
             return [np.bincount(k[runs > 0][at], minlength=CLASSES).tolist()]
 
         questions = alone(neighbours, asked(3)) if replies is None else answered(replies, neighbours, asked(3))
-        replies = cut(answer(questions, [np.uint32, np.uint8, np.uint32], placed, "v array<bigint>", vocabulary), "classes")
+        replies = cut(answer(questions, route, [np.uint32, np.uint8, np.uint32], np.uint8, placed, "v array<bigint>", vocabulary, ragged=2), "classes")
         table = np.zeros((CLASSES + 1, CLASSES + 1))
         for r in answered(replies, transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
             table[r.pair // 128, r.pair % 128] = r.n
@@ -303,7 +299,7 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
 
     def score(b: _Block, back: pa.Table) -> pa.Table:
         step, n_class, unknown = model.value
-        c, k = (answers(back.filter(pa.compute.equal(back.column("kind"), i)), b.words, parts, t).astype(np.int64) for i, t in ((0, np.int64), (1, np.uint8)))
+        c, k = (answers(back.filter(pa.compute.equal(back.column("kind"), i)), b.words, route, t).astype(np.int64) for i, t in ((0, np.int64), (1, np.uint8)))
         base = per_text(np.log10((c + 1) / (n_all + v_all + 1))[b.local], b.off) + np.log10((ends + 1) / (n_all + v_all + 1))
         emit = np.log10(np.maximum(c - DISCOUNT, DISCOUNT) / np.maximum(n_class[k], 1))
         seq, before, _ = b.sequence(np.where(c > 0, k, UNKNOWN), END)

@@ -4,7 +4,8 @@ D = {0, 1, 3, 9} modulo 13 holds, for any two positions i and j, a shift d < 13
 j + d both on the cover. Equal windows of 20 words thus share an equal run of 20 - 13 + 1 = 8
 words that starts on the cover in both. First only these anchors are hashed and looked up; then
 windows are extended from anchors that stand in the corpus more than once, and the whole windows
-are looked up to find which of them start earlier elsewhere.
+are looked up to find which of them start earlier elsewhere. Windows are equal where two hashes of
+64 bits are, both made of the words' hashes; anchors that collide only make windows be looked up.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from .blocks import answer, answers, ask, asked, by_block, to_blocks, with_answe
 from .order import numbered
 from .rows import Packed, without
 from .store import cut
-from .textops import BLANKS, covered, per_text, pieces, separators, window_hashes, word_hashes, words
+from .textops import BLANKS, covered, mix, per_text, pieces, separators, window_hashes, word_hashes, words
 
 #: A difference cover of 13. Any other pair would do that covers all differences.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 
+#: Told from the words' hashes themselves, so that windows have a second hash.
+_SECOND = np.uint64(0xD1B54A32D192ED03)
 _BLANK = separators(BLANKS)
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
@@ -41,14 +44,18 @@ def _hashes(table: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(offsets)
 
 
-def _repeats(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, how often each occurs, and each one's first place."""
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    new = np.ones(len(ordered), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    at = np.flatnonzero(new)
-    return ordered[at], np.diff(np.append(at, len(ordered))), order[at]
+def _repeats(*hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First hash of each distinct one (or tuple of several) in order, how often each occurs, and each one's first place."""
+    order = np.lexsort(hashes[::-1]) if len(hashes) > 1 else np.argsort(hashes[0], kind="stable")
+    at = np.flatnonzero(_new(*(h[order] for h in hashes)))
+    return hashes[0][order[at]], np.diff(np.append(at, len(order))), order[at]
+
+
+def _new(*ordered: np.ndarray) -> np.ndarray:
+    """Which places differ from the one before."""
+    out = np.ones(len(ordered[0]), bool)
+    out[1:] = np.any([x[1:] != x[:-1] for x in ordered], axis=0)
+    return out
 
 
 def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -83,25 +90,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     if dict(rows.dtypes)["id"] not in ("tinyint", "smallint", "int", "bigint"):
         places = numbered(rows.select("id").where("id is not null").distinct(), "place")
         rows = rows.join(places, "id", "left").drop("id").withColumnRenamed("place", "id")
-    blocks, parts = to_blocks(rows.select("text", "rest", F.col("id").cast("long").alias("id")), "text", "blocks")
+    blocks, route = to_blocks(rows.select("text", "rest", F.col("id").cast("long").alias("id")), "text", "blocks")
     texts = blocks.select("block", "ord", "id", "text")
 
     def send_anchors(table: pa.Table) -> pa.Table:
         distinct, count, _ = _repeats(_anchors(*_hashes(table, "text"), length)[1])
-        return ask(table.column("block")[0].as_py(), distinct, parts, count > 1)
+        return ask(table.column("block")[0].as_py(), distinct, route, count > 1)
 
     def shared(hashes: np.ndarray, sender: np.ndarray, often: np.ndarray) -> np.ndarray:
         ordered = np.sort(hashes)
         return _among(hashes, np.unique(ordered[1:][ordered[1:] == ordered[:-1]])) | often
 
-    back = answer(by_block(texts, send_anchors, asked(1)), [bool], shared)
+    back = answer(by_block(texts, send_anchors, asked(1)), route, [bool], bool, shared)
 
-    def candidates(table: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the windows that hold a shared anchor, their hashes, and the documents' offsets."""
+    def candidates(table: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the windows that hold a shared anchor, their two hashes, and the documents' offsets."""
         hashes, off = _hashes(table, "text")
         at, run = _anchors(hashes, off, length)
         distinct = np.unique(run)
-        at = at[_among(run, distinct[answers(replies, distinct, parts, bool)])]
+        at = at[_among(run, distinct[answers(replies, distinct, route, bool)])]
         near = np.zeros(len(hashes) + 1, np.int32)
         doc = np.searchsorted(off, at, "right") - 1
         near[np.maximum(at - PERIOD + 1, off[doc])] += 0  # keeps the dtype where there is no anchor
@@ -109,7 +116,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         np.add.at(near, at + 1, -1)
         window, whole = window_hashes(hashes, off, n)
         place = np.flatnonzero(whole & (np.cumsum(near[:-1]) > 0))
-        return place, window[place], off
+        return place, window[place], window_hashes(mix(hashes ^ _SECOND), off, n)[0][place] if len(place) else window[place], off
 
     def ranks(table: pa.Table) -> np.ndarray:
         """Each document's place in the order of keys within its block."""
@@ -119,38 +126,37 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         return rank
 
     def firsts(table: pa.Table, replies: pa.Table) -> tuple:
-        """Candidates with each one's document, and which is the block's first of its hash."""
-        place, window, off = candidates(table, replies)
+        """Candidates with each one's document, and the block's first of each distinct window."""
+        place, window, second, off = candidates(table, replies)
         doc = np.searchsorted(off, place, "right") - 1
         order = np.lexsort((place, ranks(table)[doc]))
-        place, window, doc = place[order], window[order], doc[order]
-        distinct, _, first = _repeats(window)
-        return place, doc, off, distinct, first
+        place, window, second, doc = place[order], window[order], second[order], doc[order]
+        distinct, _, first = _repeats(window, second)
+        return place, doc, off, distinct, second[first], first
 
     def send_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
-        _, doc, _, distinct, first = firsts(table, replies)
+        _, doc, _, distinct, second, first = firsts(table, replies)
         ids = table.column("id")
         known = np.asarray(pa.compute.is_valid(ids))
         ids = np.asarray(pa.compute.fill_null(ids, 0)).astype(np.int64)
-        return ask(table.column("block")[0].as_py() if table.num_rows else 0, distinct, parts, ids[doc[first]], known[doc[first]])
+        return ask(table.column("block")[0].as_py() if table.num_rows else 0, distinct, route, second, ids[doc[first]], known[doc[first]])
 
-    def later(hashes: np.ndarray, sender: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-        order = np.lexsort((sender, ids, known, hashes))
-        ordered = hashes[order]
+    def later(hashes: np.ndarray, sender: np.ndarray, second: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+        order = np.lexsort((sender, ids, known, second, hashes))
         out = np.zeros(len(hashes), bool)
-        out[order[1:]] = ordered[1:] == ordered[:-1]
+        out[order] = ~_new(hashes[order], second[order])
         return out
 
     marked = cut(back, "anchors")
-    windows_back = answer(with_answers(texts, marked, send_windows, asked(2)), [np.int64, bool], later)
+    windows_back = answer(with_answers(texts, marked, send_windows, asked(3)), route, [np.uint64, np.int64, bool], bool, later)
     both = marked.withColumn("kind", F.lit(0)).unionByName(windows_back.withColumn("kind", F.lit(1)))
 
     schema = T.StructType([blocks.schema["text"], blocks.schema["rest"], *T._parse_datatype_string("n_words bigint, n_removed bigint, kept_text string").fields])
 
     def rest(table: pa.Table, replies: pa.Table) -> pa.Table:
         one = replies.filter(pa.compute.equal(replies.column("kind"), 0))
-        place, doc, off, distinct, first = firsts(table, one)
-        window_later = answers(replies.filter(pa.compute.equal(replies.column("kind"), 1)), distinct, parts, bool)
+        place, doc, off, distinct, _, first = firsts(table, one)
+        window_later = answers(replies.filter(pa.compute.equal(replies.column("kind"), 1)), distinct, route, bool)
         starts = np.ones(len(place), bool)
         starts[first] = window_later
         marks = np.zeros(off[-1], bool)

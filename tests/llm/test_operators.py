@@ -638,3 +638,56 @@ def test_near_duplicates_of_the_pipeline_by_five_word_shingles(spark):
     kept = pipeline.near_duplicates(spark, docs.unionByName(docs.limit(5)), "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({group.index(g) for g in group})
     assert pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.fixture
+def hops(monkeypatch):
+    """Small blocks, many buckets and two hops."""
+    from framelake.llm import blocks
+
+    for name, value in (("LARGE_BLOCK_BYTES", 600), ("BUCKET_BYTES", 40), ("FAN", 3)):
+        monkeypatch.setattr(blocks, name, value)
+
+
+def test_lookups_in_two_hops_give_what_one_hop_gives(docs, spark, hops, monkeypatch):
+    from framelake.llm import blocks
+
+    some = docs.where("doc_id is null or length(text) < 20000 or text is null").repartition(3)
+    assert blocks.sizes(spark, 4000)[1].each > 30
+    two = [sorted(map(repr, f(some).collect())) for f in (substring.remove_repeats, lambda d: brown.score_texts(d, F.col("doc_id") % 3 != 1))]
+    for name, value in (("LARGE_BLOCK_BYTES", 64_000_000), ("BUCKET_BYTES", 32_000_000), ("FAN", 1000)):
+        monkeypatch.setattr(blocks, name, value)
+    one = [sorted(map(repr, f(some).collect())) for f in (substring.remove_repeats, lambda d: brown.score_texts(d, F.col("doc_id") % 3 != 1))]
+    assert two[0] == one[0] and two[1] == one[1]
+
+
+def test_repeats_across_many_blocks_against_brute_force(spark, hops):
+    import random
+
+    rng = random.Random(5)
+    passages = [[f"p{k}w{i}" for i in range(30)] for k in range(4)]
+    texts = []
+    for d in range(60):
+        w = [f"d{d}x{i}" for i in range(rng.randrange(0, 40))]
+        at = rng.randrange(0, len(w) + 1)
+        texts.append((d, " ".join(w[:at] + (rng.choice(passages) if d % 3 else []) + w[at:])))
+    first, removed = {}, {}
+    for d, text in texts:
+        w, gone = text.split(), set()
+        for i in range(len(w) - 19):
+            if first.setdefault(tuple(w[i : i + 20]), (d, i)) != (d, i):
+                gone |= set(range(i, i + 20))
+        removed[d] = [x for i, x in enumerate(w) if i not in gone]
+    got = substring.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(7)).collect()
+    assert {r.doc_id: (r.kept_text or "").split() for r in got} == removed
+
+
+def test_rows_of_lookups_grow_with_the_input(spark):
+    from framelake.llm.blocks import FAN, sizes
+
+    for total in (10**9, 10**12, 10**13, 3 * 10**13, 10**14):
+        block, route, buckets = sizes(spark, total)
+        blocks = -(-total // block)
+        assert buckets <= 100_000 and route.ranges <= FAN
+        assert route.ranges * route.each * 32_000_000 >= total  # a bucket holds what a task can hold
+        assert route.groups * route.ranges * route.each <= 1.01 * FAN * blocks + 10 * FAN * route.each  # rows of the second hop
