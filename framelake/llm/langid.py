@@ -15,6 +15,10 @@ from .rows import Packed, add_columns, without
 from .textops import PIECE_BYTES, lower, pieces, runs
 
 GRAMS = 1 << 16
+#: So many languages are learned at most, those with most bytes of text; a model has GRAMS numbers for each, some 130 MB in all.
+LANGUAGES = 500
+#: A task holds the counts of so many languages at a time.
+_HELD = 100
 #: Natural log-odds that a change of language between two words has to make up for.
 SWITCH = 12.0
 #: A language is a candidate for a script that at least this share of its letters is written in.
@@ -109,7 +113,15 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def train(docs: DataFrame, chosen: F.Column, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n) over all chosen rows with a language; grams from GRAMS on stand for scripts."""
+    """(lang, gram, n) over all chosen rows of the languages learned; grams from GRAMS on stand for scripts.
+
+    Of languages with equally many bytes the first by name are learned.
+    """
+
+    def rows_of(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x, n in totals.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -126,22 +138,30 @@ def train(docs: DataFrame, chosen: F.Column, text: str = "text", lang: str = "la
                 scripts = np.bincount(of[at[letter]] * N_SCRIPTS + script[letter], minlength=len(index) * N_SCRIPTS).reshape(-1, N_SCRIPTS)
                 for x, k in index.items():
                     totals[x] = totals.get(x, 0) + np.concatenate([found[k], scripts[k]])
-        for x, n in totals.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "n"])
+            if len(totals) > _HELD:
+                yield from rows_of(totals)
+                totals = {}
+        yield from rows_of(totals)
 
     rows = docs.where(chosen & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size"))
+    learned = [r.lang for r in sizes.orderBy(F.desc("size"), "lang").limit(LANGUAGES).collect()]
+    rows = rows.where(F.col("lang").isin(learned))
     return rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities of grams (GRAMS, languages), and which languages use a script: at most GRAMS numbers a language."""
-    rows = counts.toPandas()
-    langs = sorted(rows["lang"].unique())
-    n = np.zeros((GRAMS + N_SCRIPTS, len(langs)))
-    n[rows["gram"], rows["lang"].map({x: i for i, x in enumerate(langs)}).astype(int)] = rows["n"]
-    found, scripts = n[:GRAMS], n[GRAMS:]
-    logs = np.log((found + 0.1) / (found.sum(0) + 0.1 * GRAMS)).astype(np.float32)
+    of = counts.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n"))  # at most as many of each as there are grams
+    langs, columns, scripts = [], [], []
+    for r in of.orderBy("lang").toLocalIterator():
+        n = np.zeros(GRAMS + N_SCRIPTS)
+        n[r.gram] = r.n
+        langs.append(r.lang)
+        columns.append(np.log((n[:GRAMS] + 0.1) / (n[:GRAMS].sum() + 0.1 * GRAMS)).astype(np.float32))
+        scripts.append(n[GRAMS:])
+    logs = np.stack(columns, 1) if langs else np.zeros((GRAMS, 0), np.float32)
+    scripts = np.stack(scripts, 1) if langs else np.zeros((N_SCRIPTS, 0))
     return langs, logs, (scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1)) & (scripts > 0)
 
 

@@ -25,8 +25,10 @@ from .textops import BLANKS, covered, lower, mix, per_text, pieces, separators,
 COMMON = 1 / 300
 MIN_WORDS, MAX_REPEATED = 20, 30
 #: Guards: a language has a reference from so many passing documents and words on, and from this share of all
-#: passing words on, which bounds their number by 1 / REFERENCE_SHARE.
-REFERENCE_DOCS, REFERENCE_WORDS, REFERENCE_SHARE = 10, 1000, 1 / 2000
+#: passing words on, so that a name mistyped now and then has none however large the input is.
+REFERENCE_DOCS, REFERENCE_WORDS, REFERENCE_SHARE = 10, 1000, 1 / 200_000
+#: So many references at most, those of the languages with most words; other texts are held against all, as those without a language.
+LANGUAGES = 2000
 #: Guards: a text is judged by classes from so many words on, by common words from so many.
 CLASS_WORDS, COMMON_WORDS = 20, 50
 #: Largest distance that passes, by byte classes and by common words.
@@ -119,7 +121,7 @@ def common_words(docs: DataFrame, text: str, lang: str, guard: tuple[int, int, f
     counts = cut(rows.where("lang is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     sizes = counts.groupBy("lang").agg(F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("size"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("docs"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    known = sizes.where((F.col("docs") >= guard[0]) & (F.col("size") >= guard[1]) & (F.col("size") >= guard[2] * total)).select("lang", "size")
+    known = sizes.where((F.col("docs") >= guard[0]) & (F.col("size") >= guard[1]) & (F.col("size") >= guard[2] * total)).orderBy(F.desc("size"), "lang").limit(LANGUAGES).select("lang", "size")
     common = counts.where("word is not null").join(F.broadcast(known), "lang").where(F.col("n") >= COMMON * F.col("size"))
     return common.select("lang", "word", "n", "size").collect()
 
@@ -178,7 +180,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bo
     base_failed or where no reference in question is within all distances that apply. Where no
     language has a reference all that pass the base rules are kept. Columns of docs that have such a
     name are replaced; no other name matters. The references are bounded by 1 / COMMON words a
-    language and 1 / REFERENCE_SHARE languages.
+    language and LANGUAGES languages. A text with a reference of its own is compared with that alone.
     """
     spark = docs.sparkSession
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept"]
@@ -192,28 +194,26 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bo
     languages = sorted({r.lang for r in common_rows})
     good = measured.where(~failed & F.col("lang").isin(languages)).select("lang", "classes")
     by_class = good.select("lang", F.posexplode("classes").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()
-    references = []
-    for x in languages:
-        classes = np.zeros(N_CLASSES)
-        for r in by_class:
-            if r.lang == x:
-                classes[r.k] = r.n
-        mine = sorted((number[r.word], r.n, r.size) for r in common_rows if r.lang == x)
-        common = np.array([r[1] for r in mine] + [mine[0][2] - sum(r[1] for r in mine)], float)
-        references.append((x, classes, np.array([r[0] for r in mine], np.int64), common))
+    class_counts, of = {x: np.zeros(N_CLASSES) for x in languages}, {x: [] for x in languages}
+    for r in by_class:
+        class_counts[r.lang][r.k] = r.n
+    for r in common_rows:
+        of[r.lang].append((number[r.word], r.n, r.size))
+    references = {}
+    for x, mine in of.items():
+        common = np.array([n for _, n, _ in sorted(mine)] + [mine[0][2] - sum(n for _, n, _ in mine)], float)
+        references[x] = class_counts[x], np.array([w for w, _, _ in sorted(mine)], np.int64), common
     shared = spark.sparkContext.broadcast((references, len(candidates)))
 
-    def verdict(batch: pa.RecordBatch) -> list:
-        references, n_candidates = shared.value
+    def against(batch: pa.RecordBatch, chosen: list, n_candidates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row, whether one of the chosen references is near enough, and the distances to the nearest by classes and by words."""
         n = batch.column("n_words").to_numpy()
         classes = batch.column("classes").flatten().to_numpy().reshape(-1, N_CLASSES).astype(float)
         at, count = batch.column("at"), batch.column("n").flatten().to_numpy()
         doc = np.repeat(np.arange(len(n)), np.diff(at.offsets.to_numpy()))
         word = at.flatten().to_numpy()
-        langs = np.array(batch.column("lang").to_pylist(), object)
-        unknown = ~np.isin(langs.astype(str), [x[0] for x in references]) | (langs == None)  # noqa: E711
         fine, near, near_common = np.zeros(len(n), bool), np.full(len(n), np.inf), np.full(len(n), np.inf)
-        for name, reference, common, weights in references:
+        for reference, common, weights in chosen:
             d = distance(classes, reference)
             place = np.full(n_candidates, -1)
             place[common] = np.arange(len(common))
@@ -221,11 +221,23 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bo
             own = np.bincount(doc[where] * (len(common) + 1) + place[word[where]], count[where], len(n) * (len(common) + 1)).reshape(len(n), -1)
             own[:, -1] = n - own.sum(1)
             dc = distance(own, weights)
-            asked = unknown | (langs == name)
-            fine |= asked & ((d <= CLASS_DISTANCE) | (n < CLASS_WORDS)) & ((dc <= COMMON_DISTANCE) | (n < COMMON_WORDS))
-            near, near_common = np.where(asked, np.minimum(near, d), near), np.where(asked, np.minimum(near_common, dc), near_common)
+            fine |= ((d <= CLASS_DISTANCE) | (n < CLASS_WORDS)) & ((dc <= COMMON_DISTANCE) | (n < COMMON_WORDS))
+            near, near_common = np.minimum(near, d), np.minimum(near_common, dc)
+        return fine, near, near_common
+
+    def verdict(batch: pa.RecordBatch) -> list:
+        references, n_candidates = shared.value
+        langs = batch.column("lang").to_pylist()
+        rows: dict[str | None, list[int]] = {}
+        for i, x in enumerate(langs):
+            rows.setdefault(x if x in references else None, []).append(i)
+        fine, near, near_common = np.zeros(len(langs), bool), np.full(len(langs), np.inf), np.full(len(langs), np.inf)
+        for x, mine in rows.items():
+            chosen = list(references.values()) if x is None else [references[x]]
+            fine[mine], near[mine], near_common[mine] = against(batch.select(["n_words", "classes", "at", "n"]).take(pa.array(mine)), chosen, n_candidates)
         fine |= not references
         kept = fine & ~np.asarray(batch.column("base_failed"))
+        n = batch.column("n_words").to_numpy()
         mask = lambda x, guard: pa.array(x, pa.float64(), mask=(n < guard) | np.isinf(x))
         return [mask(near, CLASS_WORDS), mask(near_common, COMMON_WORDS), kept]
 

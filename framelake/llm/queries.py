@@ -171,7 +171,7 @@ b AS (
 word AS (SELECT r, {_PLAIN.format("x")} AS x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM b) GROUP BY ALL),
 counts AS (SELECT lang, x, sum(n) AS n FROM word JOIN b USING (r) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY ALL),
 sizes AS (SELECT lang, sum(n_words) AS size, count(*) AS docs FROM b WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang),
-known AS (SELECT lang, size FROM sizes WHERE docs >= {q.REFERENCE_DOCS} AND size >= {q.REFERENCE_WORDS} AND size >= {q.REFERENCE_SHARE} * (SELECT sum(size) FROM sizes)),
+known AS (SELECT lang, size FROM sizes WHERE docs >= {q.REFERENCE_DOCS} AND size >= {q.REFERENCE_WORDS} AND size >= {q.REFERENCE_SHARE} * (SELECT sum(size) FROM sizes) ORDER BY size DESC, lang LIMIT {q.LANGUAGES}),
 common AS (SELECT counts.lang AS of, x, counts.n / CAST(size AS DOUBLE) AS q FROM counts JOIN known USING (lang) WHERE counts.n >= {q.COMMON} * size),
 refs AS (SELECT of, 1 - sum(q) AS rest, sum(q) AS held FROM common GROUP BY of),
 kind AS (SELECT r, lang, base_failed, n_words, k, c FROM (SELECT r, lang, base_failed, n_words, unnest(range(0, 7)) AS k, unnest(list_append(c, length(t) - list_sum(c))) AS c FROM (SELECT *, [{counted}] AS c FROM b))),

@@ -691,3 +691,31 @@ def test_rows_of_lookups_grow_with_the_input(spark):
         assert buckets <= 100_000 and route.ranges <= FAN
         assert route.ranges * route.each * 32_000_000 >= total  # a bucket holds what a task can hold
         assert route.groups * route.ranges * route.each <= 1.01 * FAN * blocks + 10 * FAN * route.each  # rows of the second hop
+
+
+def test_languages_learned_are_those_with_most_text(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    monkeypatch.setattr(langid, "_HELD", 1)
+    docs = spark.createDataFrame([(f"x{i}" if i > 3 else "ab"[i % 2], f"word{i} some text here" * (1 if i > 3 else 9)) for i in range(300)], "lang string, text string").repartition(3)
+    langs, logs, allowed = langid.fit(langid.train(docs, F.lit(True)))
+    assert langs == ["a", "b"] and logs.shape == (langid.GRAMS, 2) and allowed[1].all()
+    counts = {(r.lang, r.gram): r.n for r in langid.train(docs.where("lang = 'a'"), F.lit(True)).collect()}
+    assert counts == {(r.lang, r.gram): r.n for r in langid.train(docs, F.lit(True)).where("lang = 'a'").collect()}
+
+
+def test_references_are_those_of_the_languages_with_most_words(docs, spark, monkeypatch):
+    known = {r.lang for r in quality_rules.common_words(docs, "text", "lang", (1, 1, 0.0))}
+    monkeypatch.setattr(quality_rules, "LANGUAGES", 1)
+    assert len({r.lang for r in quality_rules.common_words(docs, "text", "lang", (1, 1, 0.0))}) == min(1, len(known))
+
+
+def test_a_rare_language_of_a_large_corpus_has_its_own_reference(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {x: [f"{x}{a}{b}" for a in "bdfgk" for b in "aeiou"] for x in ("m", "r")}
+    rare = [(i, " ".join(rng.choices(words["r"], k=100)), "rr") for i in range(12)]
+    most = spark.range(1000, 13_000).selectExpr("id", "rand(5) as r").select("id", F.expr(f"array_join(transform(sequence(1, 250), i -> element_at(array({', '.join(repr(w) for w in words['m'])}), cast(1 + (id * 31 + i * i * 7 + i) % 25 as int))), ' ')").alias("text"), F.lit("mm").alias("lang"))
+    docs = spark.createDataFrame(rare, "id long, text string, lang string").unionByName(most)
+    got = quality_rules.judge(docs).where("lang = 'rr'").collect()  # 0.04% of all words
+    assert len(got) == 12 and all(r.kept for r in got)
