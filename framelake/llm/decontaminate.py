@@ -2,7 +2,8 @@
 
 Windows are made and made distinct in Spark. Each worker builds the automaton of all of them; only
 where there are more than AUTOMATON_WINDOWS are they dealt over several automata, each with a scan
-of its own, so that a worker's memory doesn't grow with the benchmark.
+of its own, so that a worker's memory doesn't grow with the benchmark. Such a scan reads the texts
+and gives the places hit, which are few, and no copy of the documents.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -102,28 +104,43 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     packed = Packed(without(docs, ["n_words", "n_hit", "items", "spans"]), text=text)
     patterns = cut(windows(benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")), n), "windows")
     blocks = -(-patterns.count() // AUTOMATON_WINDOWS) or 1
-    out = packed.df
-    for block in range(blocks):
+
+    def automaton_of(block: int):  # noqa: ANN202
         part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in part]))
-
-        def scan(batch: pa.RecordBatch, shared=shared, first=block == 0) -> list:
-            counts, hits = _scan(batch.column("text"), _automaton(shared))
-            if not first:
-                hits = [a + b for a, b in zip(batch.column("before").to_pylist(), hits, strict=True)]
-            return [counts, hits]
-
-        if blocks == 1:
-            out = add_columns(out, "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>", lambda b: _digest(*scan(b), b.column("text")))
-        else:
-            out = add_columns(out.withColumnRenamed("hits", "before"), "n_words bigint, hits array<struct<s:int,e:int,items:array<string>>>", scan).drop("before")
-            out = cut(out, "hits")
-    if blocks > 1:
-        out = add_columns(out, "n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>", lambda b: _digest(None, b.column("hits").to_pylist(), b.column("text"))[1:])
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in part]))
+
+    found = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
+    if blocks == 1:
+        shared = automaton_of(0)
+        out = add_columns(packed.df, found, lambda b: _digest(*_scan(b.column("text"), _automaton(shared)), b.column("text")))
+        return packed.unpack(out, *map(F.col, ("n_words", "n_hit", "items", "spans")))
+
+    rows = cut(packed.df.withColumn("at", F.monotonically_increasing_id()), "texts")
+
+    def hits_of(block: int) -> DataFrame:
+        shared = automaton_of(block)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = _scan(batch.column("text"), _automaton(shared))[1]
+                some = [i for i, x in enumerate(hits) if x]
+                if some:
+                    yield pa.RecordBatch.from_arrays([batch.column("at").take(pa.array(some)), pa.array([hits[i] for i in some], places)], names=["at", "hits"])
+
+        return cut(rows.select("at", "text").mapInArrow(scan, "at long, hits array<struct<s:int,e:int,items:array<string>>>"), "hits")
+
+    places = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("items", pa.list_(pa.string()))]))
+    hits = reduce(DataFrame.unionAll, [hits_of(block) for block in range(blocks)])
+    joined = rows.join(hits.groupBy("at").agg(F.flatten(F.collect_list("hits")).alias("hits")), "at", "left")
+
+    def digest(batch: pa.RecordBatch) -> list:
+        return _digest([len(normalised(t)) for t in batch.column("text").to_pylist()], [x or [] for x in batch.column("hits").to_pylist()], batch.column("text"))
+
+    out = add_columns(joined, found, digest)
     return packed.unpack(out, *map(F.col, ("n_words", "n_hit", "items", "spans")))
 
 
-def _digest(counts: list | None, hits: list, column: pa.Array) -> list:
+def _digest(counts: list, hits: list, column: pa.Array) -> list:
     n_hit, items, spans = [], [], []
     for k, found in enumerate(hits):
         runs: list[list[int]] = []
