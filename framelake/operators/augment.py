@@ -12,8 +12,13 @@ from ..functions import numbers
 from .resample import downscale, map_tiles
 
 
-def gaussian_taps(sigma: float) -> list[float]:
-    reach = max(1, math.ceil(3 * sigma))
+#: Luma and colour differences of red, green and blue, and the way back.
+RGB_TO_YUV = ((0.299, 0.587, 0.114), (-0.147, -0.289, 0.436), (0.615, -0.515, -0.100))
+YUV_TO_RGB = ((1.0, 0.0, 1.140), (1.0, -0.395, -0.581), (1.0, 2.032, 0.0))
+
+
+def gaussian_taps(sigma: float, reach: int | None = None) -> list[float]:
+    reach = reach or max(1, math.ceil(3 * sigma))
     w = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
     return [x / sum(w) for x in w]
 
@@ -41,6 +46,63 @@ def chroma_bleed(df: DataFrame, u: str, v: str, w: int, h: int, sigma: float = 2
     return gaussian_blur(once.withColumnRenamed(v, "_v"), "_v", v, w, h, sigma, False).drop("_v")
 
 
+def bleed_rgb(df: DataFrame, planes: str, out: str, w: int, h: int, sigma: float = 2) -> DataFrame:
+    """df with out: red, green and blue planes, one after another in one array, whose colour differences are blurred along rows up to four sigmas.
+
+    Luma stays; the planes are doubles, not clipped, and come back as they went where a row has one colour.
+    """
+    x = blur_matrix(w, gaussian_taps(sigma, int(4 * sigma + 0.5))).T
+
+    def kernel(tiles: np.ndarray) -> np.ndarray:
+        rgb = tiles.reshape(len(tiles), 3, h, w).astype(float)
+        yuv = np.einsum("ij,njyx->niyx", np.array(RGB_TO_YUV), rgb)
+        yuv[:, 1:] = yuv[:, 1:] @ x
+        return np.einsum("ij,njyx->niyx", np.array(YUV_TO_RGB), yuv).reshape(len(tiles), -1)
+
+    return map_tiles(df, planes, out, kernel, "double")
+
+
+def jitter_rgb(df: DataFrame, key: str, planes: str, out: str, w: int, h: int, copies: int = 3, seed: int = 40) -> DataFrame:
+    """`copies` rows of each tile, each with another saturation, hue and blur, or not, by a hash of key and copy; out has the planes of bytes.
+
+    Saturation mixes a pixel with its grey, 0.8 to 1.2 times as far from it; hue is turned by up to
+    a tenth of the circle; both or none happen. The blur is of three by three pixels with a sigma
+    of 0.1 to 0.3, reflected without the edge itself.
+    """
+    rows = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    draw = lambda s, n: numbers.below(F.col(key) * copies + F.col("copy"), n, seed + s).cast("int")
+    half = lambda s, x, default: F.when(draw(s, 2) == 1, x).otherwise(default)
+    sigma = (draw(4, 21) + 10) / 100.0
+    rows = rows.withColumns({"saturation": half(1, (draw(2, 41) + 80) / 100.0, 1.0), "hue": half(1, (draw(3, 41) - 20) / 200.0, 0.0), "side": half(5, F.exp(-1.0 / (F.lit(2.0) * sigma * sigma)), 0.0)})
+    n = w * h
+    byte = lambda a: np.floor(np.clip(a, 0, 255) + 0.5)
+
+    def blur(planes: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Planes (tiles, 3, rows, places) blurred along the last axis."""
+        more = np.pad(planes, ((0, 0), (0, 0), (0, 0), (1, 1)), "reflect")
+        return (side * more[..., :-2] + more[..., 1:-1] + side * more[..., 2:]) / (1 + 2 * side)
+
+    def kernel(tiles: np.ndarray) -> np.ndarray:
+        saturation, hue, side = (tiles[:, 3 * n + i].reshape(-1, 1) for i in range(3))
+        r, g, b = (tiles[:, i * n : (i + 1) * n] for i in range(3))
+        grey = 0.299 * r + 0.587 * g + 0.114 * b
+        r, g, b = (byte(saturation * c + (1 - saturation) * grey) for c in (r, g, b))
+        top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+        span = top - low
+        safe = np.maximum(span, 1)
+        turn = np.where(top == r, (g - b) / safe, np.where(top == g, (b - r) / safe + 2, (r - g) / safe + 4)) + 6 * hue
+        rgb = []
+        for k in (5, 3, 1):
+            k = turn + k
+            k = k - 6 * np.floor(k / 6)
+            rgb.append(byte(top - span * np.maximum(0, np.minimum(np.minimum(k, 4 - k), 1))))
+        side, image = side.reshape(-1, 1, 1, 1), np.stack(rgb, 1).reshape(len(tiles), 3, h, w)
+        return byte(blur(blur(image, side).swapaxes(2, 3), side).swapaxes(2, 3)).reshape(len(tiles), -1)
+
+    packed = rows.withColumn("_in", F.concat(F.transform(planes, lambda v: v.cast("double")), F.array("saturation", "hue", "side")))
+    return map_tiles(packed, "_in", out, kernel).drop("_in")
+
+
 def scanlines(pix: str, w: int, k: float = 0.003) -> Column:
     """Even rows darkened by k."""
     return F.expr(f"transform({pix}, (p, i) -> if((i div {w}) % 2 = 0, p * (1D - {k}D), cast(p as double)))")

@@ -944,6 +944,66 @@ def d5(s: SparkSession, d: str) -> DataFrame:
     return digest(made.select("patch_id", "copy", F.expr("i div 8").alias("y"), F.expr("i % 8").alias("x"), "v"), "v", "patch_id, copy")
 
 
+#: Patches as colour: the tile, the tile mirrored from end to end, and its negative.
+_COLOUR = f"{q.PATCHES}, rgb AS (SELECT patch_id, y, x, v AS r, pix[64 - (y * 8 + x)] AS g, 255 - v AS b FROM pp JOIN patch USING (patch_id))"
+
+
+def colour_patches(s: SparkSession, d: str) -> DataFrame:
+    """(patch_id, planes): red, green and blue, one after another."""
+    return src.patches(s, d).select("patch_id", F.expr("concat(pix, reverse(pix), transform(pix, v -> 255 - v))").alias("planes"))
+
+
+def colour_digest(df: DataFrame, value: str, keys: str) -> DataFrame:
+    """Digest by channel of 8 x 8 planes in the column out."""
+    pixels = df.select(*keys.split(", "), F.posexplode("out").alias("i", "v"))
+    return digest(pixels.select(*keys.split(", "), F.expr("cast(i div 64 as int)").alias("c"), F.expr("i % 64 div 8").alias("y"), F.expr("i % 8").alias("x"), F.expr(value).alias("v")), "v", f"{keys}, c")
+
+
+def _bleed_rgb_sql() -> str:
+    sums = lambda row, names: " + ".join(f"({k!r}::DOUBLE) * {x}" for k, x in zip(row, names, strict=True) if k)
+    (to_y, to_u, to_v), back = augment.RGB_TO_YUV, augment.YUV_TO_RGB
+    taps = ", ".join(f"({o}, {i}, {w!r}::DOUBLE)" for o, row in enumerate(augment.blur_matrix(8, augment.gaussian_taps(2, 8)).tolist()) for i, w in enumerate(row))
+    planes = " UNION ALL ".join(f"SELECT patch_id, CAST({c} AS INTEGER) AS c, y, x, CAST(floor(({sums(back[c], ('l', 'u', 'v'))}) * 16 + 0.5) AS BIGINT) AS v FROM bled" for c in range(3))
+    return f"""WITH {_COLOUR}, taps(o, i, w) AS (VALUES {taps}),
+    yuv AS (SELECT patch_id, y, x, {sums(to_y, "rgb")} AS l, {sums(to_u, "rgb")} AS u, {sums(to_v, "rgb")} AS v FROM rgb),
+    soft AS (SELECT patch_id, y, o AS x, sum(w * u) AS u, sum(w * v) AS v FROM yuv JOIN taps ON i = x GROUP BY ALL),
+    bled AS (SELECT patch_id, y, x, l, s.u, s.v FROM soft s JOIN yuv USING (patch_id, y, x)), p AS ({planes}) {q.digest("p", "v", "patch_id, c")}"""
+
+
+@query("d1_bleed_rgb", _bleed_rgb_sql())
+def d1_rgb(s: SparkSession, d: str) -> DataFrame:
+    return colour_digest(augment.bleed_rgb(colour_patches(s, d), "planes", "out", 8, 8), "floor(v * 16 + 0.5)", "patch_id")
+
+
+def _jitter_sql() -> str:
+    draw = lambda seed, m: q.below("patch_id * 3 + copy", m, 40 + seed)
+    half = lambda seed, x, default: f"CASE WHEN {draw(seed, 2)} = 1 THEN {x} ELSE {default} END"
+    byte = lambda e: f"floor(greatest(0, least(255, {e})) + 0.5::DOUBLE)"
+    sigma = f"(({draw(4, 21)} + 10) / 100::DOUBLE)"
+    grey = "(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)"
+    turn = lambda k: f"(turn + {k} - 6 * floor((turn + {k}) / 6))"
+    hued = ", ".join(f"{byte(f'top - span * greatest(0, least({turn(k)}, 4 - {turn(k)}, 1))')} AS {c}" for c, k in (("r", 5), ("g", 3), ("b", 1)))
+    blur = lambda a, b, c: f"(side * {a} + {b} + side * {c}) / (1 + 2 * side)"
+    cell = lambda y, x: f"pic[({y}) * 8 + ({x}) + 1]"
+    along = lambda y: blur(cell(y, "abs(x - 1)"), cell(y, "x"), cell(y, "7 - abs(6 - x)"))
+    return f"""WITH {_COLOUR},
+    drawn AS (SELECT patch_id, copy, {half(1, f"({draw(2, 41)} + 80) / 100::DOUBLE", "1::DOUBLE")} AS saturation, {half(1, f"({draw(3, 41)} - 20) / 200::DOUBLE", "0::DOUBLE")} AS hue, {half(5, f"exp(-1::DOUBLE / (2::DOUBLE * {sigma} * {sigma}))", "0::DOUBLE")} AS side
+      FROM (SELECT patch_id, CAST(unnest(range(0, 3)) AS INTEGER) AS copy FROM patch)),
+    mixed AS (SELECT patch_id, copy, y, x, hue, side, {", ".join(f"{byte(f'saturation * {c} + (1 - saturation) * {grey}')} AS {c}" for c in "rgb")} FROM rgb JOIN drawn USING (patch_id)),
+    turned AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS span, greatest(1, greatest(r, g, b) - least(r, g, b)) AS safe FROM mixed),
+    angle AS (SELECT *, CASE WHEN top = r THEN (g - b) / safe WHEN top = g THEN (b - r) / safe + 2 ELSE (r - g) / safe + 4 END + 6 * hue AS turn FROM turned),
+    hued AS (SELECT patch_id, copy, y, x, side, {hued} FROM angle),
+    plane AS (SELECT patch_id, copy, side, c, y, x, [r, g, b][c + 1] AS v FROM (SELECT *, CAST(unnest(range(0, 3)) AS INTEGER) AS c FROM hued)),
+    image AS (SELECT patch_id, copy, side, c, list(v ORDER BY y, x) AS pic FROM plane GROUP BY ALL),
+    place AS (SELECT *, i // 8 AS y, i % 8 AS x FROM (SELECT *, unnest(range(0, 64)) AS i FROM image)),
+    p AS (SELECT patch_id, copy, c, y, x, CAST({byte(blur(along("abs(y - 1)"), along("y"), along("7 - abs(6 - y)")))} AS BIGINT) AS v FROM place) {q.digest("p", "v", "patch_id, copy, c")}"""
+
+
+@query("d5_jitter_rgb", _jitter_sql())
+def d5_rgb(s: SparkSession, d: str) -> DataFrame:
+    return colour_digest(augment.jitter_rgb(colour_patches(s, d), "patch_id", "planes", "out", 8, 8), "v", "patch_id, copy")
+
+
 _LOW = f"""{q.PATCHES}, {taps_sql(8, 4, "lanczos", "small")}, lined AS (SELECT patch_id, y, x, CASE WHEN y % 2 = 0 THEN v * (1 - 0.003::DOUBLE) ELSE v END AS v FROM small),
 {noise_sql("lined", 4, 1.5, "noisy")}, low AS (SELECT patch_id, list(v ORDER BY i) AS pix FROM noisy GROUP BY patch_id), {augment_sql("low", 4, "p")}"""
 

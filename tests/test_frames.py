@@ -209,3 +209,37 @@ def test_noise_spreads_as_a_normal_draw_and_bleed_keeps_sums(spark):
     assert len(made) == 900 and {int(v) for x in made["augmented"] for v in x} <= set(range(256))
     plain = made[(made["bright"] == 0) & (made["contrast"] == 1.0)]
     assert len(plain) and all(set(x) == {128} for x in plain["augmented"])  # sharpness and maps leave a flat tile alone
+
+
+def test_colour_bleeds_along_rows_and_leaves_luma(spark):
+    import numpy as np
+    from framelake.operators import augment
+
+    rng = np.random.default_rng(1)
+    rgb = rng.integers(0, 256, (5, 3, 4, 6))
+    df = spark.createDataFrame([(k, x.ravel().tolist()) for k, x in enumerate(rgb)], "k int, planes array<int>")
+    made = np.stack(augment.bleed_rgb(df, "planes", "out", 6, 4).orderBy("k").toPandas()["out"].to_list()).reshape(rgb.shape)
+    weights = np.array(augment.RGB_TO_YUV)
+    yuv, soft = np.einsum("ij,njyx->niyx", weights, rgb), np.einsum("ij,njyx->niyx", weights, made)
+    assert np.allclose(soft[:, 0], yuv[:, 0], atol=0.6) and np.abs(np.diff(soft[:, 1:], axis=3)).max() < np.abs(np.diff(yuv[:, 1:], axis=3)).max() / 4
+    assert np.allclose(soft[:, 1:].mean(3), yuv[:, 1:].mean(3), atol=1)  # reflected edges keep a row's mean
+    flat = spark.createDataFrame([(0, [9] * 24 + [200] * 24 + [77] * 24)], "k int, planes array<int>")
+    assert np.allclose(augment.bleed_rgb(flat, "planes", "out", 6, 4).first().out, [9] * 24 + [200] * 24 + [77] * 24, atol=0.5)
+
+
+def test_jitter_turns_hue_and_leaves_grey(spark):
+    import colorsys
+
+    from framelake.operators import augment
+
+    df = spark.createDataFrame([(k, [210] * 9 + [40] * 9 + [90] * 9) for k in range(60)] + [(99, [130] * 27)], "k long, planes array<int>")
+    for r in augment.jitter_rgb(df, "k", "planes", "out", 3, 3).collect():
+        if r.k == 99:
+            assert set(r.out) == {130}
+            continue
+        red, green, blue = ([210, 40, 90][i] for i in range(3))
+        grey = 0.299 * red + 0.587 * green + 0.114 * blue
+        mixed = [min(255, max(0, r.saturation * c + (1 - r.saturation) * grey)) / 255 for c in (red, green, blue)]
+        hue, saturation, value = colorsys.rgb_to_hsv(*mixed)
+        want = [c * 255 for c in colorsys.hsv_to_rgb((hue + r.hue) % 1, saturation, value)]
+        assert all(abs(r.out[9 * i + j] - want[i]) <= 2.5 for i in range(3) for j in range(9))
