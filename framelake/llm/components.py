@@ -51,6 +51,7 @@ def spread(members: DataFrame, value: str) -> DataFrame:
     """members of those keys that have more than one value, with the smallest (lo) and the largest (hi).
 
     No window: the ends are found with partial sums, and a join may split a key's members over tasks.
+    The keys are never broadcast: members made in Python seem fewer to Spark than they are.
     """
     ends = members.groupBy("key").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi")
-    return members.join(ends, "key")
+    return members.join(ends.hint("merge"), "key")

@@ -719,3 +719,12 @@ def test_a_rare_language_of_a_large_corpus_has_its_own_reference(spark):
     docs = spark.createDataFrame(rare, "id long, text string, lang string").unionByName(most)
     got = quality_rules.judge(docs).where("lang = 'rr'").collect()  # 0.04% of all words
     assert len(got) == 12 and all(r.kept for r in got)
+
+
+def test_keys_made_in_python_are_not_broadcast(spark):
+    """Spark takes rows made in Python for as many as went in; 96 keys of each fingerprint would go to the driver."""
+    from framelake.llm.components import spread
+
+    members = spark.range(100).select(F.col("id").alias("fp")).mapInArrow(simhash._explode, "key long, fp long")
+    plan = spread(members, "fp")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
