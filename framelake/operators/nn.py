@@ -52,6 +52,11 @@ def convolve(df: DataFrame, pix: str, out: str, size: int, weights: np.ndarray,
     in units of 2**-24: what is below zero has its channel's slope. up is a transposed convolution
     that doubles the size. conv2d() and conv_transpose2d() do the same over rows of pixels.
     """
+    return map_tiles(df, pix, out, convolve_kernel(size, weights, bias, slopes, up), "bigint")
+
+
+def convolve_kernel(size: int, weights: np.ndarray, bias: np.ndarray | None = None, slopes: np.ndarray | None = None, up: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """The kernel of convolve()."""
     exact = (weights[:, :, ::-1, ::-1] if up else weights).astype(float)  # each pixel scatters the kernel; sums stay below 2**53
 
     def kernel(pixels: np.ndarray) -> np.ndarray:
@@ -63,7 +68,7 @@ def convolve(df: DataFrame, pix: str, out: str, size: int, weights: np.ndarray,
             y = np.where(y >= 0, y * 4096, y * slopes[:, None, None])
         return y.reshape(len(x), -1)
 
-    return map_tiles(df, pix, out, kernel, "bigint")
+    return kernel
 
 
 def narrow_convolve(pixels: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:

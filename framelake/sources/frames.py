@@ -232,13 +232,54 @@ def patch_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patches(spark, sf_dir).select("patch_id", F.posexplode("pix").alias("i", "v")).select("patch_id", F.expr("i div 8").cast("int").alias("y"), F.expr("i % 8").alias("x"), "v")
 
 
-def synth_frames(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
-    """(frame_id, stream, texture, y, x, luma): a small frame for each order, its texture by priority."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"), F.expr("o_custkey % 16").alias("stream"), F.expr("cast(substr(o_orderpriority, 1, 1) as int)").alias("texture"))
-    grid = o.select("*", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("i")).select("frame_id", "stream", "texture", F.expr(f"cast(i div {size} as int)").alias("y"), F.expr(f"i % {size}").alias("x"))
+def synth_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame_id, stream, texture): what the small frames follow from, one for each order, its texture by priority."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"), F.expr("o_custkey % 16").alias("stream"), F.expr("cast(substr(o_orderpriority, 1, 1) as int)").alias("texture"))
+
+
+def synth_luma(size: int = 20) -> Column:
+    """The luma of a pixel (frame_id, texture, y, x) of a small frame."""
     luma = F.when(F.col("texture") == 1, (F.col("y") + F.col("x")) % 2 * 255).when(F.col("texture") == 2, (hashed(F.col("frame_id") * 1000 + F.col("y") * size + F.col("x")) % 256).cast("int"))
-    luma = luma.when(F.col("texture") == 3, F.col("x") * 12).when(F.col("texture") == 4, F.col("y") % 4 * 60).otherwise(128)
-    return grid.withColumn("luma", luma.cast("int"))
+    return luma.when(F.col("texture") == 3, F.col("x") * 12).when(F.col("texture") == 4, F.col("y") % 4 * 60).otherwise(128).cast("int")
+
+
+def synth_frames(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
+    """(frame_id, stream, texture, y, x, luma): the small frames by pixel."""
+    grid = synth_orders(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("i")).select("frame_id", "stream", "texture", F.expr(f"cast(i div {size} as int)").alias("y"), F.expr(f"i % {size}").alias("x"))
+    return grid.withColumn("luma", synth_luma(size))
+
+
+def byte_matrix(column: pa.Array) -> np.ndarray:
+    """(rows, bytes) of a column of binaries of one length."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+
+
+def byte_column(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix of bytes as a column of binaries."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def synth_planes(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
+    """(frame_id, texture, luma): the small frames of synth_frames(), a frame a row, a byte a pixel in raster order."""
+    y, x = (i.ravel() for i in np.indices((size, size)))
+    fixed = {1: (y + x) % 2 * 255, 3: x * 12, 4: y % 4 * 60}
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                texture = b.column("texture").fill_null(0).to_numpy()
+                luma = np.full((len(texture), size * size), 128, np.uint8)
+                for t, plane in fixed.items():
+                    luma[texture == t] = plane
+                drawn = np.flatnonzero(texture == 2)
+                key = b.column("frame_id").to_numpy()[drawn, None] * 1000 + (y * size + x)
+                luma[drawn] = key % 1000003 * 48271 % 2147483647 % 256
+                yield pa.RecordBatch.from_arrays([b.column("frame_id"), b.column("texture"), byte_column(luma)], names=["frame_id", "texture", "luma"])
+
+    return spread(synth_orders(spark, sf_dir).select(F.col("frame_id").cast("long").alias("frame_id"), "texture"), "frame_id").mapInArrow(draw, "frame_id long, texture int, luma binary")
 
 
 def frame_events(spark: SparkSession, sf_dir: str) -> DataFrame:
