@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,13 +108,27 @@ def to_gray(df: DataFrame) -> DataFrame:
 
 def pack_beats(tiles: DataFrame) -> DataFrame:
     """(stream, frame_id, seq, data, last): 16-byte beats of a tile's bytes in hexadecimal, the last one marked."""
-    hexed = "transform(sequence(0, 127), s -> struct(tile_y * 128 + s as seq, lower(array_join(transform(slice(data, s * 16 + 1, 16), b -> lpad(hex(b), 2, '0')), '')) as data_hex, s = 127 as last))"
-    return tiles.select("stream", "frame_id", F.inline(F.expr(hexed)))
+    digits = np.frombuffer(bytes(range(256)).hex().encode(), np.uint8).reshape(256, 2)
+    names = ["stream", "frame_id", "seq", "data_hex", "last"]
+
+    def beats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
+            n = 128 * b.num_rows
+            data = digits[b.column("data").flatten().to_numpy()]
+            ends = np.arange(n + 1, dtype=np.int32) * 32
+            seq = np.repeat(b.column("tile_y").to_numpy() * 128, 128) + np.tile(np.arange(128), b.num_rows)
+            of = pa.array(np.repeat(np.arange(b.num_rows), 128))
+            columns = [b.column("stream").take(of), b.column("frame_id").take(of), pa.array(seq, pa.int32()), pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)]), pa.array(seq % 128 == 127)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return tiles.select("stream", "frame_id", "tile_y", "data").mapInArrow(beats, "stream string, frame_id long, seq int, data_hex string, last boolean")
 
 
 def unpack_beats(beats: DataFrame) -> DataFrame:
     """(frame_id, seq, bytes) of beats."""
-    return beats.select("frame_id", "seq", F.expr("transform(sequence(0, 15), i -> cast(conv(substr(data_hex, 2 * i + 1, 2), 16, 10) as int))").alias("bytes"))
+    digit = lambda at: f"(locate(substr(h, {at}, 1), '123456789abcdef'))"  # noqa: E731  0: not found
+    byte = f"{digit('2 * i + 1')} * 16 + {digit('2 * i + 2')}"
+    return beats.select("frame_id", "seq", F.lower("data_hex").alias("h")).select("frame_id", "seq", F.expr(f"transform(sequence(0, 15), i -> {byte})").alias("bytes"))
 
 
 def pack_words(df: DataFrame) -> DataFrame:

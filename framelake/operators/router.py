@@ -68,12 +68,13 @@ def observed(routed: DataFrame) -> tuple[DataFrame, Observation]:
     return routed.observe(seen, F.count(F.lit(1)).alias("tiles"), cnn.alias("cnn"), (F.count(F.lit(1)) - cnn).alias("interp")), seen
 
 
-def whole_frames(routed: DataFrame, w: int, h: int) -> DataFrame:
+def whole_frames(routed: DataFrame, w: int, h: int, packed: bool = False) -> DataFrame:
     """(frame_id, width, height, data, n_tiles, n_cnn, n_interp, tiles) of frames one tile wide, from tiles (frame_id, tile_y, route, variance, out) of three planes of w x h.
 
-    data are rgb565 words; tiles is the report of (tile_y, route, variance). One grouping by frame gives it all.
+    data are rgb565 words; with packed, out holds them already. tiles is the report of (tile_y, route, variance). One grouping by frame gives it all.
     """
-    words = pack_planes(routed.select("frame_id", "tile_y", "route", "variance", "out"), "out", "word")
+    routed = routed.select("frame_id", "tile_y", "route", "variance", "out")
+    words = routed.withColumnRenamed("out", "word") if packed else pack_planes(routed, "out", "word")
     tiles = F.array_sort(F.collect_list(F.struct("tile_y", "route", "variance", "word")))
     by = words.groupBy("frame_id").agg(tiles.alias("t"))
     report = F.transform("t", lambda t: F.struct(t["tile_y"].alias("tile_y"), t["route"].alias("route"), t["variance"].alias("variance")))

@@ -127,9 +127,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def _tile_bytes(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
     """Frame ids, streams, tile numbers and bytes (tiles, 2048) of the whole tiles of texts (frame_id, stream, text), so many at a time."""
     held: list[tuple] = []
-    for batch in batches:
+    for batch in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):  # so few texts at a time as objects of Python
         for frame, stream, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            data = np.frombuffer((text or "").encode("utf-32-le"), np.uint8)[::4]  # low byte of each code point
+            data = np.frombuffer((text or "").encode("utf-32-le"), np.uint8)[::4].copy()  # low byte of each code point
             tiles = data[: len(data) // TILE_BYTES * TILE_BYTES].reshape(-1, TILE_BYTES)
             for a in range(0, len(tiles), at_once):
                 held.append((frame, stream, np.arange(a, min(a + at_once, len(tiles))), tiles[a : a + at_once]))
