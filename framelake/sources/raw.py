@@ -213,10 +213,11 @@ class RawStream(DataSourceStreamReader):
                 self.base = promised
                 return {"frames": promised}
             self.base = 0
-        known = {p for p, _ in self.log}
-        if new := [x for x in self.raw.files()[0] if x[0] not in known]:
-            self.log += new
-            self._save("files", self.log)
+        if sum(n for _, n in self.log) - self.base < self.frames:  # else the next trigger is full, and the folder need not be listed for it
+            known = {p for p, _ in self.log}
+            if new := [x for x in self.raw.files()[0] if x[0] not in known]:
+                self.log += new
+                self._save("files", self.log)
         end = min(sum(n for _, n in self.log), self.base + self.frames)
         if end > self.base:
             self._save("promised", [end])

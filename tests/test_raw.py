@@ -94,3 +94,19 @@ def test_a_promise_that_the_checkpoint_never_saw_is_repeated(tmp_path):
     assert again.latestOffset() == {"frames": 6}
     replay = new()
     assert [p.ranges for p in replay.partitions({"frames": 0}, {"frames": 2})] == [[(str(tmp_path / "a.yuyv"), 0, 2)]]  # a batch that had been planned before
+
+
+def test_the_folder_is_listed_only_when_a_trigger_has_room(tmp_path):
+    (tmp_path / "a.yuyv").write_bytes(bytes(8 * 10))
+    stream = raw.RawStream(raw.Raw(str(tmp_path), "yuyv", 2, 2), str(tmp_path / "_progress"), 2, 1 << 20)
+    listed, files = [], raw.Raw.files
+    ends = []
+    try:
+        raw.Raw.files = lambda self: listed.append(1) or files(self)
+        for _ in range(6):
+            end = stream.latestOffset()
+            stream.partitions({"frames": stream.base}, end)
+            ends.append(end["frames"])
+    finally:
+        raw.Raw.files = files
+    assert ends == [2, 4, 6, 8, 10, 10] and len(listed) == 2
