@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from .components import components, spread
 from .rows import Packed, add_columns
-from .store import cut
+from .store import cut, drop
 from .textops import BLANKS, lower, pieces, separators, words
 
 #: The Golay code's generator polynomial, and the first bit and length of each segment's halves.
 GENERATOR = 0b101011100011
 HALVES = (((0, 11), (11, 11)), ((22, 10), (32, 11)), ((43, 10), (53, 11)))
 MAX_BITS = 4
+#: Members outside a key's largest component that are held against all of its members: no more pairs than the parts of these have rows.
+FEW = MAX_BITS + 1
 #: Copies of each class's row when members look it up, so that a class of many members isn't one task's.
 SALTS = 16
 
@@ -172,23 +174,50 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(key, n), parts.ravel(), np.repeat(fp, n), np.repeat(c, n))], names=["key", "part", "fp", "c"])
 
 
+def _outside(named: DataFrame) -> DataFrame:
+    """named (key, fp, c) of those keys that have more than one component, with out, whether the row isn't of its key's largest one, and rest, how many such rows the key has.
+
+    As spread(), with partial sums and no window, and never broadcast.
+    """
+    sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    ends = largest.select("key", F.col("most.c").alias("main"), (F.col("n") - F.col("most.n")).alias("rest"))
+    return named.join(ends.hint("merge"), "key").select("key", "fp", "c", (F.col("c") != F.col("main")).alias("out"), "rest")
+
+
+def _few(mixed: DataFrame) -> DataFrame:
+    """(u, v): components of two members of a key that are close; the few outside its largest component are held against all."""
+    out = mixed.where("out").select("key", F.col("fp").alias("fp2"), F.col("c").alias("v"))
+    return mixed.withColumnRenamed("c", "u").join(out, "key").where((F.col("u") != F.col("v")) & _close("fp", "fp2")).select("u", "v")
+
+
+def _many(mixed: DataFrame) -> DataFrame:
+    """As _few(), by the parts of the bits that a key leaves free."""
+    parts = mixed.select("key", "fp", "c").mapInArrow(_parts, "key long, part long, fp long, c long")
+    other = parts.select("key", "part", F.col("fp").alias("fp2"), F.col("c").alias("v"))
+    return parts.withColumnRenamed("c", "u").join(other.hint("merge"), ["key", "part"]).where((F.col("u") < F.col("v")) & _close("fp", "fp2")).select("u", "v")
+
+
 def link_fingerprints(unique: DataFrame) -> DataFrame:
     """(node, root) for fingerprints (fp, without repeats) that link to others at four or fewer differing bits.
 
     Under each key, all members are first held against its smallest and its largest member, which
     joins large groups in linear work. Only keys whose members are then still in more than one
-    component have these compared with each other, and of these only members that also agree in one
-    of five parts of the bits that the key leaves free, as any two at four bits do.
+    component have these compared with each other. Where few members stand outside the key's largest
+    component, these are held against all. Else members are compared that also agree in one of five
+    parts of the bits that the key leaves free, as any two at four bits do.
     """
     members = unique.select("fp").mapInArrow(_explode, "key long, fp long")
     shared = cut(spread(members, "fp"), "keys")
     star = shared.select("fp", F.explode(F.array("lo", "hi")).alias("u")).where(_close("fp", "u")).select("u", F.col("fp").alias("v"))
     first = components(star)
-    named = shared.select("key", "fp").join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("c"))
-    mixed = cut(spread(named, "c").select("key", "fp", "c").mapInArrow(_parts, "key long, part long, fp long, c long"), "mixed")
-    other = mixed.select("key", "part", F.col("fp").alias("fp2"), F.col("c").alias("v"))
-    pairs = mixed.withColumnRenamed("c", "u").join(other, ["key", "part"]).where((F.col("u") < F.col("v")) & _close("fp", "fp2")).select("u", "v").distinct()
+    named = cut(shared.select("key", "fp").join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("c")), "named")
+    drop(shared)
+    mixed = cut(_outside(named), "mixed")
+    drop(named)
+    pairs = _few(mixed.where(F.col("rest") <= FEW)).unionByName(_many(mixed.where(F.col("rest") > FEW))).distinct()
     second = components(pairs)
+    drop(mixed)
     roots = first.select("node", "root").unionByName(first.select(F.col("root").alias("node"), "root")).distinct()
     joined = roots.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = second.join(roots, "node", "left_anti").select("node", "root")  # had no star

@@ -728,3 +728,29 @@ def test_keys_made_in_python_are_not_broadcast(spark):
     members = spark.range(100).select(F.col("id").alias("fp")).mapInArrow(simhash._explode, "key long, fp long")
     plan = spread(members, "fp")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_keys_with_few_members_apart_make_no_rows_by_parts(spark, monkeypatch):
+    """One large component and a few outside it need no parts; all links are found with parts and without."""
+    import random
+
+    rng = random.Random(4)
+    base = rng.getrandbits(63)
+    flipped = lambda x, n: x ^ sum(1 << k for k in rng.sample(range(63), n))
+    fps = {base} | {flipped(base, rng.choice((2, 3, 4, 6, 7, 9))) for _ in range(400)}
+    group = {x: x for x in fps}
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 4 and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {x: new if g == old else g for x, g in group.items()}
+    unique = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(3)
+    few, by_parts = simhash.FEW, []
+    many = simhash._many
+    monkeypatch.setattr(simhash, "_many", lambda mixed: by_parts.append((mixed.select("key").distinct().count(), mixed.count())) or many(mixed))
+    for limit in (few, 0, 10**6):
+        monkeypatch.setattr(simhash, "FEW", limit)
+        roots = {r.node: r.root for r in simhash.link_fingerprints(unique).collect()}
+        assert {x: min(y for y in fps if roots.get(y, y) == roots.get(x, x)) for x in fps} == group
+    (keys, rows), (all_keys, all_rows), (none, _) = by_parts
+    assert none == 0 and keys < all_keys / 5 and rows < all_rows / 2
