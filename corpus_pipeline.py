@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, jaccard, mixing, quality_rules, substring
+from framelake.llm import decontaminate, jaccard, mixing, quality_rules, simhash, substring
 from framelake.llm.rows import Packed
-from framelake.llm.store import cut
+from framelake.llm.store import cut, drop
 
 # A stage hands its operator the columns that it needs and packs all others, so that no name of documents' clashes with the operator's own.
 
@@ -19,10 +19,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates by shingles."""
     return jaccard.keep_one(docs)
 
 
+def fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of SimHash fingerprints, and of these one of each class of near-duplicates by shingles, whose fingerprints mostly differ in more than four bits."""
+    kept = simhash.keep_one(docs)
+    out = near_duplicates(spark, kept, sf_dir)  # has written kept
+    drop(kept)
+    return out
+
+
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages that stand earlier; n_chars follows the text."""
     packed = Packed(docs, doc_id="doc_id", text="text", n_chars="n_chars")
@@ -42,7 +50,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.copies_of(docs)
 
 
-STAGES = [("quality_rules", quality), ("simhash", near_duplicates), ("substring_dedup", repeats), ("decontamination", benchmark), ("mixing", mixture)]
+STAGES = [("quality_rules", quality), ("simhash", fingerprints), ("substring_dedup", repeats), ("decontamination", benchmark), ("mixing", mixture)]
 
 #: SimHash and rounding at random are not expressible; the tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -754,3 +754,16 @@ def test_keys_with_few_members_apart_make_no_rows_by_parts(spark, monkeypatch):
         assert {x: min(y for y in fps if roots.get(y, y) == roots.get(x, x)) for x in fps} == group
     (keys, rows), (all_keys, all_rows), (none, _) = by_parts
     assert none == 0 and keys < all_keys / 5 and rows < all_rows / 2
+
+
+def test_the_pipeline_links_by_fingerprints_too(spark):
+    """Two texts whose fingerprints are within four bits, but whose shingles of five words are less alike than 0.8, leave one."""
+    import random
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(7)
+    texts = [" ".join(["same"] * 200 + [f"x{k}w{rng.randrange(10**6)}" for _ in range(90)]) for k in range(2)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.2 and (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() <= 4
+    docs = spark.createDataFrame([*enumerate(texts), (2, "some other text of its own")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in dict(pipeline.STAGES)["simhash"](spark, docs, "").collect()) == [0, 2]
