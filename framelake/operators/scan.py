@@ -15,6 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.shared import written
 
+#: Rows that a range partition holds on average, at most.
+ROWS = 2_000_000
+
 
 def _changes(batch: pa.RecordBatch, keys: list[str], last: pa.RecordBatch | None) -> np.ndarray:
     """Whether each row's keys differ from those of the row before, which may be that of an earlier batch; nulls are equal."""
@@ -60,17 +63,18 @@ def segmented_scan(df: DataFrame, keys: list[str], order: list[str], edge: Colum
     first edge. Columns of df with one of these names are replaced. Null keys are equal, null edges and counts are false; order must be total for the result
     to be the same in each run.
 
-    Rows are sorted in range partitions and scanned once where they are; no task needs all rows of a
-    key. Each partition then tells in one row how it begins and ends. These rows, as many as partitions,
+    Rows are written, so that they are made once and counted, sorted in range partitions of ROWS or
+    fewer on average and scanned once where they are; no task needs all rows of a key. Each partition then tells in one row how it begins and ends. These rows, as many as partitions,
     give what is carried into each, which is added where the first key of a partition goes on.
     """
     carry = carry or {}
     spark, own = df.sparkSession, [c for c in df.columns if c not in {"segment", "place", *carry}]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = lambda c: F.col(f"`{c}`")
     at_keys, sorts, values = {f"k{i}": named(k) for i, k in enumerate(keys)}, {f"o{i}": named(o) for i, o in enumerate(order)}, {f"c{i}": e for i, e in enumerate(carry.values())}
     flags = {"edge": F.coalesce(edge, F.lit(False)), "counts": F.lit(True) if counts is None else F.coalesce(counts, F.lit(False))}
     rows = df.select(F.struct(*[named(c) for c in own]).alias("row"), *[e.alias(c) for c, e in {**at_keys, **sorts, **flags, **values}.items()])
+    rows = written(rows, "unsorted")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
     ranged = rows.repartitionByRange(n, *at_keys, *sorts).sortWithinPartitions(*at_keys, *sorts).drop(*sorts)
     kept, at_keys, values = ["row", *at_keys, "edge", "counts"], list(at_keys), list(values)
     made = [T.StructField(c, T.LongType()) for c in ("at", "run", "segment", "place")] + [T.StructField("part", T.IntegerType())] + [rows.schema[c] for c in values]

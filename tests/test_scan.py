@@ -72,3 +72,17 @@ def test_headers_are_carried_over_partitions(spark):
             want[pos, float(i)] = 7
             pos += 1
     assert got == want
+
+
+def test_range_partitions_follow_from_the_rows(spark, monkeypatch):
+    """Partitions hold so many rows at most on average, whatever the number of shuffle partitions, and packets are the same."""
+    from framelake.operators import scan, stats
+
+    beats = spark.range(4000).selectExpr("'s' as stream", "id div 2000 as frame_id", "id % 2000 as seq", "id % 8 = 7 as last")
+    packets = lambda: sorted(map(tuple, stats.assemble_packets(beats, 8).collect()))
+    want, tables = packets(), []
+    monkeypatch.setattr(scan, "ROWS", 100)
+    kept = scan.written
+    monkeypatch.setattr(scan, "written", lambda df, name: tables.append(kept(df, name)) or tables[-1])
+    assert packets() == want and len(want) == 500
+    assert tables[-1].select("part").distinct().count() > 20
