@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.frames import byte_matrix
 from .resample import matrix
 
 #: Directions beyond those asked for, rounds at most, and the relative change of the variances that ends them.
@@ -21,6 +22,11 @@ EXTRA, ROUNDS, SETTLED = 6, 60, 1e-13
 PIECE = 4096
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    """(rows, values) of a column of arrays of one length, or of binaries with a byte a value."""
+    return (byte_matrix(column) if pa.types.is_binary(column.type) else matrix(column)).astype(float)
+
+
 def _summed(df: DataFrame, column: str, width: int, step) -> np.ndarray:
     """(width, k) sums over all rows of step((rows, values) of a batch): each task adds up its own, then equal pieces are added up side by side."""
 
@@ -28,7 +34,7 @@ def _summed(df: DataFrame, column: str, width: int, step) -> np.ndarray:
         total = 0.0
         for b in batches:
             for i in range(0, b.num_rows, 1024):
-                total = total + step(matrix(b.column(column).slice(i, 1024)).astype(float))
+                total = total + step(_rows(b.column(column).slice(i, 1024)))
         if isinstance(total, np.ndarray):
             flat = total.ravel()
             at = range(0, len(flat), PIECE)
@@ -42,13 +48,14 @@ def _summed(df: DataFrame, column: str, width: int, step) -> np.ndarray:
 
 
 def principal(df: DataFrame, column: str, k: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(mean, components as columns, their variances, total variance) of an array column, by falling variance.
+    """(mean, components as columns, their variances, total variance) of a column of arrays, or of binaries with a byte a value, by falling variance.
 
     Rows are centred before they are multiplied. A component's sign is that of its largest entry, which is
     positive. There are fewer than k where rows are fewer or vary in fewer directions.
     """
     rows = df.where(F.col(column).isNotNull())
-    first = rows.select(F.size(column).alias("width")).first()
+    size = F.length if dict(df.dtypes)[column] == "binary" else F.size
+    first = rows.select(size(column).alias("width")).first()
     if first is None:
         return np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0
     width = first["width"]
@@ -94,7 +101,7 @@ def project(df: DataFrame, column: str, out: str, mean: np.ndarray, axes: np.nda
         mean, axes = shared.value
         for b in batches:
             if b.num_rows:
-                x = (matrix(b.column(column)).astype(float) - mean) @ axes
+                x = (_rows(b.column(column)) - mean) @ axes
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(list(x), pa.list_(pa.float64()))], names=[*kept, out])
 
     return df.where(F.col(column).isNotNull()).mapInArrow(step, schema)

@@ -28,3 +28,10 @@ def test_few_directions_and_rows(spark):
     assert np.allclose(value, [50]) and np.isclose(total, 50) and np.allclose(axes[:, 0], [0.6, 0, 0.8])
     assert pca.principal(table(spark, line[:1]), "x", 2)[2].size == 0
     assert pca.principal(spark.createDataFrame([], "id int, x array<double>"), "x", 2)[3] == 0.0
+
+
+def test_rows_of_bytes_are_as_rows_of_arrays(spark):
+    x = np.random.default_rng(2).integers(0, 256, (200, 40))
+    packed = spark.createDataFrame([(i, bytes(r)) for i, r in enumerate(x.astype(np.uint8).tolist())], "id int, x binary").repartition(3)
+    for a, b in zip(pca.principal(packed, "x", 3), pca.principal(table(spark, x.astype(float)), "x", 3), strict=True):
+        assert np.allclose(a, b)
