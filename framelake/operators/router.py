@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql import types as T
 
-from ..sources.frames import list_column
+from ..sources.frames import byte_matrix, list_column
 from .resample import matrix, pack_planes
 
 Kernel = Callable[[np.ndarray], np.ndarray]
@@ -25,6 +26,22 @@ def luma_scores(data: np.ndarray) -> np.ndarray:
     return (luma * luma).sum(1) - 2 * mean * total + n * mean * mean
 
 
+def route_sums(frames: DataFrame, threshold: float = 1000, at_once: int = 1024) -> DataFrame:
+    """(stream, n_tiles, n_cnn, n_interp) of frames (stream, data: YUYV bytes, each one tile): a row for each stream of so many frames, to be summed up."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, at_once):
+                b = whole.slice(i, at_once)
+                data = byte_matrix(b.column("data"))
+                cnn = luma_scores(data) / (data.shape[1] // 2) > threshold
+                by = pa.table({"stream": b.column("stream"), "cnn": cnn.astype(np.int64)}).group_by("stream").aggregate([("cnn", "count"), ("cnn", "sum")])
+                stream, n, n_cnn = (by.column(c).combine_chunks() for c in ("stream", "cnn_count", "cnn_sum"))
+                yield pa.RecordBatch.from_arrays([stream, n, n_cnn, pc.subtract(n, n_cnn)], names=["stream", "n_tiles", "n_cnn", "n_interp"])
+
+    return frames.select("stream", "data").mapInArrow(step, "stream string, n_tiles long, n_cnn long, n_interp long")
+
+
 def upscale_routed(tiles: DataFrame, planes: Kernel, flat: Kernel, detailed: Kernel, threshold: float = 1000, override: int = 0, op: str = ">", batch: int = 16) -> DataFrame:
     """tiles (data: YUYV bytes) with route, variance and out instead of data.
 

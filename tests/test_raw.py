@@ -139,7 +139,7 @@ def test_sums_of_a_stream_that_fails_and_goes_on(spark, tmp_path):
 
 
 def texts(spark, path, n):
-    rows = [(i, "ab"[i % 2], chr(97 + i % 26) * 2048 + "".join(chr(33 + (i * j) % 90) for j in range(2048 + i))) for i in range(n)]
+    rows = [(i, "ab"[i % 2], chr(97 + i % 26) * 2048 + "".join(chr(33 + (i * j) % 200) for j in range(2048 + i))) for i in range(n)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{path}/documents.parquet")
     return str(path)
 
@@ -165,3 +165,15 @@ def test_no_frames_in_flight(spark, tmp_path):
     path = texts(spark, tmp_path, 300)
     spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 0").write.parquet(f"{path}/none/documents.parquet")
     assert [tuple(r) for r in registry.QUERIES["x2_frames_in_flight"](spark, f"{path}/none").collect()] == [(0, 0, 0)]
+
+
+def test_a_trigger_that_routes_raw_frames_is_one_job_of_one_stage(spark, tmp_path, monkeypatch):
+    from framelake.operators import stats
+    from framelake.sources import frames as src
+
+    path = texts(spark, tmp_path, 600)
+    rows, stages = stages_by_job(spark, monkeypatch, "x1_stream_raw", path)
+    twin = stats.route_summary(stats.route_tiles(src.raw_tiles(spark, path)), ["stream"]).select("stream", "n_tiles", "n_cnn", "n_interp")
+    by = lambda r: r["stream"]
+    assert sorted(rows, key=by) == sorted((r.asDict() for r in twin.collect()), key=by) and sum(r["n_tiles"] for r in rows) == 1200
+    assert all(r["n_cnn"] and r["n_interp"] for r in rows) and stages == [1, 1]
